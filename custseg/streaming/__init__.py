@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The analyses are defined over a static snapshot of an order history (no watermark, window or
+late-data semantics exist in them), so they are built as batch DataFrame jobs only.
+"""
