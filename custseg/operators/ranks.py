@@ -88,11 +88,13 @@ class Order:
     test against the original columns.
     """
 
-    def __init__(self, keys: list[SortKey]):
+    def __init__(self, keys: list[SortKey], prefix: str = "__"):
         if not keys:
             raise ValueError("at least one sort key is needed")
         self.keys = list(keys)
         self.width = 2 * len(self.keys)
+        self.prefix = prefix
+        self.names = [n for i in range(len(self.keys)) for n in (f"{prefix}f{i}", f"{prefix}v{i}")]
 
     # -- Spark side -------------------------------------------------------------------------
     def _flag_expr(self, i: int) -> Column:
@@ -100,23 +102,28 @@ class Order:
         null_flag, value_flag = (0, 1) if k.nulls_go_first else (1, 0)
         return F.when(F.col(k.name).isNull(), F.lit(null_flag)).otherwise(F.lit(value_flag))
 
-    def prepare(self, df: DataFrame) -> DataFrame:
+    def tuple_exprs(self) -> list[Column]:
         cols = []
         for i, k in enumerate(self.keys):
-            cols += [self._flag_expr(i).alias(f"__f{i}"), F.col(k.name).alias(f"__v{i}")]
-        return df.select(*cols)
+            cols += [self._flag_expr(i).alias(self.names[2 * i]),
+                     F.col(k.name).alias(self.names[2 * i + 1])]
+        return cols
+
+    def prepare(self, df: DataFrame) -> DataFrame:
+        return df.select(*self.tuple_exprs())
 
     def _cols(self, i: int, prepared: bool) -> tuple[Column, Column]:
         if prepared:
-            return F.col(f"__f{i}"), F.col(f"__v{i}")
+            return F.col(self.names[2 * i]), F.col(self.names[2 * i + 1])
         return self._flag_expr(i), F.col(self.keys[i].name)
 
     def sort_columns(self) -> list[Column]:
         """Window ordering on a prepared frame (flags make NULL placement explicit)."""
         cols = []
         for i, k in enumerate(self.keys):
-            v = F.col(f"__v{i}")
-            cols += [F.col(f"__f{i}").asc(), v.asc_nulls_last() if k.ascending else v.desc_nulls_last()]
+            v = F.col(self.names[2 * i + 1])
+            cols += [F.col(self.names[2 * i]).asc(),
+                     v.asc_nulls_last() if k.ascending else v.desc_nulls_last()]
         return cols
 
     def greater(self, t: tuple, prepared: bool = True) -> Column:
@@ -155,7 +162,7 @@ class Order:
         return tuple(out)
 
     def row_tuple(self, row) -> tuple:
-        return tuple(row[j] for j in range(self.width))
+        return tuple(row[name] for name in self.names)
 
 
 @dataclass
@@ -271,25 +278,64 @@ def _refine(prep: DataFrame, order: Order, jobs: list[_Job], p: Params, seed: in
     return list(new_jobs.values())
 
 
+def select_ranks_many(df: DataFrame, specs: list[tuple[list[SortKey], list[int]]], *,
+                      count: int | None = None, params: Params = DEFAULT) -> list[dict[int, tuple]]:
+    """``select_ranks`` for several orders over the same rows.
+
+    Within the local bound all orders are numbered in one job (one window per order over the
+    same bounded scope); above it each order runs its own selection rounds.
+    """
+    n = df.count() if count is None else count
+    if n > params.rank_local_rows:
+        return [select_ranks(df, keys, ranks, count=n, params=params) for keys, ranks in specs]
+    orders = [Order(keys, prefix=f"__s{j}_") for j, (keys, _) in enumerate(specs)]
+    wanted = [sorted({int(r) for r in ranks if 1 <= int(r) <= n}) for _, ranks in specs]
+    results: list[dict[int, tuple]] = [{} for _ in specs]
+    if not any(wanted):
+        return results
+    numbered = df.select(*[c for o in orders for c in o.tuple_exprs()])
+    keep = F.lit(False)
+    for j, o in enumerate(orders):
+        # Bounded: n <= rank_local_rows rows are numbered in one task.
+        numbered = numbered.withColumn(f"__rn{j}",
+                                       F.row_number().over(Window.orderBy(*o.sort_columns())))
+        keep = keep | F.col(f"__rn{j}").isin(wanted[j])
+    for row in numbered.filter(keep).collect():
+        for j, o in enumerate(orders):
+            if row[f"__rn{j}"] in wanted[j]:
+                results[j][row[f"__rn{j}"]] = o.row_tuple(row)
+    return results
+
+
 def ntile_ends(n: int, k: int) -> list[int]:
     """Last rank of tiles 1..k-1 for NTILE(k) over n rows (standard SQL NTILE)."""
     q, r = divmod(n, k)
     return [t * q + min(t, r) for t in range(1, k)]
 
 
-def with_ntile(df: DataFrame, out: str, keys: list[SortKey], k: int, *, count: int | None = None,
-               params: Params = DEFAULT) -> DataFrame:
-    """``df`` plus ``out = NTILE(k) OVER (ORDER BY keys)``, computed without a global window.
+def with_ntiles(df: DataFrame, specs: list[tuple[str, list[SortKey]]], k: int, *,
+                count: int | None = None, params: Params = DEFAULT) -> DataFrame:
+    """``df`` plus one ``NTILE(k) OVER (ORDER BY keys)`` column per (name, keys) spec.
 
-    ``df`` should be materialized; the result is a narrow projection of it (no shuffle).
+    Computed without a global window: ``df`` should be materialized, the selection passes
+    scan it, and the result is a narrow projection of it (no shuffle).
     """
     n = df.count() if count is None else count
     if n == 0:
-        return df.withColumn(out, F.lit(None).cast("int"))
+        return df.select("*", *[F.lit(None).cast("int").alias(name) for name, _ in specs])
     ends = [e for e in ntile_ends(n, k) if e >= 1]
-    picked = select_ranks(df, keys, ends, count=n, params=params)
-    order = Order(keys)
-    tile = F.lit(1)
-    for e in ends:
-        tile = tile + order.greater(picked[e], prepared=False).cast("int")
-    return df.withColumn(out, tile.cast("int"))
+    picked = select_ranks_many(df, [(keys, ends) for _, keys in specs], count=n, params=params)
+    cols = []
+    for (name, keys), chosen in zip(specs, picked):
+        order = Order(keys)
+        tile = F.lit(1)
+        for e in ends:
+            tile = tile + order.greater(chosen[e], prepared=False).cast("int")
+        cols.append(tile.cast("int").alias(name))
+    return df.select("*", *cols)
+
+
+def with_ntile(df: DataFrame, out: str, keys: list[SortKey], k: int, *, count: int | None = None,
+               params: Params = DEFAULT) -> DataFrame:
+    """``df`` plus ``out = NTILE(k) OVER (ORDER BY keys)`` (see ``with_ntiles``)."""
+    return with_ntiles(df, [(out, keys)], k, count=count, params=params)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from custseg.functions.exact import div, exact_round
 from custseg.functions.labels import age_group, rfm_code, segment_label
-from custseg.operators.ranks import asc, desc, with_ntile
+from custseg.operators.ranks import asc, desc, with_ntiles
 from custseg.params import DEFAULT, Params
 
 TIE_BREAK = "customer_id"
@@ -30,10 +30,7 @@ def quantile_scores(hub: DataFrame, *, count: int | None = None,
 
     Map-only over ``hub``: the tiles come from rank selection (see ``ranks``), not a window.
     """
-    n = hub.count() if count is None else count
-    out = hub
-    for name, keys in score_specs():
-        out = with_ntile(out, name, keys, params.buckets, count=n, params=params)
+    out = with_ntiles(hub, score_specs(), params.buckets, count=count, params=params)
     return out.withColumn("rfm", rfm_code(F.col("R"), F.col("F"), F.col("M")))
 
 

@@ -38,9 +38,13 @@ class CustomerAnalysis:
         return materialize(metrics.customer_metrics(self.t.orders,
                                                     with_vouchers=self.with_vouchers), "metrics")
 
+    @cached_property
+    def _as_of_count(self):
+        return metrics.as_of_and_count(self._raw_hub)
+
     @cached_property
     def as_of(self):
-        return metrics.as_of_date(self._raw_hub)
+        return self._as_of_count[0]
 
     @cached_property
     def hub(self) -> DataFrame:
@@ -48,7 +52,7 @@ class CustomerAnalysis:
 
     @cached_property
     def n_customers(self) -> int:
-        return self._raw_hub.count()
+        return self._as_of_count[1]
 
     @cached_property
     def scored(self) -> DataFrame:

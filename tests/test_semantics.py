@@ -1,0 +1,219 @@
+"""Hand-made edge cases (FIXTURES.md section 3) with expected values derived by reading."""
+
+import datetime as dt
+from decimal import Decimal
+from itertools import product
+
+import pytest
+from pyspark.sql import functions as F
+
+from custseg.functions.exact import exact_round
+from custseg.functions.labels import age_group, day_type, segment_label
+from custseg.operators import behavior
+from custseg.operators.quantiles import midpoint_quantiles, midpoint_value
+from custseg.params import Params
+from custseg.plans.analysis import CustomerAnalysis
+from tests.conftest import make_tables, order
+
+P0 = Params(min_customers=0)
+
+
+def cust(i, gender="F", city="HN", birth=1990, device="app"):
+    return (i, gender, city, birth, device)
+
+
+def analysis(spark, orders, customers, params=P0, **kw):
+    return CustomerAnalysis(make_tables(spark, orders, customers, **kw), params, with_vouchers=True)
+
+
+def test_x1_seven_customers_monetary_tiles(spark):
+    orders = [order(i, i, "2024-01-10 10:00:00", subtotal=10 * (i + 1)) for i in range(7)]
+    a = analysis(spark, orders, [cust(i) for i in range(7)])
+    got = {r["customer_id"]: r["M"] for r in a.quantile_scores().collect()}
+    assert [got[i] for i in range(7)] == [1, 1, 2, 2, 3, 4, 5]
+
+
+def test_x2_three_customers_no_champions(spark):
+    orders = [order(i, i, f"2024-01-1{i} 10:00:00", subtotal=10 * (i + 1)) for i in range(3)]
+    a = analysis(spark, orders, [cust(i) for i in range(3)])
+    rows = a.customer_segments().collect()
+    assert {r["rfm"] for r in rows} <= {f"{x}{y}{z}" for x in "123" for y in "123" for z in "123"}
+    assert "Champions" not in {r["segmentation"] for r in rows}
+
+
+def test_x3_null_monetary_sorts_last(spark):
+    orders = [order(i, i, "2024-01-10 10:00:00", subtotal=10 * (i + 1)) for i in range(4)]
+    orders.append(order(9, 4, "2024-01-10 10:00:00", subtotal=None))
+    a = analysis(spark, orders, [cust(i) for i in range(5)])
+    got = {r["customer_id"]: r["M"] for r in a.quantile_scores().collect()}
+    assert got[4] == 5 and sorted(got.values()) == [1, 2, 3, 4, 5]
+
+
+def test_x4_ties_broken_by_id_and_input_order(spark):
+    orders = [order(i, 10 - i, "2024-01-10 10:00:00") for i in range(10)]
+    a = analysis(spark, orders, [cust(i) for i in range(1, 11)])
+    got = {r["customer_id"]: r["F"] for r in a.quantile_scores().collect()}
+    assert [got[i] for i in range(1, 11)] == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+
+
+def test_x5_frequency_counts_distinct_days(spark):
+    orders = [order(1, 1, "2024-01-10 01:00:00"), order(2, 1, "2024-01-10 23:00:00"),
+              order(3, 1, "2024-01-12 12:00:00")]
+    a = analysis(spark, orders, [cust(1)])
+    r = a.customer_metrics().first()
+    assert (r["frequency"], r["n_orders"], r["recency"]) == (2, 3, 0)
+
+
+def test_x6_age_band_edges(spark):
+    ages = [17, 18, 24, 25, 34, 35, 44, 45, None]
+    df = spark.createDataFrame([(a,) for a in ages], "age int")
+    got = [r[0] for r in df.select(age_group(F.lit(2024), F.lit(2024) - F.col("age"))).collect()]
+    assert got == ["small students (<18)", "big students (18-24)", "big students (18-24)",
+                   "young people (25-34)", "young people (25-34)", "middle aged (35-44)",
+                   "middle aged (35-44)", "seniors (>44)", "seniors (>44)"]
+
+
+def test_x7_rule_table_census(spark):
+    cells = spark.createDataFrame(list(product(range(1, 6), repeat=3)), "R int, F int, M int")
+    labelled = cells.select("R", "F", "M", segment_label(F.col("R"), F.col("F"), F.col("M"))
+                            .alias("s"))
+    census = {r["s"]: r["count"] for r in labelled.groupBy("s").count().collect()}
+    assert census == {"Champions": 8, "Loyalists": 10, "Slipping Loyalists": 9,
+                      "New Customers": 20, "Whales": 4, "Cannot lose them": 8, "Lost": 8,
+                      "Potential / At Risk": 58}
+    one = {(r["R"], r["F"], r["M"]): r["s"] for r in labelled.collect()}
+    assert one[(5, 1, 5)] == "New Customers"
+    assert one[(3, 1, 5)] == "Whales"
+    assert one[(5, 3, 2)] == "Potential / At Risk"
+
+
+def test_x8_customer_missing_from_dimension(spark):
+    orders = [order(i, i, f"2024-01-1{i} 10:00:00", subtotal=10 * (i + 1)) for i in range(5)]
+    a = analysis(spark, orders, [cust(i) for i in range(4)])       # customer 4 is missing
+    q1 = a.customer_segments().collect()
+    orphan = [r for r in q1 if r["customer_id"] is None]
+    assert len(orphan) == 1
+    assert orphan[0]["age_group"] == "seniors (>44)" and len(orphan[0]["rfm"]) == 3
+    assert orphan[0]["segmentation"] is not None
+    shares = {r["segment"]: r["segment_gmv_pct"] for r in a.segment_gmv_share().collect()}
+    assert shares[None] == pytest.approx(round(50 * 100 / 150, 2))
+    groups = a.persona_groups().collect()
+    assert all(g["gender"] is not None for g in groups)
+
+
+def test_x9_null_city_group_never_yields_best_customers(spark):
+    orders = [order(i, i, "2024-01-10 10:00:00", subtotal=100) for i in range(6)]
+    customers = [cust(i, city=None) for i in range(3)] + [cust(i, city="HN") for i in range(3, 6)]
+    a = analysis(spark, orders, customers)
+    assert a.best_customers().filter(F.col("customer_id") < 3).count() == 0
+
+
+def test_x10_average_weighted_by_orders(spark):
+    # customer 1: three orders, most recent (R=2 of 2 tiles); customer 2: one old order (R=1)
+    orders = [order(1, 1, "2024-01-20 10:00:00"), order(2, 1, "2024-01-19 10:00:00"),
+              order(3, 1, "2024-01-18 10:00:00"), order(4, 2, "2024-01-01 10:00:00")]
+    a = analysis(spark, orders, [cust(1), cust(2)])
+    g = a.persona_groups().first()
+    assert g["R"] == 1.75           # (2*3 + 1*1) / 4, not (2 + 1) / 2
+
+
+def test_x11_single_group_scores_null_and_strict_raises(spark):
+    orders = [order(i, i, "2024-01-10 10:00:00") for i in range(3)]
+    a = analysis(spark, orders, [cust(i) for i in range(3)])
+    s = a.persona_scores().first()
+    assert s["final_persona_score"] is None and s["score_R"] is None
+    strict = analysis(spark, orders, [cust(i) for i in range(3)],
+                      params=P0.with_(strict_division=True))
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        strict.persona_scores().collect()
+
+
+def _gaps(spark, values):
+    rows = [(i, None if v is None else Decimal(v)) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "customer_id long, diff decimal(20,4)")
+
+
+def test_x12_midpoint_quantiles(spark):
+    q = midpoint_quantiles(_gaps(spark, ["1", "2", "4", "8"]), "diff", "customer_id",
+                           ["0.25", "0.5", "0.75"])
+    assert [midpoint_value(q[f][1]) for f in ("0.25", "0.5", "0.75")] == [
+        Decimal("1.5"), Decimal("3"), Decimal("6")]
+
+
+def test_x13_nulls_count_in_positions(spark):
+    q = midpoint_quantiles(_gaps(spark, ["1", "2", "4", "8", None, None, None, None]), "diff",
+                           "customer_id", ["0.25", "0.5", "0.75"])
+    assert [float(q[f][0]) for f in ("0.25", "0.5", "0.75")] == [2.75, 4.5, 6.25]
+    assert midpoint_value(q["0.25"][1]) == Decimal("3")
+    assert midpoint_value(q["0.5"][1]) == Decimal("8")
+    assert midpoint_value(q["0.75"][1]) is None
+
+
+def test_x14_gap_in_days(spark):
+    t0 = dt.datetime(2024, 1, 1, 8, 0, 0)
+    t1 = t0 + dt.timedelta(hours=25, milliseconds=500)
+    orders = make_tables(spark, [order(1, 7, t0), order(2, 7, t1), order(3, 8, t0)], [cust(7)]).orders
+    weights = spark.createDataFrame([(7, 1), (8, 1)], "customer_id long, m long")
+    got = {r["customer_id"]: r["diff"] for r in behavior.first_gaps(orders, weights).collect()}
+    assert got == {7: Decimal("1.0417"), 8: None}
+
+
+def test_duplicate_best_rows_make_zero_gap(spark):
+    t0 = dt.datetime(2024, 1, 1, 8, 0, 0)
+    orders = make_tables(spark, [order(1, 7, t0), order(2, 7, t0 + dt.timedelta(days=3))],
+                         [cust(7)]).orders
+    weights = spark.createDataFrame([(7, 2)], "customer_id long, m long")
+    assert behavior.first_gaps(orders, weights).first()["diff"] == Decimal("0")
+
+
+def test_x15_null_category_ranks_first(spark):
+    t = make_tables(spark,
+                    [order(1, 1, "2024-01-01 10:00:00"), order(2, 2, "2024-01-01 10:00:00"),
+                     order(3, 2, "2024-01-02 10:00:00")],
+                    [cust(1), cust(2)],
+                    items=[(2, 10, "54000.0")], products=[(10, "toys")])
+    best = spark.createDataFrame([(1, "A"), (2, "B")], "customer_id long, cust_group string")
+    ranked = behavior.persona_category_gmv(t.orders, t.order_items, t.products, best)
+    got = {(r["cust_group"], r["cat1_name"]): (r["gmv"], r["gmv_rank"]) for r in ranked.collect()}
+    assert got[("A", None)] == (None, 1)
+    assert got[("B", None)] == (None, 1) and got[("B", "toys")] == (Decimal(2), 2)
+    known = behavior.persona_category_gmv(t.orders, t.order_items, t.products, best,
+                                          Params(drop_null_category=True))
+    assert {(r["cust_group"], r["cat1_name"], r["gmv_rank"]) for r in known.collect()} == {
+        ("B", "toys", 1)}
+
+
+def test_x16_voucher_rows_union_and_null(spark):
+    orders = [order(1, 1, "2024-01-01 10:00:00", pv="5"), order(2, 2, "2024-01-01 10:00:00")]
+    a = analysis(spark, orders, [cust(1), cust(2)])
+    hub = a.hub
+    everyone = spark.createDataFrame([(1, 1), (2, 1)], "customer_id long, m long")
+    rows = behavior.voucher_usage(hub, everyone).collect()
+    assert len(rows) == 1                                   # cohort == all: UNION merges
+    assert rows[0]["platform_voucher_usage_pct"] == 0.5
+    assert rows[0]["shop_discount_usage_pct"] is None       # no qualifying order: NULL
+    none = spark.createDataFrame([], "customer_id long, m long")
+    labelled = {r["cohort"]: r for r in behavior.voucher_usage(hub, none, labelled=True).collect()}
+    assert labelled["best_customers"]["platform_voucher_usage_pct"] is None
+
+
+def test_x17_day_types(spark):
+    days = ["2024-02-02", "2024-02-25", "2024-02-03", "2024-12-12"]
+    df = spark.createDataFrame([(dt.datetime.fromisoformat(d),) for d in days], "ts timestamp_ntz")
+    assert [r[0] for r in df.select(day_type(F.col("ts"))).collect()] == [
+        "Double Day", "EOM Sale Day", "Normal Day", "Double Day"]
+
+
+def test_x18_rounding_half_away_from_zero(spark):
+    df = spark.createDataFrame([(1.005,), (0.285,), (-0.125,)], "x double")
+    got = [r[0] for r in df.select(exact_round(F.col("x"), 2)).collect()]
+    assert got == [Decimal("1.01"), Decimal("0.29"), Decimal("-0.13")]
+
+
+def test_duplicate_dimension_ids_fan_out(spark):
+    orders = [order(1, 1, "2024-01-01 10:00:00", subtotal=100),
+              order(2, 2, "2024-01-02 10:00:00", subtotal=100)]
+    a = analysis(spark, orders, [cust(1), cust(1, gender="M"), cust(2)])
+    assert a.customer_segments().count() == 3
+    total = sum(r["segment_gmv_pct"] for r in a.segment_gmv_share().collect())
+    assert total == pytest.approx(150.0)
