@@ -33,8 +33,10 @@ default is involved. The driver only sees samples, per-target counts and the sel
 
 from __future__ import annotations
 
+import datetime as _dt
 import math
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,6 +80,32 @@ class _Desc:
         return self.v == other.v
 
 
+def sql_literal(v) -> str:
+    """Exact Spark SQL text for a Python value taken from a collected row."""
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, int):
+        return f"{v}L"
+    if isinstance(v, Decimal):
+        return f"{format(v, 'f')}BD"
+    if isinstance(v, float):
+        text = {"nan": "NaN", "inf": "Infinity", "-inf": "-Infinity"}.get(repr(v), repr(v))
+        return f"CAST('{text}' AS DOUBLE)"
+    if isinstance(v, _dt.datetime):
+        if v.tzinfo is not None:
+            raise TypeError("zoned timestamps are not supported as rank keys")
+        return f"TIMESTAMP_NTZ'{v.isoformat(sep=' ')}'"
+    if isinstance(v, _dt.date):
+        return f"DATE'{v.isoformat()}'"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    raise TypeError(f"unsupported rank key value {v!r}")
+
+
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 class Order:
     """A total order over rows, compiled to Spark comparisons against literal key tuples.
 
@@ -126,31 +154,48 @@ class Order:
                      v.asc_nulls_last() if k.ascending else v.desc_nulls_last()]
         return cols
 
-    def greater(self, t: tuple, prepared: bool = True) -> Column:
-        """Row key > literal key tuple ``t`` (strictly later in this order)."""
+    def _sql_cols(self, i: int, prepared: bool) -> tuple[str, str]:
+        if prepared:
+            return _q(self.names[2 * i]), _q(self.names[2 * i + 1])
+        k = self.keys[i]
+        null_flag, value_flag = (0, 1) if k.nulls_go_first else (1, 0)
+        v = _q(k.name)
+        return f"(CASE WHEN {v} IS NULL THEN {null_flag} ELSE {value_flag} END)", v
+
+    def greater_sql(self, t: tuple, prepared: bool = True) -> str:
+        """SQL text: row key > literal key tuple ``t`` (strictly later in this order).
+
+        Built as text so that one expression costs one call into the JVM, however many keys.
+        """
         expr = None
         for i in reversed(range(len(self.keys))):
             fl, val = t[2 * i], t[2 * i + 1]
-            fcol, vcol = self._cols(i, prepared)
+            fcol, vcol = self._sql_cols(i, prepared)
             if val is None:
-                gt_i, eq_i = fcol > F.lit(fl), fcol == F.lit(fl)
+                gt_i, eq_i = f"{fcol} > {fl}", f"{fcol} = {fl}"
             else:
-                lit = F.lit(val)
-                later = vcol > lit if self.keys[i].ascending else vcol < lit
-                same_flag = fcol == F.lit(fl)
-                gt_i = (fcol > F.lit(fl)) | (same_flag & later)
-                eq_i = same_flag & (vcol == lit)
-            expr = gt_i if expr is None else (gt_i | (eq_i & expr))
+                lit = sql_literal(val)
+                op = ">" if self.keys[i].ascending else "<"
+                gt_i = f"({fcol} > {fl} OR ({fcol} = {fl} AND {vcol} {op} {lit}))"
+                eq_i = f"({fcol} = {fl} AND {vcol} = {lit})"
+            expr = gt_i if expr is None else f"({gt_i} OR ({eq_i} AND {expr}))"
         return expr
 
-    def in_range(self, lower: tuple | None, upper: tuple | None) -> Column:
-        """lower < key <= upper on a prepared frame (a side is open when None)."""
-        cond = F.lit(True)
+    def greater(self, t: tuple, prepared: bool = True) -> Column:
+        """Row key > literal key tuple ``t`` (strictly later in this order)."""
+        return F.expr(self.greater_sql(t, prepared))
+
+    def in_range_sql(self, lower: tuple | None, upper: tuple | None) -> str:
+        parts = ["TRUE"]
         if lower is not None:
-            cond = cond & self.greater(lower)
+            parts.append(self.greater_sql(lower))
         if upper is not None:
-            cond = cond & ~self.greater(upper)
-        return cond
+            parts.append(f"NOT {self.greater_sql(upper)}")
+        return " AND ".join(parts)
+
+    def in_range(self, lower: tuple | None, upper: tuple | None) -> Column:
+        """lower < key <= upper on a prepared frame (a side is open when None)."""
+        return F.expr(self.in_range_sql(lower, upper))
 
     # -- driver side (bounded samples only) -------------------------------------------------
     def py_key(self, t: tuple) -> tuple:
@@ -256,10 +301,12 @@ def _refine(prep: DataFrame, order: Order, jobs: list[_Job], p: Params, seed: in
 
     aggs = []
     for b, (idx, _, _, lower, upper) in enumerate(brackets):
-        in_job = order.in_range(jobs[idx].lower, jobs[idx].upper)
-        aggs.append(F.count_if(in_job & order.in_range(jobs[idx].lower, lower)).alias(f"below{b}"))
-        aggs.append(F.count_if(in_job & order.in_range(lower, upper)).alias(f"inside{b}"))
-    counts = prep.agg(*aggs).first()
+        in_job = order.in_range_sql(jobs[idx].lower, jobs[idx].upper)
+        below = order.in_range_sql(jobs[idx].lower, lower)
+        inside = order.in_range_sql(lower, upper)
+        aggs.append(f"count_if(({in_job}) AND ({below})) AS below{b}")
+        aggs.append(f"count_if(({in_job}) AND ({inside})) AS inside{b}")
+    counts = prep.selectExpr(*aggs).first()
 
     new_jobs: dict[tuple, _Job] = {}
     for b, (idx, local_rank, global_rank, lower, upper) in enumerate(brackets):
@@ -328,11 +375,10 @@ def with_ntiles(df: DataFrame, specs: list[tuple[str, list[SortKey]]], k: int, *
     cols = []
     for (name, keys), chosen in zip(specs, picked):
         order = Order(keys)
-        tile = F.lit(1)
-        for e in ends:
-            tile = tile + order.greater(chosen[e], prepared=False).cast("int")
-        cols.append(tile.cast("int").alias(name))
-    return df.select("*", *cols)
+        terms = " + ".join(f"CAST({order.greater_sql(chosen[e], prepared=False)} AS INT)"
+                           for e in ends)
+        cols.append(f"CAST(1 + {terms} AS INT) AS {_q(name)}")
+    return df.selectExpr("*", *cols)
 
 
 def with_ntile(df: DataFrame, out: str, keys: list[SortKey], k: int, *, count: int | None = None,

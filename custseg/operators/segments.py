@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custseg.functions.exact import div, exact_round
@@ -75,11 +75,9 @@ def joined_view(rows: DataFrame) -> DataFrame:
     every segment attribute. Metrics (monetary, n_orders, counters) stay with the row: they
     are its orders' totals (eager aggregation instead of re-joining the orders fact).
     """
-    nulled = ["gender", "age_group", "city", "preferred_device", "rfm", "R", "F", "M", "segment"]
-    cols: list[Column] = []
-    for c in rows.columns:
-        cols.append(F.when(F.col("matched"), F.col(c)).alias(c) if c in nulled else F.col(c))
-    return rows.select(*cols)
+    nulled = {"gender", "age_group", "city", "preferred_device", "rfm", "R", "F", "M", "segment"}
+    return rows.selectExpr(*[f"CASE WHEN matched THEN `{c}` END AS `{c}`" if c in nulled
+                             else f"`{c}`" for c in rows.columns])
 
 
 def segment_gmv_share(rows: DataFrame, hub: DataFrame) -> DataFrame:

@@ -27,10 +27,14 @@ from custseg.sources.tables import Tables
 
 
 class CustomerAnalysis:
-    def __init__(self, tables: Tables, params: Params = DEFAULT, *, with_vouchers: bool = False):
+    def __init__(self, tables: Tables, params: Params = DEFAULT, *, with_vouchers: bool = False,
+                 shared: bool = False):
+        """``shared``: also materialize the segment rows and best customers, for running many
+        analyses off one hub (``report``)."""
         self.t = tables
         self.p = params
         self.with_vouchers = with_vouchers
+        self.shared = shared
 
     # -- hub ---------------------------------------------------------------------------------
     @cached_property
@@ -61,7 +65,8 @@ class CustomerAnalysis:
     @cached_property
     def rows(self) -> DataFrame:
         year = self.as_of.year if self.as_of is not None else None
-        return segments.segment_rows(self.scored, self.t.customers, year, self.p)
+        rows = segments.segment_rows(self.scored, self.t.customers, year, self.p)
+        return materialize(rows, "segments") if self.shared else rows
 
     # -- Q1, Q2 ------------------------------------------------------------------------------
     def as_of_frame(self) -> DataFrame:
@@ -129,7 +134,8 @@ class CustomerAnalysis:
 
     @cached_property
     def best_cust(self) -> DataFrame:
-        return personas.best_customers(self.rows, self.best_personas())
+        best = personas.best_customers(self.rows, self.best_personas())
+        return materialize(best, "best") if self.shared else best
 
     def best_customers(self) -> DataFrame:
         return self.best_cust
@@ -206,3 +212,18 @@ class CustomerAnalysis:
 
     def day_type_performance(self) -> DataFrame:
         return behavior.day_type_performance(self.t.orders, self.weights, self.p)
+
+    # -- all eight analyses off one hub ------------------------------------------------------
+    def report(self) -> dict[str, DataFrame]:
+        """The eight analyses, in order. Build with ``with_vouchers=True, shared=True`` so the
+        hub, segment rows and best customers are each computed once for all of them."""
+        return {
+            "customer_segments": self.customer_segments(),
+            "segment_gmv_share": self.segment_gmv_share(),
+            "persona_scores": self.persona_scores(),
+            "top_categories": self.top_categories(),
+            "hourly_gmv": self.hourly_gmv(),
+            "repeat_gap_stats": self.repeat_gap_stats(),
+            "voucher_usage": self.voucher_usage(),
+            "day_type_performance": self.day_type_performance(),
+        }
