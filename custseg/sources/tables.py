@@ -98,9 +98,9 @@ def load_tables(spark: SparkSession, orders: str, order_items: str, products: st
     """Load tables already in the logical schema, from paths or catalog table names."""
 
     def read(src: str) -> DataFrame:
-        if "/" in src or "." in src.split("/")[-1] and src.endswith(fmt):
+        if "/" in src:                       # a path (local or a filesystem URI)
             return spark.read.format(fmt).load(src)
-        return spark.table(src)
+        return spark.table(src)              # a catalog table name
 
     return check_contract(Tables(read(orders), read(order_items), read(products),
                                  read(customers)))
