@@ -375,9 +375,9 @@ def with_ntiles(df: DataFrame, specs: list[tuple[str, list[SortKey]]], k: int, *
     cols = []
     for (name, keys), chosen in zip(specs, picked):
         order = Order(keys)
-        terms = " + ".join(f"CAST({order.greater_sql(chosen[e], prepared=False)} AS INT)"
-                           for e in ends)
-        cols.append(f"CAST(1 + {terms} AS INT) AS {_q(name)}")
+        terms = "".join(f" + CAST({order.greater_sql(chosen[e], prepared=False)} AS INT)"
+                        for e in ends)
+        cols.append(f"CAST(1{terms} AS INT) AS {_q(name)}")
     return df.selectExpr("*", *cols)
 
 

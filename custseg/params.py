@@ -54,6 +54,10 @@ class Params:
     age_bands: tuple = DEFAULT_AGE_BANDS
     age_else: str = DEFAULT_AGE_ELSE
     strict_division: bool = False          # True: raise when a min-max range is zero
+    # Optional analysis window on order time, [orders_from, orders_until); default: all orders.
+    # Given as 'YYYY-MM-DD[ HH:MM:SS]' text; the filter reaches the fact scan (pushdown).
+    orders_from: str | None = None
+    orders_until: str | None = None
     # Physical knobs for the distributed exact rank selection (never change results).
     rank_local_rows: int = 500_000         # a selection window may number this many rows in one task
     rank_sample_rows: int = 20_000         # sample size per refinement round (driver-side, bounded)

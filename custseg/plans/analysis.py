@@ -26,12 +26,24 @@ from custseg.session import materialize
 from custseg.sources.tables import Tables
 
 
+def _windowed(tables: Tables, p: Params) -> Tables:
+    """Restrict the orders fact to the optional analysis window (all orders by default)."""
+    if p.orders_from is None and p.orders_until is None:
+        return tables
+    orders = tables.orders
+    if p.orders_from is not None:
+        orders = orders.filter(F.col("created_at") >= F.lit(p.orders_from).cast("timestamp_ntz"))
+    if p.orders_until is not None:
+        orders = orders.filter(F.col("created_at") < F.lit(p.orders_until).cast("timestamp_ntz"))
+    return Tables(orders, tables.order_items, tables.products, tables.customers)
+
+
 class CustomerAnalysis:
     def __init__(self, tables: Tables, params: Params = DEFAULT, *, with_vouchers: bool = False,
                  shared: bool = False):
         """``shared``: also materialize the segment rows and best customers, for running many
         analyses off one hub (``report``)."""
-        self.t = tables
+        self.t = _windowed(tables, params)
         self.p = params
         self.with_vouchers = with_vouchers
         self.shared = shared
@@ -227,3 +239,24 @@ class CustomerAnalysis:
             "voucher_usage": self.voucher_usage(),
             "day_type_performance": self.day_type_performance(),
         }
+
+    # -- sink and cleanup --------------------------------------------------------------------
+    def save_customer_segments(self, target: str, *, fmt: str = "parquet",
+                               mode: str = "overwrite") -> None:
+        """Write the customer segment table to a path (contains '/') or a catalog table."""
+        writer = self.customer_segments().write.mode(mode).format(fmt)
+        if "/" in target:
+            writer.save(target)
+        else:
+            writer.saveAsTable(target)
+
+    def release(self) -> int:
+        """Delete the stages this analysis materialized under the checkpoint folder."""
+        from custseg.session import delete_path, materialized_paths
+        folders = set()
+        for name in ("_raw_hub", "rows", "best_cust", "gaps"):
+            df = self.__dict__.get(name)
+            if df is not None:
+                folders.update(p.rsplit("/", 1)[0] for p in materialized_paths(df))
+        spark = self.t.orders.sparkSession
+        return sum(bool(delete_path(spark, f)) for f in sorted(folders))

@@ -61,3 +61,14 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/custseg-{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def materialized_paths(df: DataFrame) -> list[str]:
+    """Files written by ``materialize`` that ``df`` reads directly."""
+    return [p for p in df.inputFiles() if "/custseg-" in p]
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Recursively delete one folder through the cluster's Hadoop filesystem."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
