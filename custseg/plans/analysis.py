@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custseg.operators import behavior, metrics, personas, segments
-from custseg.operators.quantiles import midpoint_quantiles, midpoint_value
-from custseg.functions.exact import dec, exact_round
+from custseg.operators.quantiles import is_picked, midpoint_frame, midpoint_picks
+from custseg.functions.exact import exact_round
 from custseg.params import DEFAULT, Params
 from custseg.session import materialize
 from custseg.sources.tables import Tables
@@ -185,37 +185,36 @@ class CustomerAnalysis:
     def first_gap(self) -> DataFrame:
         return self.gaps.select("customer_id", F.col("diff").cast("double").alias("diff"))
 
-    def _quantiles(self):
-        return midpoint_quantiles(self.gaps, "diff", "customer_id", self.p.quantile_fractions,
-                                  count=self.n_gaps, params=self.p)
+    def _picks(self):
+        return midpoint_picks(self.gaps, "diff", "customer_id", self.p.quantile_fractions,
+                              count=self.n_gaps, params=self.p)
 
     def midpoint_quantiles(self) -> DataFrame:
-        """One row per fraction: exact position, the two ranks averaged, midpoint value."""
-        spark = self.gaps.sparkSession
-        rows = []
-        for f, (pos, values) in self._quantiles().items():
-            v = midpoint_value(values)
-            rows.append((float(f), float(pos), None if v is None else str(v)))
-        schema = "fraction double, position double, value string"
-        frame = spark.createDataFrame(rows, schema) if rows else spark.createDataFrame([], schema)
-        return frame.select("fraction", "position",
-                            exact_round(F.col("value").cast("decimal(38,10)"), 5).cast("double")
-                            .alias("value"))
+        """One row per fraction: exact position and the midpoint value (5 decimals)."""
+        q = midpoint_frame(self.gaps, "diff", "customer_id", self.p.quantile_fractions,
+                           count=self.n_gaps, params=self.p)
+        return q.select("fraction", "position",
+                        exact_round(F.col("value"), 5).cast("double").alias("value"))
 
     def repeat_gap_stats(self) -> DataFrame:
-        """min/max (4 dp), avg/q1/median/q3 (2 dp) of the first-to-second order gap."""
-        q = self._quantiles()
-        labels = dict(zip(self.p.quantile_fractions, ("q1_diff", "median_diff", "q3_diff")))
-        picked = []
-        for f, name in labels.items():
-            v = midpoint_value(q[f][1]) if f in q else None
-            lit = F.lit(None).cast("decimal(38,10)") if v is None else dec(v).cast("decimal(38,10)")
-            picked.append(exact_round(lit, 2).cast("double").alias(name))
+        """min/max (4 dp), avg/q1/median/q3 (2 dp) of the first-to-second order gap.
+
+        One aggregation over the gap table; each quantile is AVG(diff) over the rows picked at
+        its floor/ceil ranks (NULL gaps are ignored by AVG, as the positions count them).
+        """
+        picks = self._picks()
+        names = dict(zip(self.p.quantile_fractions, ("q1_diff", "median_diff", "q3_diff")))
+        quantiles = []
+        for f, name in names.items():
+            keys = picks[f][1] if f in picks else []
+            avg = F.avg(F.when(is_picked("diff", "customer_id", keys), F.col("diff")))
+            quantiles.append(exact_round(avg, 2).cast("double").alias(name))
         return self.gaps.agg(
             F.min("diff").cast("double").alias("min_diff"),
             F.max("diff").cast("double").alias("max_diff"),
             exact_round(F.avg("diff"), 2).cast("double").alias("avg_diff"),
-        ).select("min_diff", "max_diff", "avg_diff", *picked)
+            *quantiles,
+        )
 
     def voucher_usage(self, labelled: bool = False) -> DataFrame:
         if not self.with_vouchers:

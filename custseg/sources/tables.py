@@ -15,6 +15,7 @@ filters into the scan; nothing is read eagerly.
 
 from __future__ import annotations
 
+import os
 import warnings
 from dataclasses import dataclass
 
@@ -106,6 +107,21 @@ def load_tables(spark: SparkSession, orders: str, order_items: str, products: st
                                  read(customers)))
 
 
+_READS: dict[tuple, DataFrame] = {}
+
+
+def _read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """``spark.read.parquet`` reused per session and file version (listing costs a round trip)."""
+    try:
+        version = os.stat(path).st_mtime_ns
+    except OSError:                      # not a local path: no cheap version check, no reuse
+        return spark.read.parquet(path)
+    key = (id(spark), path, version)
+    if key not in _READS:
+        _READS[key] = spark.read.parquet(path)
+    return _READS[key]
+
+
 def bind_testdata(spark: SparkSession, sf_dir: str) -> Tables:
     """Bind the TPC-H-like test tables onto the logical schema.
 
@@ -115,7 +131,7 @@ def bind_testdata(spark: SparkSession, sf_dir: str) -> Tables:
     are derived from the customer key.
     """
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return _read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
     o = read("orders")
     subtotal = F.col("o_totalprice").cast(MONEY)
