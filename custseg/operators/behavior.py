@@ -9,42 +9,53 @@ from custseg.functions.exact import dec, div, exact_round
 from custseg.functions.labels import day_type
 from custseg.params import DEFAULT, Params
 
-def persona_category_gmv(orders: DataFrame, items: DataFrame, products: DataFrame,
-                         best_cust: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def cohort_line_facts(orders: DataFrame, items: DataFrame, products: DataFrame,
+                      best_cust: DataFrame) -> DataFrame:
+    """Best customers' order lines summed by (persona, category, order hour, product matched).
+
+    One pass over the order-items fact serves both the category ranking and the hourly GMV:
+    orders LEFT JOIN items LEFT JOIN products keeps orders without items and items without a
+    product (NULL category, ``matched`` false); the hourly analysis keeps only matched lines,
+    which is its inner join. Every best-customer row (persona) repeats its orders, as the SQL
+    join does. The output is small: personas x categories x 24 x 2 rows.
+    """
+    cohort = orders.select("order_id", "customer_id", "created_at").join(best_cust, "customer_id")
+    prod = products.select("product_id", "cat1_name", F.lit(True).alias("matched"))
+    lines = (cohort.join(items.select("order_id", "product_id", "line_total"), "order_id", "left")
+             .join(prod, "product_id", "left"))
+    return lines.groupBy(
+        "cust_group", "cat1_name", F.hour("created_at").cast("long").alias("hour_"),
+        F.coalesce(F.col("matched"), F.lit(False)).alias("matched"),
+    ).agg(F.sum("line_total").alias("total"))
+
+
+def persona_category_gmv(facts: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """GMV (whole units) per (persona, category) over best customers' orders, ranked.
 
-    Orders LEFT JOIN items LEFT JOIN products: an order without items, or an item without a
-    product, lands in the NULL category. Rank: GMV DESC with NULL first, then category ASC
-    (NULL last) to break ties deterministically. The ranking runs on the small aggregate.
-    ``drop_null_category`` keeps only rows with a known category.
+    From ``cohort_line_facts``: an order without items, or an item without a product, lands in
+    the NULL category. Rank: GMV DESC with NULL first, then category ASC (NULL last) to break
+    ties deterministically. ``drop_null_category`` keeps only rows with a known category.
     """
-    cohort = orders.select("order_id", "customer_id").join(best_cust, "customer_id")
-    lines = (cohort.join(items.select("order_id", "product_id", "line_total"), "order_id", "left")
-             .join(products.select("product_id", "cat1_name"), "product_id", "left"))
     if params.drop_null_category:
-        lines = lines.filter(F.col("cat1_name").isNotNull())
-    agg = lines.groupBy("cust_group", "cat1_name").agg(F.sum("line_total").alias("total"))
+        facts = facts.filter(F.col("cat1_name").isNotNull())
+    agg = facts.groupBy("cust_group", "cat1_name").agg(F.sum("total").alias("total"))
     gmv = exact_round(div(F.col("total"), dec(params.money_scale)), 0)
     w = Window.partitionBy("cust_group").orderBy(F.col("gmv").desc_nulls_first(),
                                                  F.col("cat1_name").asc_nulls_last())
     return (agg.select("cust_group", "cat1_name", gmv.alias("gmv"))
             .withColumn("gmv_rank", F.row_number().over(w)))
 
+
 def top_categories(ranked: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return ranked.filter(F.col("gmv_rank") <= params.top_k)
 
-def hourly_gmv(orders: DataFrame, items: DataFrame, products: DataFrame, weights: DataFrame,
-               params: Params = DEFAULT, ranked: bool = False) -> DataFrame:
+
+def hourly_gmv(facts: DataFrame, params: Params = DEFAULT, ranked: bool = False) -> DataFrame:
     """GMV (whole units) of best customers' order lines by hour of the order (<= 24 rows).
 
-    Inner joins: lines without a product are left out. ``weights`` (customer_id, m) repeats
-    an order m times when the customer has m best-customer rows, as the SQL join would.
+    Only lines with an item and a known product count (the inner joins of the analysis).
     """
-    cohort = orders.select("order_id", "customer_id", "created_at").join(weights, "customer_id")
-    lines = (cohort.join(items.select("order_id", "product_id", "line_total"), "order_id")
-             .join(products.select("product_id"), "product_id"))
-    out = (lines.groupBy(F.hour("created_at").cast("long").alias("hour_"))
-           .agg(F.sum(F.col("line_total") * F.col("m")).alias("total"))
+    out = (facts.filter(F.col("matched")).groupBy("hour_").agg(F.sum("total").alias("total"))
            .select("hour_", exact_round(div(F.col("total"), dec(params.money_scale)), 0)
                    .alias("gmv")))
     if ranked:
@@ -53,6 +64,7 @@ def hourly_gmv(orders: DataFrame, items: DataFrame, products: DataFrame, weights
         out = out.withColumn("gmv_rank", F.row_number().over(w))
     return out
 
+
 def first_two_orders(orders: DataFrame) -> DataFrame:
     """Per customer: first and second order time (by time, then order id) and order count (<= 2).
 

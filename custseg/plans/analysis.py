@@ -157,9 +157,14 @@ class CustomerAnalysis:
         return personas.best_customer_weights(self.best_cust)
 
     # -- Q4 - Q8 -----------------------------------------------------------------------------
+    @cached_property
+    def line_facts(self) -> DataFrame:
+        facts = behavior.cohort_line_facts(self.t.orders, self.t.order_items, self.t.products,
+                                           self.best_cust)
+        return materialize(facts, "lines") if self.shared else facts
+
     def persona_category_gmv(self) -> DataFrame:
-        r = behavior.persona_category_gmv(self.t.orders, self.t.order_items, self.t.products,
-                                          self.best_cust, self.p)
+        r = behavior.persona_category_gmv(self.line_facts, self.p)
         return r.select("cust_group", "cat1_name", F.col("gmv").cast("long").alias("gmv"),
                         F.col("gmv_rank").cast("long").alias("gmv_rank"))
 
@@ -167,8 +172,7 @@ class CustomerAnalysis:
         return behavior.top_categories(self.persona_category_gmv(), self.p)
 
     def hourly_gmv(self, ranked: bool = False) -> DataFrame:
-        h = behavior.hourly_gmv(self.t.orders, self.t.order_items, self.t.products,
-                                self.weights, self.p, ranked=ranked)
+        h = behavior.hourly_gmv(self.line_facts, self.p, ranked=ranked)
         cols = ["hour_", F.col("gmv").cast("long").alias("gmv")]
         if ranked:
             cols.append(F.col("gmv_rank").cast("long").alias("gmv_rank"))
@@ -253,7 +257,7 @@ class CustomerAnalysis:
         """Delete the stages this analysis materialized under the checkpoint folder."""
         from custseg.session import delete_path, materialized_paths
         folders = set()
-        for name in ("_raw_hub", "rows", "best_cust", "gaps"):
+        for name in ("_raw_hub", "rows", "best_cust", "gaps", "line_facts"):
             df = self.__dict__.get(name)
             if df is not None:
                 folders.update(p.rsplit("/", 1)[0] for p in materialized_paths(df))

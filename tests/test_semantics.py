@@ -173,12 +173,12 @@ def test_x15_null_category_ranks_first(spark):
                     [cust(1), cust(2)],
                     items=[(2, 10, "54000.0")], products=[(10, "toys")])
     best = spark.createDataFrame([(1, "A"), (2, "B")], "customer_id long, cust_group string")
-    ranked = behavior.persona_category_gmv(t.orders, t.order_items, t.products, best)
+    facts = behavior.cohort_line_facts(t.orders, t.order_items, t.products, best)
+    ranked = behavior.persona_category_gmv(facts)
     got = {(r["cust_group"], r["cat1_name"]): (r["gmv"], r["gmv_rank"]) for r in ranked.collect()}
     assert got[("A", None)] == (None, 1)
     assert got[("B", None)] == (None, 1) and got[("B", "toys")] == (Decimal(2), 2)
-    known = behavior.persona_category_gmv(t.orders, t.order_items, t.products, best,
-                                          Params(drop_null_category=True))
+    known = behavior.persona_category_gmv(facts, Params(drop_null_category=True))
     assert {(r["cust_group"], r["cat1_name"], r["gmv_rank"]) for r in known.collect()} == {
         ("B", "toys", 1)}
 
@@ -217,3 +217,18 @@ def test_duplicate_dimension_ids_fan_out(spark):
     assert a.customer_segments().count() == 3
     total = sum(r["segment_gmv_pct"] for r in a.segment_gmv_share().collect())
     assert total == pytest.approx(150.0)
+
+
+def test_hourly_gmv_uses_inner_join_semantics(spark):
+    t = make_tables(spark,
+                    [order(1, 1, "2024-01-01 10:30:00"), order(2, 1, "2024-01-01 11:00:00"),
+                     order(3, 1, "2024-01-01 10:45:00")],
+                    [cust(1)],
+                    items=[(1, 10, "27000"), (1, 99, "54000"), (3, 11, "27000")],
+                    products=[(10, "toys"), (11, None)])
+    best = spark.createDataFrame([(1, "A"), (1, "B")], "customer_id long, cust_group string")
+    facts = behavior.cohort_line_facts(t.orders, t.order_items, t.products, best)
+    got = {r["hour_"]: r["gmv"] for r in behavior.hourly_gmv(facts).collect()}
+    # hour 10: products 10 and 11 (NULL category still a product), twice (two persona rows);
+    # product 99 is unknown and order 2 has no items: both left out
+    assert got == {10: Decimal(4)}
