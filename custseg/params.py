@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # Fixed values that must equal the original analysis for identical results.
 # Segment rule table, first match wins. Each rule: label, then the condition on R, F and M
