@@ -22,6 +22,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from custseg.plans.analysis import CustomerAnalysis  # noqa: E402
+from custseg.plans import registry  # noqa: E402
 from custseg.plans.registry import HEADLINE, queries  # noqa: E402
 from custseg.session import local_session  # noqa: E402
 from custseg.sources.tables import bind_testdata  # noqa: E402
@@ -42,6 +43,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, shuffle_partitions=max(8, 2 * int(cpus)))
+    registry.FRESH = True            # standalone: no analysis (hub) is shared between queries
     qs = queries()
     for name in HEADLINE.values():                       # warm-up at the smallest scale
         qs[name](spark, "/root/testdata/sf0.001").collect()

@@ -232,3 +232,18 @@ def test_hourly_gmv_uses_inner_join_semantics(spark):
     # hour 10: products 10 and 11 (NULL category still a product), twice (two persona rows);
     # product 99 is unknown and order 2 has no items: both left out
     assert got == {10: Decimal(4)}
+
+
+def test_null_customer_id_orders(spark):
+    orders = [order(1, 1, "2024-01-01 10:00:00", subtotal=100, pv="1"),
+              order(2, None, "2024-01-02 10:00:00", subtotal=300),
+              order(3, 2, "2024-01-03 10:00:00", subtotal=100)]
+    a = analysis(spark, orders, [cust(1), cust(2)])
+    assert a.n_customers == 3                                   # NULL ids form one group
+    q1 = a.customer_segments().collect()
+    assert sum(r["customer_id"] is None for r in q1) == 1       # kept, matches no customer
+    shares = {r["segment"]: r["segment_gmv_pct"] for r in a.segment_gmv_share().collect()}
+    assert shares[None] == 60.0                                 # its orders: NULL segment
+    everyone = spark.createDataFrame([], "customer_id long, m long")
+    rows = behavior.voucher_usage(a.hub, everyone, labelled=True).collect()
+    assert {r["cohort"]: r["platform_voucher_usage_pct"] for r in rows}["all_orders"] == 0.3333
