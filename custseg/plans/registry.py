@@ -36,7 +36,7 @@ def _a(spark: SparkSession, sf_dir: str, p: Params = DEFAULT, vouchers: bool = F
     """
     if FRESH:
         return CustomerAnalysis(bind_testdata(spark, sf_dir), p, with_vouchers=vouchers)
-    key = (id(spark), sf_dir, p, vouchers)
+    key = (spark.sparkContext.applicationId, sf_dir, p, vouchers)
     if key not in _ANALYSES:
         _ANALYSES[key] = CustomerAnalysis(bind_testdata(spark, sf_dir), p, with_vouchers=vouchers)
     return _ANALYSES[key]

@@ -116,7 +116,7 @@ def _read_parquet(spark: SparkSession, path: str) -> DataFrame:
         version = os.stat(path).st_mtime_ns
     except OSError:                      # not a local path: no cheap version check, no reuse
         return spark.read.parquet(path)
-    key = (id(spark), path, version)
+    key = (spark.sparkContext.applicationId, path, version)
     if key not in _READS:
         _READS[key] = spark.read.parquet(path)
     return _READS[key]
