@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from custseg.functions.exact import dec, div, exact_round
@@ -51,24 +51,31 @@ def persona_scores(groups: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Min-max scaled measures and the weighted persona score, all rounded to 2 places.
 
     The final score weighs the *unrounded* scaled measures. A zero range (one group, or equal
-    values) yields NULL scores unless ``strict_division`` asks for the division error.
-    The bounds are a single row, joined as a broadcast (bounded by construction).
+    values) yields NULL scores unless ``strict_division`` asks for the division error. The
+    bounds come from one window over the group rows, so the groups are computed once and no
+    join is needed.
     """
-    b = persona_bounds(groups)
+    # Global min/max as a window over all group rows: one group row per persona (at most
+    # genders x cities x age bands), so the single window partition is small by construction.
+    everything = Window.partitionBy()
+    bound = {}
+    for m in MEASURES:
+        bound[f"min_{m.lower()}"] = F.min(m).over(everything)
+        bound[f"max_{m.lower()}"] = F.max(m).over(everything)
     guard = not params.strict_division
     weights = {"R": params.weight_r, "F": params.weight_f, "M": params.weight_m,
                "gmv": params.weight_gmv}
     scaled, terms = {}, []
     for m in MEASURES:
         low = m.lower()
-        span = F.col(f"max_{low}") - F.col(f"min_{low}")
-        offset = F.col(m) - F.col(f"min_{low}")
+        span = bound[f"max_{low}"] - bound[f"min_{low}"]
+        offset = F.col(m) - bound[f"min_{low}"]
         scaled[m] = div(offset, span, guard_zero=guard)
         terms.append(div(dec(weights[m]) * offset, span, guard_zero=guard))
     total = terms[0]
     for t in terms[1:]:
         total = total + t
-    return groups.crossJoin(F.broadcast(b)).select(
+    return groups.select(
         "city", "gender", "age_group", "customers", "gmv",
         exact_round(scaled["R"], 2).alias("score_R"),
         exact_round(scaled["F"], 2).alias("score_F"),

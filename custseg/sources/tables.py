@@ -163,10 +163,10 @@ def bind_testdata(spark: SparkSession, sf_dir: str) -> Tables:
                                    F.col("p_type").alias("cat1_name"))
     nation = read("nation").select("n_nationkey", "n_regionkey")
     region = read("region").select("r_regionkey", "r_name")
-    # nation and region are fixed-size code tables (25 and 5 rows): broadcasting them is bounded.
-    geo = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
+    # nation and region are small code tables: the planner's size estimate broadcasts them.
+    geo = nation.join(region, nation.n_regionkey == region.r_regionkey)
     c = read("customer")
-    customers = c.join(F.broadcast(geo), c.c_nationkey == geo.n_nationkey, "left").select(
+    customers = c.join(geo, c.c_nationkey == geo.n_nationkey, "left").select(
         F.col("c_custkey").alias("customer_id"),
         F.when(F.col("c_custkey") % 2 == 0, F.lit("F")).otherwise(F.lit("M")).alias("gender"),
         F.col("r_name").alias("city"),

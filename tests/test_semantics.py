@@ -247,3 +247,19 @@ def test_null_customer_id_orders(spark):
     everyone = spark.createDataFrame([], "customer_id long, m long")
     rows = behavior.voucher_usage(a.hub, everyone, labelled=True).collect()
     assert {r["cohort"]: r["platform_voucher_usage_pct"] for r in rows}["all_orders"] == 0.3333
+
+
+def test_empty_orders(spark):
+    a = analysis(spark, [], [cust(1)])
+    assert a.as_of is None and a.n_customers == 0
+    assert a.customer_segments().count() == 0
+    assert a.segment_gmv_share().count() == 0
+    assert a.persona_scores().count() == 0
+    assert a.top_categories().count() == 0
+    assert a.hourly_gmv().count() == 0
+    stats = a.repeat_gap_stats().collect()
+    assert len(stats) == 1 and all(v is None for v in stats[0])   # aggregate over no rows
+    vouchers = a.voucher_usage().collect()
+    assert len(vouchers) == 1 and all(v is None for v in vouchers[0])
+    assert a.day_type_performance().count() == 0
+    assert a.midpoint_quantiles().count() == 0
