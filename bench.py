@@ -9,7 +9,9 @@ Two measurements, one JSON line:
   way a user produces the whole report; per-analysis times include building whatever shared
   stage it is the first to need.
 
-A warm-up run at the smallest scale absorbs JVM start-up and first code generation.
+A warm-up run at the smallest scale absorbs JVM start-up and first code generation; each
+timing is the best of ``BENCH_REPEATS`` (default 2) runs, since single runs on a shared host
+vary by tens of percent with JIT state and load.
 """
 
 from __future__ import annotations
@@ -48,26 +50,36 @@ def main() -> None:
     for name in HEADLINE.values():                       # warm-up at the smallest scale
         qs[name](spark, "/root/testdata/sf0.001").collect()
 
+    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     timings, rows = {}, {}
     for label, name in HEADLINE.items():
-        t0 = time.perf_counter()
-        rows[label] = len(qs[name](spark, sf_dir).collect())
-        timings[label] = round(time.perf_counter() - t0, 3)
+        best = None
+        for _ in range(repeats):
+            t0 = time.perf_counter()
+            rows[label] = len(qs[name](spark, sf_dir).collect())
+            took = time.perf_counter() - t0
+            best = took if best is None else min(best, took)
+        timings[label] = round(best, 3)
 
-    report = {}
-    t0 = time.perf_counter()
-    shared = CustomerAnalysis(bind_testdata(spark, sf_dir), with_vouchers=True, shared=True)
-    for label, build in REPORT_METHODS.items():
-        t1 = time.perf_counter()
-        build(shared).collect()
-        report[label] = round(time.perf_counter() - t1, 3)
-    report_total = round(time.perf_counter() - t0, 3)
+    report, report_total = {}, None
+    for _ in range(repeats):
+        run = {}
+        t0 = time.perf_counter()
+        shared = CustomerAnalysis(bind_testdata(spark, sf_dir), with_vouchers=True, shared=True)
+        for label, build in REPORT_METHODS.items():
+            t1 = time.perf_counter()
+            build(shared).collect()
+            run[label] = round(time.perf_counter() - t1, 3)
+        total = round(time.perf_counter() - t0, 3)
+        if report_total is None or total < report_total:
+            report, report_total = run, total
 
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "total_sec_8_analyses_standalone",
                       "value": round(sum(timings.values()), 3), "unit": "sec",
                       "queries": timings, "report_total_sec": report_total,
-                      "report_queries": report, "rows": rows, "sf": sf, "cpus": cpus}))
+                      "report_queries": report, "rows": rows, "sf": sf, "cpus": cpus,
+                      "repeats": repeats}))
 
 
 if __name__ == "__main__":
