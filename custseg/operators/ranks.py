@@ -140,11 +140,6 @@ class Order:
     def prepare(self, df: DataFrame) -> DataFrame:
         return df.select(*self.tuple_exprs())
 
-    def _cols(self, i: int, prepared: bool) -> tuple[Column, Column]:
-        if prepared:
-            return F.col(self.names[2 * i]), F.col(self.names[2 * i + 1])
-        return self._flag_expr(i), F.col(self.keys[i].name)
-
     def sort_columns(self) -> list[Column]:
         """Window ordering on a prepared frame (flags make NULL placement explicit)."""
         cols = []
