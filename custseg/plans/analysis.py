@@ -22,7 +22,7 @@ from custseg.operators import behavior, metrics, personas, segments
 from custseg.operators.quantiles import is_picked, midpoint_frame, midpoint_picks
 from custseg.functions.exact import exact_round
 from custseg.params import DEFAULT, Params
-from custseg.session import materialize
+from custseg.session import materialize, materialize_observed
 from custseg.sources.tables import Tables
 
 
@@ -51,12 +51,16 @@ class CustomerAnalysis:
     # -- hub ---------------------------------------------------------------------------------
     @cached_property
     def _raw_hub(self) -> DataFrame:
-        return materialize(metrics.customer_metrics(self.t.orders,
-                                                    with_vouchers=self.with_vouchers), "metrics")
+        # The customer count and the as-of date are observed while the hub is written.
+        hub, self._hub_stats = materialize_observed(
+            metrics.customer_metrics(self.t.orders, with_vouchers=self.with_vouchers), "metrics",
+            n=F.count(F.lit(1)), as_of=F.max("last_date"))
+        return hub
 
     @cached_property
     def _as_of_count(self):
-        return metrics.as_of_and_count(self._raw_hub)
+        self._raw_hub
+        return self._hub_stats["as_of"], self._hub_stats["n"]
 
     @cached_property
     def as_of(self):
@@ -180,11 +184,14 @@ class CustomerAnalysis:
 
     @cached_property
     def gaps(self) -> DataFrame:
-        return materialize(behavior.first_gaps(self.t.orders, self.weights, self.p), "gaps")
+        gaps, self._gap_stats = materialize_observed(
+            behavior.first_gaps(self.t.orders, self.weights, self.p), "gaps", n=F.count(F.lit(1)))
+        return gaps
 
     @cached_property
     def n_gaps(self) -> int:
-        return self.gaps.count()
+        self.gaps
+        return self._gap_stats["n"]
 
     def first_gap(self) -> DataFrame:
         return self.gaps.select("customer_id", F.col("diff").cast("double").alias("diff"))

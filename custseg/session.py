@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
@@ -63,6 +63,18 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def materialize_observed(df: DataFrame, name: str = "stage",
+                         **metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` plus aggregate ``metrics`` observed while writing (no extra job).
+
+    Example: ``materialize_observed(df, "hub", n=F.count(F.lit(1)))`` returns the re-read
+    stage and ``{"n": <rows written>}``.
+    """
+    observation = Observation(f"custseg-{name}")
+    observed = df.observe(observation, *[c.alias(k) for k, c in metrics.items()])
+    return materialize(observed, name), observation.get
+
+
 def materialized_paths(df: DataFrame) -> list[str]:
     """Files written by ``materialize`` that ``df`` reads directly."""
     return [p for p in df.inputFiles() if "/custseg-" in p]
