@@ -19,14 +19,16 @@ def cohort_line_facts(orders: DataFrame, items: DataFrame, products: DataFrame,
     which is its inner join. Every best-customer row (persona) repeats its orders, as the SQL
     join does. The output is small: personas x categories x 24 x 2 rows.
     """
-    cohort = orders.select("order_id", "customer_id", "created_at").join(best_cust, "customer_id")
+    # Identical copies of a (customer, persona) row collapse into a weight first.
+    personas = best_cust.groupBy("customer_id", "cust_group").agg(F.count(F.lit(1)).alias("m"))
+    cohort = orders.select("order_id", "customer_id", "created_at").join(personas, "customer_id")
     prod = products.select("product_id", "cat1_name", F.lit(True).alias("matched"))
     lines = (cohort.join(items.select("order_id", "product_id", "line_total"), "order_id", "left")
              .join(prod, "product_id", "left"))
     return lines.groupBy(
         "cust_group", "cat1_name", F.hour("created_at").cast("long").alias("hour_"),
         F.coalesce(F.col("matched"), F.lit(False)).alias("matched"),
-    ).agg(F.sum("line_total").alias("total"))
+    ).agg(F.sum(F.col("line_total") * F.col("m")).alias("total"))
 
 
 def persona_category_gmv(facts: DataFrame, params: Params = DEFAULT) -> DataFrame:

@@ -45,6 +45,10 @@ def segment_rows(scored: DataFrame, customers: DataFrame, as_of_year: int | None
     """
     dim = customers.select(F.col("customer_id").alias("dim_id"), "gender", "city",
                            "birth_year", "preferred_device")
+    # One shuffle per side. (An INNER + LEFT ANTI rewrite would let AQE split an id repeated
+    # across a large share of the dimension, but Spark plans the two hub-side shuffles
+    # differently, shuffling the hub twice; a repeated id is instead streamed by the sort-merge
+    # join, which spills its buffered rows.)
     joined = scored.join(dim, scored["customer_id"] == dim["dim_id"], "left")
     r, f, m = F.col("R"), F.col("F"), F.col("M")
     year = F.lit(as_of_year).cast("int")
