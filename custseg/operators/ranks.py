@@ -10,8 +10,9 @@ everything else with comparisons against those rows.
   boundary keys are known, the tiles are a map-only projection (no shuffle at all).
 * Midpoint quantiles need the values at a few ranks, which is the same selection.
 
-Selection (``select_ranks``) runs on Spark in rounds. Each open *job* is a scope (a key range,
-initially everything), its row count, and the target ranks inside it:
+Selection (``select_ranks``, ``select_ranks_many`` for several orders at once) runs on Spark in
+rounds. Each open *job* is a scope (a key range of one order, initially everything), its row
+count, and the target ranks inside it:
 
 1. A job with at most ``rank_local_rows`` rows is numbered by one window (one task per job,
    bounded by that checked count) and its target rows are kept.
@@ -24,10 +25,10 @@ initially everything), its row count, and the target ranks inside it:
    the next round's job, about 10 sigma / f rows: each round shrinks the scope by a factor of
    roughly sqrt(sample size), so 1e9 rows need two or three rounds.
 
-All jobs of a round share one sample pass and one counting pass; every pass is a scan of the
-(materialized) input with a few comparisons per row. Keys must end in a unique column (the
-tie-break), so a value shared by a third of all rows is still cut by the bracket keys: ties
-never put many rows into one task. NULLs are ordered by an explicit flag per key, so no engine
+All jobs of a round - across all orders, e.g. R, F and M - share one sample pass and one
+counting pass; every pass is a scan of the (materialized) input with a few comparisons per row.
+Keys must end in a unique column (the tie-break), so a value shared by a third of all rows is
+still cut by the bracket keys: ties never put many rows into one task. NULLs are ordered by an explicit flag per key, so no engine
 default is involved. The driver only sees samples, per-target counts and the selected rows.
 """
 
@@ -111,9 +112,10 @@ class Order:
 
     A key tuple is ``(flag_0, value_0, flag_1, value_1, ...)``: ``flag`` puts NULLs first
     (flag 0 for NULL) or last (flag 1 for NULL), ``value`` is the column value. Selection
-    passes run on a *prepared* frame holding exactly these columns (``__f{i}``, ``__v{i}``),
-    so each comparison is on plain columns; ``greater(..., prepared=False)`` compiles the same
-    test against the original columns.
+    passes run on a *prepared* frame holding these columns (``{prefix}f{i}``,
+    ``{prefix}v{i}``; several orders can share one frame), so each comparison is on plain
+    columns; ``greater(..., prepared=False)`` compiles the same test against the original
+    columns.
     """
 
     def __init__(self, keys: list[SortKey], prefix: str = "__"):
@@ -207,12 +209,13 @@ class Order:
 
 @dataclass
 class _Job:
-    """An open selection job: rows with lower < key <= upper, ``size`` of them."""
+    """An open selection job of order ``spec``: rows with lower < key <= upper (``size``)."""
 
     lower: tuple | None
     upper: tuple | None
     size: int
     targets: list[tuple[int, int]]          # (rank inside the job, global rank)
+    spec: int = 0
 
 
 _SIGMAS = 5.0
@@ -225,28 +228,55 @@ def select_ranks(df: DataFrame, keys: list[SortKey], ranks, *, count: int | None
 
     ``df`` should be materialized: it is scanned once per pass. Ranks outside 1..n are ignored.
     """
-    order = Order(keys)
-    prep = order.prepare(df)
-    n = prep.count() if count is None else count
-    targets = sorted({int(r) for r in ranks if 1 <= int(r) <= n})
-    out: dict[int, tuple] = {}
-    if not targets:
-        return out
-    jobs = [_Job(None, None, n, [(r, r) for r in targets])]
+    return select_ranks_many(df, [(keys, ranks)], count=count, params=params)[0]
+
+
+def select_ranks_many(df: DataFrame, specs: list[tuple[list[SortKey], list[int]]], *,
+                      count: int | None = None, params: Params = DEFAULT) -> list[dict[int, tuple]]:
+    """Rank selection for several orders over the same rows, sharing every pass.
+
+    Within the local bound all orders are numbered in one job (one window per order over the
+    same bounded rows). Above it, each round runs one sample pass and one counting pass for
+    the open brackets of *all* orders, then one numbering job per order for the brackets that
+    became small.
+    """
+    n = df.count() if count is None else count
+    orders = [Order(keys, prefix=f"__s{j}_") for j, (keys, _) in enumerate(specs)]
+    wanted = [sorted({int(r) for r in ranks if 1 <= int(r) <= n}) for _, ranks in specs]
+    results: list[dict[int, tuple]] = [{} for _ in specs]
+    if not any(wanted):
+        return results
+    prep = df.select(*[c for o in orders for c in o.tuple_exprs()])
+    if n <= params.rank_local_rows:
+        numbered, keep = prep, F.lit(False)
+        for j, o in enumerate(orders):
+            # Bounded: n <= rank_local_rows rows are numbered in one task.
+            numbered = numbered.withColumn(
+                f"__rn{j}", F.row_number().over(Window.orderBy(*o.sort_columns())))
+            keep = keep | F.col(f"__rn{j}").isin(wanted[j])
+        for row in numbered.filter(keep).collect():
+            for j, o in enumerate(orders):
+                if row[f"__rn{j}"] in wanted[j]:
+                    results[j][row[f"__rn{j}"]] = o.row_tuple(row)
+        return results
+
+    jobs = [_Job(None, None, n, [(r, r) for r in wanted[j]], j) for j in range(len(specs))
+            if wanted[j]]
     for round_no in range(64):
         small = [j for j in jobs if j.size <= params.rank_local_rows]
         large = [j for j in jobs if j.size > params.rank_local_rows]
-        if small:
-            _number_locally(prep, order, small, out)
+        for spec in sorted({j.spec for j in small}):
+            _number_locally(prep, orders[spec], [j for j in small if j.spec == spec],
+                            results[spec])
         if not large:
-            return out
-        jobs = _refine(prep, order, large, params, seed=params.seed + round_no)
+            return results
+        jobs = _refine(prep, orders, large, params, seed=params.seed + round_no)
     raise RuntimeError("rank selection did not converge")
 
 
-def _tagged(prep: DataFrame, order: Order, ranges: list[tuple[tuple | None, tuple | None]]):
-    """Rows of ``prep`` once per range that holds them, with the range index in ``__j``."""
-    conds = [order.in_range(lo, hi) for lo, hi in ranges]
+def _tagged(prep: DataFrame, ranges: list[tuple[Order, tuple | None, tuple | None]]):
+    """Rows of ``prep`` once per (order, range) holding them, range index in ``__j``."""
+    conds = [order.in_range(lo, hi) for order, lo, hi in ranges]
     if len(conds) == 1:
         return prep.filter(conds[0]).withColumn("__j", F.lit(0))
     any_range = conds[0]
@@ -258,7 +288,7 @@ def _tagged(prep: DataFrame, order: Order, ranges: list[tuple[tuple | None, tupl
 
 def _number_locally(prep: DataFrame, order: Order, jobs: list[_Job], out: dict) -> None:
     """Number each small job's rows with a window partitioned by job (one bounded task each)."""
-    rows = _tagged(prep, order, [(j.lower, j.upper) for j in jobs])
+    rows = _tagged(prep, [(order, j.lower, j.upper) for j in jobs])
     numbered = rows.withColumn(
         "__rn", F.row_number().over(Window.partitionBy("__j").orderBy(*order.sort_columns())))
     wanted = F.lit(False)
@@ -270,21 +300,22 @@ def _number_locally(prep: DataFrame, order: Order, jobs: list[_Job], out: dict)
                 out[global_rank] = order.row_tuple(row)
 
 
-def _refine(prep: DataFrame, order: Order, jobs: list[_Job], p: Params, seed: int) -> list[_Job]:
+def _refine(prep: DataFrame, orders: list[Order], jobs: list[_Job], p: Params,
+            seed: int) -> list[_Job]:
     """One sample pass and one counting pass: shrink every large job to a proven bracket."""
     sample_rows = max(p.rank_sample_rows, _MIN_SAMPLE)
     fractions = [min(1.0, sample_rows / j.size) for j in jobs]
-    rows = _tagged(prep, order, [(j.lower, j.upper) for j in jobs])
+    rows = _tagged(prep, [(orders[j.spec], j.lower, j.upper) for j in jobs])
     keep = F.lit(False)
     for idx, f in enumerate(fractions):
         keep = keep | ((F.col("__j") == idx) & (F.rand(seed) < F.lit(f)))
     samples: dict[int, list[tuple]] = {idx: [] for idx in range(len(jobs))}
     for row in rows.filter(keep).collect():
-        samples[row["__j"]].append(order.row_tuple(row))
+        samples[row["__j"]].append(orders[jobs[row["__j"]].spec].row_tuple(row))
 
     brackets = []                       # (job index, local rank, global rank, lower, upper)
     for idx, job in enumerate(jobs):
-        sample = sorted(samples[idx], key=order.py_key)
+        sample = sorted(samples[idx], key=orders[job.spec].py_key)
         f = fractions[idx]
         for local_rank, global_rank in job.targets:
             mean = (local_rank - 1) * f
@@ -296,8 +327,9 @@ def _refine(prep: DataFrame, order: Order, jobs: list[_Job], p: Params, seed: in
 
     aggs = []
     for b, (idx, _, _, lower, upper) in enumerate(brackets):
-        in_job = order.in_range_sql(jobs[idx].lower, jobs[idx].upper)
-        below = order.in_range_sql(jobs[idx].lower, lower)
+        order, job = orders[jobs[idx].spec], jobs[idx]
+        in_job = order.in_range_sql(job.lower, job.upper)
+        below = order.in_range_sql(job.lower, lower)
         inside = order.in_range_sql(lower, upper)
         aggs.append(f"count_if(({in_job}) AND ({below})) AS below{b}")
         aggs.append(f"count_if(({in_job}) AND ({inside})) AS inside{b}")
@@ -311,44 +343,15 @@ def _refine(prep: DataFrame, order: Order, jobs: list[_Job], p: Params, seed: in
             below = 0
         if below < local_rank <= below + inside:
             key = (idx, lower, upper)
-            nj = new_jobs.setdefault(key, _Job(lower, upper, inside, []))
+            nj = new_jobs.setdefault(key, _Job(lower, upper, inside, [], job.spec))
             nj.targets.append((local_rank - below, global_rank))
         else:                           # the sample missed (rare): retry on the whole job
             key = (idx, job.lower, job.upper)
-            nj = new_jobs.setdefault(key, _Job(job.lower, job.upper, job.size, []))
+            nj = new_jobs.setdefault(key, _Job(job.lower, job.upper, job.size, [], job.spec))
             nj.targets.append((local_rank, global_rank))
     return list(new_jobs.values())
 
 
-def select_ranks_many(df: DataFrame, specs: list[tuple[list[SortKey], list[int]]], *,
-                      count: int | None = None, params: Params = DEFAULT) -> list[dict[int, tuple]]:
-    """``select_ranks`` for several orders over the same rows.
-
-    Within the local bound all orders are numbered in one job (one window per order over the
-    same bounded scope); above it each order runs its own selection rounds.
-    """
-    n = df.count() if count is None else count
-    if n > params.rank_local_rows:
-        return [select_ranks(df, keys, ranks, count=n, params=params) for keys, ranks in specs]
-    orders = [Order(keys, prefix=f"__s{j}_") for j, (keys, _) in enumerate(specs)]
-    wanted = [sorted({int(r) for r in ranks if 1 <= int(r) <= n}) for _, ranks in specs]
-    results: list[dict[int, tuple]] = [{} for _ in specs]
-    if not any(wanted):
-        return results
-    numbered = df.select(*[c for o in orders for c in o.tuple_exprs()])
-    keep = F.lit(False)
-    for j, o in enumerate(orders):
-        # Bounded: n <= rank_local_rows rows are numbered in one task.
-        numbered = numbered.withColumn(f"__rn{j}",
-                                       F.row_number().over(Window.orderBy(*o.sort_columns())))
-        keep = keep | F.col(f"__rn{j}").isin(wanted[j])
-    for row in numbered.filter(keep).collect():
-        for j, o in enumerate(orders):
-            if row[f"__rn{j}"] in wanted[j]:
-                results[j][row[f"__rn{j}"]] = o.row_tuple(row)
-    return results
-
-
 def ntile_ends(n: int, k: int) -> list[int]:
     """Last rank of tiles 1..k-1 for NTILE(k) over n rows (standard SQL NTILE)."""
     q, r = divmod(n, k)

@@ -52,8 +52,10 @@ def test_ntile_matches_window(data, path, keys):
     assert joined.filter(F.col("tile") != F.col("expected")).count() == 0
 
 
-def test_ntile_many_specs_in_one_job(data):
-    got = with_ntiles(data, [("a", [asc("v"), asc("id")]), ("b", [desc("x"), asc("id")])], 7)
+@pytest.mark.parametrize("path", sorted(PATHS))
+def test_ntile_many_specs_share_passes(data, path):
+    got = with_ntiles(data, [("a", [asc("v"), asc("id")]), ("b", [desc("x"), asc("id")])], 7,
+                      params=PATHS[path])
     exp = (data.withColumn("ea", F.ntile(7).over(Window.orderBy(F.col("v").asc_nulls_last(),
                                                                  F.col("id").asc_nulls_last())))
            .withColumn("eb", F.ntile(7).over(Window.orderBy(F.col("x").desc_nulls_first(),
