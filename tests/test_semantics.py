@@ -263,3 +263,19 @@ def test_empty_orders(spark):
     assert len(vouchers) == 1 and all(v is None for v in vouchers[0])
     assert a.day_type_performance().count() == 0
     assert a.midpoint_quantiles().count() == 0
+
+
+def test_first_two_orders_with_a_hot_customer(spark):
+    # customer 1 holds most orders, spread over many input partitions, with tied timestamps
+    base = dt.datetime(2024, 1, 1, 0, 0, 0)
+    rows = [order(i, 1, base + dt.timedelta(hours=(i * 7919) % 5000)) for i in range(3000)]
+    rows += [order(10_000 + i, 2 + i % 5, base + dt.timedelta(hours=i)) for i in range(50)]
+    t = make_tables(spark, rows, [cust(i) for i in range(1, 7)])
+    got = {r["customer_id"]: (r["first_at"], r["second_at"], r["n_first"])
+           for r in behavior.first_two_orders(t.orders.repartition(16)).collect()}
+    expected = {}
+    for o in rows:
+        expected.setdefault(o[1], []).append((o[2], o[0]))
+    for cid, items in expected.items():
+        first, second = sorted(items)[:2]
+        assert got[cid] == (first[0], second[0], 2)
