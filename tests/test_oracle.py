@@ -7,10 +7,7 @@ import __spark_entry__ as entry
 from tools_compare import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["as_of_date", "customer_metrics", "quantile_scores", "quantile_scores_sampled",
-         "customer_segments", "segment_gmv_share", "persona_scores_min30",
-         "top_categories_min30", "repeat_gap_stats_min30", "voucher_usage_min30",
-         "day_type_performance_min30"]
+NAMES = sorted(entry.queries())
 
 
 @pytest.fixture(scope="module")
