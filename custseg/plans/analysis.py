@@ -98,8 +98,12 @@ class CustomerAnalysis:
                                   "rfm")
 
     def segment_labels(self) -> DataFrame:
-        return self.rows.select(F.col("metrics_id").alias("customer_id"),
-                                *[F.col(c).cast("long").alias(c) for c in "RFM"], "segment")
+        """One label per scored customer (before any dimension join)."""
+        from custseg.functions.labels import segment_label
+        s = self.scored
+        return s.select("customer_id", *[F.col(c).cast("long").alias(c) for c in "RFM"],
+                        segment_label(F.col("R"), F.col("F"), F.col("M"), self.p.segment_rules,
+                                      self.p.segment_else).alias("segment"))
 
     def age_bands(self) -> DataFrame:
         from custseg.functions.labels import age_group
