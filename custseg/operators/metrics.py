@@ -45,11 +45,6 @@ def as_of_date(metrics: DataFrame) -> _dt.date | None:
     return metrics.agg(F.max("last_date")).first()[0]
 
 
-def as_of_and_count(metrics: DataFrame) -> tuple[_dt.date | None, int]:
-    """As-of date and number of customers in one pass over the (materialized) metrics."""
-    row = metrics.agg(F.max("last_date"), F.count(F.lit(1))).first()
-    return row[0], row[1]
-
 
 def with_recency(metrics: DataFrame, as_of: _dt.date | None) -> DataFrame:
     """recency = as-of date - last order date, in whole days."""

@@ -5,7 +5,8 @@ import tempfile
 
 import pytest
 
-from custseg.sources.tables import Tables, bind_testdata, check_contract, load_tables
+from custseg.sources.tables import (Tables, bind_testdata, check_contract, load_tables,
+                                    warn_duplicate_customers)
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +39,11 @@ def test_load_tables_from_paths(spark):
     loaded = load_tables(spark, **paths)
     assert loaded.orders.count() == t.orders.count()
     assert loaded.customers.columns == t.customers.columns
+
+
+def test_duplicate_customer_ids_warn(spark):
+    t = bind_testdata(spark, SF)
+    assert warn_duplicate_customers(t) == 0
+    doubled = Tables(t.orders, t.order_items, t.products, t.customers.unionByName(t.customers))
+    with pytest.warns(UserWarning, match="not unique"):
+        assert warn_duplicate_customers(doubled) == 1
