@@ -3,21 +3,63 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from custseg.llm import line_dedup, quality, secrets
+from custseg.llm import bpe, line_dedup, packing, quality, secrets, warc
 from custseg.llm.common import map_batches, read_table, texts
+from custseg.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file on this machine."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"),
+                                  tokenizer_path("word_bpe_49k.json"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark).rstrip('/')}/custseg-warc-{uuid.uuid4().hex}"
+    warc.write(read_table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest",
+                                         "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), r AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS response_id FROM p
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INT), 5))::BIGINT
+              // CAST(power(32, 3 - i % 4) AS BIGINT) % 32 + 1 AS INT), 1)), 'string_agg', '')
+         AS payload_digest,
+       CASE WHEN page_id = response_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response_id THEN response_id END AS refers_to
+FROM r
+"""
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read_table(spark, sf_dir, "documents"),
+                       tokenizer_path("byte_bpe_50k.json"))
+
+
 def _line_digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, dropped, digests = [], [], []
@@ -69,11 +111,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_packing": op1_packing,
         "op3_quality_rules": op3_quality_rules,
+        "op4_warc": op4_warc,
+        "op6_bpe": op6_bpe,
         "op9_line_dedup": op9_line_dedup,
         "op10_secret_scan": op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL}
+    return {"op4_warc": OP4_SQL, "op9_line_dedup": OP9_SQL}
