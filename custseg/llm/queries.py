@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from custseg.llm import bpe, line_dedup, packing, quality, secrets, warc
+from custseg.llm import bpe, licenses, line_dedup, packing, quality, secrets, warc
 from custseg.llm.common import map_batches, read_table, texts
 from custseg.session import checkpoint_dir
 
@@ -27,6 +27,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
@@ -112,6 +116,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
+        "op2_license_scan": op2_license_scan,
         "op3_quality_rules": op3_quality_rules,
         "op4_warc": op4_warc,
         "op6_bpe": op6_bpe,
