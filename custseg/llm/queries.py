@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from custseg.llm import bpe, licenses, line_dedup, packing, quality, secrets, warc
+from custseg.llm import bpe, licenses, line_dedup, near_dedup, packing, quality, secrets, warc
 from custseg.llm.common import map_batches, read_table, texts
 from custseg.session import checkpoint_dir
 
@@ -59,6 +59,10 @@ FROM r
 """
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"),
                        tokenizer_path("byte_bpe_50k.json"))
@@ -119,6 +123,7 @@ def queries() -> dict[str, Query]:
         "op2_license_scan": op2_license_scan,
         "op3_quality_rules": op3_quality_rules,
         "op4_warc": op4_warc,
+        "op5_near_dedup": op5_near_dedup,
         "op6_bpe": op6_bpe,
         "op9_line_dedup": op9_line_dedup,
         "op10_secret_scan": op10_secret_scan,
