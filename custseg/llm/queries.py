@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custseg.llm import ann, bpe, licenses, line_dedup, near_dedup, packing, quality, secrets, warc
+from custseg.llm import ann, bpe, html_text, licenses, line_dedup, near_dedup, packing, quality, secrets, warc
 from custseg.llm.common import map_batches, read_table, texts
 from custseg.session import checkpoint_dir
 
@@ -69,6 +69,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -130,6 +134,7 @@ def queries() -> dict[str, Query]:
         "op4_warc": op4_warc,
         "op5_near_dedup": op5_near_dedup,
         "op6_bpe": op6_bpe,
+        "op7_html_text": op7_html_text,
         "op8_ann": op8_ann,
         "op9_line_dedup": op9_line_dedup,
         "op10_secret_scan": op10_secret_scan,
