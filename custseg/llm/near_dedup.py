@@ -175,10 +175,13 @@ def _links(pairs: DataFrame, data: DataFrame, limit_pct: int) -> DataFrame:
                                    _verify(limit_pct), "a long, b long"), "near-links")
 
 
-def near_duplicates(docs: DataFrame, limit_pct: int = LIMIT_PCT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    source = docs.select("doc_id", "text", key.alias("text_key"))
+def _text_key():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _grouped(docs: DataFrame, limit_pct: int) -> DataFrame:
+    """One row per input row: doc_id, text_key, n, found (first document of the component)."""
+    source = docs.select("doc_id", "text", _text_key().alias("text_key"))
     rows = materialize(
         map_batches(source, _sketch, "doc_id long, text_key long, s1 long, s2 long, n long, "
                                      "regs binary")
@@ -186,7 +189,8 @@ def near_duplicates(docs: DataFrame, limit_pct: int = LIMIT_PCT) -> DataFrame:
     classes = materialize(
         rows.filter("n > 0").groupBy("s1", "s2")
         .agg(F.min(F.struct("row", "doc_id", "text_key")).alias("rep"),
-             F.min("doc_id").alias("first_doc"), F.first("n").alias("n"),
+             F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_key"))
+             .alias("first_doc"), F.first("n").alias("n"),
              F.first("regs").alias("regs"))
         .select("s1", "s2", F.col("rep.row").alias("c"), F.col("rep.doc_id").alias("rep_doc"),
                 F.col("rep.text_key").alias("rep_key"), "first_doc", "n", "regs"), "classes")
@@ -234,8 +238,29 @@ def near_duplicates(docs: DataFrame, limit_pct: int = LIMIT_PCT) -> DataFrame:
     named = grouped.join(smallest, "p", "left").select(
         "s1", "s2", F.when(F.col("p").isNull(), F.col("first_doc"))
         .otherwise(F.col("smallest")).alias("found"))
-    return (rows.select("doc_id", "s1", "s2", "n").join(named, ["s1", "s2"], "left")
+    return (rows.select("doc_id", "text_key", "s1", "s2", "n").join(named, ["s1", "s2"], "left")
+            .select("doc_id", "text_key", "n", "found"))
+
+
+def near_duplicates(docs: DataFrame, limit_pct: int = LIMIT_PCT) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept."""
+    return (_grouped(docs, limit_pct)
             .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("found"))
+                    F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("found.doc_id"))
                     .alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def first_of_each(docs: DataFrame, limit_pct: int = LIMIT_PCT) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: its smallest doc_id (of rows that
+    share it, one). Rows without words are in no group and stay."""
+    names = docs.columns
+    first = (_grouped(docs, limit_pct).filter("n > 0")
+             .select(F.col("found.doc_id").alias("_first_doc"),
+                     F.col("found.text_key").alias("_first_key")).distinct())
+    has_words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    worded = (docs.filter(has_words).withColumn("_key", _text_key())
+              .dropDuplicates(["doc_id", "_key"])
+              .join(first, F.col("doc_id").eqNullSafe(F.col("_first_doc"))
+                    & (F.col("_key") == F.col("_first_key")), "left_semi"))
+    return worded.select(*names).unionByName(docs.filter(~has_words))
