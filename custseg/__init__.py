@@ -7,7 +7,6 @@ Layers:
 * ``operators`` - DataFrame operators: customer metrics, distributed exact NTILE / rank
   selection, segments, personas, behavioural analyses.
 * ``plans``     - the named analyses (query registry) and their DuckDB oracle SQL.
-* ``streaming`` - intentionally empty: the analyses are batch-only.
 """
 
 from custseg.params import Params

@@ -39,7 +39,3 @@ def div(num: Column, den: Column, *, guard_zero: bool = True) -> Column:
 def exact_round(x: Column, digits: int = 0) -> Column:
     """ROUND(x, digits), half away from zero, via the shared DECIMAL(38,10) step."""
     return F.round(x.cast(ROUND_BASE), digits)
-
-
-def to_double(x: Column) -> Column:
-    return x.cast("double")

@@ -9,22 +9,32 @@ from custseg.functions.exact import dec, div, exact_round
 from custseg.functions.labels import day_type
 from custseg.params import DEFAULT, Params
 
-def cohort_line_facts(orders: DataFrame, items: DataFrame, products: DataFrame,
-                      best_cust: DataFrame) -> DataFrame:
-    """Best customers' order lines summed by (persona, category, order hour, product matched).
+
+def cohort_orders(orders: DataFrame, best_cust: DataFrame) -> DataFrame:
+    """Best customers' orders: (order_id, created_at, cust_group, m).
+
+    Every best-customer row (persona) repeats its orders, as the SQL join does; identical copies
+    of a (customer, persona) row collapse into the weight ``m`` first.
+    """
+    personas = best_cust.groupBy("customer_id", "cust_group").agg(F.count(F.lit(1)).alias("m"))
+    return (orders.select("order_id", "customer_id", "created_at").join(personas, "customer_id")
+            .select("order_id", "created_at", "cust_group", "m"))
+
+
+def cohort_line_facts(cohort: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
+    """``cohort_orders`` lines summed by (persona, category, order hour, product matched).
 
     One pass over the order-items fact serves both the category ranking and the hourly GMV:
     orders LEFT JOIN items LEFT JOIN products keeps orders without items and items without a
     product (NULL category, ``matched`` false); the hourly analysis keeps only matched lines,
-    which is its inner join. Every best-customer row (persona) repeats its orders, as the SQL
-    join does. The output is small: personas x categories x 24 x 2 rows.
+    which is its inner join. A semi-join first reduces the items to the cohort's orders - with
+    ``cohort`` read from a written table, a broadcast if its size allows - so the whole items
+    fact is not shuffled for the LEFT join. The output is small: personas x categories x 24 x 2.
     """
-    # Identical copies of a (customer, persona) row collapse into a weight first.
-    personas = best_cust.groupBy("customer_id", "cust_group").agg(F.count(F.lit(1)).alias("m"))
-    cohort = orders.select("order_id", "customer_id", "created_at").join(personas, "customer_id")
+    own = (items.select("order_id", "product_id", "line_total")
+           .join(cohort.select("order_id").distinct(), "order_id", "left_semi"))
     prod = products.select("product_id", "cat1_name", F.lit(True).alias("matched"))
-    lines = (cohort.join(items.select("order_id", "product_id", "line_total"), "order_id", "left")
-             .join(prod, "product_id", "left"))
+    lines = cohort.join(own, "order_id", "left").join(prod, "product_id", "left")
     return lines.groupBy(
         "cust_group", "cat1_name", F.hour("created_at").cast("long").alias("hour_"),
         F.coalesce(F.col("matched"), F.lit(False)).alias("matched"),
@@ -67,34 +77,47 @@ def hourly_gmv(facts: DataFrame, params: Params = DEFAULT, ranked: bool = False)
     return out
 
 
-def first_two_orders(orders: DataFrame) -> DataFrame:
-    """Per customer: first and second order time (by time, then order id) and order count (<= 2).
+HOT_SLOTS = 32
+
+
+def first_two_orders(orders: DataFrame, weights: DataFrame) -> DataFrame:
+    """Per best customer: times of the first and second order (by time, NULL last, then order
+    id), order count (<= 2) and weight ``m``.
 
-    ``row_number() <= 2`` is planned with a partial WindowGroupLimit before the shuffle, so
-    each map task forwards at most two rows per customer: a customer with a huge share of the
-    orders cannot overload the reducer.
+    The semi-join keeps the cohort's orders before anything is sorted. Two levels keep a customer
+    with a huge share of the orders from meeting in one task: the first two orders of each
+    (customer, slot of the order id), then of each customer over at most two rows per slot.
     """
-    w = Window.partitionBy("customer_id").orderBy("created_at", "order_id")
-    top = (orders.select("customer_id", "order_id", "created_at")
-           .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 2))
-    return top.groupBy("customer_id").agg(
-        F.min("created_at").alias("first_at"),
-        F.max("created_at").alias("second_at"),
+    cohort = (orders.select("customer_id", "order_id", "created_at")
+              .join(weights.select("customer_id"), "customer_id", "left_semi")
+              .withColumn("slot", F.pmod(F.xxhash64("order_id"), F.lit(HOT_SLOTS)))
+              .repartition("customer_id", "slot"))
+    order = [F.col("created_at").asc_nulls_last(), F.col("order_id").asc_nulls_last()]
+    for keys in (["customer_id", "slot"], ["customer_id"]):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        cohort = cohort.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 2)
+    pairs = cohort.groupBy("customer_id").agg(
+        F.max(F.when(F.col("rn") == 1, F.col("created_at"))).alias("first_at"),
+        F.max(F.when(F.col("rn") == 2, F.col("created_at"))).alias("second_at"),
         F.count(F.lit(1)).alias("n_first"),
     )
+    return pairs.join(weights, "customer_id")
+
 
 def first_gaps(orders: DataFrame, weights: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Days between a best customer's first and second order, rounded (NULL with one order).
+    """Days between a best customer's first and second order, rounded (NULL with one order, or
+    if either has no time).
 
     One row per best customer. A customer listed m >= 2 times among best customers sees each
-    order m times in the SQL join, so its "next order" is a copy of the first: gap 0.
+    order m times in the SQL join, so its "next order" is a copy of the first: gap 0 (NULL if
+    the first order has no time).
     """
-    pairs = first_two_orders(orders).join(weights, "customer_id")
-    micros = F.timestamp_diff("MICROSECOND", F.col("first_at"), F.col("second_at"))
+    pairs = first_two_orders(orders, weights)
+    later = F.when(F.col("m") >= 2, F.col("first_at")).otherwise(F.col("second_at"))
+    micros = F.timestamp_diff("MICROSECOND", F.col("first_at"), later)
     gap = exact_round(div(micros, F.lit(86_400_000_000)), params.gap_decimals)
-    diff = (F.when(F.col("m") >= 2, exact_round(F.lit(0), params.gap_decimals))
-            .when(F.col("n_first") >= 2, gap))
-    return pairs.select("customer_id", diff.alias("diff"))
+    return pairs.select("customer_id", gap.alias("diff"))
+
 
 def voucher_usage(hub: DataFrame, weights: DataFrame, labelled: bool = False) -> DataFrame:
     """Share of orders using each voucher kind: best customers' orders, and all orders.
@@ -111,7 +134,7 @@ def voucher_usage(hub: DataFrame, weights: DataFrame, labelled: bool = False) ->
     def rates(df: DataFrame, w, label: str) -> DataFrame:
         sums = [F.sum(F.col(c) * w).alias(c) for c, _ in kinds] + [F.sum(F.col("n_ids") * w)
                                                                    .alias("n_ids")]
-        cols = [exact_round(div(F.nullif(F.col(c), F.lit(0)), F.col("n_ids")), 4).cast("double")
+        cols = [exact_round(div(F.nullif(F.col(c), F.lit(0)), F.col("n_ids")), 4)
                 .alias(name) for c, name in kinds]
         if labelled:
             cols = [F.lit(label).alias("cohort")] + cols
@@ -122,6 +145,7 @@ def voucher_usage(hub: DataFrame, weights: DataFrame, labelled: bool = False) ->
     both = cohort.unionByName(everyone)
     return both if labelled else both.distinct()
 
+
 def day_type_performance(orders: DataFrame, weights: DataFrame,
                          params: Params = DEFAULT) -> DataFrame:
     """Per day type of best customers' orders: GMV per active day and per order (whole units)."""

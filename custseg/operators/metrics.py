@@ -40,12 +40,6 @@ def customer_metrics(orders: DataFrame, *, with_vouchers: bool = False) -> DataF
             .groupBy("customer_id").agg(*final))
 
 
-def as_of_date(metrics: DataFrame) -> _dt.date | None:
-    """The analysis date: the latest order date (a one-value aggregate over the metrics)."""
-    return metrics.agg(F.max("last_date")).first()[0]
-
-
-
 def with_recency(metrics: DataFrame, as_of: _dt.date | None) -> DataFrame:
     """recency = as-of date - last order date, in whole days."""
     return metrics.withColumn("recency", F.datediff(F.lit(as_of).cast("date"), F.col("last_date")))

@@ -21,12 +21,13 @@ def persona_groups(rows: DataFrame, params: Params = DEFAULT) -> DataFrame:
     equals joining the orders fact back, without a second fact scan or an order-grain shuffle.
     AVG over order rows = sum(score * n_orders) / sum(n_orders). Customers missing from the
     dimension form the (NULL, NULL, NULL) group with no distinct customers, so the HAVING
-    (customers > min_customers) drops it. R, F, M are exact decimals rounded to 2 places and
+    (customers > min_customers) drops it. Distinct customers are the sum of ``first_copy``, so
+    the only exchange is of partial sums per persona. R, F, M are exact decimals rounded to 2 places and
     gmv to 0 places, as later scores read the rounded values.
     """
     view = joined_view(rows)
     weight = F.when(F.col("R").isNotNull(), F.col("n_orders"))
-    sums = [F.count_distinct("customer_id").alias("customers"),
+    sums = [F.sum("first_copy").alias("customers"),
             F.sum("monetary").alias("gmv_sum"),
             F.sum(weight).alias("w")]
     sums += [F.sum(F.col(s).cast("long") * F.col("n_orders")).alias(f"{s}_sum") for s in "RFM"]
@@ -40,11 +41,12 @@ def persona_groups(rows: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def persona_bounds(groups: DataFrame) -> DataFrame:
     """One row: min and max of R, F, M and gmv over the persona groups."""
-    aggs = []
-    for m in MEASURES:
-        low = m.lower()
-        aggs += [F.min(m).alias(f"min_{low}"), F.max(m).alias(f"max_{low}")]
-    return groups.agg(*aggs)
+    return groups.agg(*[agg.alias(name) for name, agg in _bounds().items()])
+
+
+def _bounds() -> dict:
+    return {f"{kind}_{m.lower()}": agg(m) for m in MEASURES
+            for kind, agg in (("min", F.min), ("max", F.max))}
 
 
 def persona_scores(groups: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -55,13 +57,9 @@ def persona_scores(groups: DataFrame, params: Params = DEFAULT) -> DataFrame:
     bounds come from one window over the group rows, so the groups are computed once and no
     join is needed.
     """
-    # Global min/max as a window over all group rows: one group row per persona (at most
-    # genders x cities x age bands), so the single window partition is small by construction.
+    # Global min/max over all group rows, one row per persona (genders x cities x age bands).
     everything = Window.partitionBy()
-    bound = {}
-    for m in MEASURES:
-        bound[f"min_{m.lower()}"] = F.min(m).over(everything)
-        bound[f"max_{m.lower()}"] = F.max(m).over(everything)
+    bound = {name: agg.over(everything) for name, agg in _bounds().items()}
     guard = not params.strict_division
     weights = {"R": params.weight_r, "F": params.weight_f, "M": params.weight_m,
                "gmv": params.weight_gmv}
@@ -95,8 +93,9 @@ def best_personas(scores: DataFrame, params: Params = DEFAULT) -> DataFrame:
 def best_customers(rows: DataFrame, best: DataFrame) -> DataFrame:
     """Segment rows of the best personas, with their persona label ``city, gender, age``.
 
-    Equality on the three keys: a NULL attribute never matches. The persona side holds at
-    most one row per persona group; AQE broadcasts it when its measured size allows.
+    Equality on the three keys: a NULL attribute never matches. ``best`` holds one row per best
+    persona; read from a written table, its file size lets the planner broadcast it (below its
+    threshold) without shuffling the customers on these few keys.
     """
     view = joined_view(rows).filter(F.col("matched"))
     j = view.join(best, [view[k] == best[k] for k in PERSONA_KEYS], "inner")

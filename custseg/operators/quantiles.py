@@ -27,7 +27,8 @@ def midpoint_positions(n: int, fraction: str | Fraction) -> tuple[Fraction, list
 
 
 def midpoint_picks(df: DataFrame, value: str, tie_break: str, fractions, *,
-                   count: int | None = None, params: Params = DEFAULT) -> dict:
+                   count: int | None = None, params: Params = DEFAULT,
+                   written: list | None = None) -> dict:
     """fraction -> (position, [key tuples of the rows to average]), order: value ASC NULLS
     LAST then ``tie_break``. ``df`` should be materialized; the rows come from rank selection.
     """
@@ -35,17 +36,10 @@ def midpoint_picks(df: DataFrame, value: str, tie_break: str, fractions, *,
     plan = {f: midpoint_positions(n, f) for f in fractions} if n else {}
     wanted = sorted({r for _, ranks in plan.values() for r in ranks})
     picked = select_ranks(df, [SortKey(value, True, False), SortKey(tie_break, True, False)],
-                          wanted, count=n, params=params)
+                          wanted, count=n, params=params, written=written)
     return {f: (pos, [picked[r] for r in ranks]) for f, (pos, ranks) in plan.items()}
 
 
-def midpoint_quantiles(df: DataFrame, value: str, tie_break: str, fractions, *,
-                       count: int | None = None, params: Params = DEFAULT) -> dict:
-    """fraction -> (position, [values at the averaged ranks]) (see ``midpoint_picks``)."""
-    picks = midpoint_picks(df, value, tie_break, fractions, count=count, params=params)
-    return {f: (pos, [t[1] for t in keys]) for f, (pos, keys) in picks.items()}
-
-
 def is_picked(value: str, tie_break: str, keys: list[tuple]) -> Column:
     """Row predicate: the row is one of the picked rows (null-safe equality on both keys)."""
     if not keys:
@@ -56,13 +50,15 @@ def is_picked(value: str, tie_break: str, keys: list[tuple]) -> Column:
 
 
 def midpoint_frame(df: DataFrame, value: str, tie_break: str, fractions, *,
-                   count: int | None = None, params: Params = DEFAULT) -> DataFrame:
+                   count: int | None = None, params: Params = DEFAULT,
+                   written: list | None = None) -> DataFrame:
     """One row per fraction: fraction, position, and AVG(value) over the picked rows.
 
     An aggregation over ``df`` itself: each picked row is tagged with the fractions it serves
     (a row can serve several), so the averages are computed by Spark from the data.
     """
-    picks = midpoint_picks(df, value, tie_break, fractions, count=count, params=params)
+    picks = midpoint_picks(df, value, tie_break, fractions, count=count, params=params,
+                           written=written)
     if not picks:
         return df.sparkSession.createDataFrame([], "fraction double, position double, value "
                                                + dict(df.dtypes)[value])
@@ -76,14 +72,3 @@ def midpoint_frame(df: DataFrame, value: str, tie_break: str, fractions, *,
     tagged = df.select(F.col(value), F.explode(F.array_compact(tags)).alias("__q"))
     return (tagged.groupBy("__q").agg(F.avg(value).alias("value"))
             .select(fraction.alias("fraction"), position.alias("position"), "value"))
-
-
-def midpoint_value(values: list):
-    """AVG over the picked values, ignoring NULLs (exact Decimal arithmetic)."""
-    present = [v for v in values if v is not None]
-    if not present:
-        return None
-    total = present[0]
-    for v in present[1:]:
-        total = total + v
-    return total / len(present) if len(present) > 1 else total

@@ -10,32 +10,19 @@ everything else with comparisons against those rows.
   boundary keys are known, the tiles are a map-only projection (no shuffle at all).
 * Midpoint quantiles need the values at a few ranks, which is the same selection.
 
-Selection (``select_ranks``, ``select_ranks_many`` for several orders at once) runs on Spark in
-rounds. Each open *job* is a scope (a key range of one order, initially everything), its row
-count, and the target ranks inside it:
-
-1. A job with at most ``rank_local_rows`` rows is numbered by one window (one task per job,
-   bounded by that checked count) and its target rows are kept.
-2. Larger jobs draw a Bernoulli sample of about ``rank_sample_rows`` keys (bounded). For a
-   target rank r the number of sampled keys below it is Binomial(r-1, f), so the sample keys
-   at ``(r-1)f -/+ 5 sigma`` bracket the target with near certainty.
-3. One aggregation pass counts, per target, the rows at or below the lower bracket key and the
-   rows inside the bracket. The counts *prove* the target lies inside (else the bracket widens
-   to the whole scope and is resampled), and give its rank inside the bracket. The bracket is
-   the next round's job, about 10 sigma / f rows: each round shrinks the scope by a factor of
-   roughly sqrt(sample size), so 1e9 rows need two or three rounds.
-
-All jobs of a round - across all orders, e.g. R, F and M - share one sample pass and one
-counting pass; every pass is a scan of the (materialized) input with a few comparisons per row.
-Keys must end in a unique column (the tie-break), so a value shared by a third of all rows is
-still cut by the bracket keys: ties never put many rows into one task. NULLs are ordered by an explicit flag per key, so no engine
-default is involved. The driver only sees samples, per-target counts and the selected rows.
+Selection (``select_ranks_many``) is the same at every size. The key columns are range-partitioned
+and sorted inside each partition, so partition number and place in the partition give the global
+order; they are written once with the keys, for all orders (e.g. R, F and M) in one job. A row's
+rank is its place plus the rows of earlier partitions, a table of one row per partition that is
+broadcast (its size is the number of partitions). Only the rows at the wanted ranks come to the
+driver. Keys must end in a unique column (the tie-break): the range bounds then cut through a
+value that a third of all rows share. NULLs are ordered by an explicit flag per key, so no engine
+default is involved.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import math
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -43,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from custseg.params import DEFAULT, Params
+from custseg.session import materialize
 
 
 @dataclass(frozen=True)
@@ -66,21 +54,6 @@ def desc(name: str, nulls_first: bool | None = None) -> SortKey:
     return SortKey(name, False, nulls_first)
 
 
-class _Desc:
-    """Reverses Python ordering of a wrapped value (for DESC keys of any type)."""
-
-    __slots__ = ("v",)
-
-    def __init__(self, v):
-        self.v = v
-
-    def __lt__(self, other):
-        return other.v < self.v
-
-    def __eq__(self, other):
-        return self.v == other.v
-
-
 def sql_literal(v) -> str:
     """Exact Spark SQL text for a Python value taken from a collected row."""
     if isinstance(v, bool):
@@ -112,10 +85,7 @@ class Order:
 
     A key tuple is ``(flag_0, value_0, flag_1, value_1, ...)``: ``flag`` puts NULLs first
     (flag 0 for NULL) or last (flag 1 for NULL), ``value`` is the column value. Selection
-    passes run on a *prepared* frame holding these columns (``{prefix}f{i}``,
-    ``{prefix}v{i}``; several orders can share one frame), so each comparison is on plain
-    columns; ``greater(..., prepared=False)`` compiles the same test against the original
-    columns.
+    sorts a frame holding these columns (``{prefix}f{i}``, ``{prefix}v{i}``).
     """
 
     def __init__(self, keys: list[SortKey], prefix: str = "__"):
@@ -139,11 +109,8 @@ class Order:
                      F.col(k.name).alias(self.names[2 * i + 1])]
         return cols
 
-    def prepare(self, df: DataFrame) -> DataFrame:
-        return df.select(*self.tuple_exprs())
-
     def sort_columns(self) -> list[Column]:
-        """Window ordering on a prepared frame (flags make NULL placement explicit)."""
+        """Sort order of a frame of ``tuple_exprs`` (flags make NULL placement explicit)."""
         cols = []
         for i, k in enumerate(self.keys):
             v = F.col(self.names[2 * i + 1])
@@ -151,205 +118,84 @@ class Order:
                      v.asc_nulls_last() if k.ascending else v.desc_nulls_last()]
         return cols
 
-    def _sql_cols(self, i: int, prepared: bool) -> tuple[str, str]:
-        if prepared:
-            return _q(self.names[2 * i]), _q(self.names[2 * i + 1])
-        k = self.keys[i]
-        null_flag, value_flag = (0, 1) if k.nulls_go_first else (1, 0)
-        v = _q(k.name)
-        return f"(CASE WHEN {v} IS NULL THEN {null_flag} ELSE {value_flag} END)", v
-
-    def greater_sql(self, t: tuple, prepared: bool = True) -> str:
+    def greater_sql(self, t: tuple) -> str:
         """SQL text: row key > literal key tuple ``t`` (strictly later in this order).
 
         Built as text so that one expression costs one call into the JVM, however many keys.
         """
         expr = None
         for i in reversed(range(len(self.keys))):
-            fl, val = t[2 * i], t[2 * i + 1]
-            fcol, vcol = self._sql_cols(i, prepared)
+            fl, val, k = t[2 * i], t[2 * i + 1], self.keys[i]
+            vcol = _q(k.name)
+            null_flag, value_flag = (0, 1) if k.nulls_go_first else (1, 0)
+            fcol = f"(CASE WHEN {vcol} IS NULL THEN {null_flag} ELSE {value_flag} END)"
             if val is None:
                 gt_i, eq_i = f"{fcol} > {fl}", f"{fcol} = {fl}"
             else:
                 lit = sql_literal(val)
-                op = ">" if self.keys[i].ascending else "<"
+                op = ">" if k.ascending else "<"
                 gt_i = f"({fcol} > {fl} OR ({fcol} = {fl} AND {vcol} {op} {lit}))"
                 eq_i = f"({fcol} = {fl} AND {vcol} = {lit})"
             expr = gt_i if expr is None else f"({gt_i} OR ({eq_i} AND {expr}))"
         return expr
 
-    def greater(self, t: tuple, prepared: bool = True) -> Column:
-        """Row key > literal key tuple ``t`` (strictly later in this order)."""
-        return F.expr(self.greater_sql(t, prepared))
-
-    def in_range_sql(self, lower: tuple | None, upper: tuple | None) -> str:
-        parts = ["TRUE"]
-        if lower is not None:
-            parts.append(self.greater_sql(lower))
-        if upper is not None:
-            parts.append(f"NOT {self.greater_sql(upper)}")
-        return " AND ".join(parts)
-
-    def in_range(self, lower: tuple | None, upper: tuple | None) -> Column:
-        """lower < key <= upper on a prepared frame (a side is open when None)."""
-        return F.expr(self.in_range_sql(lower, upper))
-
-    # -- driver side (bounded samples only) -------------------------------------------------
-    def py_key(self, t: tuple) -> tuple:
-        out = []
-        for i, k in enumerate(self.keys):
-            fl, val = t[2 * i], t[2 * i + 1]
-            out.append(fl)
-            out.append(0 if val is None else (val if k.ascending else _Desc(val)))
-        return tuple(out)
-
     def row_tuple(self, row) -> tuple:
         return tuple(row[name] for name in self.names)
 
 
-@dataclass
-class _Job:
-    """An open selection job of order ``spec``: rows with lower < key <= upper (``size``)."""
-
-    lower: tuple | None
-    upper: tuple | None
-    size: int
-    targets: list[tuple[int, int]]          # (rank inside the job, global rank)
-    spec: int = 0
-
-
-_SIGMAS = 5.0
-_MIN_SAMPLE = 2_000   # a bracket of +/-5 sigma shrinks a scope only if the sample is not tiny
-
-
 def select_ranks(df: DataFrame, keys: list[SortKey], ranks, *, count: int | None = None,
-                 params: Params = DEFAULT) -> dict[int, tuple]:
+                 params: Params = DEFAULT, written: list | None = None) -> dict[int, tuple]:
     """Key tuples (see ``Order``) of the rows at the given 1-based global ranks.
 
-    ``df`` should be materialized: it is scanned once per pass. Ranks outside 1..n are ignored.
+    Ranks outside 1..n are ignored.
     """
-    return select_ranks_many(df, [(keys, ranks)], count=count, params=params)[0]
+    return select_ranks_many(df, [(keys, ranks)], count=count, params=params,
+                             written=written)[0]
 
 
-def select_ranks_many(df: DataFrame, specs: list[tuple[list[SortKey], list[int]]], *,
-                      count: int | None = None, params: Params = DEFAULT) -> list[dict[int, tuple]]:
-    """Rank selection for several orders over the same rows, sharing every pass.
+def sorted_keys(df: DataFrame, orders: list[Order], partitions: int | None = None) -> DataFrame:
+    """The keys of every order, range-partitioned and sorted: (__j, __p, __i, keys).
 
-    Within the local bound all orders are numbered in one job (one window per order over the
-    same bounded rows). Above it, each round runs one sample pass and one counting pass for
-    the open brackets of *all* orders, then one numbering job per order for the brackets that
-    became small.
+    ``__j``: the order; ``__p``, ``__i``: partition and place in it, ascending in that order.
     """
+    out = None
+    for j, order in enumerate(orders):
+        cols = order.sort_columns()
+        part = df.select(*order.tuple_exprs())
+        part = (part.repartitionByRange(partitions, *cols) if partitions
+                else part.repartitionByRange(*cols))
+        kinds = dict(part.dtypes)
+        part = part.sortWithinPartitions(*cols).select(
+            F.lit(j).alias("__j"), F.spark_partition_id().alias("__p"),
+            F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__i"), *kinds)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def select_ranks_many(df: DataFrame, specs: list[tuple[list[SortKey], list[int]]], *,
+                      count: int | None = None, params: Params = DEFAULT,
+                      written: list | None = None) -> list[dict[int, tuple]]:
+    """Rank selection for several orders over the same rows: one write, one read."""
     n = df.count() if count is None else count
     orders = [Order(keys, prefix=f"__s{j}_") for j, (keys, _) in enumerate(specs)]
     wanted = [sorted({int(r) for r in ranks if 1 <= int(r) <= n}) for _, ranks in specs]
     results: list[dict[int, tuple]] = [{} for _ in specs]
     if not any(wanted):
         return results
-    prep = df.select(*[c for o in orders for c in o.tuple_exprs()])
-    if n <= params.rank_local_rows:
-        numbered, keep = prep, F.lit(False)
-        for j, o in enumerate(orders):
-            # Bounded: n <= rank_local_rows rows are numbered in one task.
-            numbered = numbered.withColumn(
-                f"__rn{j}", F.row_number().over(Window.orderBy(*o.sort_columns())))
-            keep = keep | F.col(f"__rn{j}").isin(wanted[j])
-        for row in numbered.filter(keep).collect():
-            for j, o in enumerate(orders):
-                if row[f"__rn{j}"] in wanted[j]:
-                    results[j][row[f"__rn{j}"]] = o.row_tuple(row)
-        return results
-
-    jobs = [_Job(None, None, n, [(r, r) for r in wanted[j]], j) for j in range(len(specs))
-            if wanted[j]]
-    for round_no in range(64):
-        small = [j for j in jobs if j.size <= params.rank_local_rows]
-        large = [j for j in jobs if j.size > params.rank_local_rows]
-        for spec in sorted({j.spec for j in small}):
-            _number_locally(prep, orders[spec], [j for j in small if j.spec == spec],
-                            results[spec])
-        if not large:
-            return results
-        jobs = _refine(prep, orders, large, params, seed=params.seed + round_no)
-    raise RuntimeError("rank selection did not converge")
-
-
-def _tagged(prep: DataFrame, ranges: list[tuple[Order, tuple | None, tuple | None]]):
-    """Rows of ``prep`` once per (order, range) holding them, range index in ``__j``."""
-    conds = [order.in_range(lo, hi) for order, lo, hi in ranges]
-    if len(conds) == 1:
-        return prep.filter(conds[0]).withColumn("__j", F.lit(0))
-    any_range = conds[0]
-    for c in conds[1:]:
-        any_range = any_range | c
-    tags = F.array(*[F.when(c, F.lit(j)) for j, c in enumerate(conds)])
-    return prep.filter(any_range).withColumn("__j", F.explode(F.array_compact(tags)))
-
-
-def _number_locally(prep: DataFrame, order: Order, jobs: list[_Job], out: dict) -> None:
-    """Number each small job's rows with a window partitioned by job (one bounded task each)."""
-    rows = _tagged(prep, [(order, j.lower, j.upper) for j in jobs])
-    numbered = rows.withColumn(
-        "__rn", F.row_number().over(Window.partitionBy("__j").orderBy(*order.sort_columns())))
-    wanted = F.lit(False)
-    for idx, job in enumerate(jobs):
-        wanted = wanted | ((F.col("__j") == idx) & F.col("__rn").isin([lr for lr, _ in job.targets]))
-    for row in numbered.filter(wanted).collect():
-        for local_rank, global_rank in jobs[row["__j"]].targets:
-            if local_rank == row["__rn"]:
-                out[global_rank] = order.row_tuple(row)
-
-
-def _refine(prep: DataFrame, orders: list[Order], jobs: list[_Job], p: Params,
-            seed: int) -> list[_Job]:
-    """One sample pass and one counting pass: shrink every large job to a proven bracket."""
-    sample_rows = max(p.rank_sample_rows, _MIN_SAMPLE)
-    fractions = [min(1.0, sample_rows / j.size) for j in jobs]
-    rows = _tagged(prep, [(orders[j.spec], j.lower, j.upper) for j in jobs])
-    keep = F.lit(False)
-    for idx, f in enumerate(fractions):
-        keep = keep | ((F.col("__j") == idx) & (F.rand(seed) < F.lit(f)))
-    samples: dict[int, list[tuple]] = {idx: [] for idx in range(len(jobs))}
-    for row in rows.filter(keep).collect():
-        samples[row["__j"]].append(orders[jobs[row["__j"]].spec].row_tuple(row))
-
-    brackets = []                       # (job index, local rank, global rank, lower, upper)
-    for idx, job in enumerate(jobs):
-        sample = sorted(samples[idx], key=orders[job.spec].py_key)
-        f = fractions[idx]
-        for local_rank, global_rank in job.targets:
-            mean = (local_rank - 1) * f
-            spread = _SIGMAS * math.sqrt(mean * (1.0 - f)) + 1.0
-            lo_i, hi_i = math.floor(mean - spread), math.ceil(mean + spread)
-            lower = sample[lo_i] if 0 <= lo_i < len(sample) else job.lower
-            upper = sample[hi_i] if 0 <= hi_i < len(sample) else job.upper
-            brackets.append((idx, local_rank, global_rank, lower, upper))
-
-    aggs = []
-    for b, (idx, _, _, lower, upper) in enumerate(brackets):
-        order, job = orders[jobs[idx].spec], jobs[idx]
-        in_job = order.in_range_sql(job.lower, job.upper)
-        below = order.in_range_sql(job.lower, lower)
-        inside = order.in_range_sql(lower, upper)
-        aggs.append(f"count_if(({in_job}) AND ({below})) AS below{b}")
-        aggs.append(f"count_if(({in_job}) AND ({inside})) AS inside{b}")
-    counts = prep.selectExpr(*aggs).first()
-
-    new_jobs: dict[tuple, _Job] = {}
-    for b, (idx, local_rank, global_rank, lower, upper) in enumerate(brackets):
-        below, inside = counts[f"below{b}"], counts[f"inside{b}"]
-        job = jobs[idx]
-        if lower is job.lower:
-            below = 0
-        if below < local_rank <= below + inside:
-            key = (idx, lower, upper)
-            nj = new_jobs.setdefault(key, _Job(lower, upper, inside, [], job.spec))
-            nj.targets.append((local_rank - below, global_rank))
-        else:                           # the sample missed (rare): retry on the whole job
-            key = (idx, job.lower, job.upper)
-            nj = new_jobs.setdefault(key, _Job(job.lower, job.upper, job.size, [], job.spec))
-            nj.targets.append((local_rank, global_rank))
-    return list(new_jobs.values())
+    keys = materialize(sorted_keys(df, orders, params.rank_partitions), "ranks", written)
+    before = Window.partitionBy("__j").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per order and partition: bounded by the number of partitions
+    starts = (keys.groupBy("__j", "__p").agg(F.count(F.lit(1)).alias("__n"))
+              .select("__j", "__p", F.coalesce(F.sum("__n").over(before), F.lit(0))
+                      .alias("__start")))
+    hit = F.lit(False)
+    for j, ranks in enumerate(wanted):
+        hit = hit | ((F.col("__j") == j) & F.col("__rank").isin(ranks or [0]))
+    picked = (keys.join(F.broadcast(starts), ["__j", "__p"])
+              .withColumn("__rank", F.col("__start") + F.col("__i") + 1).filter(hit))
+    for row in picked.collect():                # the wanted ranks only
+        results[row["__j"]][row["__rank"]] = orders[row["__j"]].row_tuple(row)
+    return results
 
 
 def ntile_ends(n: int, k: int) -> list[int]:
@@ -359,21 +205,23 @@ def ntile_ends(n: int, k: int) -> list[int]:
 
 
 def with_ntiles(df: DataFrame, specs: list[tuple[str, list[SortKey]]], k: int, *,
-                count: int | None = None, params: Params = DEFAULT) -> DataFrame:
+                count: int | None = None, params: Params = DEFAULT,
+                written: list | None = None) -> DataFrame:
     """``df`` plus one ``NTILE(k) OVER (ORDER BY keys)`` column per (name, keys) spec.
 
-    Computed without a global window: ``df`` should be materialized, the selection passes
-    scan it, and the result is a narrow projection of it (no shuffle).
+    Computed without a global window: ``df`` should be materialized (it is read once per order),
+    and the result is a narrow projection of it (no shuffle).
     """
     n = df.count() if count is None else count
     if n == 0:
         return df.select("*", *[F.lit(None).cast("int").alias(name) for name, _ in specs])
     ends = [e for e in ntile_ends(n, k) if e >= 1]
-    picked = select_ranks_many(df, [(keys, ends) for _, keys in specs], count=n, params=params)
+    picked = select_ranks_many(df, [(keys, ends) for _, keys in specs], count=n, params=params,
+                               written=written)
     cols = []
     for (name, keys), chosen in zip(specs, picked):
         order = Order(keys)
-        terms = "".join(f" + CAST({order.greater_sql(chosen[e], prepared=False)} AS INT)"
+        terms = "".join(f" + CAST({order.greater_sql(chosen[e])} AS INT)"
                         for e in ends)
         cols.append(f"CAST(1{terms} AS INT) AS {_q(name)}")
     return df.selectExpr("*", *cols)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from custseg.functions.exact import div, exact_round
@@ -24,13 +24,14 @@ def score_specs(tie_break: str = TIE_BREAK) -> list[tuple[str, list]]:
             ("M", [asc("monetary"), asc(tie_break)])]
 
 
-def quantile_scores(hub: DataFrame, *, count: int | None = None,
-                    params: Params = DEFAULT) -> DataFrame:
+def quantile_scores(hub: DataFrame, *, count: int | None = None, params: Params = DEFAULT,
+                    written: list | None = None) -> DataFrame:
     """``hub`` (materialized metrics with recency) plus R, F, M tiles and the 3-digit code.
 
     Map-only over ``hub``: the tiles come from rank selection (see ``ranks``), not a window.
     """
-    out = with_ntiles(hub, score_specs(), params.buckets, count=count, params=params)
+    out = with_ntiles(hub, score_specs(), params.buckets, count=count, params=params,
+                      written=written)
     return out.withColumn("rfm", rfm_code(F.col("R"), F.col("F"), F.col("M")))
 
 
@@ -41,7 +42,10 @@ def segment_rows(scored: DataFrame, customers: DataFrame, as_of_year: int | None
     ``customer_id`` is the *dimension's* id: NULL for a scored customer missing from the
     dimension, whose row still carries its rfm code and computed label (and the ELSE age band).
     ``matched`` tells such rows apart; ``metrics_id`` keeps the scored id. Duplicate ids in the
-    dimension fan out, as the join does in SQL.
+    dimension fan out, as the join does in SQL; ``first_copy`` is 1 for one of the copies that
+    share the persona attributes (and 0 for unmatched rows), so that its sum over a persona is
+    the number of distinct customers. The join leaves the rows clustered by the scored id, so
+    this window needs no further exchange.
     """
     dim = customers.select(F.col("customer_id").alias("dim_id"), "gender", "city",
                            "birth_year", "preferred_device")
@@ -54,13 +58,16 @@ def segment_rows(scored: DataFrame, customers: DataFrame, as_of_year: int | None
     year = F.lit(as_of_year).cast("int")
     extra = [c for c in scored.columns
              if c not in ("customer_id", "R", "F", "M", "rfm")]
+    band = age_group(year, F.col("birth_year"), params.age_bands, params.age_else)
+    copies = Window.partitionBy("customer_id", "gender", "city", "age_group").orderBy("dim_id")
+    joined = joined.withColumn("age_group", band).withColumn("__copy", F.row_number().over(copies))
     return joined.select(
         F.col("dim_id").alias("customer_id"),
         F.col("customer_id").alias("metrics_id"),
         F.col("dim_id").isNotNull().alias("matched"),
-        "gender",
-        age_group(year, F.col("birth_year"), params.age_bands, params.age_else).alias("age_group"),
-        "city", "preferred_device", "rfm", "R", "F", "M",
+        F.when(F.col("dim_id").isNotNull() & (F.col("__copy") == 1), 1).otherwise(0)
+        .alias("first_copy"),
+        "gender", "age_group", "city", "preferred_device", "rfm", "R", "F", "M",
         segment_label(r, f, m, params.segment_rules, params.segment_else).alias("segment"),
         *extra,
     )
@@ -94,5 +101,5 @@ def segment_gmv_share(rows: DataFrame, hub: DataFrame) -> DataFrame:
     view = joined_view(rows)
     return (view.groupBy("segment").agg(F.sum("monetary").alias("gmv"))
             .select("segment",
-                    exact_round(div(F.col("gmv"), total) * F.lit(100), 2).cast("double")
+                    exact_round(div(F.col("gmv"), total) * F.lit(100), 2)
                     .alias("segment_gmv_pct")))

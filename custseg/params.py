@@ -28,9 +28,6 @@ DEFAULT_AGE_BANDS: tuple = (
 )
 DEFAULT_AGE_ELSE = "seniors (>44)"
 
-# Day types of an order date: day == month, day == sale_day, otherwise.
-DEFAULT_DAY_TYPES = ("Double Day", "EOM Sale Day", "Normal Day")
-
 
 @dataclass(frozen=True)
 class Params:
@@ -58,10 +55,9 @@ class Params:
     # Given as 'YYYY-MM-DD[ HH:MM:SS]' text; the filter reaches the fact scan (pushdown).
     orders_from: str | None = None
     orders_until: str | None = None
-    # Physical knobs for the distributed exact rank selection (never change results).
-    rank_local_rows: int = 500_000         # a selection window may number this many rows in one task
-    rank_sample_rows: int = 20_000         # sample size per refinement round (driver-side, bounded)
-    seed: int = 42
+    # Physical knob (never changes results): range partitions of the rank selection; None
+    # leaves it to spark.sql.shuffle.partitions and adaptive coalescing.
+    rank_partitions: int | None = None
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

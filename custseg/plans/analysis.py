@@ -3,7 +3,7 @@
 ``CustomerAnalysis(tables, params)`` exposes the eight analyses (customer segments, segment
 GMV share, persona scores, top categories, hourly GMV, repeat-purchase gap statistics, voucher
 usage, sale-day performance) and their intermediate stages. Public outputs have explicit
-types: counts and whole-unit money as BIGINT, rounded ratios as DOUBLE.
+types: counts and whole-unit money as BIGINT, other money and rounded ratios as exact DECIMAL.
 
 Physical shape: the orders fact is aggregated to one row per customer (two partial-aggregate
 shuffles), written once under the checkpoint folder, and every later stage reads that hub
@@ -22,7 +22,7 @@ from custseg.operators import behavior, metrics, personas, segments
 from custseg.operators.quantiles import is_picked, midpoint_frame, midpoint_picks
 from custseg.functions.exact import exact_round
 from custseg.params import DEFAULT, Params
-from custseg.session import materialize, materialize_observed
+from custseg.session import delete_path, materialize, materialize_observed
 from custseg.sources.tables import Tables
 
 
@@ -41,26 +41,45 @@ def _windowed(tables: Tables, p: Params) -> Tables:
 class CustomerAnalysis:
     def __init__(self, tables: Tables, params: Params = DEFAULT, *, with_vouchers: bool = False,
                  shared: bool = False):
-        """``shared``: also materialize the segment rows and best customers, for running many
-        analyses off one hub (``report``)."""
+        """``shared``: also materialize the line facts, which two analyses of ``report`` read."""
+        self.source = tables
         self.t = _windowed(tables, params)
         self.p = params
         self.with_vouchers = with_vouchers
         self.shared = shared
+        self._written: list[str] = []          # folders this analysis wrote, for release()
+
+    def with_params(self, params: Params) -> "CustomerAnalysis":
+        """An analysis with other parameters that reads this one's hub, and its segment rows if
+        they depend on none of the changed ones. Only this analysis releases what it wrote."""
+        other = CustomerAnalysis(self.source, params, with_vouchers=self.with_vouchers,
+                                 shared=self.shared)
+        if (params.orders_from, params.orders_until) == (self.p.orders_from, self.p.orders_until):
+            other._hub = self._hub
+            rules = ("buckets", "segment_rules", "segment_else", "age_bands", "age_else")
+            if all(getattr(params, r) == getattr(self.p, r) for r in rules):
+                if params.rank_partitions == self.p.rank_partitions:
+                    other.scored, other.rows = self.scored, self.rows
+        return other
+
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name, self._written)
 
     # -- hub ---------------------------------------------------------------------------------
     @cached_property
-    def _raw_hub(self) -> DataFrame:
+    def _hub(self) -> tuple[DataFrame, dict]:
         # The customer count and the as-of date are observed while the hub is written.
-        hub, self._hub_stats = materialize_observed(
+        return materialize_observed(
             metrics.customer_metrics(self.t.orders, with_vouchers=self.with_vouchers), "metrics",
-            n=F.count(F.lit(1)), as_of=F.max("last_date"))
-        return hub
+            self._written, n=F.count(F.lit(1)), as_of=F.max("last_date"))
 
-    @cached_property
+    @property
+    def _raw_hub(self) -> DataFrame:
+        return self._hub[0]
+
+    @property
     def _as_of_count(self):
-        self._raw_hub
-        return self._hub_stats["as_of"], self._hub_stats["n"]
+        return self._hub[1]["as_of"], self._hub[1]["n"]
 
     @cached_property
     def as_of(self):
@@ -76,13 +95,14 @@ class CustomerAnalysis:
 
     @cached_property
     def scored(self) -> DataFrame:
-        return segments.quantile_scores(self.hub, count=self.n_customers, params=self.p)
+        return segments.quantile_scores(self.hub, count=self.n_customers, params=self.p,
+                                        written=self._written)
 
     @cached_property
     def rows(self) -> DataFrame:
         year = self.as_of.year if self.as_of is not None else None
-        rows = segments.segment_rows(self.scored, self.t.customers, year, self.p)
-        return materialize(rows, "segments") if self.shared else rows
+        return self._write(segments.segment_rows(self.scored, self.t.customers, year, self.p),
+                           "segments")
 
     # -- Q1, Q2 ------------------------------------------------------------------------------
     def as_of_frame(self) -> DataFrame:
@@ -91,7 +111,7 @@ class CustomerAnalysis:
     def customer_metrics(self) -> DataFrame:
         return self.hub.select(
             "customer_id", F.col("recency").cast("long").alias("recency"), "frequency",
-            F.col("monetary").cast("double").alias("monetary"), "n_orders")
+            "monetary", "n_orders")
 
     def quantile_scores(self) -> DataFrame:
         return self.scored.select("customer_id", *[F.col(c).cast("long").alias(c) for c in "RFM"],
@@ -128,11 +148,11 @@ class CustomerAnalysis:
         g = self.groups
         return g.select("gender", "city", "age_group", "customers",
                         F.col("gmv").cast("long").alias("gmv"),
-                        *[F.col(c).cast("double").alias(c) for c in "RFM"])
+                        *"RFM")
 
     def persona_bounds(self) -> DataFrame:
         b = personas.persona_bounds(self.groups)
-        return b.select(*[F.col(c).cast("long" if c.endswith("gmv") else "double").alias(c)
+        return b.select(*[F.col(c).cast("long").alias(c) if c.endswith("gmv") else c
                           for c in b.columns])
 
     @cached_property
@@ -143,19 +163,21 @@ class CustomerAnalysis:
         s = self.scores
         out = s.select("city", "gender", "age_group", "customers",
                        F.col("gmv").cast("long").alias("gmv"),
-                       *[F.col(c).cast("double").alias(c)
-                         for c in ("score_R", "score_F", "score_M", "score_GMV",
-                                   "final_persona_score")])
+                       "score_R", "score_F", "score_M", "score_GMV", "final_persona_score")
         return out.orderBy(F.col("final_persona_score").desc_nulls_first(), "city", "gender",
                            "age_group")
 
+    @cached_property
+    def _best_personas(self) -> DataFrame:
+        # a few rows: read from files, their size decides the join to the customers
+        return self._write(personas.best_personas(self.scores, self.p), "personas")
+
     def best_personas(self) -> DataFrame:
-        return personas.best_personas(self.scores, self.p)
+        return self._best_personas
 
     @cached_property
     def best_cust(self) -> DataFrame:
-        best = personas.best_customers(self.rows, self.best_personas())
-        return materialize(best, "best") if self.shared else best
+        return self._write(personas.best_customers(self.rows, self._best_personas), "best")
 
     def best_customers(self) -> DataFrame:
         return self.best_cust
@@ -167,9 +189,9 @@ class CustomerAnalysis:
     # -- Q4 - Q8 -----------------------------------------------------------------------------
     @cached_property
     def line_facts(self) -> DataFrame:
-        facts = behavior.cohort_line_facts(self.t.orders, self.t.order_items, self.t.products,
-                                           self.best_cust)
-        return materialize(facts, "lines") if self.shared else facts
+        cohort = self._write(behavior.cohort_orders(self.t.orders, self.best_cust), "cohort")
+        facts = behavior.cohort_line_facts(cohort, self.t.order_items, self.t.products)
+        return self._write(facts, "lines") if self.shared else facts
 
     def persona_category_gmv(self) -> DataFrame:
         r = behavior.persona_category_gmv(self.line_facts, self.p)
@@ -189,7 +211,8 @@ class CustomerAnalysis:
     @cached_property
     def gaps(self) -> DataFrame:
         gaps, self._gap_stats = materialize_observed(
-            behavior.first_gaps(self.t.orders, self.weights, self.p), "gaps", n=F.count(F.lit(1)))
+            behavior.first_gaps(self.t.orders, self.weights, self.p), "gaps", self._written,
+            n=F.count(F.lit(1)))
         return gaps
 
     @cached_property
@@ -198,18 +221,17 @@ class CustomerAnalysis:
         return self._gap_stats["n"]
 
     def first_gap(self) -> DataFrame:
-        return self.gaps.select("customer_id", F.col("diff").cast("double").alias("diff"))
+        return self.gaps.select("customer_id", "diff")
 
     def _picks(self):
         return midpoint_picks(self.gaps, "diff", "customer_id", self.p.quantile_fractions,
-                              count=self.n_gaps, params=self.p)
+                              count=self.n_gaps, params=self.p, written=self._written)
 
     def midpoint_quantiles(self) -> DataFrame:
         """One row per fraction: exact position and the midpoint value (5 decimals)."""
         q = midpoint_frame(self.gaps, "diff", "customer_id", self.p.quantile_fractions,
-                           count=self.n_gaps, params=self.p)
-        return q.select("fraction", "position",
-                        exact_round(F.col("value"), 5).cast("double").alias("value"))
+                           count=self.n_gaps, params=self.p, written=self._written)
+        return q.select("fraction", "position", exact_round(F.col("value"), 5).alias("value"))
 
     def repeat_gap_stats(self) -> DataFrame:
         """min/max (4 dp), avg/q1/median/q3 (2 dp) of the first-to-second order gap.
@@ -223,11 +245,11 @@ class CustomerAnalysis:
         for f, name in names.items():
             keys = picks[f][1] if f in picks else []
             avg = F.avg(F.when(is_picked("diff", "customer_id", keys), F.col("diff")))
-            quantiles.append(exact_round(avg, 2).cast("double").alias(name))
+            quantiles.append(exact_round(avg, 2).alias(name))
         return self.gaps.agg(
-            F.min("diff").cast("double").alias("min_diff"),
-            F.max("diff").cast("double").alias("max_diff"),
-            exact_round(F.avg("diff"), 2).cast("double").alias("avg_diff"),
+            F.min("diff").alias("min_diff"),
+            F.max("diff").alias("max_diff"),
+            exact_round(F.avg("diff"), 2).alias("avg_diff"),
             *quantiles,
         )
 
@@ -242,7 +264,7 @@ class CustomerAnalysis:
     # -- all eight analyses off one hub ------------------------------------------------------
     def report(self) -> dict[str, DataFrame]:
         """The eight analyses, in order. Build with ``with_vouchers=True, shared=True`` so the
-        hub, segment rows and best customers are each computed once for all of them."""
+        hub, segment rows, best customers and line facts are each computed once for all."""
         return {
             "customer_segments": self.customer_segments(),
             "segment_gmv_share": self.segment_gmv_share(),
@@ -265,12 +287,9 @@ class CustomerAnalysis:
             writer.saveAsTable(target)
 
     def release(self) -> int:
-        """Delete the stages this analysis materialized under the checkpoint folder."""
-        from custseg.session import delete_path, materialized_paths
-        folders = set()
-        for name in ("_raw_hub", "rows", "best_cust", "gaps", "line_facts"):
-            df = self.__dict__.get(name)
-            if df is not None:
-                folders.update(p.rsplit("/", 1)[0] for p in materialized_paths(df))
-        spark = self.t.orders.sparkSession
-        return sum(bool(delete_path(spark, f)) for f in sorted(folders))
+        """Delete exactly the folders this analysis wrote under the checkpoint folder; it and
+        analyses derived from it can't be used afterwards."""
+        spark = self.source.orders.sparkSession
+        gone = sum(bool(delete_path(spark, path)) for path in self._written)
+        self._written.clear()
+        return gone

@@ -1,11 +1,17 @@
 """Independent DuckDB SQL for every registered query (the correctness oracle).
 
-Written from the analysis definitions, in their direct form: order rows are joined back to the
-customer segments (no eager aggregation), NTILE / ROW_NUMBER are plain global windows, and the
-gap quantiles use the row-number positions. Semantics that differ between engines are spelled
-out: NULL placement (ASC NULLS LAST, DESC NULLS FIRST), tie-breaks by customer id, and every
-ROUND applied to a value first cast to DECIMAL(38,10). The test tables are bound onto the
-logical schema by the same rules as ``custseg.sources.bind_testdata``.
+Every query is written for its own result on a shared customer profile:
+
+* ``cust``: one row per customer of the orders, with counters and distinct days from lists;
+* ``scores``: tile numbers by arithmetic on the place in an ordered list of the customers;
+* ``profile``: scores and dimension attributes, one row per dimension match;
+* personas are sums over the profile, their bounds are window aggregates;
+* gaps come from each customer's two smallest order times, quantiles from indexing the ordered
+  list of gaps, voucher rates from one conditional aggregate over all orders.
+
+NULL placement (ASC NULLS LAST, DESC NULLS FIRST), tie-breaks by customer id and every ROUND on a
+value first cast to DECIMAL(38,10) are spelled out. The test tables are bound onto the logical
+schema by the same rules as ``custseg.sources.bind_testdata``.
 """
 
 from __future__ import annotations
@@ -42,19 +48,23 @@ items_b AS (
 products_b AS (
   SELECT p_partkey AS product_id, p_type AS cat1_name FROM part
 ),
+geo AS (
+  SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
+),
 customers_b AS (
-  SELECT
-    c.c_custkey AS customer_id,
-    CASE WHEN c.c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender,
-    g.r_name AS city,
-    CAST(2001 - (16 + (c.c_custkey * 37) % 33) AS INTEGER) AS birth_year,
-    c.c_mktsegment AS preferred_device
-  FROM customer c
-  LEFT JOIN (SELECT n.n_nationkey, r.r_name
-             FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey) g
-    ON c.c_nationkey = g.n_nationkey
+  SELECT key AS customer_id, CASE WHEN key % 2 = 0 THEN 'F' ELSE 'M' END AS gender,
+         r_name AS city, CAST(2001 - (16 + (key * 37) % 33) AS INTEGER) AS birth_year, device
+           AS preferred_device
+  FROM ({dimension}) c LEFT JOIN geo ON c.nation = n_nationkey
 )"""
 
+_DIMENSIONS = {
+    "customer": "SELECT c_custkey AS key, c_nationkey AS nation, c_mktsegment AS device "
+                "FROM customer",
+    "supplier": "SELECT s_suppkey AS key, s_nationkey AS nation, CAST(NULL AS VARCHAR) AS device "
+                "FROM supplier",
+}
+
 # Fixed values (age bands and segment rules), as plain CASE expressions over computed columns.
 AGE_CASE = """CASE
       WHEN age < 18 THEN 'small students (<18)'
@@ -75,311 +85,257 @@ SEGMENT_CASE = """CASE
       ELSE 'Potential / At Risk'
     END"""
 
-# anchor: the as-of date (latest order day) and its year, computed once.
-# per_customer: one row per customer_id of the orders (NULL ids form one group).
-# tiles: the three quintile scores, ties broken by customer id.
-# seg_rows: tiles LEFT JOIN the customer dimension; the dimension's id is kept, so a customer
-#           missing from the dimension keeps its scores but has NULL id and attributes.
-CORE = BINDINGS + """,
-anchor AS (
-  SELECT MAX(CAST(created_at AS DATE)) AS as_of,
-         EXTRACT(YEAR FROM MAX(CAST(created_at AS DATE))) AS as_of_year
-  FROM orders_b
-),
-per_customer AS (
-  SELECT
-    o.customer_id,
-    MAX(a.as_of) - MAX(CAST(o.created_at AS DATE)) AS recency,
-    COUNT(DISTINCT CAST(o.created_at AS DATE)) AS frequency,
-    SUM(o.subtotal) AS monetary,
-    COUNT(*) AS n_orders
-  FROM orders_b o CROSS JOIN anchor a
-  GROUP BY o.customer_id
+
+def _round(value: str, digits: int) -> str:
+    return f"ROUND(CAST({value} AS DECIMAL(38,10)), {digits})"
+
+
+def _double(value: str) -> str:
+    return f"CAST({value} AS DOUBLE)"
+
+
+def _tile(tiles: int) -> str:
+    """Tile of place ``i`` (from 0) among ``n``: the first n % tiles tiles hold one row more."""
+    small, more = f"(n // {tiles})", f"(n % {tiles})"
+    head = f"({more} * ({small} + 1))"
+    return (f"CASE WHEN i < {head} THEN i // ({small} + 1) "
+            f"ELSE {more} + (i - {head}) // {small} END + 1")
+
+
+def _score(name: str, order: str, tiles: int) -> str:
+    """id -> tile, from the list of customers in ``order``."""
+    return f"""{name}_score AS (
+  SELECT id, {_tile(tiles)} AS tile
+  FROM (SELECT unnest(ids) AS id, unnest(range(len(ids))) AS i, len(ids) AS n
+        FROM (SELECT list(customer_id ORDER BY {order}, customer_id ASC NULLS LAST) AS ids
+              FROM cust))
+)"""
+
+
+def _profile(p: Params, dimension: str = "customer") -> str:
+    return BINDINGS.replace("{dimension}", _DIMENSIONS[dimension]) + f""",
+today AS (SELECT CAST(MAX(created_at) AS DATE) AS d FROM orders_b),
+cust AS (
+  SELECT customer_id,
+         (SELECT d FROM today) - CAST(MAX(created_at) AS DATE) AS recency,
+         len(list_distinct(list(CAST(created_at AS DATE)))) AS frequency,
+         SUM(subtotal) AS monetary, COUNT(*) AS n_orders
+  FROM orders_b GROUP BY ALL
 ),
-tiles AS (
-  SELECT
-    customer_id,
-    NTILE(5) OVER (ORDER BY recency DESC NULLS FIRST, customer_id ASC NULLS LAST) AS R,
-    NTILE(5) OVER (ORDER BY frequency ASC NULLS LAST, customer_id ASC NULLS LAST) AS F,
-    NTILE(5) OVER (ORDER BY monetary ASC NULLS LAST, customer_id ASC NULLS LAST) AS M
-  FROM per_customer
+{_score("r", "recency DESC NULLS FIRST", p.buckets)},
+{_score("f", "frequency ASC NULLS LAST", p.buckets)},
+{_score("m", "monetary ASC NULLS LAST", p.buckets)},
+scores AS (
+  SELECT *, concat(R, F, M) AS rfm, {SEGMENT_CASE} AS segment
+  FROM (SELECT cust.*, r_score.tile AS R, f_score.tile AS F, m_score.tile AS M
+        FROM cust, r_score, f_score, m_score
+        WHERE cust.customer_id IS NOT DISTINCT FROM r_score.id
+          AND cust.customer_id IS NOT DISTINCT FROM f_score.id
+          AND cust.customer_id IS NOT DISTINCT FROM m_score.id)
 ),
-scored AS (
-  SELECT customer_id, R, F, M,
-         CAST(R AS VARCHAR) || CAST(F AS VARCHAR) || CAST(M AS VARCHAR) AS rfm,
-         """ + SEGMENT_CASE + """ AS segment
-  FROM tiles
+bands AS (
+  SELECT *, {AGE_CASE} AS age_group
+  FROM (SELECT *, year((SELECT d FROM today)) - birth_year AS age FROM customers_b)
 ),
-seg_rows AS (
-  SELECT
-    d.customer_id AS customer_id,
-    d.gender,
-    """ + AGE_CASE + """ AS age_group,
-    d.city,
-    d.preferred_device,
-    s.rfm, s.R, s.F, s.M, s.segment
-  FROM scored s
-  LEFT JOIN (SELECT c.*, a.as_of_year - c.birth_year AS age
-             FROM customers_b c CROSS JOIN anchor a) d
-    ON s.customer_id = d.customer_id
+profile AS (
+  SELECT s.* EXCLUDE (customer_id), b.customer_id, b.gender, b.city, b.preferred_device,
+         -- an unknown customer still gets the last band here; see its uses
+         coalesce(b.age_group, 'seniors (>44)') AS age_group
+  FROM scores s LEFT JOIN bands b ON s.customer_id = b.customer_id
 )"""
 
 
-def _personas(p: Params) -> str:
-    scale = p.money_scale
-    # Every order row joined back to its segment rows; averages therefore run over orders.
-    return CORE + f""",
-order_rows AS (
-  SELECT o.*, s.customer_id AS seg_customer_id, s.gender, s.city, s.age_group, s.R, s.F, s.M
-  FROM orders_b o
-  LEFT JOIN seg_rows s ON o.customer_id = s.customer_id
-),
+def _cohort(p: Params, dimension: str = "customer") -> str:
+    """Personas with scores, and the customers of the best ones (one row per profile row)."""
+    def scaled(v: str) -> str:
+        return f"({v} - MIN({v}) OVER ()) / NULLIF(MAX({v}) OVER () - MIN({v}) OVER (), 0)"
+
+    def mean(v: str) -> str:
+        return f"{_round(f'SUM({v} * n_orders) / CAST(SUM(n_orders) AS DOUBLE)', 2)} AS {v}"
+
+    total = " + ".join(f"{w} * {scaled(v)}" for w, v in (
+        (p.weight_r, "R"), (p.weight_f, "F"), (p.weight_m, "M"), (p.weight_gmv, "gmv")))
+    return _profile(p, dimension) + f""",
 persona AS (
-  SELECT
-    gender, city, age_group,
-    COUNT(DISTINCT seg_customer_id) AS customers,
-    ROUND(CAST(SUM(subtotal) / {scale} AS DECIMAL(38,10)), 0) AS gmv,
-    ROUND(CAST(AVG(R) AS DECIMAL(38,10)), 2) AS R,
-    ROUND(CAST(AVG(F) AS DECIMAL(38,10)), 2) AS F,
-    ROUND(CAST(AVG(M) AS DECIMAL(38,10)), 2) AS M
-  FROM order_rows
-  GROUP BY gender, city, age_group
-  HAVING COUNT(DISTINCT seg_customer_id) > {p.min_customers}
+  SELECT gender, city, age_group, COUNT(DISTINCT customer_id) AS customers,
+         {_round(f"SUM(monetary) / {p.money_scale}", 0)} AS gmv,
+         {mean("R")}, {mean("F")}, {mean("M")}
+  FROM profile WHERE customer_id IS NOT NULL
+  GROUP BY ALL HAVING customers > {p.min_customers}
 ),
-bounds AS (
-  SELECT
-    MIN(R) AS min_r, MAX(R) AS max_r, MIN(F) AS min_f, MAX(F) AS max_f,
-    MIN(M) AS min_m, MAX(M) AS max_m, MIN(gmv) AS min_gmv, MAX(gmv) AS max_gmv
+rated AS (
+  SELECT city, gender, age_group, customers, gmv,
+         {_round(scaled("R"), 2)} AS score_R, {_round(scaled("F"), 2)} AS score_F,
+         {_round(scaled("M"), 2)} AS score_M, {_round(scaled("gmv"), 2)} AS score_GMV,
+         {_round(total, 2)} AS final_persona_score
   FROM persona
 ),
-persona_scored AS (
-  SELECT
-    g.city, g.gender, g.age_group, g.customers, g.gmv,
-    ROUND(CAST((g.R - b.min_r) / NULLIF(b.max_r - b.min_r, 0) AS DECIMAL(38,10)), 2) AS score_R,
-    ROUND(CAST((g.F - b.min_f) / NULLIF(b.max_f - b.min_f, 0) AS DECIMAL(38,10)), 2) AS score_F,
-    ROUND(CAST((g.M - b.min_m) / NULLIF(b.max_m - b.min_m, 0) AS DECIMAL(38,10)), 2) AS score_M,
-    ROUND(CAST((g.gmv - b.min_gmv) / NULLIF(b.max_gmv - b.min_gmv, 0) AS DECIMAL(38,10)), 2)
-      AS score_GMV,
-    ROUND(CAST(
-        {p.weight_r} * (g.R - b.min_r) / NULLIF(b.max_r - b.min_r, 0)
-      + {p.weight_f} * (g.F - b.min_f) / NULLIF(b.max_f - b.min_f, 0)
-      + {p.weight_m} * (g.M - b.min_m) / NULLIF(b.max_m - b.min_m, 0)
-      + {p.weight_gmv} * (g.gmv - b.min_gmv) / NULLIF(b.max_gmv - b.min_gmv, 0)
-      AS DECIMAL(38,10)), 2) AS final_persona_score
-  FROM persona g CROSS JOIN bounds b
+cohort AS (
+  SELECT customer_id, concat_ws(', ', city, gender, age_group) AS cust_group
+  FROM profile SEMI JOIN (FROM rated WHERE final_persona_score >= {p.best_threshold})
+       USING (city, gender, age_group)
+  WHERE customer_id IS NOT NULL
 ),
-winners AS (
-  SELECT city, gender, age_group
-  FROM persona_scored
-  WHERE final_persona_score >= {p.best_threshold}
+times AS (SELECT customer_id, COUNT(*) AS m FROM cohort GROUP BY ALL)"""
+
+
+def _gaps(p: Params) -> str:
+    return _cohort(p) + f""",
+gap AS (
+  SELECT customer_id,
+         {_round("EPOCH(t[2] - t[1]) / 86400.0", p.gap_decimals)} AS diff
+  FROM (SELECT customer_id, list(created_at ORDER BY created_at ASC NULLS LAST, order_id) AS t
+        FROM cohort JOIN orders_b USING (customer_id) GROUP BY ALL)
 ),
-best_customers AS (
-  SELECT s.customer_id, CONCAT(s.city, ', ', s.gender, ', ', s.age_group) AS cust_group
-  FROM seg_rows s
-  JOIN winners w ON s.city = w.city AND s.gender = w.gender AND s.age_group = w.age_group
-)"""
+ordered AS (SELECT list(diff ORDER BY diff ASC NULLS LAST, customer_id) AS d FROM gap)"""
 
 
-def _with(ctes: str, body: str) -> str:
-    return "WITH " + ctes.strip() + "\n" + body.strip() + "\n"
+def _at(fraction: str) -> tuple[str, str]:
+    """(position, value) of a midpoint quantile on the ordered list ``d``."""
+    at = f"(1 + {fraction} * (len(d) - 1))"
+    return at, f"list_avg([d[CAST(FLOOR({at}) AS INT)], d[CAST(CEIL({at}) AS INT)]])"
 
 
-def _gaps(p: Params) -> str:
-    return _personas(p) + f""",
-cohort_orders AS (
-  SELECT
-    b.customer_id,
-    ROW_NUMBER() OVER (PARTITION BY b.customer_id ORDER BY fo.created_at, fo.order_id) AS rn_order,
-    ROUND(CAST(EPOCH(LEAD(fo.created_at) OVER (PARTITION BY b.customer_id
-                                               ORDER BY fo.created_at, fo.order_id)
-                     - fo.created_at) / 86400.0 AS DECIMAL(38,10)), {p.gap_decimals}) AS diff
-  FROM orders_b fo
-  INNER JOIN best_customers b ON fo.customer_id = b.customer_id
-),
-first_orders AS (
-  SELECT
-    customer_id, diff,
-    ROW_NUMBER() OVER (ORDER BY diff ASC NULLS LAST, customer_id ASC NULLS LAST) AS rn_diff
-  FROM cohort_orders
-  WHERE rn_order = 1
+def _lines(p: Params) -> str:
+    return _cohort(p) + """,
+line AS (
+  SELECT cust_group, cat1_name, product_id IS NOT NULL AND known AS matched, line_total,
+         hour(created_at) AS hour_
+  FROM cohort JOIN orders_b USING (customer_id) LEFT JOIN items_b USING (order_id)
+       LEFT JOIN (SELECT *, TRUE AS known FROM products_b) USING (product_id)
 )"""
 
 
-def _midpoint(name: str, weight_lo: str, weight_hi: str) -> str:
-    return f""",
-{name}_ranks AS (
-  SELECT FLOOR({weight_lo} * MIN(rn_diff) + {weight_hi} * MAX(rn_diff)) AS num FROM first_orders
-  UNION
-  SELECT CEIL({weight_lo} * MIN(rn_diff) + {weight_hi} * MAX(rn_diff)) AS num FROM first_orders
-),
-{name}_value AS (
-  SELECT AVG(t1.diff) AS diff
-  FROM first_orders t1
-  INNER JOIN {name}_ranks t2 ON t1.rn_diff = t2.num
-)"""
+_KINDS = (("platform_voucher_usage_pct", "platform_voucher > 0"),
+          ("shop_discount_usage_pct", "shop_discount > 0"),
+          ("shipping_discount_usage_pct", "shipping_discount > 0"),
+          ("product_voucher_usage_pct", "(platform_voucher > 0 OR shop_discount > 0)"))
+
 
+def _vouchers(p: Params, labelled: bool) -> str:
+    """Both rows from one aggregate over all orders, the cohort's weighted by its multiplicity."""
+    def rates(weight: str, label: str) -> str:
+        parts = [f"'{label}' AS cohort"] if labelled else []
+        for name, cond in _KINDS:
+            share = (f"NULLIF(SUM(CASE WHEN {cond} THEN {weight} END), 0) * 1.0 "
+                     f"/ SUM(CASE WHEN order_id IS NOT NULL THEN {weight} END)")
+            parts.append(f"{_double(_round(share, 4))} AS {name}")
+        return "struct_pack(" + ", ".join(
+            f"{x.rsplit(' AS ', 1)[1]} := {x.rsplit(' AS ', 1)[0]}" for x in parts) + ")"
 
-def _cohort_rates(src: str, label: str | None) -> str:
-    cols = []
-    if label:
-        cols.append(f"'{label}' AS cohort")
-    for cond, name in (("platform_voucher > 0", "platform_voucher_usage_pct"),
-                       ("shop_discount > 0", "shop_discount_usage_pct"),
-                       ("shipping_discount > 0", "shipping_discount_usage_pct"),
-                       ("platform_voucher > 0 OR shop_discount > 0", "product_voucher_usage_pct")):
-        cols.append(f"CAST(ROUND(CAST(SUM(CASE WHEN {cond} THEN 1 END) * 1.0 "
-                    f"/ COUNT(fo.order_id) AS DECIMAL(38,10)), 4) AS DOUBLE) AS {name}")
-    return "SELECT\n  " + ",\n  ".join(cols) + "\n" + src
+    return f"""WITH {_cohort(p)},
+used AS (
+  SELECT [{rates("coalesce(m, 0)", "best_customers")}, {rates("1", "all_orders")}] AS pair
+  FROM orders_b LEFT JOIN times USING (customer_id)
+)
+SELECT {"" if labelled else "DISTINCT"} unnest(pair, recursive := true) FROM used"""
+
+
+def _profile_queries(p: Params, dimension: str, suffix: str) -> dict[str, str]:
+    profile = "WITH " + _profile(p, dimension)
+    share = _round("SUM(monetary) * 100.0 / (SELECT SUM(subtotal) FROM orders_b)", 2)
+    return {
+        "customer_segments" + suffix: profile + """
+SELECT customer_id, gender, age_group, city, preferred_device, rfm, segment AS segmentation
+FROM profile""",
+        "segment_gmv_share" + suffix: profile + f"""
+SELECT CASE WHEN customer_id IS NOT NULL THEN segment END AS segment,
+       {_double(share)} AS segment_gmv_pct
+FROM profile GROUP BY 1""",
+    }
+
+
+def _persona_groups(p: Params, dimension: str = "customer") -> str:
+    return f"""WITH {_cohort(p, dimension)}
+SELECT gender, city, age_group, customers, CAST(gmv AS BIGINT) AS gmv, {_double("R")} AS R,
+       {_double("F")} AS F, {_double("M")} AS M
+FROM persona"""
+
+
+def build_partial(p: Params) -> dict[str, str]:
+    """The queries over a dimension that lacks many customers."""
+    return _profile_queries(p, "supplier", "_partial") | {
+        "persona_groups_partial": _persona_groups(p, "supplier"),
+        "best_customers_partial": f"WITH {_cohort(p, 'supplier')} FROM cohort",
+    }
 
 
 def build(p: Params = DEFAULT, suffix: str = "") -> dict[str, str]:
     """Oracle SQL per query name (persona-dependent names get ``suffix``)."""
-    scale = p.money_scale
     q: dict[str, str] = {}
     if not suffix:
-        q["as_of_date"] = _with(CORE, "SELECT as_of AS as_of_date FROM anchor")
-        q["customer_metrics"] = _with(CORE, """
-SELECT customer_id, CAST(recency AS BIGINT) AS recency, CAST(frequency AS BIGINT) AS frequency,
-       CAST(monetary AS DOUBLE) AS monetary, CAST(n_orders AS BIGINT) AS n_orders
-FROM per_customer""")
-        q["quantile_scores"] = _with(CORE, """
-SELECT customer_id, CAST(R AS BIGINT) AS R, CAST(F AS BIGINT) AS F, CAST(M AS BIGINT) AS M, rfm
-FROM scored""")
+        profile = "WITH " + _profile(p)
+        q |= _profile_queries(p, "customer", "")
+        q["as_of_date"] = "SELECT CAST(MAX(o_orderdate) AS DATE) AS as_of_date FROM orders"
+        q["customer_metrics"] = profile + f"""
+SELECT customer_id, recency, CAST(frequency AS BIGINT) AS frequency,
+       {_double("monetary")} AS monetary, n_orders
+FROM cust"""
+        q["quantile_scores"] = profile + " SELECT customer_id, R, F, M, rfm FROM scores"
         q["quantile_scores_sampled"] = q["quantile_scores"]
-        q["segment_labels"] = _with(CORE, """
-SELECT customer_id, CAST(R AS BIGINT) AS R, CAST(F AS BIGINT) AS F, CAST(M AS BIGINT) AS M,
-       segment
-FROM scored""")
-        q["age_bands"] = _with(CORE, """
-SELECT customer_id, birth_year, """ + AGE_CASE + """ AS age_group
-FROM (SELECT c.*, a.as_of_year - c.birth_year AS age FROM customers_b c CROSS JOIN anchor a) d""")
-        q["customer_segments"] = _with(CORE, """
-SELECT customer_id, gender, age_group, city, preferred_device, rfm, segment AS segmentation
-FROM seg_rows""")
-        q["segment_gmv_share"] = _with(CORE, """
-SELECT
-  s.segment,
-  CAST(ROUND(CAST(SUM(fo.subtotal) * 100.0 / (SELECT SUM(subtotal) FROM orders_b)
-                  AS DECIMAL(38,10)), 2) AS DOUBLE) AS segment_gmv_pct
-FROM orders_b fo
-LEFT JOIN seg_rows s ON fo.customer_id = s.customer_id
-GROUP BY s.segment""")
-
-    personas = _personas(p)
-    q["persona_groups" + suffix] = _with(personas, """
-SELECT gender, city, age_group, CAST(customers AS BIGINT) AS customers,
-       CAST(gmv AS BIGINT) AS gmv, CAST(R AS DOUBLE) AS R, CAST(F AS DOUBLE) AS F,
-       CAST(M AS DOUBLE) AS M
-FROM persona""")
-    q["persona_bounds" + suffix] = _with(personas, """
-SELECT CAST(min_r AS DOUBLE) AS min_r, CAST(max_r AS DOUBLE) AS max_r,
-       CAST(min_f AS DOUBLE) AS min_f, CAST(max_f AS DOUBLE) AS max_f,
-       CAST(min_m AS DOUBLE) AS min_m, CAST(max_m AS DOUBLE) AS max_m,
-       CAST(min_gmv AS BIGINT) AS min_gmv, CAST(max_gmv AS BIGINT) AS max_gmv
-FROM bounds""")
-    q["persona_scores" + suffix] = _with(personas, """
-SELECT city, gender, age_group, CAST(customers AS BIGINT) AS customers,
-       CAST(gmv AS BIGINT) AS gmv,
-       CAST(score_R AS DOUBLE) AS score_R, CAST(score_F AS DOUBLE) AS score_F,
-       CAST(score_M AS DOUBLE) AS score_M, CAST(score_GMV AS DOUBLE) AS score_GMV,
-       CAST(final_persona_score AS DOUBLE) AS final_persona_score
-FROM persona_scored
-ORDER BY final_persona_score DESC NULLS FIRST, city, gender, age_group""")
-    q["best_personas" + suffix] = _with(personas, "SELECT city, gender, age_group FROM winners")
-    q["best_customers" + suffix] = _with(personas, "SELECT customer_id, cust_group FROM best_customers")
-
-    def categories(known: bool, top: int | None) -> str:
-        where = "WHERE dp.cat1_name IS NOT NULL" if known else ""
-        keep = f"WHERE gmv_rank <= {top}" if top else ""
-        return _with(personas + f""",
-category_gmv AS (
-  SELECT
-    cust_group,
-    dp.cat1_name,
-    ROUND(CAST(SUM(foi.line_total) / {scale} AS DECIMAL(38,10)), 0) AS gmv,
-    ROW_NUMBER() OVER (PARTITION BY cust_group
-                       ORDER BY ROUND(CAST(SUM(foi.line_total) / {scale} AS DECIMAL(38,10)), 0)
-                                DESC NULLS FIRST,
-                                dp.cat1_name ASC NULLS LAST) AS gmv_rank
-  FROM orders_b fo
-  INNER JOIN best_customers b ON fo.customer_id = b.customer_id
-  LEFT JOIN items_b foi ON fo.order_id = foi.order_id
-  LEFT JOIN products_b dp ON foi.product_id = dp.product_id
-  {where}
-  GROUP BY cust_group, dp.cat1_name
-)""", f"""
-SELECT cust_group, cat1_name, CAST(gmv AS BIGINT) AS gmv, CAST(gmv_rank AS BIGINT) AS gmv_rank
-FROM category_gmv
-{keep}""")
-
-    q["persona_category_gmv" + suffix] = categories(False, None)
-    q["top_categories" + suffix] = categories(False, 1)
-    q["top_categories_known" + suffix] = categories(True, 1)
-    q["top3_categories_known" + suffix] = categories(True, 3)
-
-    hourly = personas + f""",
-hourly AS (
-  SELECT
-    CAST(EXTRACT(HOUR FROM fo.created_at) AS BIGINT) AS hour_,
-    CAST(ROUND(CAST(SUM(foi.line_total) / {scale} AS DECIMAL(38,10)), 0) AS BIGINT) AS gmv
-  FROM orders_b fo
-  INNER JOIN best_customers b ON fo.customer_id = b.customer_id
-  INNER JOIN items_b foi ON fo.order_id = foi.order_id
-  INNER JOIN products_b dp ON foi.product_id = dp.product_id
-  GROUP BY EXTRACT(HOUR FROM fo.created_at)
+        q["segment_labels"] = profile + " SELECT customer_id, R, F, M, segment FROM scores"
+        q["age_bands"] = profile + " SELECT customer_id, birth_year, age_group FROM bands"
+
+    cohort = "WITH " + _cohort(p)
+    bounds = ", ".join(
+        f"CAST({kind}({m}) AS {'BIGINT' if m == 'gmv' else 'DOUBLE'}) AS {kind}_{m.lower()}"
+        for m in ("R", "F", "M", "gmv") for kind in ("min", "max"))
+    scores = ", ".join(f"{_double(c)} AS {c}" for c in (
+        "score_R", "score_F", "score_M", "score_GMV", "final_persona_score"))
+    q["persona_groups" + suffix] = _persona_groups(p)
+    q["persona_bounds" + suffix] = cohort + f" SELECT {bounds} FROM persona"
+    q["persona_scores" + suffix] = cohort + f"""
+SELECT city, gender, age_group, customers, CAST(gmv AS BIGINT) AS gmv, {scores}
+FROM rated ORDER BY final_persona_score DESC NULLS FIRST, city, gender, age_group"""
+    q["best_personas" + suffix] = cohort + f"""
+SELECT city, gender, age_group FROM rated WHERE final_persona_score >= {p.best_threshold}"""
+    q["best_customers" + suffix] = cohort + " FROM cohort"
+
+    for name, known, top in (("persona_category_gmv", False, None), ("top_categories", False, 1),
+                             ("top_categories_known", True, 1),
+                             ("top3_categories_known", True, 3)):
+        q[name + suffix] = f"""WITH {_lines(p)},
+by_category AS (
+  SELECT cust_group, cat1_name, {_round(f"SUM(line_total) / {p.money_scale}", 0)} AS gmv
+  FROM line {"WHERE cat1_name IS NOT NULL" if known else ""} GROUP BY ALL
+)
+SELECT cust_group, cat1_name, CAST(gmv AS BIGINT) AS gmv,
+       row_number() OVER (PARTITION BY cust_group
+                          ORDER BY gmv DESC NULLS FIRST, cat1_name ASC NULLS LAST) AS gmv_rank
+FROM by_category {f"QUALIFY gmv_rank <= {top}" if top else ""}"""
+
+    hours = f"""WITH {_lines(p)},
+by_hour AS (
+  SELECT hour_, CAST({_round(f"SUM(line_total) / {p.money_scale}", 0)} AS BIGINT) AS gmv
+  FROM line WHERE matched GROUP BY ALL
 )"""
-    q["hourly_gmv" + suffix] = _with(hourly, "SELECT hour_, gmv FROM hourly")
-    q["hourly_gmv_ranked" + suffix] = _with(hourly, """
-SELECT hour_, gmv,
-       CAST(ROW_NUMBER() OVER (ORDER BY gmv DESC NULLS FIRST, hour_ ASC) AS BIGINT) AS gmv_rank
-FROM hourly""")
-
-    gaps = _gaps(p)
-    q["first_gap" + suffix] = _with(gaps, "SELECT customer_id, CAST(diff AS DOUBLE) AS diff FROM first_orders")
-    q["midpoint_quantiles" + suffix] = _with(gaps + """,
-fractions AS (SELECT * FROM (VALUES (0.25), (0.5), (0.75)) t(fraction)),
-positions AS (
-  SELECT f.fraction, (1 - f.fraction) * MIN(o.rn_diff) + f.fraction * MAX(o.rn_diff) AS position
-  FROM fractions f CROSS JOIN first_orders o
-  GROUP BY f.fraction
-  HAVING COUNT(o.rn_diff) > 0
-)""", """
-SELECT CAST(p.fraction AS DOUBLE) AS fraction, CAST(p.position AS DOUBLE) AS position,
-       CAST(ROUND(CAST(AVG(o.diff) AS DECIMAL(38,10)), 5) AS DOUBLE) AS value
-FROM positions p
-JOIN first_orders o ON o.rn_diff = FLOOR(p.position) OR o.rn_diff = CEIL(p.position)
-GROUP BY p.fraction, p.position""")
-    q["repeat_gap_stats" + suffix] = _with(
-        gaps + _midpoint("median", "0.5", "0.5") + _midpoint("q1", "0.75", "0.25")
-        + _midpoint("q3", "0.25", "0.75"), """
-SELECT
-  CAST(MIN(diff) AS DOUBLE) AS min_diff,
-  CAST(MAX(diff) AS DOUBLE) AS max_diff,
-  CAST(ROUND(CAST(AVG(diff) AS DECIMAL(38,10)), 2) AS DOUBLE) AS avg_diff,
-  CAST(ROUND(CAST((SELECT diff FROM q1_value) AS DECIMAL(38,10)), 2) AS DOUBLE) AS q1_diff,
-  CAST(ROUND(CAST((SELECT diff FROM median_value) AS DECIMAL(38,10)), 2) AS DOUBLE) AS median_diff,
-  CAST(ROUND(CAST((SELECT diff FROM q3_value) AS DECIMAL(38,10)), 2) AS DOUBLE) AS q3_diff
-FROM first_orders""")
-
-    cohort_src = """FROM orders_b fo
-INNER JOIN best_customers b ON fo.customer_id = b.customer_id"""
-    q["voucher_usage" + suffix] = _with(personas, _cohort_rates(cohort_src, None) + "\nUNION\n"
-                                        + _cohort_rates("FROM orders_b fo", None))
-    q["voucher_usage_labelled" + suffix] = _with(
-        personas, _cohort_rates(cohort_src, "best_customers") + "\nUNION ALL\n"
-        + _cohort_rates("FROM orders_b fo", "all_orders"))
-    q["day_type_performance" + suffix] = _with(personas, f"""
-SELECT
-  CASE
-    WHEN EXTRACT(DAY FROM fo.created_at) = EXTRACT(MONTH FROM fo.created_at) THEN 'Double Day'
-    WHEN EXTRACT(DAY FROM fo.created_at) = {p.sale_day} THEN 'EOM Sale Day'
-    ELSE 'Normal Day'
-  END AS day_type,
-  CAST(ROUND(CAST(SUM(fo.subtotal) / {scale} / COUNT(DISTINCT fo.order_date_key)
-                  AS DECIMAL(38,10)), 0) AS BIGINT) AS adgmv,
-  CAST(ROUND(CAST(SUM(fo.subtotal) / {scale} / COUNT(fo.order_id) AS DECIMAL(38,10)), 0)
-       AS BIGINT) AS aov
-FROM orders_b fo
-INNER JOIN best_customers b ON fo.customer_id = b.customer_id
-GROUP BY 1""")
+    q["hourly_gmv" + suffix] = hours + " SELECT hour_, gmv FROM by_hour"
+    q["hourly_gmv_ranked" + suffix] = hours + """
+SELECT hour_, gmv, row_number() OVER (ORDER BY gmv DESC NULLS FIRST, hour_) AS gmv_rank
+FROM by_hour"""
+
+    gaps = "WITH " + _gaps(p)
+    q["first_gap" + suffix] = gaps + f" SELECT customer_id, {_double('diff')} AS diff FROM gap"
+    rows = " UNION ALL ".join(
+        f"SELECT {_double(f)} AS fraction, {_double(_at(f)[0])} AS position, "
+        f"{_double(_round(_at(f)[1], 5))} AS value FROM ordered WHERE len(d) > 0"
+        for f in p.quantile_fractions)
+    q["midpoint_quantiles" + suffix] = gaps + " " + rows
+    q1, median, q3 = (_double(_round(f"(SELECT {_at(f)[1]} FROM ordered)", 2))
+                      for f in p.quantile_fractions)
+    q["repeat_gap_stats" + suffix] = gaps + f"""
+SELECT {_double("MIN(diff)")} AS min_diff, {_double("MAX(diff)")} AS max_diff,
+       {_double(_round("AVG(diff)", 2))} AS avg_diff, {q1} AS q1_diff, {median} AS median_diff,
+       {q3} AS q3_diff
+FROM gap"""
+
+    q["voucher_usage" + suffix] = _vouchers(p, False)
+    q["voucher_usage_labelled" + suffix] = _vouchers(p, True)
+    gmv = f"SUM(subtotal * m) / {p.money_scale}"
+    q["day_type_performance" + suffix] = cohort + f"""
+SELECT CASE day(created_at) WHEN month(created_at) THEN 'Double Day'
+            WHEN {p.sale_day} THEN 'EOM Sale Day' ELSE 'Normal Day' END AS day_type,
+       CAST({_round(f"{gmv} / COUNT(DISTINCT order_date_key)", 0)} AS BIGINT) AS adgmv,
+       CAST({_round(f"{gmv} / SUM(m) FILTER (order_id IS NOT NULL)", 0)} AS BIGINT) AS aov
+FROM orders_b JOIN times USING (customer_id) GROUP BY 1"""
     return q

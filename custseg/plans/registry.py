@@ -2,9 +2,13 @@
 
 Persona-dependent analyses are registered twice: with the original minimum group size (50)
 and with 30 (``_min30``), which keeps more persona groups on small test data. The other
-variants exercise parameters: ``top_categories_known`` / ``top3_categories_known`` ignore
-orders and lines without a category (top 1 and top 3); ``quantile_scores_sampled`` forces
-the sampled (multi-round) path of the distributed rank selection.
+variants exercise parameters and inputs: ``top_categories_known`` / ``top3_categories_known``
+ignore orders and lines without a category (top 1 and top 3); ``quantile_scores_sampled`` selects
+ranks over another number of range partitions; ``*_partial`` binds the supplier table as customer
+dimension, which leaves many customers unmatched.
+
+The analyses return exact decimals. The registry casts them to DOUBLE, as the oracle SQL does,
+because the two engines' clients show decimals differently.
 """
 
 from __future__ import annotations
@@ -12,34 +16,56 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from custseg.params import DEFAULT, Params
 from custseg.plans import oracle
 from custseg.plans.analysis import CustomerAnalysis
-from custseg.sources.tables import bind_testdata
+from custseg.sources.tables import bind_testdata, source_version
 
 MIN30 = DEFAULT.with_(min_customers=30)
-SAMPLED = DEFAULT.with_(rank_local_rows=400, rank_sample_rows=2_000)
+MIN3 = DEFAULT.with_(min_customers=3)
+OTHER_PARTITIONS = DEFAULT.with_(rank_partitions=7)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-_ANALYSES: dict[tuple, CustomerAnalysis] = {}
+# (session, folder, dimension) -> (source version, base analysis, {params: analysis})
+_ANALYSES: dict[tuple, tuple] = {}
 FRESH = False       # True: every call builds its own analysis (the benchmark's standalone mode)
+BUILT: list[CustomerAnalysis] = []      # those of FRESH calls, for the caller to release
 
 
-def _a(spark: SparkSession, sf_dir: str, p: Params = DEFAULT, vouchers: bool = False):
-    """The analysis for (session, data, parameters), shared by the queries of one session.
+def _a(spark: SparkSession, sf_dir: str, p: Params = DEFAULT, vouchers: bool = False,
+       dimension: str = "customer"):
+    """The analysis for (session, data, parameters).
 
-    Queries on the same data and parameters read the same materialized hub instead of
-    rebuilding it; the results do not change.
+    Queries of one session on the same files share one hub (and its segment rows, where the
+    parameters allow); when the files change, the old stages are deleted and all is read anew.
     """
     if FRESH:
-        return CustomerAnalysis(bind_testdata(spark, sf_dir), p, with_vouchers=vouchers)
-    key = (spark.sparkContext.applicationId, sf_dir, p, vouchers)
-    if key not in _ANALYSES:
-        _ANALYSES[key] = CustomerAnalysis(bind_testdata(spark, sf_dir), p, with_vouchers=vouchers)
-    return _ANALYSES[key]
+        BUILT.append(CustomerAnalysis(bind_testdata(spark, sf_dir, dimension), p,
+                                      with_vouchers=vouchers))
+        return BUILT[-1]
+    version = source_version(sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, dimension)
+    old = _ANALYSES.get(key)
+    if version is None or old is None or old[0] != version:
+        if old is not None and version is not None:
+            for a in (old[1], *old[2].values()):
+                a.release()
+        base = CustomerAnalysis(bind_testdata(spark, sf_dir, dimension), with_vouchers=True)
+        old = _ANALYSES[key] = version, base, {DEFAULT: base}
+    if p not in old[2]:
+        old[2][p] = old[1].with_params(p)
+    return old[2][p]
+
+
+def _doubles(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f.name).cast("double").alias(f.name)
+                       if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
+                       for f in df.schema.fields])
 
 
 def _persona_queries(p: Params, suffix: str) -> dict[str, Query]:
@@ -67,12 +93,24 @@ def _persona_queries(p: Params, suffix: str) -> dict[str, Query]:
     }
 
 
+def _partial_queries() -> dict[str, Query]:
+    def a(s, d):
+        return _a(s, d, MIN3, dimension="supplier")
+
+    return {
+        "customer_segments_partial": lambda s, d: a(s, d).customer_segments(),
+        "segment_gmv_share_partial": lambda s, d: a(s, d).segment_gmv_share(),
+        "persona_groups_partial": lambda s, d: a(s, d).persona_groups(),
+        "best_customers_partial": lambda s, d: a(s, d).best_customers(),
+    }
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "as_of_date": lambda s, d: _a(s, d).as_of_frame(),
         "customer_metrics": lambda s, d: _a(s, d).customer_metrics(),
         "quantile_scores": lambda s, d: _a(s, d).quantile_scores(),
-        "quantile_scores_sampled": lambda s, d: _a(s, d, SAMPLED).quantile_scores(),
+        "quantile_scores_sampled": lambda s, d: _a(s, d, OTHER_PARTITIONS).quantile_scores(),
         "segment_labels": lambda s, d: _a(s, d).segment_labels(),
         "age_bands": lambda s, d: _a(s, d).age_bands(),
         "customer_segments": lambda s, d: _a(s, d).customer_segments(),
@@ -80,14 +118,13 @@ def queries() -> dict[str, Query]:
     }
     q.update(_persona_queries(DEFAULT, ""))
     q.update(_persona_queries(MIN30, "_min30"))
-    return q
+    q.update(_partial_queries())
+    return {name: lambda s, d, f=f: _doubles(f(s, d)) for name, f in q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = oracle.build(DEFAULT)
-    sql.update(oracle.build(MIN30, "_min30"))
-    known = {k: v for k, v in sql.items()}
-    return {k: known[k] for k in queries() if k in known}
+    sql = oracle.build(DEFAULT) | oracle.build(MIN30, "_min30") | oracle.build_partial(MIN3)
+    return {k: sql[k] for k in queries()}
 
 
 # The eight original analyses, in order (used by the benchmark and the flagship entry).

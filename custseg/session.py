@@ -49,21 +49,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", written: list | None = None) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
-    Used for hub tables that several passes read (rank selection scans them repeatedly): the
-    upstream shuffles run once, later scans are vectorized and column-pruned, and a lost
-    executor re-reads files instead of recomputing lineage. (An RDD checkpoint would cut the
-    lineage too, but its row-serialized files are several times slower to scan.)
+    Used for tables that several passes read: the upstream shuffles run once, later scans are
+    vectorized and column-pruned, and a lost executor re-reads files instead of recomputing
+    lineage. (An RDD checkpoint would cut the lineage too, but its row-serialized files are
+    several times slower to scan.) The folder written is added to ``written``.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/custseg-{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    if written is not None:
+        written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def materialize_observed(df: DataFrame, name: str = "stage",
+def materialize_observed(df: DataFrame, name: str = "stage", written: list | None = None,
                          **metrics: Column) -> tuple[DataFrame, dict]:
     """``materialize`` plus aggregate ``metrics`` observed while writing (no extra job).
 
@@ -72,12 +74,7 @@ def materialize_observed(df: DataFrame, name: str = "stage",
     """
     observation = Observation(f"custseg-{name}")
     observed = df.observe(observation, *[c.alias(k) for k, c in metrics.items()])
-    return materialize(observed, name), observation.get
-
-
-def materialized_paths(df: DataFrame) -> list[str]:
-    """Files written by ``materialize`` that ``df`` reads directly."""
-    return [p for p in df.inputFiles() if "/custseg-" in p]
+    return materialize(observed, name, written), observation.get
 
 
 def delete_path(spark: SparkSession, path: str) -> bool:

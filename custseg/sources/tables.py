@@ -3,7 +3,9 @@
 Logical schema (types the analyses rely on):
 
 * ``orders``       order_id, customer_id, created_at (TIMESTAMP_NTZ), order_date_key (INT),
-                   subtotal, platform_voucher, shop_discount, shipping_discount (DECIMAL)
+                   subtotal, platform_voucher, shop_discount, shipping_discount (DECIMAL).
+                   A zoned TIMESTAMP is rejected: its days and hours would follow the session's
+                   time zone. ``load_tables(..., zone=...)`` converts it to a stated zone.
 * ``order_items``  order_id, product_id, line_total (DECIMAL)
 * ``products``     product_id, cat1_name
 * ``customers``    customer_id (expected unique), gender, city, birth_year (INT),
@@ -32,7 +34,7 @@ CONTRACT: dict[str, dict[str, tuple]] = {
     "orders": {
         "order_id": _INT + (T.StringType,),
         "customer_id": _INT + (T.StringType,),
-        "created_at": (T.TimestampNTZType, T.TimestampType),
+        "created_at": (T.TimestampNTZType,),
         "order_date_key": _INT + (T.DateType,),
         "subtotal": _NUM,
         "platform_voucher": _NUM,
@@ -95,16 +97,37 @@ def warn_duplicate_customers(tables: Tables) -> int:
 
 
 def load_tables(spark: SparkSession, orders: str, order_items: str, products: str,
-                customers: str, fmt: str = "parquet") -> Tables:
-    """Load tables already in the logical schema, from paths or catalog table names."""
+                customers: str, fmt: str = "parquet", zone: str | None = None) -> Tables:
+    """Load tables already in the logical schema, from paths or catalog table names.
+
+    ``zone`` (such as 'Asia/Ho_Chi_Minh') turns a zoned ``created_at`` into that zone's local
+    time; the result does not depend on the session's time zone.
+    """
 
     def read(src: str) -> DataFrame:
         if "/" in src:                       # a path (local or a filesystem URI)
             return spark.read.format(fmt).load(src)
         return spark.table(src)              # a catalog table name
 
-    return check_contract(Tables(read(orders), read(order_items), read(products),
-                                 read(customers)))
+    fact = read(orders)
+    if zone is not None and isinstance(fact.schema["created_at"].dataType, T.TimestampType):
+        fact = fact.withColumn("created_at", F.convert_timezone(
+            F.current_timezone(), F.lit(zone), F.col("created_at").cast("timestamp_ntz")))
+    return check_contract(Tables(fact, read(order_items), read(products), read(customers)))
+
+
+def source_version(sf_dir: str) -> tuple | None:
+    """Times and sizes of the bound tables' files; None where they can't be told cheaply."""
+    found = []
+    for name in ("orders", "lineitem", "part", "nation", "region", "customer", "supplier"):
+        path = f"{sf_dir}/{name}.parquet"
+        try:
+            files = ([os.path.join(path, f) for f in sorted(os.listdir(path))]
+                     if os.path.isdir(path) else [path])
+            found += [(f, os.stat(f).st_mtime_ns, os.stat(f).st_size) for f in files]
+        except OSError:
+            return None
+    return tuple(found)
 
 
 _READS: dict[tuple, DataFrame] = {}
@@ -122,13 +145,14 @@ def _read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return _READS[key]
 
 
-def bind_testdata(spark: SparkSession, sf_dir: str) -> Tables:
+def bind_testdata(spark: SparkSession, sf_dir: str, dimension: str = "customer") -> Tables:
     """Bind the TPC-H-like test tables onto the logical schema.
 
     Test order dates are all at midnight, so a deterministic time of day is derived from the
     order key; discounts are derived from priority/status so that every voucher branch
     (positive, zero, NULL) occurs. City is the customer's region name; gender and birth year
-    are derived from the customer key.
+    are derived from the customer key. ``dimension="supplier"`` uses the supplier table as the
+    customer dimension: its keys cover part of the orders' customers, the others stay unmatched.
     """
     def read(name: str) -> DataFrame:
         return _read_parquet(spark, f"{sf_dir}/{name}.parquet")
@@ -165,13 +189,19 @@ def bind_testdata(spark: SparkSession, sf_dir: str) -> Tables:
     region = read("region").select("r_regionkey", "r_name")
     # nation and region are small code tables: the planner's size estimate broadcasts them.
     geo = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    c = read("customer")
-    customers = c.join(geo, c.c_nationkey == geo.n_nationkey, "left").select(
-        F.col("c_custkey").alias("customer_id"),
-        F.when(F.col("c_custkey") % 2 == 0, F.lit("F")).otherwise(F.lit("M")).alias("gender"),
+    if dimension == "supplier":
+        c = read("supplier").select(F.col("s_suppkey").alias("key"),
+                                    F.col("s_nationkey").alias("nation"),
+                                    F.lit(None).cast("string").alias("preferred_device"))
+    else:
+        c = read("customer").select(F.col("c_custkey").alias("key"),
+                                    F.col("c_nationkey").alias("nation"),
+                                    F.col("c_mktsegment").alias("preferred_device"))
+    customers = c.join(geo, c.nation == geo.n_nationkey, "left").select(
+        F.col("key").alias("customer_id"),
+        F.when(F.col("key") % 2 == 0, F.lit("F")).otherwise(F.lit("M")).alias("gender"),
         F.col("r_name").alias("city"),
-        (F.lit(2001) - (F.lit(16) + (F.col("c_custkey") * 37) % 33)).cast("int")
-        .alias("birth_year"),
-        F.col("c_mktsegment").alias("preferred_device"),
+        (F.lit(2001) - (F.lit(16) + (F.col("key") * 37) % 33)).cast("int").alias("birth_year"),
+        "preferred_device",
     )
     return check_contract(Tables(orders, order_items, products, customers))

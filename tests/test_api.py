@@ -1,8 +1,13 @@
 """Sink, analysis window, cleanup, and invariance under partitioning / input order."""
 
+import datetime as dt
 import os
+import shutil
 import tempfile
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
@@ -10,8 +15,10 @@ from pyspark.sql import functions as F
 
 from custseg.operators.ranks import asc, desc, with_ntile
 from custseg.params import Params
+from custseg.plans import oracle, registry
 from custseg.plans.analysis import CustomerAnalysis
-from custseg.sources.tables import Tables, bind_testdata
+from custseg.sources.tables import Tables, bind_testdata, load_tables
+from tools_compare import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,12 +50,75 @@ def test_order_window_is_pushed_to_the_scan(spark):
     assert scans and "GreaterThanOrEqual(created_at" in scans[0] and "LessThan(created_at" in scans[0]
 
 
-def test_release_deletes_materialized_stages(spark):
-    a = CustomerAnalysis(bind_testdata(spark, SF))
-    a.quantile_scores().count()
-    folders = {p.rsplit("/", 1)[0] for p in a._raw_hub.inputFiles()}
-    assert a.release() >= 1
+def test_release_deletes_what_was_written_and_nothing_else(spark):
+    root = os.path.join(tempfile.mkdtemp(prefix="custseg-prod-"), "custseg-lake")
+    paths = {}
+    for name, df in bind_testdata(spark, SF).as_dict().items():
+        paths[name] = f"{root}/custseg-{name}"
+        df.write.parquet(paths[name])
+    a = CustomerAnalysis(load_tables(spark, **paths), Params(min_customers=3), with_vouchers=True,
+                         shared=True)
+    for df in a.report().values():
+        df.collect()
+    folders = list(a._written)
+    assert len(folders) >= 7
+    assert a.release() == len(folders)
     assert all(not os.path.exists(f.replace("file:", "")) for f in folders)
+    for p in paths.values():
+        assert spark.read.parquet(p).count() > 0
+
+
+def test_shared_report_equals_the_oracle(spark):
+    p = Params(min_customers=3)
+    a = CustomerAnalysis(bind_testdata(spark, SF), p, with_vouchers=True, shared=True)
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    sql = oracle.build(p)
+    for name, df in a.report().items():
+        df = registry._doubles(df)
+        got = [tuple(r) for r in df.collect()]
+        cur = con.execute(sql[name])
+        cols, rows = [d[0] for d in cur.description], cur.fetchall()
+        assert len(got) == len(rows)
+        assert digest([c.lower() for c in df.columns], got) == digest(
+            [c.lower() for c in cols], rows)
+        if name == "persona_scores":           # the one ordered result
+            at = [cols.index(c) for c in df.columns]
+            assert got == [tuple(r[i] for i in at) for r in rows] and len(got) > 3
+
+
+def test_money_is_exact(spark):
+    a = CustomerAnalysis(bind_testdata(spark, SF))
+    kinds = dict(a.customer_metrics().dtypes)
+    assert kinds["monetary"].startswith("decimal")
+    assert not any(t == "double" for t in dict(a.persona_scores().dtypes).values())
+
+
+def test_registry_notices_changed_files(spark):
+    folder = tempfile.mkdtemp(prefix="custseg-src-")
+    for t in TABLES:
+        shutil.copy(f"{SF}/{t}.parquet", folder)
+    q = registry.queries()
+    first = q["as_of_date"](spark, folder).first()[0]
+    assert q["as_of_date"](spark, folder).first()[0] == first
+    table = pq.read_table(f"{folder}/orders.parquet")
+    at = table.schema.get_field_index("o_orderdate")
+    days = [d + dt.timedelta(days=10) for d in table["o_orderdate"].to_pylist()]
+    pq.write_table(table.set_column(at, table.schema.field(at), pa.array(
+        days, table.schema.field(at).type)), f"{folder}/orders.parquet")
+    later = q["as_of_date"](spark, folder).first()[0]
+    assert later == first + dt.timedelta(days=10)
+
+
+def test_one_hub_for_all_parameters(spark):
+    registry._ANALYSES.clear()
+    q = registry.queries()
+    for name in ("customer_segments", "persona_scores_min30", "voucher_usage_min30", "first_gap"):
+        q[name](spark, SF).collect()
+    (version, base, derived), = registry._ANALYSES.values()
+    hubs = {id(a._hub[0]) for a in derived.values()}
+    assert len(derived) == 2 and hubs == {id(base._hub[0])}
 
 
 def test_results_do_not_depend_on_shuffle_partitions(spark):
@@ -73,7 +143,7 @@ def test_ntile_property(spark, values, k, ascending):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v long")
     key = asc("v") if ascending else desc("v")
     got = with_ntile(df, "t", [key, asc("id")], k,
-                     params=Params(rank_local_rows=5, rank_sample_rows=2_000))
+                     params=Params(rank_partitions=3))
     ref = F.col("v").asc_nulls_last() if ascending else F.col("v").desc_nulls_first()
     exp = df.withColumn("e", F.ntile(k).over(Window.orderBy(ref, F.col("id"))))
     j = got.join(exp, "id")

@@ -34,22 +34,60 @@ def test_hub_aggregates_combine_before_shuffle(spark):
 def test_orders_scan_is_column_pruned(spark):
     from custseg.operators.metrics import customer_metrics
     t = bind_testdata(spark, SF)
-    df = customer_metrics(t.orders)
-    text = df._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<o_orderkey" not in text or "o_orderpriority" not in text
+    scan, = [x for x in plan(customer_metrics(t.orders)).split("\n") if "FileScan" in x]
+    for column in ("o_custkey", "o_orderdate", "o_totalprice"):
+        assert column in scan
+    for column in ("o_orderpriority", "o_orderstatus", "o_clerk", "o_comment"):
+        assert column not in scan
 
 
-def test_persona_scores_read_the_hub_not_the_fact(a):
+def test_persona_scores_read_the_segment_rows_not_the_fact(a):
     p = plan(a.persona_scores())
     scans = [line for line in p.split("\n") if "FileScan" in line]
-    assert not any("o_orderkey" in s or "o_custkey" in s for s in scans)
-    assert any("last_date" in s for s in scans)
+    assert scans and not any("o_orderkey" in s or "o_custkey" in s for s in scans)
+    # partial sums per persona, then the bounds and the final order over the few groups
+    groups = plan(a.persona_groups())
+    assert groups.count("Exchange hashpartitioning") == 1 and "customer_id" not in groups
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, old)
+
+
+def _below(text: str, upper: str, lower: str) -> bool:
+    """Whether a node ``lower`` stands under a node ``upper`` in a plan's text."""
+    lines = text.split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, x in enumerate(lines):
+        if upper in x:
+            for j in range(i + 1, len(lines)):
+                if depth[j] <= depth[i]:
+                    break
+                if lower in lines[j]:
+                    return True
+    return False
+
+
+def test_cohort_is_reduced_before_the_first_two_orders(spark, no_broadcast):
+    t = bind_testdata(spark, SF)
+    weights = spark.createDataFrame([(1, 1)], "customer_id long, m long")
+    p = plan(behavior.first_two_orders(t.orders, weights))
+    assert "WindowGroupLimit" in p
+    assert _below(p, "Window [row_number", "LeftSemi")
+    assert not _below(p, "LeftSemi", "Window [row_number")
 
 
-def test_first_two_orders_limit_before_shuffle(spark):
+def test_items_are_reduced_before_the_left_join(spark, no_broadcast):
     t = bind_testdata(spark, SF)
-    p = plan(behavior.first_two_orders(t.orders))
-    assert "WindowGroupLimit" in p and "Partial" in p
+    best = spark.createDataFrame([(1, "A")], "customer_id long, cust_group string")
+    facts = behavior.cohort_line_facts(behavior.cohort_orders(t.orders, best), t.order_items,
+                                       t.products)
+    assert _below(plan(facts), "LeftOuter", "LeftSemi")
 
 
 def test_bounds_need_no_join(a):

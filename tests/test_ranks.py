@@ -1,4 +1,4 @@
-"""Distributed exact NTILE / rank selection equals a global window, on every path."""
+"""Distributed exact NTILE / rank selection equals a global window, however partitioned."""
 
 import random
 
@@ -6,14 +6,16 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from custseg.operators.ranks import asc, desc, ntile_ends, select_ranks, with_ntile, with_ntiles
+from custseg.operators.ranks import Order, asc, desc, ntile_ends, select_ranks, sorted_keys, \
+    with_ntile, with_ntiles
 from custseg.params import Params
 from custseg.session import materialize
 
 PATHS = {
-    "local": Params(),
-    "refined": Params(rank_local_rows=300, rank_sample_rows=2_000),
-    "deep": Params(rank_local_rows=25, rank_sample_rows=2_000),
+    "session": Params(),
+    "one": Params(rank_partitions=1),
+    "seven": Params(rank_partitions=7),
+    "many": Params(rank_partitions=60),
 }
 
 
@@ -86,9 +88,31 @@ def test_select_ranks_values(data, path):
     assert {r: picked[r][1] for r in ranks} == {r: ordered[r - 1] for r in ranks}
 
 
-def test_selection_plan_has_no_global_window_above_bound(data):
-    # Above the local bound nothing is numbered in one task: the final numbering window is
-    # partitioned by selection job and only sees bracket rows (checked via counts).
-    p = Params(rank_local_rows=300, rank_sample_rows=2_000)
-    picked = select_ranks(data, [asc("v"), asc("id")], [2000], params=p)
+@pytest.mark.parametrize("path", sorted(PATHS))
+@pytest.mark.parametrize("k", [20, 100])
+def test_many_tiles(data, path, k):
+    keys = [asc("v"), asc("id")]
+    got = with_ntile(data, "tile", keys, k, params=PATHS[path])
+    exp = _reference(data, _sql_order(keys), k)
+    joined = got.join(exp, got["id"].eqNullSafe(exp["id"]))
+    assert joined.filter(F.col("tile") != F.col("expected")).count() == 0
+
+
+def test_selection_never_sorts_all_rows_in_one_task(data):
+    order = Order([asc("v"), asc("id")])
+    p = sorted_keys(data, [order])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in p and "SinglePartition" not in p and "Window" not in p
+    rows = sorted_keys(data, [order], 8).groupBy("__p").count().collect()
+    # a value held by 40 % of the rows is cut by the tie-break: partitions stay even
+    assert len(rows) == 8 and max(r["count"] for r in rows) < 2 * 4000 / 8
+
+
+def test_tiles_are_a_projection(data):
+    out = with_ntile(data, "tile", [asc("v"), asc("id")], 5)
+    p = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in p and "Window" not in p and "Join" not in p
+
+
+def test_only_wanted_rows_reach_the_driver(data):
+    picked = select_ranks(data, [asc("v"), asc("id")], [2000, 2000, 5000, 0])
     assert set(picked) == {2000}

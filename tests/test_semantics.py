@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from custseg.functions.exact import exact_round
 from custseg.functions.labels import age_group, day_type, segment_label
 from custseg.operators import behavior
-from custseg.operators.quantiles import midpoint_quantiles, midpoint_value
+from custseg.operators.quantiles import midpoint_frame
 from custseg.params import Params
 from custseg.plans.analysis import CustomerAnalysis
 from tests.conftest import make_tables, order
@@ -96,7 +96,7 @@ def test_x8_customer_missing_from_dimension(spark):
     assert orphan[0]["age_group"] == "seniors (>44)" and len(orphan[0]["rfm"]) == 3
     assert orphan[0]["segmentation"] is not None
     shares = {r["segment"]: r["segment_gmv_pct"] for r in a.segment_gmv_share().collect()}
-    assert shares[None] == pytest.approx(round(50 * 100 / 150, 2))
+    assert float(shares[None]) == pytest.approx(round(50 * 100 / 150, 2))
     groups = a.persona_groups().collect()
     assert all(g["gender"] is not None for g in groups)
 
@@ -133,20 +133,34 @@ def _gaps(spark, values):
     return spark.createDataFrame(rows, "customer_id long, diff decimal(20,4)")
 
 
+FRACTIONS = ("0.25", "0.5", "0.75")
+
+
 def test_x12_midpoint_quantiles(spark):
-    q = midpoint_quantiles(_gaps(spark, ["1", "2", "4", "8"]), "diff", "customer_id",
-                           ["0.25", "0.5", "0.75"])
-    assert [midpoint_value(q[f][1]) for f in ("0.25", "0.5", "0.75")] == [
-        Decimal("1.5"), Decimal("3"), Decimal("6")]
+    q = midpoint_frame(_gaps(spark, ["1", "2", "4", "8"]), "diff", "customer_id", FRACTIONS)
+    got = {r["fraction"]: r["value"] for r in q.collect()}
+    assert got == {0.25: Decimal("1.5"), 0.5: Decimal("3"), 0.75: Decimal("6")}
 
 
 def test_x13_nulls_count_in_positions(spark):
-    q = midpoint_quantiles(_gaps(spark, ["1", "2", "4", "8", None, None, None, None]), "diff",
-                           "customer_id", ["0.25", "0.5", "0.75"])
-    assert [float(q[f][0]) for f in ("0.25", "0.5", "0.75")] == [2.75, 4.5, 6.25]
-    assert midpoint_value(q["0.25"][1]) == Decimal("3")
-    assert midpoint_value(q["0.5"][1]) == Decimal("8")
-    assert midpoint_value(q["0.75"][1]) is None
+    q = midpoint_frame(_gaps(spark, ["1", "2", "4", "8", None, None, None, None]), "diff",
+                       "customer_id", FRACTIONS)
+    got = {r["fraction"]: (r["position"], r["value"]) for r in q.collect()}
+    assert got == {0.25: (2.75, Decimal("3")), 0.5: (4.5, Decimal("8")), 0.75: (6.25, None)}
+
+
+@pytest.mark.parametrize("times, gap", [
+    (["2024-01-01 00:00:00", "2024-01-04 00:00:00", None], Decimal("3.0000")),
+    (["2024-01-01 00:00:00", None], None),
+    ([None, None], None),
+])
+def test_first_gap_sorts_missing_times_last(spark, times, gap):
+    rows = [(i, 7, None if x is None else dt.datetime.fromisoformat(x))
+            for i, x in enumerate(times)]
+    orders = spark.createDataFrame(rows, "order_id long, customer_id long, "
+                                         "created_at timestamp_ntz")
+    weights = spark.createDataFrame([(7, 1)], "customer_id long, m long")
+    assert [r["diff"] for r in behavior.first_gaps(orders, weights).collect()] == [gap]
 
 
 def test_x14_gap_in_days(spark):
@@ -173,7 +187,8 @@ def test_x15_null_category_ranks_first(spark):
                     [cust(1), cust(2)],
                     items=[(2, 10, "54000.0")], products=[(10, "toys")])
     best = spark.createDataFrame([(1, "A"), (2, "B")], "customer_id long, cust_group string")
-    facts = behavior.cohort_line_facts(t.orders, t.order_items, t.products, best)
+    facts = behavior.cohort_line_facts(behavior.cohort_orders(t.orders, best), t.order_items,
+                                       t.products)
     ranked = behavior.persona_category_gmv(facts)
     got = {(r["cust_group"], r["cat1_name"]): (r["gmv"], r["gmv_rank"]) for r in ranked.collect()}
     assert got[("A", None)] == (None, 1)
@@ -190,7 +205,7 @@ def test_x16_voucher_rows_union_and_null(spark):
     everyone = spark.createDataFrame([(1, 1), (2, 1)], "customer_id long, m long")
     rows = behavior.voucher_usage(hub, everyone).collect()
     assert len(rows) == 1                                   # cohort == all: UNION merges
-    assert rows[0]["platform_voucher_usage_pct"] == 0.5
+    assert rows[0]["platform_voucher_usage_pct"] == Decimal("0.5")
     assert rows[0]["shop_discount_usage_pct"] is None       # no qualifying order: NULL
     none = spark.createDataFrame([], "customer_id long, m long")
     labelled = {r["cohort"]: r for r in behavior.voucher_usage(hub, none, labelled=True).collect()}
@@ -215,7 +230,7 @@ def test_duplicate_dimension_ids_fan_out(spark):
               order(2, 2, "2024-01-02 10:00:00", subtotal=100)]
     a = analysis(spark, orders, [cust(1), cust(1, gender="M"), cust(2)])
     assert a.customer_segments().count() == 3
-    total = sum(r["segment_gmv_pct"] for r in a.segment_gmv_share().collect())
+    total = sum(float(r["segment_gmv_pct"]) for r in a.segment_gmv_share().collect())
     assert total == pytest.approx(150.0)
 
 
@@ -227,7 +242,8 @@ def test_hourly_gmv_uses_inner_join_semantics(spark):
                     items=[(1, 10, "27000"), (1, 99, "54000"), (3, 11, "27000")],
                     products=[(10, "toys"), (11, None)])
     best = spark.createDataFrame([(1, "A"), (1, "B")], "customer_id long, cust_group string")
-    facts = behavior.cohort_line_facts(t.orders, t.order_items, t.products, best)
+    facts = behavior.cohort_line_facts(behavior.cohort_orders(t.orders, best), t.order_items,
+                                       t.products)
     got = {r["hour_"]: r["gmv"] for r in behavior.hourly_gmv(facts).collect()}
     # hour 10: products 10 and 11 (NULL category still a product), twice (two persona rows);
     # product 99 is unknown and order 2 has no items: both left out
@@ -243,10 +259,10 @@ def test_null_customer_id_orders(spark):
     q1 = a.customer_segments().collect()
     assert sum(r["customer_id"] is None for r in q1) == 1       # kept, matches no customer
     shares = {r["segment"]: r["segment_gmv_pct"] for r in a.segment_gmv_share().collect()}
-    assert shares[None] == 60.0                                 # its orders: NULL segment
+    assert shares[None] == 60                                 # its orders: NULL segment
     everyone = spark.createDataFrame([], "customer_id long, m long")
     rows = behavior.voucher_usage(a.hub, everyone, labelled=True).collect()
-    assert {r["cohort"]: r["platform_voucher_usage_pct"] for r in rows}["all_orders"] == 0.3333
+    assert {r["cohort"]: r["platform_voucher_usage_pct"] for r in rows}["all_orders"] == Decimal("0.3333")
 
 
 def test_empty_orders(spark):
@@ -271,8 +287,9 @@ def test_first_two_orders_with_a_hot_customer(spark):
     rows = [order(i, 1, base + dt.timedelta(hours=(i * 7919) % 5000)) for i in range(3000)]
     rows += [order(10_000 + i, 2 + i % 5, base + dt.timedelta(hours=i)) for i in range(50)]
     t = make_tables(spark, rows, [cust(i) for i in range(1, 7)])
+    weights = spark.createDataFrame([(i, 1) for i in range(1, 7)], "customer_id long, m long")
     got = {r["customer_id"]: (r["first_at"], r["second_at"], r["n_first"])
-           for r in behavior.first_two_orders(t.orders.repartition(16)).collect()}
+           for r in behavior.first_two_orders(t.orders.repartition(16), weights).collect()}
     expected = {}
     for o in rows:
         expected.setdefault(o[1], []).append((o[2], o[0]))

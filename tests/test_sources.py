@@ -47,3 +47,26 @@ def test_duplicate_customer_ids_warn(spark):
     doubled = Tables(t.orders, t.order_items, t.products, t.customers.unionByName(t.customers))
     with pytest.warns(UserWarning, match="not unique"):
         assert warn_duplicate_customers(doubled) == 1
+
+
+def test_zoned_timestamps_are_rejected_or_converted(spark):
+    t = bind_testdata(spark, SF)
+    zoned = Tables(t.orders.withColumn("created_at", t.orders.created_at.cast("timestamp")),
+                   t.order_items, t.products, t.customers)
+    with pytest.raises(ValueError, match="orders.created_at has type timestamp"):
+        check_contract(zoned)
+    root = tempfile.mkdtemp(prefix="custseg-zoned-")
+    paths = {}
+    for name, df in zoned.as_dict().items():
+        paths[name] = os.path.join(root, name)
+        df.write.parquet(paths[name])
+    old = spark.conf.get("spark.sql.session.timeZone")
+    seen = []
+    try:
+        for session_zone in ("UTC", "Asia/Ho_Chi_Minh", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", session_zone)
+            orders = load_tables(spark, **paths, zone="Asia/Ho_Chi_Minh").orders
+            seen.append(orders.selectExpr("sum(hour(created_at))").first()[0])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert len(set(seen)) == 1
