@@ -48,7 +48,7 @@ ALLOW = (
     r"(?:[A-Za-z]*[0-9]{0,4}[-_/=])*[A-Za-z]*[0-9]{0,4}",                             # paths, slugs
 )
 
-_NLOGN = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
+_NLOGN = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]   # one more comes in first
 
 
 def _windows(run: str, threshold: float) -> list[tuple[int, int]]:
