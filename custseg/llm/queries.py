@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custseg.llm import ann, bpe, html_text, licenses, line_dedup, near_dedup, packing, quality, secrets, warc
+from custseg.llm import (ann, bpe, html_text, licenses, line_dedup, near_dedup, packing, quality,
+                         secrets, warc)
 from custseg.llm.common import map_batches, read_table, texts
 from custseg.session import checkpoint_dir
 
@@ -64,6 +65,45 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+OP5_SQL = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+           lambda w: w <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
+    END AS s
+  FROM docs
+), classes AS (
+  SELECT min(doc_id) AS c, list_sort(s) AS k, len(k) AS n, list(doc_id) AS members
+  FROM sets WHERE len(s) > 0 GROUP BY k
+), shingles AS (
+  SELECT c, n, unnest(k) AS x FROM classes
+), links AS (
+  SELECT a.c AS a, b.c AS b
+  FROM shingles a JOIN shingles b
+    ON a.x = b.x AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT c AS a, c AS b FROM classes
+  UNION
+  SELECT r.a, e.b FROM reached r JOIN both_ways e ON r.b = e.a
+), smallest AS (
+  SELECT a AS c, min(b) AS component_id FROM reached GROUP BY a
+), named AS (
+  SELECT unnest(members) AS doc_id, component_id FROM classes JOIN smallest USING (c)
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles,
+       coalesce(n.component_id, s.doc_id) AS component_id,
+       coalesce(n.component_id, s.doc_id) = s.doc_id AS kept
+FROM sets s LEFT JOIN named n USING (doc_id)
+"""
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"),
                        tokenizer_path("byte_bpe_50k.json"))
@@ -142,4 +182,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op4_warc": OP4_SQL, "op5_near_dedup": OP5_SQL, "op9_line_dedup": OP9_SQL}
