@@ -18,6 +18,60 @@ from custseg.session import checkpoint_dir
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+OP3_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                     lambda w: w <> '') AS w
+  FROM documents
+), grams AS (
+  SELECT doc_id, unnest(range(1, len(w) - 3)) AS i,
+         unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+           AS g
+  FROM docs WHERE len(w) > 5
+), repeated AS (
+  SELECT doc_id, unnest(range(i, i + 5)) AS place
+  FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM repeated GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM docs
+), worded AS (
+  SELECT doc_id, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s,
+         len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n,
+         row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS again
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), judged AS (
+  SELECT doc_id, n, again,
+         again
+         OR length(regexp_replace(s, '[^#*$%&|<>]', '', 'g'))
+            > 0.08 * length(regexp_replace(s, '[\x20\x09-\x0D]', '', 'g'))
+         OR (n < 4 AND NOT regexp_matches(s, '[.!?…:;,"''”’»)\]}。！？：；」』）।؟]$'))
+         OR (n <= 25 AND regexp_matches(s, '{boilerplate}', 'i'))
+         OR (n >= 4 AND items >= 4 AND n <= 3.0 * items) AS fails
+  FROM (SELECT *, len(list_filter(regexp_split_to_array(s,
+                 '\s[|•·»›>/]\s|\s*[|•·»›]\s*'), lambda x: x <> '')) AS items FROM worded)
+), lost AS (
+  SELECT doc_id, count(*) FILTER (again) AS n_dup_lines,
+         CAST(coalesce(sum(n) FILTER (fails), 0) AS BIGINT) AS lost_words
+  FROM judged GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(lost_words, 0) AS lost_words
+  FROM docs LEFT JOIN lost USING (doc_id) LEFT JOIN covered USING (doc_id)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+         AND lost_words <= 0.5 * n_words AS kept
+FROM counted
+""".replace("{boilerplate}", quality._BOILERPLATE.pattern)
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file on this machine."""
     import public_tokenizers
@@ -33,6 +87,59 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
+def _op2_sql() -> str:
+    """Votes by diagonal in SQL: the template table is written out as values."""
+    rows = []
+    every = ([(label, text, True) for text, label in licenses.BASE]
+             + [(label, text, False) for label, text in licenses.TEMPLATES])
+    for t, (label, text, is_base) in enumerate(every):
+        words = text.split()
+        rows += [f"({t}, '{label}', {is_base}, {i}, {len(words) - 1}, '{words[i]} {words[i + 1]}')"
+                 for i in range(len(words) - 1)]
+    return rf"""
+WITH template(t, label, is_base, t_pos, grams, gram) AS (VALUES {", ".join(rows)}),
+docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM documents
+), pairs AS (
+  SELECT doc_id, unnest(range(1, len(w))) - 1 AS pos,
+         unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram
+  FROM docs
+), votes AS (
+  SELECT doc_id, t, label, is_base, grams, pos - t_pos AS diagonal, count(*) AS votes
+  FROM pairs JOIN template USING (gram) GROUP BY ALL
+), marked AS (
+  SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal)
+                     > (grams + 1) // {licenses.WORDS_PER_SHIFT}, TRUE) AS new
+  FROM votes
+), numbered AS (
+  SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS span
+  FROM marked
+), spans AS (
+  SELECT doc_id, t, label, is_base, grams, min(diagonal) AS diagonal,
+         least(1.0, sum(votes) / CAST(grams AS DOUBLE)) AS cover
+  FROM numbered GROUP BY doc_id, t, label, is_base, grams, span
+), judged AS (
+  SELECT *, cover >= CASE WHEN is_base OR grams < {licenses.LONG_TEMPLATE} THEN 1.0
+                          ELSE {licenses.MIN_COVER} END AS found
+  FROM spans
+), found AS (
+  SELECT doc_id, count(*) FILTER (found AND is_base) AS n_base,
+         min(diagonal) FILTER (found AND is_base) AS first_word,
+         max(diagonal) FILTER (found AND is_base) AS last_word,
+         list_sort(list_distinct(list(label) FILTER (found AND is_base))) AS base,
+         list_sort(list_distinct(list(label) FILTER (found))) AS every, max(cover) AS score
+  FROM judged GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word,
+       last_word, coalesce(array_to_string(base, ','), '') AS base_labels,
+       coalesce(array_to_string(every, ','), '') AS labels, coalesce(score, 0.0) AS score
+FROM docs LEFT JOIN found USING (doc_id)
+"""
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
@@ -182,4 +289,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op5_near_dedup": OP5_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op2_license_scan": _op2_sql(), "op3_quality_rules": OP3_SQL, "op4_warc": OP4_SQL,
+            "op5_near_dedup": OP5_SQL, "op9_line_dedup": OP9_SQL}
