@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from custseg.llm import line_dedup, near_dedup, packing, quality, secrets
+from custseg.llm.common import materialize
 from custseg.llm.queries import tokenizer_path
-from custseg.session import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

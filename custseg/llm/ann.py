@@ -34,8 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from custseg.llm.common import map_batches
-from custseg.session import materialize_observed
+from custseg.llm.common import map_batches, materialize_observed
 
 K = 5
 EPSILON = 1.9
@@ -77,7 +76,7 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def search_block(codes: np.ndarray, scalars: np.ndarray, vectors: np.ndarray,
                  first_ids: np.ndarray, queries: np.ndarray, keep: int,
                  epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query row, vector row, cosine) of the ``keep`` best per query, and how many were reranked."""
+    """(query row, vector row, cosine) of the ``keep`` best per query; how many were reranked."""
     d = vectors.shape[1]
     signs = (np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1) / math.sqrt(d)
     error = epsilon * np.sqrt(np.maximum(1 - scalars ** 2, 0) / scalars ** 2 / max(d - 1, 1))

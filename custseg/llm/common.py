@@ -4,16 +4,49 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+
+from custseg import session
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"      # the characters \x20 and \x09-\x0D
-ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that operators write inside the block. Once the results that read them are
+    saved, ``session.delete_path`` removes them::
+
+        with recorded() as folders:
+            near_dedup.first_of_each(docs).write.parquet(out)
+        for folder in folders:
+            delete_path(spark, folder)
+    """
+    token = _WRITTEN.set([])
+    try:
+        yield _WRITTEN.get()
+    finally:
+        _WRITTEN.reset(token)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``session.materialize``, noted for ``recorded``."""
+    return session.materialize(df, name, _WRITTEN.get())
+
+
+def materialize_observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``session.materialize_observed``, noted for ``recorded``."""
+    return session.materialize_observed(df, name, _WRITTEN.get(), **metrics)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Let the Python workers of a local session import this package from any directory.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from custseg.session import materialize
+from custseg.llm.common import materialize
 
 
 def _roots(parents: DataFrame) -> DataFrame:

@@ -34,8 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from custseg.llm.common import ASCII_SPACE, map_batches, ship, texts
-from custseg.session import materialize
+from custseg.llm.common import ASCII_SPACE, map_batches, materialize, ship, texts
 
 MIN_CHARS = 40
 MIN_DOCS = 5

@@ -35,8 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custseg.llm.bpe import byte_letters
-from custseg.llm.common import map_batches, texts
-from custseg.session import materialize_observed
+from custseg.llm.common import map_batches, materialize_observed, texts
 
 MAX_TOKENS = 2048
 PIECES_PER_TASK = 250_000

@@ -42,10 +42,11 @@ _CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+")), ("alnum", re.compile(r"[a-z0-9
 
 # Runs that look random but are no secrets.
 ALLOW = (
-    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",   # UUID
-    r"(?:sha1|sha256|sha384|sha512|md5)[-=/_][0-9A-Za-z+/=_-]+",                      # checksum
-    r"[0-9_/+=-]+",                                                                   # numbers, dates
-    r"(?:[A-Za-z]*[0-9]{0,4}[-_/=])*[A-Za-z]*[0-9]{0,4}",                             # paths, slugs
+    # UUIDs; checksums named as such; numbers and dates; paths and slugs of plain words
+    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
+    r"(?:sha1|sha256|sha384|sha512|md5)[-=/_][0-9A-Za-z+/=_-]+",
+    r"[0-9_/+=-]+",
+    r"(?:[A-Za-z]*[0-9]{0,4}[-_/=])*[A-Za-z]*[0-9]{0,4}",
 )
 
 _NLOGN = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]   # one more comes in first
