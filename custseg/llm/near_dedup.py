@@ -13,8 +13,11 @@
 5. ``STAR_ROUNDS`` further rounds do the same with another hub per bucket, for members that are
    not yet in the hub's component. A dense group of near copies is connected after few rounds with
    one comparison per member instead of one per pair.
-6. What is left: pairs of one bucket whose components still differ. All of them are compared, so
-   no link between components is lost; members of one component need no comparison.
+6. What is left: classes that share a bucket and are in different components. In blocks of
+   ``BLOCK`` members of a bucket, sizes and estimates tell which class is likely near some member
+   of which component; in blocks of these classes and members their full sets are compared, and
+   one verified link joins the class to the component. Rows are classes and members, never their
+   pairs. No link between components is lost; members of one component need no comparison.
 
 At the limit of 0.8 a pair misses all ``BANDS`` bands with probability (1 - 0.8^6)^42 = 3e-6. The
 estimate drops pairs more than ``MARGIN`` (six standard errors) under the limit.
@@ -37,9 +40,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from custseg.llm.common import map_batches, texts
+from custseg.llm.common import map_batches, materialize, texts
 from custseg.llm.components import components
-from custseg.session import materialize
 
 WORDS = 2
 LIMIT_PCT = 80
@@ -47,6 +49,7 @@ BANDS, BAND_ROWS = 42, 6
 BASE, RATE, TOP = 1.001, 20.0, 65534
 MARGIN = 0.15
 STAR_ROUNDS = 2
+BLOCK = 1024
 
 _M = BANDS * BAND_ROWS
 _RNG = np.random.Generator(np.random.PCG64(20240601))
@@ -136,6 +139,134 @@ def likely_similarity(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray,
     return grid[np.arange(len(grid)), score.argmax(axis=1)]
 
 
+def _likely(na, nb, ra, rb, limit_pct: int) -> np.ndarray:
+    """Which pairs (rows) may reach the limit by their sizes and the estimate."""
+    near = 100 * np.minimum(na, nb) >= limit_pct * np.maximum(na, nb)
+    at = np.flatnonzero(near)
+    # equal registers alone settle most pairs; the rest are estimated jointly
+    at = at[(ra[at] == rb[at]).mean(axis=1) >= limit_pct / 100 - MARGIN - 0.05]
+    if len(at):
+        found = likely_similarity(ra[at], rb[at], na[at], nb[at])
+        at = at[found >= limit_pct / 100 - MARGIN]
+    near[:] = False
+    near[at] = True
+    return near
+
+
+def _groups(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...],
+            names: tuple[str, ...]) -> Iterator[tuple[tuple | None, list]]:
+    """(key, rows) of each group of a stream sorted by its keys; (None, []) after each batch."""
+    key, rows = None, []
+    for batch in batches:
+        for *new, row in zip(*(batch.column(k).to_pylist() for k in keys),
+                             zip(*(batch.column(n).to_pylist() for n in names))):
+            if new != key:
+                if rows:
+                    yield key, rows
+                key, rows = new, []
+            rows.append(row)
+        yield None, []
+    if rows:
+        yield key, rows
+
+
+def _ints(rows: list, at: int) -> np.ndarray:
+    return np.array([r[at] for r in rows], np.int64)
+
+
+def _registers_of(rows: list, at: int) -> np.ndarray:
+    return np.frombuffer(b"".join(r[at] for r in rows), "<u2").reshape(-1, _M)
+
+
+def _adjacent(limit_pct: int):
+    """Which members of a bucket are likely near a member of another component.
+
+    Rows come sorted by (h, i, j): the members of the blocks i and j of a bucket, about
+    2 * ``BLOCK`` at most. Each likely pair (x, y) gives (x, component of y, 1) - x asks that
+    component - and (y, its component, 0) - y answers for it; equal rows of a group are one.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: set[tuple[int, int, int]] = set()
+        for key, rows in _groups(batches, ("h", "i", "j"), ("block", "c", "p", "n", "regs")):
+            if key is None:
+                cols = list(zip(*out)) if out else ([], [], [])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
+                     pa.array(cols[2], pa.int32())], names=["c", "p", "asks"])
+                out = set()
+                continue
+            block, c, p, n = (_ints(rows, k) for k in range(4))
+            regs = _registers_of(rows, 4)
+            _, component, size = np.unique(p, return_inverse=True, return_counts=True)
+            largest = size.argmax()
+            for x in np.flatnonzero(component != largest).tolist():
+                # each pair once: a row outside the largest component against that, and against
+                # the later rows of the others; inside one block only for the pair (i, i)
+                other = (component != component[x]) & ((component == largest)
+                                                       | (np.arange(len(c)) > x))
+                if key[1] != key[2]:
+                    other &= block != block[x]
+                y = np.flatnonzero(other)
+                if len(y):
+                    y = y[_likely(np.full(len(y), n[x]), n[y],
+                                  np.broadcast_to(regs[x], (len(y), _M)), regs[y], limit_pct)]
+                out |= {(int(c[x]), q, 1) for q in set(p[y].tolist())}
+                out |= {(int(c[k]), int(p[k]), 0) for k in y.tolist()}
+        if out:
+            cols = list(zip(*out))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
+                 pa.array(cols[2], pa.int32())], names=["c", "p", "asks"])
+
+    return run
+
+
+def _compare(limit_pct: int):
+    """One verified link, if there is any, of every asking class with a component's members.
+
+    Rows come sorted by (p, i, j): a block of asking classes and a block of answering members.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for key, rows in _groups(batches, ("p", "i", "j"), ("asks", "c", "n", "regs", "text")):
+            if key is None:
+                yield link_batch(out)
+                out = []
+                continue
+            members = [r for r in rows if not r[0]]
+            if not members or len(members) == len(rows):
+                continue
+            c, n, regs = _ints(members, 1), _ints(members, 2), _registers_of(members, 3)
+            hashes = [shingle_hashes(r[4]) for r in members]
+            flat = np.concatenate(hashes)
+            starts = np.cumsum([0, *map(len, hashes)])[:-1]
+            for _, x, n_x, regs_x, text in (r for r in rows if r[0]):
+                near = _likely(np.full(len(c), n_x), n,
+                               np.broadcast_to(np.frombuffer(regs_x, "<u2"), (len(c), _M)), regs,
+                               limit_pct) & (c != x)
+                if not near.any():
+                    continue
+                own = shingle_hashes(text)
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                both = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
+                near &= 100 * both >= limit_pct * (n_x + n - both)
+                words = shingle_set(text)
+                for k in np.flatnonzero(near).tolist():       # hashes agree: now the words
+                    other = shingle_set(members[k][4])
+                    same = len(words & other)
+                    if 100 * same >= limit_pct * (len(words) + len(other) - same):
+                        out.append((x, int(c[k])))
+                        break
+        yield link_batch(out)
+
+    return run
+
+
+def link_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*pairs)) if pairs else ([], [])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+
 def _verify(limit_pct: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None, None                   # neighbouring rows often share a side
@@ -145,9 +276,7 @@ def _verify(limit_pct: int):
             na, nb = (batch.column(k).to_numpy() for k in ("na", "nb"))
             ra, rb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2")
                       .reshape(-1, _M) for k in ("ra", "rb"))
-            near = ((100 * np.minimum(na, nb) >= limit_pct * np.maximum(na, nb))
-                    & (likely_similarity(ra, rb, na, nb) >= limit_pct / 100 - MARGIN))
-            at = np.flatnonzero(near)
+            at = np.flatnonzero(_likely(na, nb, ra, rb, limit_pct))
             part = batch.select(["a", "b", "ta", "tb"]).take(pa.array(at))
             out = []
             for a, b, ta, tb in zip(*(c.to_pylist() for c in part.columns)):
@@ -157,9 +286,7 @@ def _verify(limit_pct: int):
                 both = len(sa & sb)
                 if 100 * both >= limit_pct * (len(sa) + len(sb) - both):
                     out.append((a, b))
-            cols = list(zip(*out)) if out else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
-                                             names=["a", "b"])
+            yield link_batch(out)
 
     return run
 
@@ -175,6 +302,49 @@ def _links(pairs: DataFrame, data: DataFrame, limit_pct: int) -> DataFrame:
                                    _verify(limit_pct), "a long, b long"), "near-links")
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(h, c, p) of the buckets whose members are in different components, written."""
+    placed = members.join(labels, "c", "left").select("h", "c", F.coalesce("p", "c").alias("p"))
+    mixed = (placed.groupBy("h").agg(F.min("p").alias("p0"), F.max("p").alias("p1"))
+             .filter("p0 <> p1").select("h"))
+    return materialize(placed.join(mixed, "h"), "mixed")
+
+
+def _links_across(open_: DataFrame, data: DataFrame, limit_pct: int) -> DataFrame:
+    """Verified links between components: one, if there is any, for every class and component
+    that meet in a bucket."""
+    def number(df, keys, name):
+        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+
+    def block(n):
+        return F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    # 1. by registers, in pairs (i <= j) of blocks of a bucket
+    placed = (open_.join(number(open_, ["h"], "blocks"), "h").withColumn("block", block("blocks"))
+              .join(data.select("c", "n", "regs"), "c").withColumn("o", every("blocks"))
+              .select("h", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"),
+                      "block", "c", "p", "n", "regs"))
+    meets = materialize(
+        map_batches(placed.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j"),
+                    _adjacent(limit_pct), "c long, p long, asks int").distinct(), "meets")
+    # 2. by full sets, in pairs of blocks (asking classes, answering members) of a component
+    asking, answering = meets.filter("asks = 1"), meets.filter("asks = 0")
+    sizes = (number(asking, ["p"], "n_asking").join(number(answering, ["p"], "n_answering"), "p"))
+    asking = (asking.join(sizes, "p").withColumn("i", block("n_asking"))
+              .withColumn("j", every("n_answering")))
+    answering = (answering.join(sizes, "p").withColumn("j", block("n_answering"))
+                 .withColumn("i", every("n_asking")))
+    columns = ["p", "i", "j", "asks", "c"]
+    full = (asking.select(*columns).unionByName(answering.select(*columns))
+            .join(data.select("c", "n", "regs", "text"), "c"))
+    return materialize(
+        map_batches(full.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j"),
+                    _compare(limit_pct), "a long, b long"), "near-links")
+
+
 def _text_key():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
@@ -211,26 +381,18 @@ def _grouped(docs: DataFrame, limit_pct: int) -> DataFrame:
 
     tested = data.filter("hub <> c").select(F.col("c").alias("a"), F.col("hub").alias("b"))
     labels = components(_links(tested, data, limit_pct))
-    for turn in range(STAR_ROUNDS + 1):
-        placed = members.join(labels, "c", "left").select(
-            "h", "c", F.coalesce("p", "c").alias("p"))
-        mixed = (placed.groupBy("h").agg(F.min("p").alias("p0"), F.max("p").alias("p1"))
-                 .filter("p0 <> p1").select("h"))
-        open_ = materialize(placed.join(mixed, "h"), "mixed")
-        if open_.isEmpty():
-            break
-        if turn < STAR_ROUNDS:
-            drawn = F.xxhash64("c", F.lit(turn))
-            hub = open_.groupBy("h").agg(F.min(F.struct(drawn, "c", "p")).alias("x"))
-            pairs = (open_.join(hub, "h").filter("p <> x.p")
-                     .select(F.greatest("c", "x.c").alias("a"), F.least("c", "x.c").alias("b")))
-        else:
-            other = open_.select("h", F.col("c").alias("c2"), F.col("p").alias("p2"))
-            pairs = (open_.join(other, "h").filter("c > c2 AND p <> p2")
-                     .select(F.col("c").alias("a"), F.col("c2").alias("b")))
+    turn, open_ = 0, _mixed(members, labels)
+    while turn < STAR_ROUNDS and not open_.isEmpty():
+        drawn = F.xxhash64("c", F.lit(turn))
+        hub = open_.groupBy("h").agg(F.min(F.struct(drawn, "c", "p")).alias("x"))
+        pairs = (open_.join(hub, "h").filter("p <> x.p")
+                 .select(F.greatest("c", "x.c").alias("a"), F.least("c", "x.c").alias("b")))
         pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
         labels = components(_links(pairs, data, limit_pct), labels)
+        turn, open_ = turn + 1, _mixed(members, labels)
+    if not open_.isEmpty():
+        labels = components(_links_across(open_, data, limit_pct), labels)
 
     grouped = classes.select("s1", "s2", "c", "first_doc").join(labels, "c", "left")
     smallest = (grouped.filter("p IS NOT NULL").groupBy("p")
