@@ -38,7 +38,7 @@ _PATTERN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 CACHE_CHARS = 48
 _END = 1 << 30
 
@@ -136,7 +136,7 @@ class Vocabulary:
         key = a << 20 | b
         known = self._compatible.get(key)
         if known is None:
-            if len(self._compatible) >= 2 * CACHE_ENTRIES:
+            if len(self._compatible) >= CACHE_ENTRIES:
                 self._compatible.clear()
             known = self._compatible[key] = (key not in self.rank
                                              and self._first_cross(a, b) == _END)
