@@ -39,7 +39,7 @@ from custseg.llm.common import map_batches, materialize_observed, texts
 
 MAX_TOKENS = 2048
 PIECES_PER_TASK = 250_000
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 CACHE_CHARS = 48
 
 # The splitting pattern of the word vocabulary.
