@@ -1,6 +1,6 @@
 """Near-duplicates by SetSketch: banded registers, joint likelihood, exact verification.
 
-1. One pass turns each text into its set of distinct word shingles and a SetSketch: every
+1. One pass turns each text into its set of distinct shingles (``words`` words) and a SetSketch: every
    register is the largest of floor(1 - log_b x) over the shingles, with x exponential (rate a)
    per shingle and register; only the smallest x matters, so registers of parts merge by maximum.
    The rows (no text) are written once.
@@ -93,19 +93,22 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(smallest) / np.log(BASE)), 0, TOP + 1).astype("<u2")
 
 
-def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sig, size, regs = [], [], []
-        for text in texts(batch, "text"):
-            h = shingle_hashes(text)
-            size.append(len(h))
-            sig.append(xxhash.xxh3_128_digest(h.tobytes()))
-            regs.append(registers(h).tobytes() if len(h) else None)
-        pair = np.frombuffer(b"".join(sig), "<i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_key"), pa.array(pair[:, 0]),
-             pa.array(pair[:, 1]), pa.array(size, pa.int64()), pa.array(regs, pa.binary())],
-            names=["doc_id", "text_key", "s1", "s2", "n", "regs"])
+def _sketch(words: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, size, regs = [], [], []
+            for text in texts(batch, "text"):
+                h = shingle_hashes(text, words)
+                size.append(len(h))
+                sig.append(xxhash.xxh3_128_digest(h.tobytes()))
+                regs.append(registers(h).tobytes() if len(h) else None)
+            pair = np.frombuffer(b"".join(sig), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(pair[:, 0]),
+                 pa.array(pair[:, 1]), pa.array(size, pa.int64()), pa.array(regs, pa.binary())],
+                names=["doc_id", "text_key", "s1", "s2", "n", "regs"])
+
+    return run
 
 
 def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +224,7 @@ def _adjacent(limit_pct: int):
     return run
 
 
-def _compare(limit_pct: int):
+def _compare(limit_pct: int, size: int):
     """One verified link, if there is any, of every asking class with a component's members.
 
     Rows come sorted by (p, i, j): a block of asking classes and a block of answering members.
@@ -237,7 +240,7 @@ def _compare(limit_pct: int):
             if not members or len(members) == len(rows):
                 continue
             c, n, regs = _ints(members, 1), _ints(members, 2), _registers_of(members, 3)
-            hashes = [shingle_hashes(r[4]) for r in members]
+            hashes = [shingle_hashes(r[4], size) for r in members]
             flat = np.concatenate(hashes)
             starts = np.cumsum([0, *map(len, hashes)])[:-1]
             for _, x, n_x, regs_x, text in (r for r in rows if r[0]):
@@ -246,13 +249,13 @@ def _compare(limit_pct: int):
                                limit_pct) & (c != x)
                 if not near.any():
                     continue
-                own = shingle_hashes(text)
+                own = shingle_hashes(text, size)
                 at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
                 both = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
                 near &= 100 * both >= limit_pct * (n_x + n - both)
-                words = shingle_set(text)
+                words = shingle_set(text, size)
                 for k in np.flatnonzero(near).tolist():       # hashes agree: now the words
-                    other = shingle_set(members[k][4])
+                    other = shingle_set(members[k][4], size)
                     same = len(words & other)
                     if 100 * same >= limit_pct * (len(words) + len(other) - same):
                         out.append((x, int(c[k])))
@@ -267,7 +270,7 @@ def link_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
 
-def _verify(limit_pct: int):
+def _verify(limit_pct: int, words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None, None                   # neighbouring rows often share a side
         for batch in batches:
@@ -281,8 +284,8 @@ def _verify(limit_pct: int):
             out = []
             for a, b, ta, tb in zip(*(c.to_pylist() for c in part.columns)):
                 if last[0] != b:
-                    last = b, shingle_set(tb)
-                sa, sb = shingle_set(ta), last[1]
+                    last = b, shingle_set(tb, words)
+                sa, sb = shingle_set(ta, words), last[1]
                 both = len(sa & sb)
                 if 100 * both >= limit_pct * (len(sa) + len(sb) - both):
                     out.append((a, b))
@@ -291,7 +294,7 @@ def _verify(limit_pct: int):
     return run
 
 
-def _links(pairs: DataFrame, data: DataFrame, limit_pct: int) -> DataFrame:
+def _links(pairs: DataFrame, data: DataFrame, limit_pct: int, words: int) -> DataFrame:
     """The verified ones of ``pairs`` (a, b), written."""
     def side(s):
         return data.select(F.col("c").alias(s), F.col("n").alias("n" + s),
@@ -299,7 +302,7 @@ def _links(pairs: DataFrame, data: DataFrame, limit_pct: int) -> DataFrame:
 
     full = pairs.join(side("a"), "a").join(side("b"), "b")
     return materialize(map_batches(full.select("a", "b", "na", "nb", "ra", "rb", "ta", "tb"),
-                                   _verify(limit_pct), "a long, b long"), "near-links")
+                                   _verify(limit_pct, words), "a long, b long"), "near-links")
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -310,7 +313,7 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(placed.join(mixed, "h"), "mixed")
 
 
-def _links_across(open_: DataFrame, data: DataFrame, limit_pct: int) -> DataFrame:
+def _links_across(open_: DataFrame, data: DataFrame, limit_pct: int, words: int) -> DataFrame:
     """Verified links between components: one, if there is any, for every class and component
     that meet in a bucket."""
     def number(df, keys, name):
@@ -342,18 +345,18 @@ def _links_across(open_: DataFrame, data: DataFrame, limit_pct: int) -> DataFram
             .join(data.select("c", "n", "regs", "text"), "c"))
     return materialize(
         map_batches(full.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j"),
-                    _compare(limit_pct), "a long, b long"), "near-links")
+                    _compare(limit_pct, words), "a long, b long"), "near-links")
 
 
 def _text_key():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _grouped(docs: DataFrame, limit_pct: int) -> DataFrame:
+def _grouped(docs: DataFrame, limit_pct: int, words: int) -> DataFrame:
     """One row per input row: doc_id, text_key, n, found (first document of the component)."""
     source = docs.select("doc_id", "text", _text_key().alias("text_key"))
     rows = materialize(
-        map_batches(source, _sketch, "doc_id long, text_key long, s1 long, s2 long, n long, "
+        map_batches(source, _sketch(words), "doc_id long, text_key long, s1 long, s2 long, n long, "
                                      "regs binary")
         .withColumn("row", F.monotonically_increasing_id()), "sketches")
     classes = materialize(
@@ -380,7 +383,7 @@ def _grouped(docs: DataFrame, limit_pct: int) -> DataFrame:
         .select("c", "hub", "n", "regs", "text"), "near-texts")
 
     tested = data.filter("hub <> c").select(F.col("c").alias("a"), F.col("hub").alias("b"))
-    labels = components(_links(tested, data, limit_pct))
+    labels = components(_links(tested, data, limit_pct, words))
     turn, open_ = 0, _mixed(members, labels)
     while turn < STAR_ROUNDS and not open_.isEmpty():
         drawn = F.xxhash64("c", F.lit(turn))
@@ -389,10 +392,10 @@ def _grouped(docs: DataFrame, limit_pct: int) -> DataFrame:
                  .select(F.greatest("c", "x.c").alias("a"), F.least("c", "x.c").alias("b")))
         pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
-        labels = components(_links(pairs, data, limit_pct), labels)
+        labels = components(_links(pairs, data, limit_pct, words), labels)
         turn, open_ = turn + 1, _mixed(members, labels)
     if not open_.isEmpty():
-        labels = components(_links_across(open_, data, limit_pct), labels)
+        labels = components(_links_across(open_, data, limit_pct, words), labels)
 
     grouped = classes.select("s1", "s2", "c", "first_doc").join(labels, "c", "left")
     smallest = (grouped.filter("p IS NOT NULL").groupBy("p")
@@ -404,20 +407,20 @@ def _grouped(docs: DataFrame, limit_pct: int) -> DataFrame:
             .select("doc_id", "text_key", "n", "found"))
 
 
-def near_duplicates(docs: DataFrame, limit_pct: int = LIMIT_PCT) -> DataFrame:
+def near_duplicates(docs: DataFrame, limit_pct: int = LIMIT_PCT, words: int = WORDS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
-    return (_grouped(docs, limit_pct)
+    return (_grouped(docs, limit_pct, words)
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("found.doc_id"))
                     .alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
-def first_of_each(docs: DataFrame, limit_pct: int = LIMIT_PCT) -> DataFrame:
+def first_of_each(docs: DataFrame, limit_pct: int = LIMIT_PCT, words: int = WORDS) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: its smallest doc_id (of rows that
     share it, one). Rows without words are in no group and stay."""
     names = docs.columns
-    first = (_grouped(docs, limit_pct).filter("n > 0")
+    first = (_grouped(docs, limit_pct, words).filter("n > 0")
              .select(F.col("found.doc_id").alias("_first_doc"),
                      F.col("found.text_key").alias("_first_key")).distinct())
     has_words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")

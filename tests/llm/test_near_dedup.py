@@ -98,6 +98,19 @@ def test_first_of_each(docs_of):
     assert sum(r["text"] is None for r in out.collect()) == 2
 
 
+def test_five_word_shingles_keep_edited_texts_that_two_word_shingles_join(docs_of):
+    base = [f"w{i}" for i in range(400)]
+    edited = [f"e{i}" if i % 40 == 20 else w for i, w in enumerate(base)]
+    near = [f"e{i}" if i == 20 else w for i, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(edited)), (3, " ".join(near))]
+    sets = {w: [nd.shingle_set(t, w) for _, t in rows] for w in (2, 5)}
+    assert linked(sets[2][0], sets[2][1]) and not linked(sets[5][0], sets[5][1])
+    assert linked(sets[5][0], sets[5][2])
+    docs = docs_of(rows)
+    assert [r["doc_id"] for r in nd.first_of_each(docs).collect()] == [1]
+    assert sorted(r["doc_id"] for r in nd.first_of_each(docs, words=5).collect()) == [1, 2]
+
+
 def test_very_long_text(docs_of):
     rnd = random.Random(5)
     long = words(rnd, 60_000)
