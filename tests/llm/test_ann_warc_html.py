@@ -177,6 +177,26 @@ def test_regions(markup, text):
     assert html_text.main_texts([markup]) == [text]
 
 
+@pytest.mark.parametrize("markup, text", [
+    ("<div class='layout has-sidebar'><article><p>text</p></article></div>", "text"),
+    ("<div class='layout has-sidebar'><p>text</p></div>", "text"),
+    ("<div id='no-sidebar'><p>text</p></div>", "text"),
+    ("<div class='elementor-widget elementor-widget-theme-post-content'><p>text</p></div>", "text"),
+    ("<article class='post comments-open category-notice tag-ads'><p>text</p></article>", "text"),
+    ("<article class='post notice'><p>text</p></article>", "text"),
+    ("<div class='widget'><p>no</p><article><p>text</p></article><p>no</p></div>", "text"),
+    ("<form id=aspnetForm><div class=sidebar><main><p>text</p></main></div></form>", "text"),
+    ("<div class=sidebar><article>teaser</article></div><article>text</article>", "text"),
+    ("<main><p>text</p><div id=comments><article>reply</article></div></main>", "text"),
+    ("<p>text</p><div class='related-posts'><article>teaser</article></div>", "text"),
+    ("<p>text</p><div class='site-footer'>no</div><div class='nav__list'>no</div>"
+     "<div class='footer--dark'>no</div><div class='post-comments'>no</div>", "text"),
+    ("<article>text<div class='widget'>no</div><div hidden><article>no</article></div></article>",
+     "text")])
+def test_names_mark_out_as_a_whole(markup, text):
+    assert html_text.main_texts([page(markup)]) == [text]
+
+
 def test_repeats_on_pages_without_marks():
     bar = "<p>Buy our great things at the shop today for less money</p>"
     pages = [page(f"<p>Story number {i} is told here only {'x' * i}</p>{bar}") for i in range(5)]
