@@ -209,6 +209,34 @@ def test_repeats_on_pages_without_marks():
     assert all("Buy our" in t for t in html_text.main_texts(marked))
 
 
+def test_repeats_are_counted_over_the_whole_host(spark, monkeypatch):
+    """The result does not depend on host size, buckets, cells or group borders."""
+    monkeypatch.setattr(html_text, "CELLS", 1)
+    rnd = random.Random(9)
+
+    def story():
+        return f"<p>{' '.join(f'w{rnd.randrange(10**6)}' for _ in range(20))}</p>"
+
+    def passage(name):
+        return f"<p>{' '.join(f'{name}{i}' for i in range(12))}</p>"
+
+    hosts = {"hot": [page(story() + (passage("rare") if i % 40 == 0 else "") + passage("bar"))
+                     for i in range(400)],
+             "small": [page(story() + (passage("rare") if i < 3 else "")) for i in range(6)],
+             "two": [page(story() + (passage("rare") if i < 2 else "")) for i in range(6)]}
+    hosts["hot"] += [hosts["hot"][0]] * 5
+    hosts["two"] += [hosts["two"][0]] * 5                  # equal pages count once
+    rows = [(i, f"https://{h}.example/{i}", html_) for i, (h, html_) in enumerate(
+        (h, x) for h, own in hosts.items() for x in own)]
+    expected = [t for own in hosts.values() for t in html_text.main_texts(own)]
+    assert sum("rare0" in t for t in expected) == 2 + 5 and not any("bar0" in t for t in expected)
+    for chars in (html_text.GROUP_CHARS, 2000):
+        monkeypatch.setattr(html_text, "GROUP_CHARS", chars)
+        got = html_text.extract(pages_of(spark, rows), group_pages=8).collect()
+        assert {r["page_id"]: r["text"] for r in got} == dict(enumerate(expected))
+        assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
 def test_repeated_tokens_against_brute_force():
     rnd = random.Random(6)
     for _ in range(40):
