@@ -1,7 +1,9 @@
 """Line-first cleaning: rules judge every line, then the document by what the rules remove.
 
 A line fails if it is symbol-heavy, a navigation bar, boilerplate, or a short fragment without
-closing punctuation; a line equal to an earlier line of its document fails as a repeat. A
+closing punctuation; a line equal to an earlier line of its document fails as a repeat. ``judge``
+(op3) takes a boilerplate phrase anywhere in a line, as its SQL does; ``clean`` deletes text, so it
+wants whole words that make up half of a sentence, or a label of a few words that holds them. A
 document is rejected if its failing lines hold more than ``max_lost`` of its words, or by the
 base rules (too few words, too many repeated 5-word windows).
 
@@ -26,6 +28,7 @@ from custseg.llm.common import ASCII_SPACE, map_batches, replace_text, texts
 
 SYMBOLS = "#*$%&|<>"
 GRAM = 5
+LABEL_WORDS = 6
 
 
 @dataclass(frozen=True)
@@ -40,9 +43,11 @@ class Rules:
     nav_items: int = 4              # items of a navigation bar
     nav_item_words: float = 3.0     # mean words of its items, at most
     max_lost: float = 0.5           # share of a document's words that may be removed
+    phrase_share: float = 0.0       # of a sentence's words that boilerplate phrases hold, at least
 
 
-DEFAULT = Rules()
+DEFAULT = Rules()                           # op3: a phrase anywhere in the line
+CLEANING = Rules(phrase_share=0.5)          # text is deleted: whole phrases that make up the line
 
 # Closing punctuation and boilerplate phrases.
 _CLOSING = tuple(".!?…:;,\"'”’»)]}。！？：；」』）।؟")
@@ -50,6 +55,16 @@ _BOILERPLATE = re.compile(
     r"cookie|javascript|privacy policy|terms of (?:use|service)|all rights reserved|"
     r"click here|read more|sign (?:in|up)|log ?in|subscribe|newsletter|share (?:this|on)|"
     r"copyright|powered by|skip to (?:main )?content|lorem ipsum", re.IGNORECASE | re.ASCII)
+# The same phrases between word borders, with the words that make them a site's own notice.
+_NOTICE = re.compile(
+    r"(?<!\w)(?:(?:(?:we|(?:this|our) (?:web)?site) uses? )?cookies?"
+    r"(?: (?:policy|settings|preferences|on (?:this|our) (?:web)?site))?"
+    r"|(?:please )?(?:enable|activate|requires?) javascript|javascript"
+    r"|(?:our )?privacy policy|(?:our )?terms of (?:use|service)|all rights reserved"
+    r"|click here|read more|(?:please )?sign (?:in|up)|(?:please )?log ?in"
+    r"|(?:please )?subscribe(?: to our newsletter)?|(?:our )?newsletter|share (?:this|on)"
+    r"|copyright|powered by|skip to (?:main )?content|lorem ipsum)(?!\w)", re.IGNORECASE)
+_SENTENCE_END = re.compile(r"[.!?…。！？।؟][\"'”’»)\]]*\Z")
 _NAV = re.compile(r"\s[|•·»›>/]\s|\s*[|•·»›]\s*")
 
 
@@ -60,6 +75,22 @@ _HINTS = ("cookie", "javascript", "privacy", "terms of", "rights reserved", "cli
 _SEPARATORS = "|•·»›>/"
 
 
+def _boilerplate(line: str, rules: Rules) -> bool:
+    """Whether boilerplate phrases fail a line: any, or those that make up most of a sentence.
+
+    A line that does not end as one counts as no sentence if it is as short as a label; longer
+    ones are prose whose punctuation was lost or runs on in the next line.
+    """
+    if not rules.phrase_share:
+        return _BOILERPLATE.search(line) is not None
+    held = sum(len(m.group().split()) for m in _NOTICE.finditer(line))
+    if not held:
+        return False
+    n_words = len(line.split())
+    label = n_words <= LABEL_WORDS and not _SENTENCE_END.search(line)
+    return label or held >= rules.phrase_share * n_words
+
+
 def line_fails(line: str, rules: Rules = DEFAULT, symbols: bool = True,
                hints: bool = True) -> bool:
     """Whether the punctuation, symbol, navigation or boilerplate rule fails a line with words.
@@ -74,7 +105,7 @@ def line_fails(line: str, rules: Rules = DEFAULT, symbols: bool = True,
     n_words = len(line.split(None, max(rules.boilerplate_words, rules.fragment_words)))
     if n_words < rules.fragment_words and not line.endswith(_CLOSING):
         return True
-    if hints and n_words <= rules.boilerplate_words and _BOILERPLATE.search(line):
+    if hints and n_words <= rules.boilerplate_words and _boilerplate(line, rules):
         return True
     if not any(c in line for c in _SEPARATORS):
         return False
@@ -162,7 +193,7 @@ def judge(docs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
                        "base_failed boolean, kept boolean")
 
 
-def cleaned(text: str, rules: Rules = DEFAULT) -> str | None:
+def cleaned(text: str, rules: Rules = CLEANING) -> str | None:
     """The text without its failing lines; None if the document is rejected."""
     n, _, _, _, rep, lost, kept = measure(text, rules)
     if not verdict(n, rep, lost, rules)[1]:
@@ -172,6 +203,6 @@ def cleaned(text: str, rules: Rules = DEFAULT) -> str | None:
     return "\n".join([x for x, k in zip(text.split("\n"), kept) if k])
 
 
-def clean(docs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+def clean(docs: DataFrame, rules: Rules = CLEANING) -> DataFrame:
     """``docs`` without rejected documents and without the failing lines of the others."""
     return replace_text(docs, lambda ts: [cleaned(t, rules) for t in ts])

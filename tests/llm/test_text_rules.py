@@ -56,6 +56,41 @@ def test_line_rules(line, fails):
     assert quality.line_fails(line) is fails
 
 
+PROSE = [
+    "And is erer. Ereaes oftheshare onstor.", "The catalog in the hall lists every book.",
+    "A dialog in the third act was cut.", "Her design in blue won the prize last year.",
+    "She baked one cookie for every child.", "JavaScript was written in ten days in May 1995.",
+    "The privacy policy of the town dates from 1970.", "Its terms of use were debated all summer.",
+    "He sold the book with all rights reserved in 1920.", "The manual told readers to click here first.",
+    "Every child should read more poems at school.", "Guests sign in at the desk on the left.",
+    "Many sign up for the choir each autumn.", "Pilots log in with a card and a long number.",
+    "Few scholars subscribe to that theory today.", "The parish newsletter came out every Friday.",
+    "Neighbours share this well in the dry months.", "They share on average two meals a day.",
+    "The copyright on the song expired in 1998.", "The mill was powered by the river below.",
+    "Hurried readers skip to content they know already.", "The words lorem ipsum come from Cicero."]
+
+
+@pytest.mark.parametrize("line", PROSE)
+def test_cleaning_keeps_prose_that_mentions_a_phrase(line):
+    assert not quality.line_fails(line, quality.CLEANING)
+    assert quality.line_fails(line)                 # op3 and its SQL: a phrase anywhere
+
+
+@pytest.mark.parametrize("line", [
+    "We use cookies on this site.", "This website uses cookies.", "Click here", "Read more ...",
+    "Copyright 2024 All rights reserved.", "Sign in or sign up", "Share this on Facebook today",
+    "Privacy Policy, Terms of Service", "Please enable JavaScript.", "Skip to main content",
+    "Powered by WordPress and friends", "Subscribe to our newsletter!", "Log in"])
+def test_cleaning_fails_boilerplate(line):
+    assert quality.line_fails(line, quality.CLEANING)
+
+
+def test_clean_keeps_documents_on_javascript_cookies_and_copyright(docs_of):
+    text = "\n".join(PROSE)
+    assert [r["text"] for r in quality.clean(docs_of([text, "\n".join(PROSE[4:8])])).collect()
+            ] == [text, "\n".join(PROSE[4:8])]
+
+
 def test_clean_keeps_good_documents_and_lines(docs_of):
     good = (GOOD + "\nNobody in the village remembers who built it or why.\n"
             "Some say a miller came from the north with nothing but two stones.")
