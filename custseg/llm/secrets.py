@@ -4,9 +4,10 @@ Fixed patterns give the base spans (assignments, access key ids, long lower-case
 method then takes every run of key-like characters, classifies it (hex, lower-case
 alphanumeric, base64-like) and slides a window over it. The window's Shannon entropy comes from
 character counts that change by one character in and one out per step, so a run costs time in
-proportion to its length. Windows over the threshold of their class that mix letters and digits
-merge into ``entropy`` spans; runs that match the allow-list (UUIDs, checksums named as such,
-dates, paths of plain words) and spans inside a base span are suppressed.
+proportion to its length. A run with a window over the threshold of its class is one ``entropy``
+span, whole. Windows of mixed-case and base64 runs need no digits; others mix letters and digits.
+Runs that match the allow-list (UUIDs, checksums named as such, dates, paths and camel case of
+plain words) and spans inside a base span are suppressed.
 
 Each text is scanned on its own in the task that reads it: nothing is shuffled. Defined
 results: a null text counts as empty and has no spans; repeated rows give repeated result rows;
@@ -37,23 +38,38 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 # Window length and entropy thresholds (bits per character) by character class.
 WINDOW = 20
 THRESHOLDS = {"hex": 3.0, "alnum": 3.5, "base64": 3.7}
+# Least number of digits, and of other characters, of a window. Mixed case or a plus sign tells keys
+# from words already; lower-case words with separators need more.
+MIN_DIGITS = {"hex": 1, "alnum": 1, "base64": 0}
+SLUG_DIGITS = 2
+_SLUG = re.compile(r"[a-z0-9/_=-]+|[A-Z0-9/_=-]+")
 _CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+")), ("alnum", re.compile(r"[a-z0-9]+")),
             ("base64", re.compile(r"[A-Za-z0-9+/_=-]+")))
 
+# Plain words in a row: lower case, capitalized, upper case or camel case. Single letters and pairs
+# in between are few fixed ones, as a random mixed-case string nearly always has others. Groups are
+# atomic, so the time stays in proportion to the run.
+_WORDS = (r"(?>(?:[a-z](?=[A-Z])|[A-Za-z](?![A-Za-z]))?+"
+          r"(?:(?:An|As|At|Be|By|Db|Do|Go|He|Id|If|In|Io|Is|It|Mc|Me|My|No|Of|On|Or|So|To|Ui|Up|Us|"
+          r"We)(?![a-z])|[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[A-Z](?![A-Za-z]))*+)")
+
 # Runs that look random but are no secrets.
 ALLOW = (
     # UUIDs; checksums named as such; numbers and dates; paths and slugs of plain words
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"(?:sha1|sha256|sha384|sha512|md5)[-=/_][0-9A-Za-z+/=_-]+",
     r"[0-9_/+=-]+",
-    r"(?:[A-Za-z]*[0-9]{0,4}[-_/=])*[A-Za-z]*[0-9]{0,4}",
+    rf"(?:{_WORDS}[0-9]{{0,4}}+[-_/=+])*+{_WORDS}[0-9]{{0,4}}+",
 )
 
 _NLOGN = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]   # one more comes in first
 
 
-def _windows(run: str, threshold: float) -> list[tuple[int, int]]:
-    """Merged windows of ``run`` with letters, digits and at least ``threshold`` bits."""
+def _windows(run: str, threshold: float, min_digits: int = 2) -> list[tuple[int, int]]:
+    """Merged windows of ``run`` with letters, digits and at least ``threshold`` bits.
+
+    ``min_digits`` is the least number of digits, and of other characters, of a window.
+    """
     counts: dict[str, int] = {}
     total, digits, found = 0.0, 0, []
     need = (math.log2(WINDOW) - threshold) * WINDOW      # entropy >= threshold: total <= need
@@ -68,7 +84,7 @@ def _windows(run: str, threshold: float) -> list[tuple[int, int]]:
             counts[old] = c - 1
             total += _NLOGN[c - 1] - _NLOGN[c]
             digits -= "0" <= old <= "9"
-        if i >= WINDOW - 1 and 2 <= digits <= WINDOW - 2 and total <= need + 1e-9:
+        if i >= WINDOW - 1 and min_digits <= digits <= WINDOW - min_digits and total <= need + 1e-9:
             start = i - WINDOW + 1
             if found and start <= found[-1][1]:
                 found[-1] = (found[-1][0], i + 1)
@@ -94,10 +110,12 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         at, run = m.start(), m.group()
         base += [(at + x.start(), at + x.end(), "hex") for x in _HEX.finditer(run)
                  if x.end() - x.start() >= 32]
-        if not any("0" <= c <= "9" for c in run) or _ALLOWED.fullmatch(run):
+        if _ALLOWED.fullmatch(run):
             continue
         kind = next(k for k, p in _CLASSES if p.fullmatch(run))
-        found += [(at + a, at + b) for a, b in _windows(run, THRESHOLDS[kind])]
+        digits = SLUG_DIGITS if kind == "base64" and _SLUG.fullmatch(run) else MIN_DIGITS[kind]
+        if _windows(run, THRESHOLDS[kind], digits):
+            found.append((at, m.end()))
     base.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     extra = [(a, b, "entropy") for a, b in found
              if not any(x <= a and b <= y for x, y, _ in base)]

@@ -155,6 +155,27 @@ def test_entropy_spans_and_allow_list():
         assert secrets.spans(f"see {harmless} there") == []
 
 
+@pytest.mark.parametrize("letters", [
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + x for x in ("", "+/", "-_")]
+    + ["abcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF"])
+@pytest.mark.parametrize("n, least", [(20, 0.95), (24, 0.98), (32, 0.995), (40, 0.998), (64, 0.999)])
+def test_random_keys_are_found_whole(letters, n, least):
+    rnd = random.Random(n)
+    keys = ["".join(rnd.choices(letters, k=n)) for _ in range(1000)]
+    found = [secrets.spans(f"my key {k} here") for k in keys]
+    assert sum(map(bool, found)) >= least * len(keys)
+    assert all(any(a <= 7 and b >= 7 + n for a, b, _ in f) for f in found if f)
+
+
+def test_key_with_one_digit_and_plain_words():
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    assert secrets.redacted(f"use {key} now") == "use [SECRET] now"
+    for harmless in ("getElementByIdAndSomethingElse", "parseXMLDocumentFromString", "word2vec-for-all-of-us",
+                     "src/main/java/com/example/MyClass", "iPhoneUsersAreHereForEver", "THE_LONG_CONSTANT_NAME_2"):
+        assert secrets.spans(f"see {harmless} there") == []
+    assert secrets.spans("Ab" * 50_000 + "aB" * 50_000) == []
+
+
 def test_entropy_equals_a_direct_count():
     import math
     rnd = random.Random(2)
