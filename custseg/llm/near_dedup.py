@@ -16,8 +16,8 @@
 6. What is left: classes that share a bucket and are in different components. In blocks of
    ``BLOCK`` members of a bucket, sizes and estimates tell which class is likely near some member
    of which component; in blocks of these classes and members their full sets are compared, and
-   one verified link joins the class to the component. Rows are classes and members, never their
-   pairs. No link between components is lost; members of one component need no comparison.
+   one verified link joins the class to the component. Rows are (class, component) and members;
+   where similar classes are each their own component, these are as many as their pairs. No link between components is lost; members of one component need no comparison.
 
 At the limit of 0.8 a pair misses all ``BANDS`` bands with probability (1 - 0.8^6)^42 = 3e-6. The
 estimate drops pairs more than ``MARGIN`` (six standard errors) under the limit.
