@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custseg.llm import (ann, bpe, html_text, licenses, line_dedup, near_dedup, packing, quality,
-                         secrets, warc)
+from custseg.llm import (ann, bpe, filter_audit, html_text, licenses, line_dedup, near_dedup,
+                         packing, quality, secrets, warc)
 from custseg.llm.common import map_batches, read_table, texts
 from custseg.session import checkpoint_dir
 
@@ -273,6 +273,64 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"),
+                              read_table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                     lambda x: x <> '') AS w
+  FROM documents
+), judged AS (
+  SELECT doc_id, part,
+         CASE WHEN len(w) < 50 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text)
+                 THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM docs
+), marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic
+  FROM labels GROUP BY doc_id
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a JOIN letters b ON b.x <> a.x JOIN letters c ON c.x NOT IN (a.x, b.x)
+       JOIN letters d ON d.x NOT IN (a.x, b.x, c.x)
+       JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+), groups AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good,
+         count(*) FILTER (toxic) AS toxic
+  FROM judged LEFT JOIN marks USING (doc_id) GROUP BY part, fails
+), met AS (
+  SELECT g.*, filter_order, step, substr(filter_order, step, 1) AS letter,
+         contains(fails, substr(filter_order, step, 1)) AS fails_here,
+         regexp_matches(fails, '[' || substr(filter_order, 1, step - 1) || '_]') AS gone_before
+  FROM groups g, orders, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step)
+), totals AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (NOT fails_here AND NOT gone_before), 0) AS kept,
+         coalesce(sum(n) FILTER (fails_here AND NOT gone_before), 0) AS removed,
+         coalesce(sum(n) FILTER (fails_here AND gone_before), 0) AS redundant,
+         coalesce(sum(n) FILTER (fails = letter), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (fails_here AND NOT gone_before), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (fails_here AND NOT gone_before), 0) AS toxic_lost
+  FROM met GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept,
+       CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM totals
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
@@ -285,9 +343,11 @@ def queries() -> dict[str, Query]:
         "op8_ann": op8_ann,
         "op9_line_dedup": op9_line_dedup,
         "op10_secret_scan": op10_secret_scan,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_license_scan": _op2_sql(), "op3_quality_rules": OP3_SQL, "op4_warc": OP4_SQL,
-            "op5_near_dedup": OP5_SQL, "op9_line_dedup": OP9_SQL}
+            "op5_near_dedup": OP5_SQL, "op9_line_dedup": OP9_SQL,
+            "op11_filter_audit": OP11_SQL}
