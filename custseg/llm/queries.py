@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custseg.llm import (ann, bpe, filter_audit, html_text, licenses, line_dedup, near_dedup,
-                         packing, quality, secrets, warc)
+                         packing, quality, secrets, spelling, warc)
 from custseg.llm.common import map_batches, read_table, texts
 from custseg.session import checkpoint_dir
 
@@ -331,6 +331,66 @@ FROM totals
 """
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.run_counts(read_table(spark, sf_dir, "documents")))
+
+
+# crc32 by its rule (reflected polynomial 0xEDB88320), near words by their deletions
+OP13_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+           CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[a-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents
+), counted AS (
+  SELECT run, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS k
+  FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, n, xor(list_reduce(
+           list_transform(range(strlen(k)),
+                          lambda i: CAST('0x' || substr(hex(k), 2 * i + 1, 2) AS BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM counted, crc_table
+), slipped AS (
+  SELECT n, CASE WHEN h % 31 = 0
+                 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+                 ELSE run END AS word
+  FROM hashed
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7
+  GROUP BY word HAVING sum(n) >= 2
+), cut AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d
+  FROM (SELECT word, CAST(unnest(range(1, length(word) + 1)) AS INT) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.d = b.d AND a.i = b.i
+  WHERE a.word <> b.word
+  UNION SELECT w.word, c.word FROM words w JOIN cut c ON w.word = c.d
+  UNION SELECT c.word, w.word FROM words w JOIN cut c ON w.word = c.d
+), ranked AS (
+  SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+         row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS place
+  FROM near JOIN words o ON o.word = other
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN other_n >= 10 * w.n THEN other END AS form,
+         CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND place = 1
+), led AS (
+  SELECT word, word AS root, 0 AS far FROM formed
+  UNION ALL
+  SELECT l.word, f.form, far + 1 FROM led l JOIN formed f ON f.word = l.root
+  WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT word, arg_max(root, far) AS root FROM led GROUP BY word
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
@@ -344,10 +404,11 @@ def queries() -> dict[str, Query]:
         "op9_line_dedup": op9_line_dedup,
         "op10_secret_scan": op10_secret_scan,
         "op11_filter_audit": op11_filter_audit,
+        "op13_spelling": op13_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_license_scan": _op2_sql(), "op3_quality_rules": OP3_SQL, "op4_warc": OP4_SQL,
             "op5_near_dedup": OP5_SQL, "op9_line_dedup": OP9_SQL,
-            "op11_filter_audit": OP11_SQL}
+            "op11_filter_audit": OP11_SQL, "op13_spelling": OP13_SQL}
