@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custseg.llm import (ann, bpe, filter_audit, html_text, licenses, line_dedup, near_dedup,
+from custseg.llm import (ann, bpe, ctw, filter_audit, html_text, licenses, line_dedup, near_dedup,
                          packing, quality, secrets, spelling, warc)
 from custseg.llm.common import map_batches, read_table, texts
 from custseg.session import checkpoint_dir
@@ -331,6 +331,10 @@ FROM totals
 """
 
 
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(read_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.run_counts(read_table(spark, sf_dir, "documents")))
 
@@ -404,6 +408,7 @@ def queries() -> dict[str, Query]:
         "op9_line_dedup": op9_line_dedup,
         "op10_secret_scan": op10_secret_scan,
         "op11_filter_audit": op11_filter_audit,
+        "op12_lm_score": op12_lm_score,
         "op13_spelling": op13_spelling,
     }
 

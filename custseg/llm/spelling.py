@@ -49,7 +49,8 @@ HELD_WORDS = 200_000        # distinct words that a task counts before it passes
 _RUN = re.compile("[A-Za-zÀ-ÿ]{%d,}" % MIN_LENGTH)
 
 
-def _counted(batches: Iterable[pa.RecordBatch], words_of) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterable[pa.RecordBatch], words_of,
+             held_words: int) -> Iterator[pa.RecordBatch]:
     held: Counter[str] = Counter()
 
     def batch_of(found):
@@ -61,7 +62,7 @@ def _counted(batches: Iterable[pa.RecordBatch], words_of) -> Iterator[pa.RecordB
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch, "text")):
             for word, n in words_of(doc_id, text):
                 held[word] += n
-            if len(held) > HELD_WORDS:
+            if len(held) > held_words:
                 yield batch_of(held)
                 held.clear()
     yield batch_of(held)
@@ -84,10 +85,11 @@ def planted_runs(doc_id: int | None, text: str, every: int = 31) -> Iterator[tup
             yield run, n
 
 
-def run_counts(docs: DataFrame, min_count: int = MIN_COUNT, every: int = 31) -> DataFrame:
+def run_counts(docs: DataFrame, min_count: int = MIN_COUNT, every: int = 31,
+               held_words: int = HELD_WORDS) -> DataFrame:
     """(word, n): the words of ``planted_runs`` in all texts with at least ``min_count``."""
     def run(batches):
-        return _counted(batches, lambda d, t: planted_runs(d, t, every))
+        return _counted(batches, lambda d, t: planted_runs(d, t, every), held_words)
 
     counted = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
                           "word string, n long")

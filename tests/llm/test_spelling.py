@@ -103,10 +103,10 @@ def test_runs_of_texts(docs_of):
     assert result(spelling.variants(spelling.run_counts(docs_of(rows)))) == plain_variants(counts)
 
 
-def test_counting_in_parts(docs_of, monkeypatch):
-    monkeypatch.setattr(spelling, "HELD_WORDS", 1)
+def test_counting_in_parts(docs_of):
     rows = [(i, f"common{'abc'[i % 3]} commonwealth") for i in range(30)]
-    got = {r["word"]: r["n"] for r in spelling.run_counts(docs_of(rows)).collect()}
+    got = {r["word"]: r["n"] for r in
+           spelling.run_counts(docs_of(rows), held_words=1).collect()}
     assert got == plain_counts(rows)
 
 
