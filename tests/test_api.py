@@ -98,7 +98,8 @@ def test_money_is_exact(spark):
 def test_registry_notices_changed_files(spark):
     folder = tempfile.mkdtemp(prefix="custseg-src-")
     for t in TABLES:
-        shutil.copy(f"{SF}/{t}.parquet", folder)
+        # contents only: the given files are read-only, the copies are rewritten below
+        shutil.copyfile(f"{SF}/{t}.parquet", f"{folder}/{t}.parquet")
     q = registry.queries()
     first = q["as_of_date"](spark, folder).first()[0]
     assert q["as_of_date"](spark, folder).first()[0] == first
