@@ -10,14 +10,23 @@ everything else with comparisons against those rows.
   boundary keys are known, the tiles are a map-only projection (no shuffle at all).
 * Midpoint quantiles need the values at a few ranks, which is the same selection.
 
-Selection (``select_ranks_many``) is the same at every size. The key columns are range-partitioned
-and sorted inside each partition, so partition number and place in the partition give the global
-order; they are written once with the keys, for all orders (e.g. R, F and M) in one job. A row's
-rank is its place plus the rows of earlier partitions, a table of one row per partition that is
-broadcast (its size is the number of partitions). Only the rows at the wanted ranks come to the
-driver. Keys must end in a unique column (the tie-break): the range bounds then cut through a
-value that a third of all rows share. NULLs are ordered by an explicit flag per key, so no engine
-default is involved.
+Selection (``select_ranks_many``) narrows brackets around the wanted ranks, for all orders (e.g. R, F
+and M) together, without moving rows:
+
+1. ``percentile_approx`` over the bracket's rows gives, for each wanted rank, two values that enclose
+   it with a margin of the sketch's rank error. Sketches combine before the shuffle.
+2. One counting pass makes that exact: rows before the bracket, rows inside. If the target is not
+   inside after all, the margin is widened.
+3. A bracket of more than ``rank_rows`` rows is narrowed again (each round divides it by several
+   hundred); if all its rows share one value, the next sort key takes over inside that value, so
+   a value held by 40 % of all rows is no obstacle.
+4. Only the rows inside the final brackets are ranked, one bracket at a time in size; one row for
+   each wanted rank reaches the driver.
+
+Keys must end in a unique column (the tie-break). A bracket whose key is not numeric, or whose values
+a double can't tell apart, can't be narrowed; its rows alone are range-partitioned and sorted
+(``sorted_keys``), which ranks any number of rows over many tasks. NULLs are ordered by an explicit
+flag per key, so no engine default is involved.
 """
 
 from __future__ import annotations
@@ -25,6 +34,7 @@ from __future__ import annotations
 import datetime as _dt
 from dataclasses import dataclass
 from decimal import Decimal
+from math import inf, nextafter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +56,25 @@ class SortKey:
         return (not self.ascending) if self.nulls_first is None else self.nulls_first
 
 
+    def flag(self, value) -> int:
+        """Orders NULLs before (0) or after (1) the values."""
+        return int((value is None) != self.nulls_go_first)
+
+    def code_sql(self, kind: str) -> str | None:
+        """SQL text: the key as a double that never falls along the order; None if it has none."""
+        v = _q(self.name)
+        if kind.startswith("decimal") or kind in ("tinyint", "smallint", "int", "bigint"):
+            code, nan = f"CAST({v} AS DOUBLE)", ""
+        elif kind in ("float", "double"):
+            code = f"CAST({v} AS DOUBLE)"
+            nan = f"WHEN isnan({v}) THEN {sql_literal(inf if self.ascending else -inf)} "
+        else:
+            return None
+        null = sql_literal(-inf if self.nulls_go_first else inf)
+        return (f"(CASE WHEN {v} IS NULL THEN {null} {nan}"
+                f"ELSE {code if self.ascending else '-' + code} END)")
+
+
 def asc(name: str, nulls_first: bool | None = None) -> SortKey:
     return SortKey(name, True, nulls_first)
 
@@ -139,6 +168,19 @@ class Order:
             expr = gt_i if expr is None else f"({gt_i} OR ({eq_i} AND {expr}))"
         return expr
 
+    def equal_sql(self, fixed: tuple) -> str:
+        """SQL text: the first keys equal the (flag, value) pairs of ``fixed``."""
+        return " AND ".join(
+            f"{_q(k.name)} IS NULL" if v is None else f"{_q(k.name)} = {sql_literal(v)}"
+            for k, v in zip(self.keys, fixed[1::2]))
+
+    def inside_sql(self, fixed: tuple, code: str | None, low: float, high: float) -> str:
+        """SQL text: the first keys equal ``fixed`` and the next key's code is in a range."""
+        parts = [self.equal_sql(fixed)] if fixed else []
+        if code and (low, high) != (-inf, inf):
+            parts.append(f"{code} BETWEEN {sql_literal(low)} AND {sql_literal(high)}")
+        return " AND ".join(parts) or "TRUE"
+
     def row_tuple(self, row) -> tuple:
         return tuple(row[name] for name in self.names)
 
@@ -172,29 +214,191 @@ def sorted_keys(df: DataFrame, orders: list[Order], partitions: int | None = Non
     return out
 
 
+def _select_sorted(df: DataFrame, order: Order, wanted: list[int], params: Params,
+                   written: list | None) -> dict[int, tuple]:
+    """Rank selection by a range partition and sort of all rows of ``df``."""
+    keys = materialize(sorted_keys(df, [order], params.rank_partitions), "ranks", written)
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition: bounded by the number of partitions
+    starts = (keys.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+              .select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")))
+    picked = (keys.join(F.broadcast(starts), "__p")
+              .withColumn("__rank", F.col("__start") + F.col("__i") + 1)
+              .filter(F.col("__rank").isin(wanted)))
+    return {r["__rank"]: order.row_tuple(r) for r in picked.collect()}
+
+
+SKETCH_ACCURACY = 1000          # percentile_approx: rank error of 1/1000 of the rows
+
+
+@dataclass(frozen=True)
+class _Bracket:
+    """Rows of an order whose first keys equal ``fixed`` and whose next key's code is in a range.
+
+    The code is the key as a double, so that larger codes come later; rows before ``low`` come
+    before all rows inside, those after ``high`` after them.
+    """
+
+    order: int
+    fixed: tuple = ()
+    low: float = -inf
+    high: float = inf
+
+    def same_prefix(self, orders: list[Order]) -> str:
+        return orders[self.order].equal_sql(self.fixed) or "TRUE"
+
+
+class _Target:
+    """A wanted rank of an order, with what is known about its bracket."""
+
+    def __init__(self, bracket: _Bracket, rank: int, inside: int):
+        self.bracket, self.rank = bracket, rank
+        self.before, self.inside = 0, inside        # rows before the bracket, rows in it
+        self.margin, self.stuck = 2.0, False
+
+    @property
+    def place(self) -> int:
+        return self.rank - self.before
+
+
+def _double_text(x: float) -> str:
+    return sql_literal(float(x))
+
+
+def _narrow(df: DataFrame, orders: list[Order], codes: list[list[str | None]],
+            targets: list[_Target]) -> None:
+    """One round: two sketched bounds for each target, then exact counts."""
+    groups: dict[_Bracket, list[_Target]] = {}
+    for t in targets:
+        groups.setdefault(t.bracket, []).append(t)
+    sketches = []
+    for i, (bracket, own) in enumerate(groups.items()):
+        code = codes[bracket.order][len(bracket.fixed) // 2]
+        fractions = []
+        for t in own:
+            slack = t.margin * t.inside / SKETCH_ACCURACY + 1
+            fractions += [max(0.0, (t.place - 1 - slack) / t.inside),
+                          min(1.0, (t.place + slack) / t.inside)]
+        sketches.append(
+            f"percentile_approx({code}, array({', '.join(f'{x!r}D' for x in fractions)}), "
+            f"{SKETCH_ACCURACY}) FILTER (WHERE {bracket.same_prefix(orders)} AND {code} BETWEEN "
+            f"{_double_text(bracket.low)} AND {_double_text(bracket.high)}) AS b{i}")
+    found = df.selectExpr(*sketches).first()
+
+    tries: dict[_Bracket, list[_Target]] = {}
+    for i, own in enumerate(groups.values()):
+        for k, t in enumerate(own):
+            low, high = found[i][2 * k], found[i][2 * k + 1]
+            if t.place - 1 <= t.margin * t.inside / SKETCH_ACCURACY + 1:
+                low = t.bracket.low
+            if t.place + t.margin * t.inside / SKETCH_ACCURACY + 1 >= t.inside:
+                high = t.bracket.high
+            tries.setdefault(_Bracket(t.bracket.order, t.bracket.fixed, low, high), []).append(t)
+    # both ends are counted apart: a value at an end may be held by very many rows
+    counts, parts = [], []
+    for i, (bracket, own) in enumerate(tries.items()):
+        level = len(bracket.fixed) // 2
+        code, name = codes[bracket.order][level], _q(orders[bracket.order].keys[level].name)
+        prefix = bracket.same_prefix(orders)
+        counts.append(f"count_if({prefix} AND {code} >= {_double_text(own[0].bracket.low)} "
+                      f"AND {code} < {_double_text(bracket.low)}) AS passed{i}")
+        low, high = bracket.low, bracket.high
+        ranges = [(low, low)] if low == high else [
+            (low, low), (nextafter(low, inf), nextafter(high, -inf)), (high, high)]
+        parts.append([_Bracket(bracket.order, bracket.fixed, *r) for r in ranges if r[0] <= r[1]])
+        for j, part in enumerate(parts[-1]):
+            inside = (f"{prefix} AND {code} BETWEEN {_double_text(part.low)} "
+                      f"AND {_double_text(part.high)}")
+            counts += [f"count_if({inside}) AS inside{i}_{j}",
+                       f"count_if({inside} AND {name} IS NULL) AS nulls{i}_{j}",
+                       f"min({name}) FILTER (WHERE {inside}) AS min{i}_{j}",
+                       f"max({name}) FILTER (WHERE {inside}) AS max{i}_{j}"]
+    row = df.selectExpr(*counts).first()
+    for i, own in enumerate(tries.values()):
+        for t in own:
+            place = t.place - row[f"passed{i}"]
+            for j, part in enumerate(parts[i]):
+                inside = row[f"inside{i}_{j}"]
+                if 1 <= place <= inside:
+                    break
+                place -= inside
+            else:
+                t.margin *= 4                       # the sketch missed: try again
+                t.stuck = t.margin > SKETCH_ACCURACY
+                continue
+            t.stuck = part == t.bracket
+            t.before, t.inside, t.bracket = t.rank - place, inside, part
+            nulls, least, most = (row[f"{x}{i}_{j}"] for x in ("nulls", "min", "max"))
+            if nulls == inside or (nulls == 0 and least == most):
+                # one value: the next key decides inside it
+                key = orders[part.order].keys[len(part.fixed) // 2]
+                t.bracket = _Bracket(part.order, (*part.fixed, key.flag(least), least))
+                t.stuck = False
+
+
 def select_ranks_many(df: DataFrame, specs: list[tuple[list[SortKey], list[int]]], *,
                       count: int | None = None, params: Params = DEFAULT,
                       written: list | None = None) -> list[dict[int, tuple]]:
-    """Rank selection for several orders over the same rows: one write, one read."""
+    """Rank selection for several orders over the same rows (``df`` should be materialized)."""
     n = df.count() if count is None else count
     orders = [Order(keys, prefix=f"__s{j}_") for j, (keys, _) in enumerate(specs)]
-    wanted = [sorted({int(r) for r in ranks if 1 <= int(r) <= n}) for _, ranks in specs]
+    kinds = dict(df.dtypes)
+    codes = [[k.code_sql(kinds[k.name]) for k in keys] for keys, _ in specs]
     results: list[dict[int, tuple]] = [{} for _ in specs]
-    if not any(wanted):
-        return results
-    keys = materialize(sorted_keys(df, orders, params.rank_partitions), "ranks", written)
-    before = Window.partitionBy("__j").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per order and partition: bounded by the number of partitions
-    starts = (keys.groupBy("__j", "__p").agg(F.count(F.lit(1)).alias("__n"))
-              .select("__j", "__p", F.coalesce(F.sum("__n").over(before), F.lit(0))
-                      .alias("__start")))
-    hit = F.lit(False)
-    for j, ranks in enumerate(wanted):
-        hit = hit | ((F.col("__j") == j) & F.col("__rank").isin(ranks or [0]))
-    picked = (keys.join(F.broadcast(starts), ["__j", "__p"])
-              .withColumn("__rank", F.col("__start") + F.col("__i") + 1).filter(hit))
-    for row in picked.collect():                # the wanted ranks only
-        results[row["__j"]][row["__rank"]] = orders[row["__j"]].row_tuple(row)
+    targets = [_Target(_Bracket(j), rank, n) for j, (_, ranks) in enumerate(specs)
+               for rank in sorted({int(r) for r in ranks if 1 <= int(r) <= n})]
+
+    def open_ones():
+        out = []
+        for t in targets:
+            level = len(t.bracket.fixed) // 2
+            if t.inside > params.rank_rows and not t.stuck:
+                if level < len(orders[t.bracket.order].keys) and codes[t.bracket.order][level]:
+                    out.append(t)
+                else:
+                    t.stuck = True
+        return out
+
+    while todo := open_ones():
+        _narrow(df, orders, codes, todo)
+
+    # rank the rows inside the brackets
+    groups: dict[_Bracket, list[_Target]] = {}
+    for t in targets:
+        groups.setdefault(t.bracket, []).append(t)
+    brackets = list(groups)
+    inside = [b.same_prefix(orders) if len(b.fixed) == orders[b.order].width else
+              orders[b.order].inside_sql(b.fixed, codes[b.order][len(b.fixed) // 2], b.low, b.high)
+              for b in brackets]
+    ranked = None
+    for j, order in enumerate(orders):
+        own = [i for i, b in enumerate(brackets)
+               if b.order == j and not groups[b][0].inside > params.rank_rows]
+        if not own:
+            continue
+        marks = ", ".join(f"CASE WHEN {inside[i]} THEN {i} END" for i in own)
+        rows = (df.select(F.expr(f"explode(array_compact(array({marks})))").alias("__b"),
+                          *order.tuple_exprs())
+                .withColumn("__rank", F.row_number().over(
+                    Window.partitionBy("__b").orderBy(*order.sort_columns()))))
+        hit = F.lit(False)
+        for i in own:
+            places = sorted({t.place for t in groups[brackets[i]]})
+            hit = hit | ((F.col("__b") == i) & F.col("__rank").isin(places))
+        rows = rows.filter(hit)
+        ranked = rows if ranked is None else ranked.unionByName(rows, allowMissingColumns=True)
+    for row in ranked.collect() if ranked is not None else []:      # the wanted ranks only
+        bracket = brackets[row["__b"]]
+        for t in groups[bracket]:
+            if t.place == row["__rank"]:
+                results[bracket.order][t.rank] = orders[bracket.order].row_tuple(row)
+    for i, bracket in enumerate(brackets):
+        own = groups[bracket]
+        if own[0].inside > params.rank_rows:
+            picked = _select_sorted(df.filter(inside[i]), orders[bracket.order],
+                                    sorted({t.place for t in own}), params, written)
+            for t in own:
+                results[bracket.order][t.rank] = picked[t.place]
     return results
 
 

@@ -55,8 +55,10 @@ class Params:
     # Given as 'YYYY-MM-DD[ HH:MM:SS]' text; the filter reaches the fact scan (pushdown).
     orders_from: str | None = None
     orders_until: str | None = None
-    # Physical knob (never changes results): range partitions of the rank selection; None
+    # Physical knobs (never change results). Rank selection ranks brackets of at most rank_rows rows
+    # and narrows larger ones; rank_partitions: range partitions where rows must be sorted, None
     # leaves it to spark.sql.shuffle.partitions and adaptive coalescing.
+    rank_rows: int = 10_000
     rank_partitions: int | None = None
 
     def with_(self, **kw) -> "Params":

@@ -58,7 +58,8 @@ class CustomerAnalysis:
             other._hub = self._hub
             rules = ("buckets", "segment_rules", "segment_else", "age_bands", "age_else")
             if all(getattr(params, r) == getattr(self.p, r) for r in rules):
-                if params.rank_partitions == self.p.rank_partitions:
+                if all(getattr(params, r) == getattr(self.p, r)
+                       for r in ("rank_rows", "rank_partitions")):
                     other.scored, other.rows = self.scored, self.rows
         return other
 
