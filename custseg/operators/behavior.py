@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from custseg.functions.exact import dec, div, exact_round
 from custseg.functions.labels import day_type
+from custseg.operators.ranks import asc
+from custseg.operators.scans import numbered
 from custseg.params import DEFAULT, Params
 
 
@@ -27,12 +29,16 @@ def cohort_line_facts(cohort: DataFrame, items: DataFrame, products: DataFrame)
     One pass over the order-items fact serves both the category ranking and the hourly GMV:
     orders LEFT JOIN items LEFT JOIN products keeps orders without items and items without a
     product (NULL category, ``matched`` false); the hourly analysis keeps only matched lines,
-    which is its inner join. A semi-join first reduces the items to the cohort's orders - with
-    ``cohort`` read from a written table, a broadcast if its size allows - so the whole items
-    fact is not shuffled for the LEFT join. The output is small: personas x categories x 24 x 2.
+    which is its inner join. A semi-join first reduces the items to the cohort's orders. With
+    ``cohort`` read from a written table it is a broadcast if its size allows, so the items fact is
+    not shuffled. Beyond that Spark can put a Bloom filter of the cohort's order ids on the items
+    scan (``spark.sql.optimizer.runtime.bloomFilter.*``); it does so only for a side that a
+    predicate makes selective, which the condition on the weight is (``m`` is always positive).
+    The output is small: personas x categories x 24 x 2.
     """
+    wanted = cohort.filter(F.col("m") > 0).select("order_id")
     own = (items.select("order_id", "product_id", "line_total")
-           .join(cohort.select("order_id").distinct(), "order_id", "left_semi"))
+           .join(wanted, "order_id", "left_semi"))
     prod = products.select("product_id", "cat1_name", F.lit(True).alias("matched"))
     lines = cohort.join(own, "order_id", "left").join(prod, "product_id", "left")
     return lines.groupBy(
@@ -77,26 +83,20 @@ def hourly_gmv(facts: DataFrame, params: Params = DEFAULT, ranked: bool = False)
     return out
 
 
-HOT_SLOTS = 32
-
-
 def first_two_orders(orders: DataFrame, weights: DataFrame) -> DataFrame:
     """Per best customer: times of the first and second order (by time, NULL last, then order
     id), order count (<= 2) and weight ``m``.
 
-    The semi-join keeps the cohort's orders before anything is sorted. Two levels keep a customer
-    with a huge share of the orders from meeting in one task: the first two orders of each
-    (customer, slot of the order id), then of each customer over at most two rows per slot.
+    The limit comes before any shuffle: Spark keeps two orders per customer and task
+    (``WindowGroupLimit`` below the exchange), so a customer with a huge share of the orders is two
+    rows per task, and only then are the rows of a customer brought together and the best
+    customers picked.
     """
-    cohort = (orders.select("customer_id", "order_id", "created_at")
-              .join(weights.select("customer_id"), "customer_id", "left_semi")
-              .withColumn("slot", F.pmod(F.xxhash64("order_id"), F.lit(HOT_SLOTS)))
-              .repartition("customer_id", "slot"))
-    order = [F.col("created_at").asc_nulls_last(), F.col("order_id").asc_nulls_last()]
-    for keys in (["customer_id", "slot"], ["customer_id"]):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        cohort = cohort.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 2)
-    pairs = cohort.groupBy("customer_id").agg(
+    first = Window.partitionBy("customer_id").orderBy(
+        F.col("created_at").asc_nulls_last(), F.col("order_id").asc_nulls_last())
+    limited = (orders.select("customer_id", "order_id", "created_at")
+               .withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= 2))
+    pairs = limited.groupBy("customer_id").agg(
         F.max(F.when(F.col("rn") == 1, F.col("created_at"))).alias("first_at"),
         F.max(F.when(F.col("rn") == 2, F.col("created_at"))).alias("second_at"),
         F.count(F.lit(1)).alias("n_first"),
@@ -104,6 +104,11 @@ def first_two_orders(orders: DataFrame, weights: DataFrame) -> DataFrame:
     return pairs.join(weights, "customer_id")
 
 
+def _gap_days(earlier, later, params: Params):
+    micros = F.timestamp_diff("MICROSECOND", earlier, later)
+    return exact_round(div(micros, F.lit(86_400_000_000)), params.gap_decimals)
+
+
 def first_gaps(orders: DataFrame, weights: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Days between a best customer's first and second order, rounded (NULL with one order, or
     if either has no time).
@@ -114,9 +119,29 @@ def first_gaps(orders: DataFrame, weights: DataFrame, params: Params = DEFAULT)
     """
     pairs = first_two_orders(orders, weights)
     later = F.when(F.col("m") >= 2, F.col("first_at")).otherwise(F.col("second_at"))
-    micros = F.timestamp_diff("MICROSECOND", F.col("first_at"), later)
-    gap = exact_round(div(micros, F.lit(86_400_000_000)), params.gap_decimals)
-    return pairs.select("customer_id", gap.alias("diff"))
+    return pairs.select("customer_id",
+                        _gap_days(F.col("first_at"), later, params).alias("diff"))
+
+
+def order_gaps(orders: DataFrame, weights: DataFrame, params: Params = DEFAULT, *,
+               written: list | None = None) -> DataFrame:
+    """Every order of the best customers with its number and the days to the next one.
+
+    (customer_id, order_id, rn_order, diff): numbers by time (NULL last), then order id; ``diff``
+    is rounded and NULL for the last order or where either time is missing. A customer listed m
+    times among best customers has each order m times in a row, as the SQL join repeats it: the gap
+    between copies is 0. The numbers come from a segmented scan (``scans``), so a customer with
+    a third of all orders is spread over many tasks.
+    """
+    own = (orders.select("customer_id", "order_id", "created_at").join(weights, "customer_id"))
+    scan = numbered(own, "customer_id", [asc("created_at"), asc("order_id")], "created_at",
+                    partitions=params.rank_partitions, written=written)
+    copies = scan.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    later = F.when(F.col("copy") < F.col("m"), F.col("created_at")).otherwise(F.col("next"))
+    return copies.select(
+        "customer_id", "order_id",
+        ((F.col("rn") - 1) * F.col("m") + F.col("copy")).alias("rn_order"),
+        _gap_days(F.col("created_at"), later, params).alias("diff"))
 
 
 def voucher_usage(hub: DataFrame, weights: DataFrame, labelled: bool = False) -> DataFrame:

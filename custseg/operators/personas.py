@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custseg.functions.exact import dec, div, exact_round
@@ -54,12 +54,11 @@ def persona_scores(groups: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
     The final score weighs the *unrounded* scaled measures. A zero range (one group, or equal
     values) yields NULL scores unless ``strict_division`` asks for the division error. The
-    bounds come from one window over the group rows, so the groups are computed once and no
-    join is needed.
+    bounds are one scalar subquery: minima and maxima combine in every task, and no task sees all
+    groups, however many there are.
     """
-    # Global min/max over all group rows, one row per persona (genders x cities x age bands).
-    everything = Window.partitionBy()
-    bound = {name: agg.over(everything) for name, agg in _bounds().items()}
+    bounds = groups.agg(F.struct(*[agg.alias(name) for name, agg in _bounds().items()])).scalar()
+    bound = {name: bounds[name] for name in _bounds()}
     guard = not params.strict_division
     weights = {"R": params.weight_r, "F": params.weight_f, "M": params.weight_m,
                "gmv": params.weight_gmv}

@@ -58,8 +58,10 @@ class Params:
     # Physical knobs (never change results). Rank selection ranks brackets of at most rank_rows rows
     # and narrows larger ones; rank_partitions: range partitions where rows must be sorted, None
     # leaves it to spark.sql.shuffle.partitions and adaptive coalescing.
+    # A dimension id with more than heavy_rows rows is dealt over several join keys.
     rank_rows: int = 10_000
     rank_partitions: int | None = None
+    heavy_rows: int = 10_000
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

@@ -9,10 +9,14 @@ Physical shape: the orders fact is aggregated to one row per customer (two parti
 shuffles), written once under the checkpoint folder, and every later stage reads that hub
 (customer grain) instead of the fact. Only the behaviour analyses that need order lines or
 order timestamps read the facts again, and only joined to the best-customer weights.
+
+A stage is written only if it is read more than once: the hub and, with ``shared=True``, the segment
+rows, best customers and line facts that several analyses read.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -41,7 +45,7 @@ def _windowed(tables: Tables, p: Params) -> Tables:
 class CustomerAnalysis:
     def __init__(self, tables: Tables, params: Params = DEFAULT, *, with_vouchers: bool = False,
                  shared: bool = False):
-        """``shared``: also materialize the line facts, which two analyses of ``report`` read."""
+        """``shared``: several analyses will be asked for, so write the stages they have in common."""
         self.source = tables
         self.t = _windowed(tables, params)
         self.p = params
@@ -56,7 +60,8 @@ class CustomerAnalysis:
                                  shared=self.shared)
         if (params.orders_from, params.orders_until) == (self.p.orders_from, self.p.orders_until):
             other._hub = self._hub
-            rules = ("buckets", "segment_rules", "segment_else", "age_bands", "age_else")
+            rules = ("buckets", "segment_rules", "segment_else", "age_bands", "age_else",
+                     "heavy_rows")
             if all(getattr(params, r) == getattr(self.p, r) for r in rules):
                 if all(getattr(params, r) == getattr(self.p, r)
                        for r in ("rank_rows", "rank_partitions")):
@@ -99,11 +104,21 @@ class CustomerAnalysis:
         return segments.quantile_scores(self.hub, count=self.n_customers, params=self.p,
                                         written=self._written)
 
+    @cached_property
+    def _heavy(self) -> list[tuple]:
+        """Very frequent dimension ids; repeated ones are reported (joins fan out, as in SQL)."""
+        repeated, heavy = segments.repeated_ids(self.t.customers, self.p.heavy_rows)
+        if repeated:
+            warnings.warn(f"customers.customer_id is not unique: {repeated} ids are repeated and "
+                          "joins will fan out", stacklevel=2)
+        return heavy
+
     @cached_property
     def rows(self) -> DataFrame:
         year = self.as_of.year if self.as_of is not None else None
-        return self._write(segments.segment_rows(self.scored, self.t.customers, year, self.p),
-                           "segments")
+        rows = segments.segment_rows(self.scored, self.t.customers, year, self.p, self._heavy,
+                                     self.p.heavy_rows, self._written)
+        return self._write(rows, "segments") if self.shared else rows
 
     # -- Q1, Q2 ------------------------------------------------------------------------------
     def as_of_frame(self) -> DataFrame:
@@ -178,7 +193,8 @@ class CustomerAnalysis:
 
     @cached_property
     def best_cust(self) -> DataFrame:
-        return self._write(personas.best_customers(self.rows, self._best_personas), "best")
+        best = personas.best_customers(self.rows, self._best_personas)
+        return self._write(best, "best") if self.shared else best
 
     def best_customers(self) -> DataFrame:
         return self.best_cust
@@ -224,6 +240,14 @@ class CustomerAnalysis:
     def first_gap(self) -> DataFrame:
         return self.gaps.select("customer_id", "diff")
 
+    @cached_property
+    def _order_gaps(self) -> DataFrame:
+        return behavior.order_gaps(self.t.orders, self.weights, self.p, written=self._written)
+
+    def order_gaps(self) -> DataFrame:
+        """Every order of the best customers: its number and the days to the next one."""
+        return self._order_gaps
+
     def _picks(self):
         return midpoint_picks(self.gaps, "diff", "customer_id", self.p.quantile_fractions,
                               count=self.n_gaps, params=self.p, written=self._written)

@@ -272,7 +272,7 @@ SELECT customer_id, recency, CAST(frequency AS BIGINT) AS frequency,
        {_double("monetary")} AS monetary, n_orders
 FROM cust"""
         q["quantile_scores"] = profile + " SELECT customer_id, R, F, M, rfm FROM scores"
-        q["quantile_scores_sampled"] = q["quantile_scores"]
+        q["quantile_scores_narrowed"] = q["quantile_scores"]
         q["segment_labels"] = profile + " SELECT customer_id, R, F, M, segment FROM scores"
         q["age_bands"] = profile + " SELECT customer_id, birth_year, age_group FROM bands"
 
@@ -316,6 +316,12 @@ FROM by_hour"""
 
     gaps = "WITH " + _gaps(p)
     q["first_gap" + suffix] = gaps + f" SELECT customer_id, {_double('diff')} AS diff FROM gap"
+    q["order_gaps" + suffix] = cohort + f"""
+SELECT customer_id, order_id, row_number() OVER of_customer AS rn_order,
+       {_double(_round("EPOCH(lead(created_at) OVER of_customer - created_at) / 86400.0",
+                       p.gap_decimals))} AS diff
+FROM cohort JOIN orders_b USING (customer_id)
+WINDOW of_customer AS (PARTITION BY customer_id ORDER BY created_at ASC NULLS LAST, order_id)"""
     rows = " UNION ALL ".join(
         f"SELECT {_double(f)} AS fraction, {_double(_at(f)[0])} AS position, "
         f"{_double(_round(_at(f)[1], 5))} AS value FROM ordered WHERE len(d) > 0"

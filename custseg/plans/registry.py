@@ -3,8 +3,8 @@
 Persona-dependent analyses are registered twice: with the original minimum group size (50)
 and with 30 (``_min30``), which keeps more persona groups on small test data. The other
 variants exercise parameters and inputs: ``top_categories_known`` / ``top3_categories_known``
-ignore orders and lines without a category (top 1 and top 3); ``quantile_scores_sampled`` selects
-ranks over another number of range partitions; ``*_partial`` binds the supplier table as customer
+ignore orders and lines without a category (top 1 and top 3); ``quantile_scores_narrowed`` narrows
+rank brackets down to a few rows at every size; ``*_partial`` binds the supplier table as customer
 dimension, which leaves many customers unmatched.
 
 The analyses return exact decimals. The registry casts them to DOUBLE, as the oracle SQL does,
@@ -26,7 +26,7 @@ from custseg.sources.tables import bind_testdata, source_version
 
 MIN30 = DEFAULT.with_(min_customers=30)
 MIN3 = DEFAULT.with_(min_customers=3)
-OTHER_PARTITIONS = DEFAULT.with_(rank_partitions=7)
+NARROWED = DEFAULT.with_(rank_rows=20)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,7 +55,8 @@ def _a(spark: SparkSession, sf_dir: str, p: Params = DEFAULT, vouchers: bool = F
         if old is not None and version is not None:
             for a in (old[1], *old[2].values()):
                 a.release()
-        base = CustomerAnalysis(bind_testdata(spark, sf_dir, dimension), with_vouchers=True)
+        base = CustomerAnalysis(bind_testdata(spark, sf_dir, dimension), with_vouchers=True,
+                                shared=True)
         old = _ANALYSES[key] = version, base, {DEFAULT: base}
     if p not in old[2]:
         old[2][p] = old[1].with_params(p)
@@ -84,6 +85,7 @@ def _persona_queries(p: Params, suffix: str) -> dict[str, Query]:
         "hourly_gmv" + suffix: lambda s, d: _a(s, d, p).hourly_gmv(),
         "hourly_gmv_ranked" + suffix: lambda s, d: _a(s, d, p).hourly_gmv(ranked=True),
         "first_gap" + suffix: lambda s, d: _a(s, d, p).first_gap(),
+        "order_gaps" + suffix: lambda s, d: _a(s, d, p).order_gaps(),
         "midpoint_quantiles" + suffix: lambda s, d: _a(s, d, p).midpoint_quantiles(),
         "repeat_gap_stats" + suffix: lambda s, d: _a(s, d, p).repeat_gap_stats(),
         "voucher_usage" + suffix: lambda s, d: _a(s, d, p, True).voucher_usage(),
@@ -110,7 +112,7 @@ def queries() -> dict[str, Query]:
         "as_of_date": lambda s, d: _a(s, d).as_of_frame(),
         "customer_metrics": lambda s, d: _a(s, d).customer_metrics(),
         "quantile_scores": lambda s, d: _a(s, d).quantile_scores(),
-        "quantile_scores_sampled": lambda s, d: _a(s, d, OTHER_PARTITIONS).quantile_scores(),
+        "quantile_scores_narrowed": lambda s, d: _a(s, d, NARROWED).quantile_scores(),
         "segment_labels": lambda s, d: _a(s, d).segment_labels(),
         "age_bands": lambda s, d: _a(s, d).age_bands(),
         "customer_segments": lambda s, d: _a(s, d).customer_segments(),
