@@ -79,7 +79,7 @@ def _dealt(dim: DataFrame, heavy: DataFrame, written: list | None) -> DataFrame:
 
 def segment_rows(scored: DataFrame, customers: DataFrame, as_of_year: int | None,
                  params: Params = DEFAULT, heavy: list[tuple] = (), heavy_rows: int = HEAVY_ROWS,
-                 written: list | None = None) -> DataFrame:
+                 unique: bool = False, written: list | None = None) -> DataFrame:
     """Scored customers LEFT JOIN the customer dimension (one row per dimension match).
 
     ``customer_id`` is the *dimension's* id: NULL for a scored customer missing from the
@@ -93,7 +93,8 @@ def segment_rows(scored: DataFrame, customers: DataFrame, as_of_year: int | None
     customers need no window or exchange of their own. ``heavy`` (see ``repeated_ids``): the rows of
     such an id are dealt over one join key per ``heavy_rows`` rows and its scored customer is
     repeated for each, so no task gets more of one id than that; ``first_copy`` is then the
-    least of the dealt parts' firsts. All other ids are joined plainly.
+    least of the dealt parts' firsts. All other ids are joined plainly. ``unique``: no id is
+    repeated, so every row is a first one.
     """
     year = F.lit(as_of_year).cast("int")
     band = age_group(year, F.col("birth_year"), params.age_bands, params.age_else)
@@ -114,11 +115,14 @@ def segment_rows(scored: DataFrame, customers: DataFrame, as_of_year: int | None
                   .withColumn("for_salt", F.explode(F.sequence(
                       F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))))
         joined_on = (scored["customer_id"] == F.col("dim_id")) & (F.col("for_salt") == F.col("salt"))
-    # the same keys as the join: its exchange and sort serve both
-    copies = Window.partitionBy(*keys).orderBy("gender", "city", "age_group")
-    attributes = F.struct("gender", "city", "age_group")
-    dim = (dim.withColumn("before", F.lag(attributes).over(copies))
-           .withColumn("is_first", F.coalesce(F.col("before") != attributes, F.lit(True))))
+    if unique:
+        dim = dim.withColumn("is_first", F.lit(True))
+    else:
+        # the same keys as the join: its exchange and sort serve both
+        copies = Window.partitionBy(*keys).orderBy("gender", "city", "age_group")
+        attributes = F.struct("gender", "city", "age_group")
+        dim = (dim.withColumn("before", F.lag(attributes).over(copies))
+               .withColumn("is_first", F.coalesce(F.col("before") != attributes, F.lit(True))))
     if heavy:
         dim = dim.withColumn("is_first", F.col("is_first") & ~F.col("later"))
     joined = scored.join(dim, joined_on, "left")

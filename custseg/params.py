@@ -59,7 +59,7 @@ class Params:
     # and narrows larger ones; rank_partitions: range partitions where rows must be sorted, None
     # leaves it to spark.sql.shuffle.partitions and adaptive coalescing.
     # A dimension id with more than heavy_rows rows is dealt over several join keys.
-    rank_rows: int = 10_000
+    rank_rows: int = 100_000
     rank_partitions: int | None = None
     heavy_rows: int = 10_000
 

@@ -17,8 +17,10 @@ rows, best customers and line facts that several analyses read.
 from __future__ import annotations
 
 import warnings
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ from custseg.operators.quantiles import is_picked, midpoint_frame, midpoint_pick
 from custseg.functions.exact import exact_round
 from custseg.params import DEFAULT, Params
 from custseg.session import delete_path, materialize, materialize_observed
+from custseg.sources.base import CustomerBase
 from custseg.sources.tables import Tables
 
 
@@ -44,8 +47,14 @@ def _windowed(tables: Tables, p: Params) -> Tables:
 
 class CustomerAnalysis:
     def __init__(self, tables: Tables, params: Params = DEFAULT, *, with_vouchers: bool = False,
-                 shared: bool = False):
-        """``shared``: several analyses will be asked for, so write the stages they have in common."""
+                 shared: bool = False, base: CustomerBase | None = None):
+        """``shared``: several analyses will be asked for, so write the stages they have in common.
+
+        ``base``: a kept customer base whose metrics take the place of the pass over the orders; it
+        must cover the orders of ``tables``, and no time window may be set."""
+        if base is not None and (params.orders_from, params.orders_until) != (None, None):
+            raise ValueError("a customer base covers all its orders: no time window can be set")
+        self.base = base
         self.source = tables
         self.t = _windowed(tables, params)
         self.p = params
@@ -57,7 +66,7 @@ class CustomerAnalysis:
         """An analysis with other parameters that reads this one's hub, and its segment rows if
         they depend on none of the changed ones. Only this analysis releases what it wrote."""
         other = CustomerAnalysis(self.source, params, with_vouchers=self.with_vouchers,
-                                 shared=self.shared)
+                                 shared=self.shared, base=self.base)
         if (params.orders_from, params.orders_until) == (self.p.orders_from, self.p.orders_until):
             other._hub = self._hub
             rules = ("buckets", "segment_rules", "segment_else", "age_bands", "age_else",
@@ -74,6 +83,8 @@ class CustomerAnalysis:
     # -- hub ---------------------------------------------------------------------------------
     @cached_property
     def _hub(self) -> tuple[DataFrame, dict]:
+        if self.base is not None:
+            return self.base.metrics()
         # The customer count and the as-of date are observed while the hub is written.
         return materialize_observed(
             metrics.customer_metrics(self.t.orders, with_vouchers=self.with_vouchers), "metrics",
@@ -105,19 +116,24 @@ class CustomerAnalysis:
                                         written=self._written)
 
     @cached_property
-    def _heavy(self) -> list[tuple]:
-        """Very frequent dimension ids; repeated ones are reported (joins fan out, as in SQL)."""
-        repeated, heavy = segments.repeated_ids(self.t.customers, self.p.heavy_rows)
-        if repeated:
-            warnings.warn(f"customers.customer_id is not unique: {repeated} ids are repeated and "
+    def _repeated(self) -> tuple[int, list[tuple]]:
+        """Repeated dimension ids; they are reported, since joins fan out as in SQL."""
+        found = segments.repeated_ids(self.t.customers, self.p.heavy_rows)
+        if found[0]:
+            warnings.warn(f"customers.customer_id is not unique: {found[0]} ids are repeated and "
                           "joins will fan out", stacklevel=2)
-        return heavy
+        return found
 
     @cached_property
     def rows(self) -> DataFrame:
+        spark = self.source.orders.sparkSession
+        with ThreadPoolExecutor(1) as pool:         # meanwhile the hub is written and ranked
+            counted = pool.submit(inheritable_thread_target(spark)(lambda: self._repeated))
+            scored = self.scored
+            repeated, heavy = counted.result()
         year = self.as_of.year if self.as_of is not None else None
-        rows = segments.segment_rows(self.scored, self.t.customers, year, self.p, self._heavy,
-                                     self.p.heavy_rows, self._written)
+        rows = segments.segment_rows(scored, self.t.customers, year, self.p, heavy,
+                                     self.p.heavy_rows, not repeated, self._written)
         return self._write(rows, "segments") if self.shared else rows
 
     # -- Q1, Q2 ------------------------------------------------------------------------------
@@ -158,7 +174,9 @@ class CustomerAnalysis:
     # -- Q3 ----------------------------------------------------------------------------------
     @cached_property
     def groups(self) -> DataFrame:
-        return personas.persona_groups(self.rows, self.p)
+        # a few rows, read for the bounds, the scores and the best personas; read from files, their
+        # size decides the join of the best personas to the customers
+        return self._write(personas.persona_groups(self.rows, self.p), "personas")
 
     def persona_groups(self) -> DataFrame:
         g = self.groups
@@ -183,17 +201,12 @@ class CustomerAnalysis:
         return out.orderBy(F.col("final_persona_score").desc_nulls_first(), "city", "gender",
                            "age_group")
 
-    @cached_property
-    def _best_personas(self) -> DataFrame:
-        # a few rows: read from files, their size decides the join to the customers
-        return self._write(personas.best_personas(self.scores, self.p), "personas")
-
     def best_personas(self) -> DataFrame:
-        return self._best_personas
+        return personas.best_personas(self.scores, self.p)
 
     @cached_property
     def best_cust(self) -> DataFrame:
-        best = personas.best_customers(self.rows, self._best_personas)
+        best = personas.best_customers(self.rows, self.best_personas())
         return self._write(best, "best") if self.shared else best
 
     def best_customers(self) -> DataFrame:
@@ -279,7 +292,7 @@ class CustomerAnalysis:
         )
 
     def voucher_usage(self, labelled: bool = False) -> DataFrame:
-        if not self.with_vouchers:
+        if not self.with_vouchers and self.base is None:
             raise ValueError("build the analysis with with_vouchers=True for voucher usage")
         return behavior.voucher_usage(self.hub, self.weights, labelled=labelled)
 
@@ -303,9 +316,19 @@ class CustomerAnalysis:
 
     # -- sink and cleanup --------------------------------------------------------------------
     def save_customer_segments(self, target: str, *, fmt: str = "parquet",
-                               mode: str = "overwrite") -> None:
-        """Write the customer segment table to a path (contains '/') or a catalog table."""
-        writer = self.customer_segments().write.mode(mode).format(fmt)
+                               mode: str = "overwrite", buckets: int | None = None) -> None:
+        """Write the customer segment table to a path (contains '/') or a catalog table.
+
+        ``buckets``: lay a catalog table out by customer id, so that later joins on it need no
+        exchange of the table."""
+        out = self.customer_segments()
+        if buckets:
+            if "/" in target:
+                raise ValueError("only catalog tables can be bucketed")
+            out = out.repartition(buckets, "customer_id")
+        writer = out.write.mode(mode).format(fmt)
+        if buckets:
+            writer = writer.bucketBy(buckets, "customer_id").sortBy("customer_id")
         if "/" in target:
             writer.save(target)
         else:

@@ -5,7 +5,8 @@ and with 30 (``_min30``), which keeps more persona groups on small test data. Th
 variants exercise parameters and inputs: ``top_categories_known`` / ``top3_categories_known``
 ignore orders and lines without a category (top 1 and top 3); ``quantile_scores_narrowed`` narrows
 rank brackets down to a few rows at every size; ``*_partial`` binds the supplier table as customer
-dimension, which leaves many customers unmatched.
+dimension, which leaves many customers unmatched; ``*_base`` read a customer base that was merged from
+several ranges of days.
 
 The analyses return exact decimals. The registry casts them to DOUBLE, as the oracle SQL does,
 because the two engines' clients show decimals differently.
@@ -13,6 +14,8 @@ because the two engines' clients show decimals differently.
 
 from __future__ import annotations
 
+import datetime as _dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +25,7 @@ from pyspark.sql import types as T
 from custseg.params import DEFAULT, Params
 from custseg.plans import oracle
 from custseg.plans.analysis import CustomerAnalysis
+from custseg.sources.base import CustomerBase
 from custseg.sources.tables import bind_testdata, source_version
 
 MIN30 = DEFAULT.with_(min_customers=30)
@@ -107,6 +111,38 @@ def _partial_queries() -> dict[str, Query]:
     }
 
 
+MERGE_DAYS = tuple(_dt.date(year, 1, 1) for year in (1994, 1996, 1997)) + (_dt.date(2100, 1, 1),)
+
+
+_BASES: dict[tuple, tuple] = {}         # (session, folder) -> (source version, analysis)
+
+
+def _from_base(spark: SparkSession, sf_dir: str) -> CustomerAnalysis:
+    """An analysis on a base built from the first years of the orders and merged with later ones."""
+    key, version = (spark.sparkContext.applicationId, sf_dir), source_version(sf_dir)
+    old = _BASES.get(key)
+    if old is not None and version is not None:
+        if old[0] == version:
+            return old[1]
+        old[1].release()
+        old[1].base.drop()
+    tables = bind_testdata(spark, sf_dir)
+    base = CustomerBase(spark, f"custseg_base_{uuid.uuid4().hex}")
+    base.create(tables.orders, MERGE_DAYS[0])
+    for day in MERGE_DAYS[1:]:
+        base.merge(tables.orders, day)
+    _BASES[key] = version, CustomerAnalysis(tables, shared=True, base=base)
+    return _BASES[key][1]
+
+
+def _base_queries() -> dict[str, Query]:
+    return {
+        "customer_metrics_base": lambda s, d: _from_base(s, d).customer_metrics(),
+        "customer_segments_base": lambda s, d: _from_base(s, d).customer_segments(),
+        "voucher_usage_base": lambda s, d: _from_base(s, d).voucher_usage(),
+    }
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "as_of_date": lambda s, d: _a(s, d).as_of_frame(),
@@ -121,11 +157,14 @@ def queries() -> dict[str, Query]:
     q.update(_persona_queries(DEFAULT, ""))
     q.update(_persona_queries(MIN30, "_min30"))
     q.update(_partial_queries())
+    q.update(_base_queries())
     return {name: lambda s, d, f=f: _doubles(f(s, d)) for name, f in q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     sql = oracle.build(DEFAULT) | oracle.build(MIN30, "_min30") | oracle.build_partial(MIN3)
+    # how the base came about doesn't change the results
+    sql |= {name: sql[name.removesuffix("_base")] for name in _base_queries()}
     return {k: sql[k] for k in queries()}
 
 

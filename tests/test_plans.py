@@ -2,8 +2,9 @@
 
 import pytest
 
-from custseg.operators import behavior
+from custseg.operators import behavior, personas, segments
 from custseg.plans.analysis import CustomerAnalysis
+from custseg.session import materialize
 from custseg.sources.tables import bind_testdata
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +16,7 @@ def plan(df) -> str:
 
 @pytest.fixture(scope="module")
 def a(spark):
-    return CustomerAnalysis(bind_testdata(spark, SF))
+    return CustomerAnalysis(bind_testdata(spark, SF), shared=True)
 
 
 def test_scores_are_map_only_over_the_hub(a):
@@ -46,7 +47,7 @@ def test_persona_scores_read_the_segment_rows_not_the_fact(a):
     scans = [line for line in p.split("\n") if "FileScan" in line]
     assert scans and not any("o_orderkey" in s or "o_custkey" in s for s in scans)
     # partial sums per persona, then the bounds and the final order over the few groups
-    groups = plan(a.persona_groups())
+    groups = plan(personas.persona_groups(a.rows, a.p))
     assert groups.count("Exchange hashpartitioning") == 1 and "customer_id" not in groups
 
 
@@ -73,13 +74,41 @@ def _below(text: str, upper: str, lower: str) -> bool:
     return False
 
 
-def test_cohort_is_reduced_before_the_first_two_orders(spark, no_broadcast):
-    t = bind_testdata(spark, SF)
-    weights = spark.createDataFrame([(1, 1)], "customer_id long, m long")
-    p = plan(behavior.first_two_orders(t.orders, weights))
-    assert "WindowGroupLimit" in p
-    assert _below(p, "Window [row_number", "LeftSemi")
-    assert not _below(p, "LeftSemi", "Window [row_number")
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_first_two_orders_are_limited_before_any_shuffle(spark, threshold):
+    """At most two rows per customer and task are shuffled, whatever join picks the cohort."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, threshold)
+    try:
+        t = bind_testdata(spark, SF)
+        weights = spark.createDataFrame([(1, 1)], "customer_id long, m long")
+        p = plan(behavior.first_two_orders(t.orders, weights))
+    finally:
+        spark.conf.set(key, old)
+    assert _below(p, "Exchange hashpartitioning(customer_id", "WindowGroupLimit")
+    partial = p[p.index("Partial"):]
+    assert "WindowGroupLimit" in p[:p.index("Partial")] and "Exchange" not in partial.split("FileScan")[0]
+
+
+def test_bloom_filter_of_the_cohort_reaches_the_items_scan(spark, no_broadcast):
+    """Beyond a broadcast, Spark's runtime filter drops items before they are shuffled."""
+    conf = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+            "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1b",
+            "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        t = bind_testdata(spark, SF)
+        best = spark.createDataFrame([(1, "A")], "customer_id long, cust_group string")
+        cohort = materialize(behavior.cohort_orders(t.orders, best), "cohort")
+        facts = behavior.cohort_line_facts(cohort, t.order_items, t.products)
+        p = facts._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert _below(p, "Join LeftSemi", "might_contain")
 
 
 def test_items_are_reduced_before_the_left_join(spark, no_broadcast):
@@ -90,6 +119,22 @@ def test_items_are_reduced_before_the_left_join(spark, no_broadcast):
     assert _below(plan(facts), "LeftOuter", "LeftSemi")
 
 
-def test_bounds_need_no_join(a):
+def test_bounds_need_no_join_and_no_window(a):
+    """Minima and maxima of the personas combine in the tasks, as a scalar subquery."""
     p = plan(a.persona_scores())
-    assert "NestedLoopJoin" not in p and "CartesianProduct" not in p and "Window" in p
+    assert "NestedLoopJoin" not in p and "CartesianProduct" not in p and "Window" not in p
+    assert "Subquery" in p and "partial_min" in p
+
+
+def test_customers_need_no_window_of_their_own(spark, no_broadcast):
+    """One exchange a side joins customers and dimension, repeated ids or not."""
+    scored = spark.range(100).selectExpr("id AS customer_id", "1 AS R", "1 AS F", "1 AS M",
+                                         "'111' AS rfm")
+    t = bind_testdata(spark, SF)
+    for unique in (True, False):
+        p = plan(segments.segment_rows(scored, t.customers, 2000, unique=unique))
+        assert ("Window" in p) is not unique
+        head = p[:p.index("Scan")] if unique else p
+        assert not _below(p, "Window", "Range (0, 100")
+        assert head.count("Exchange hashpartitioning(dim_id") + p.count(
+            "Exchange hashpartitioning(customer_id") <= 2
