@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import html
 import random
+import time
 import re
 
 import numpy as np
@@ -268,3 +269,74 @@ def test_extract(spark):
     assert texts[401] == "\n".join(["y"] * 100_000)
     assert html.unescape("&amp;") in texts[0]
     assert html_text.extract(pages_of(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("piece, times", [
+    ("<div>x", 200_000), ("<span>x", 200_000), ("<p>x<table><tr><td>", 50_000),
+    ("<head><body>x", 50_000), ("<nav>x</b>", 100_000), ("<!--x", 100_000), ("<div x='", 100_000),
+    ("<", 300_000)])
+def test_time_grows_with_the_page_however_many_elements_are_open(piece, times):
+    def took(n):
+        start = time.perf_counter()
+        html_text.page_blocks(piece * n)
+        return time.perf_counter() - start
+
+    took(100)
+    assert took(times) < 0.5 + 40 * took(times // 10)       # quadratic: a hundredfold
+
+
+def brute_texts(rows):
+    """(page_id -> text) of pages given as (page_id, host, blocks, marked), by plain counting."""
+    texts = {}
+    for host in {h for _, h, _, _ in rows}:
+        own = {tuple(b) for _, h, b, marked in rows if h == host and not marked}
+        holders = {}
+        for blocks in own:
+            words = " ".join(blocks).split()
+            for i in range(len(words) - 7):
+                holders.setdefault(tuple(words[i:i + 8]), set()).add(blocks)
+        for page_id, h, blocks, marked in rows:
+            if h != host:
+                continue
+            words, kept, at = " ".join(blocks).split(), [], 0
+            covered = [False] * len(words)
+            for i in range(len(words) - 7):
+                if len(holders.get(tuple(words[i:i + 8]), ())) >= 3:
+                    covered[i:i + 8] = [True] * 8
+            for b in blocks:
+                n = len(b.split())
+                if marked or sum(covered[at:at + n]) < 0.8 * n:
+                    kept.append(b)
+                at += n
+            texts[page_id] = "\n".join(kept or blocks)
+    return texts
+
+
+def test_extract_against_plain_counting(spark):
+    rnd = random.Random(12)
+
+    def block(n):
+        return " ".join(rnd.choice("abcdefgh") * 3 + str(rnd.randrange(60)) for _ in range(n))
+
+    common = {h: [block(rnd.randint(9, 20)) for _ in range(4)] for h in ("one.org", "two.org", "")}
+    rows, table = [], []
+    for page_id in range(120):
+        host = rnd.choice(["one.org", "one.org", "two.org", ""])
+        blocks = [block(rnd.randint(1, 25)) for _ in range(rnd.randint(1, 5))]
+        blocks += rnd.sample(common[host], rnd.randint(0, 2))
+        if rnd.random() < 0.2:          # a common passage inside a longer block
+            blocks.append(block(12) + " " + rnd.choice(common[host]) + " " + block(12))
+        rnd.shuffle(blocks)
+        if rows and rnd.random() < 0.1:
+            blocks = list(rows[-1][2])
+        marked = rnd.random() < 0.2
+        rows.append((page_id, host, blocks, marked))
+        body = "".join(f"<{t}>{b}</{t}>" for b in blocks for t in [rnd.choice(["p", "div", "li"])])
+        body = f"<article>{body}</article><p>next</p>" if marked else body
+        table.append((page_id, f"https://{host}/x" if host else None,
+                      f"<html><head><title>t</title></head><body><nav>menu</nav>{body}"
+                      "<script>var a = 1;</script></body></html>"))
+    df = spark.createDataFrame(table, "page_id long, url string, html string").repartition(5)
+    for group_pages in (128, 5):
+        got = {r["page_id"]: r["text"] for r in html_text.extract(df, group_pages).collect()}
+        assert got == brute_texts(rows)
