@@ -26,8 +26,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return near_dedup.first_of_each(docs)
+    """One document of each group of near-duplicates (five-word shingles, 0.8) stays."""
+    return near_dedup.first_of_each(docs, words=5)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -183,16 +183,17 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS,
         raise ValueError("min_docs must be at least 2")
     lines = map_batches(docs.select("doc_id", "text", _text_key().alias("text_key")),
                         _extract(min_chars), _LINES)
+    lines = materialize(lines, "line-hashes")          # the range partition samples its input
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc_nulls_last()]
     streamed = map_batches(lines.repartitionByRange(*order).sortWithinPartitions(*order),
                            _stream(min_docs), _STREAM)
     streamed = materialize(streamed, "line-runs")      # read twice below
-    # at most two summary rows per task of the streamed stage: its size is bounded
+    # at most two summary rows per task of the streamed stage
     cut = (streamed.filter(F.col("kind") == _SUMMARY).groupBy("h1", "h2")
            .agg(F.sum("n_lines").alias("n_docs"), F.max("doc_id").alias("keeper"))
            .filter(F.col("n_docs") >= min_docs))
     fields = ["doc_id", "text_key", "n_lines", "positions"]
-    late = (streamed.filter(F.col("kind") == _OPEN).join(F.broadcast(cut), ["h1", "h2"])
+    late = (streamed.filter(F.col("kind") == _OPEN).join(cut, ["h1", "h2"])
             .filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select(*fields))
     dropped = streamed.filter(F.col("kind") == _DROPPED).select(*fields).unionByName(late)
     per_doc = (dropped.groupBy("doc_id", "text_key")
@@ -218,40 +219,37 @@ def n_dropped(bitmap: bytes | None, n_lines: int) -> int:
     return int(n_lines - bits.sum())
 
 
+def _marked(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """(row, keep_bitmap): the input row is one column, so that none of its names can clash."""
+    b = bitmaps.select(F.col("doc_id").alias("b_doc"), F.col("text_key").alias("b_key"),
+                       "keep_bitmap")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"),
+                       _text_key().alias("key"))
+    return (rows.join(b, F.col("id").eqNullSafe(F.col("b_doc")) & (F.col("key") == F.col("b_key")),
+                      "left").select("row", "keep_bitmap"))
+
+
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with a column ``keep_bitmap`` (null where every line is kept)."""
-    b = bitmaps.select(F.col("doc_id").alias("_b_doc"), F.col("text_key").alias("_b_key"),
-                       "keep_bitmap")
-    return (docs.withColumn("_t_key", _text_key())
-            .join(b, F.col("doc_id").eqNullSafe(F.col("_b_doc"))
-                  & (F.col("_t_key") == F.col("_b_key")), "left")
-            .drop("_b_doc", "_b_key", "_t_key"))
+    return _marked(docs, bitmaps).select("row.*", "keep_bitmap")
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS,
                         min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text`` (``n_chars`` follows the text)."""
     names = docs.columns
-    marked = apply_bitmaps(docs.withColumnsRenamed({c: f"_in_{c}" for c in names
-                                                    if c in ("keep_bitmap",)}),
-                           keep_bitmaps(docs, min_chars, min_docs))
-    schema = docs.schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            old = batch.column("text").to_pylist()
+            cols = dict(zip(names, batch.column("row").flatten()))
             new = [t if m is None else kept_lines(t or "", m)
-                   for t, m in zip(old, batch.column("keep_bitmap").to_pylist())]
-            cols = []
-            for name in names:
-                if name == "text":
-                    cols.append(pa.array(new, batch.schema.field("text").type))
-                elif name == "n_chars":
-                    kind = batch.schema.field("n_chars").type
-                    cols.append(pa.array([None if t is None else len(t) for t in new], kind))
-                else:
-                    cols.append(batch.column(f"_in_{name}" if name == "keep_bitmap" else name))
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                   for t, m in zip(cols["text"].to_pylist(),
+                                   batch.column("keep_bitmap").to_pylist())]
+            cols["text"] = pa.array(new, cols["text"].type)
+            if "n_chars" in cols:
+                cols["n_chars"] = pa.array([None if t is None else len(t) for t in new],
+                                           cols["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
 
     ship(docs.sparkSession)
-    return marked.mapInArrow(run, schema)
+    return _marked(docs, keep_bitmaps(docs, min_chars, min_docs)).mapInArrow(run, docs.schema)

@@ -419,13 +419,15 @@ def near_duplicates(docs: DataFrame, limit_pct: int = LIMIT_PCT, words: int = WO
 def first_of_each(docs: DataFrame, limit_pct: int = LIMIT_PCT, words: int = WORDS) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: its smallest doc_id (of rows that
     share it, one). Rows without words are in no group and stay."""
-    names = docs.columns
     first = (_grouped(docs, limit_pct, words).filter("n > 0")
-             .select(F.col("found.doc_id").alias("_first_doc"),
-                     F.col("found.text_key").alias("_first_key")).distinct())
+             .select(F.col("found.doc_id").alias("first_doc"),
+                     F.col("found.text_key").alias("first_key")).distinct())
     has_words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    worded = (docs.filter(has_words).withColumn("_key", _text_key())
-              .dropDuplicates(["doc_id", "_key"])
-              .join(first, F.col("doc_id").eqNullSafe(F.col("_first_doc"))
-                    & (F.col("_key") == F.col("_first_key")), "left_semi"))
-    return worded.select(*names).unionByName(docs.filter(~has_words))
+    # the input row as one column, so that none of its names can clash
+    worded = (docs.filter(has_words)
+              .select(F.struct("*").alias("row"), F.col("doc_id").alias("id"),
+                      _text_key().alias("key"))
+              .dropDuplicates(["id", "key"])
+              .join(first, F.col("id").eqNullSafe(F.col("first_doc"))
+                    & (F.col("key") == F.col("first_key")), "left_semi"))
+    return worded.select("row.*").unionByName(docs.filter(~has_words))

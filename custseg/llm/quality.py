@@ -43,19 +43,15 @@ class Rules:
     nav_items: int = 4              # items of a navigation bar
     nav_item_words: float = 3.0     # mean words of its items, at most
     max_lost: float = 0.5           # share of a document's words that may be removed
-    phrase_share: float = 0.0       # of a sentence's words that boilerplate phrases hold, at least
+    phrase_share: float = 0.5       # of a sentence's words that boilerplate phrases hold, at least
 
 
-DEFAULT = Rules()                           # op3: a phrase anywhere in the line
-CLEANING = Rules(phrase_share=0.5)          # text is deleted: whole phrases that make up the line
+DEFAULT = Rules()
 
-# Closing punctuation and boilerplate phrases.
+# Closing punctuation.
 _CLOSING = tuple(".!?…:;,\"'”’»)]}。！？：；」』）।؟")
-_BOILERPLATE = re.compile(
-    r"cookie|javascript|privacy policy|terms of (?:use|service)|all rights reserved|"
-    r"click here|read more|sign (?:in|up)|log ?in|subscribe|newsletter|share (?:this|on)|"
-    r"copyright|powered by|skip to (?:main )?content|lorem ipsum", re.IGNORECASE | re.ASCII)
-# The same phrases between word borders, with the words that make them a site's own notice.
+# Boilerplate phrases between word borders, with the words that make them a site's own
+# notice.
 _NOTICE = re.compile(
     r"(?<!\w)(?:(?:(?:we|(?:this|our) (?:web)?site) uses? )?cookies?"
     r"(?: (?:policy|settings|preferences|on (?:this|our) (?:web)?site))?"
@@ -76,17 +72,15 @@ _SEPARATORS = "|•·»›>/"
 
 
 def _boilerplate(line: str, rules: Rules) -> bool:
-    """Whether boilerplate phrases fail a line: any, or those that make up most of a sentence.
+    """Whether boilerplate phrases make up most of a sentence, or a line is the label of one.
 
     A line that does not end as one counts as no sentence if it is as short as a label; longer
     ones are prose whose punctuation was lost or runs on in the next line.
     """
-    if not rules.phrase_share:
-        return _BOILERPLATE.search(line) is not None
     held = sum(len(m.group().split()) for m in _NOTICE.finditer(line))
     if not held:
         return False
-    n_words = len(line.split())
+    n_words = len(line.encode().split())
     label = n_words <= LABEL_WORDS and not _SENTENCE_END.search(line)
     return label or held >= rules.phrase_share * n_words
 
@@ -102,14 +96,14 @@ def line_fails(line: str, rules: Rules = DEFAULT, symbols: bool = True,
         n_symbols = sum(map(line.count, SYMBOLS))
         if n_symbols and n_symbols > rules.symbol_share * sum(map(len, line.split())):
             return True
-    n_words = len(line.split(None, max(rules.boilerplate_words, rules.fragment_words)))
+    n_words = len(line.encode().split(None, max(rules.boilerplate_words, rules.fragment_words)))
     if n_words < rules.fragment_words and not line.endswith(_CLOSING):
         return True
     if hints and n_words <= rules.boilerplate_words and _boilerplate(line, rules):
         return True
     if not any(c in line for c in _SEPARATORS):
         return False
-    n_words = len(line.split())
+    n_words = len(line.encode().split())
     items = [x for x in _NAV.split(line) if x] if n_words >= rules.nav_items else ()
     return len(items) >= rules.nav_items and n_words <= rules.nav_item_words * len(items)
 
@@ -193,7 +187,7 @@ def judge(docs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
                        "base_failed boolean, kept boolean")
 
 
-def cleaned(text: str, rules: Rules = CLEANING) -> str | None:
+def cleaned(text: str, rules: Rules = DEFAULT) -> str | None:
     """The text without its failing lines; None if the document is rejected."""
     n, _, _, _, rep, lost, kept = measure(text, rules)
     if not verdict(n, rep, lost, rules)[1]:
@@ -203,6 +197,6 @@ def cleaned(text: str, rules: Rules = CLEANING) -> str | None:
     return "\n".join([x for x, k in zip(text.split("\n"), kept) if k])
 
 
-def clean(docs: DataFrame, rules: Rules = CLEANING) -> DataFrame:
+def clean(docs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """``docs`` without rejected documents and without the failing lines of the others."""
     return replace_text(docs, lambda ts: [cleaned(t, rules) for t in ts])

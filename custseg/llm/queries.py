@@ -49,10 +49,17 @@ WITH docs AS (
          OR length(regexp_replace(s, '[^#*$%&|<>]', '', 'g'))
             > 0.08 * length(regexp_replace(s, '[\x20\x09-\x0D]', '', 'g'))
          OR (n < 4 AND NOT regexp_matches(s, '[.!?…:;,"''”’»)\]}。！？：；」』）।؟]$'))
-         OR (n <= 25 AND regexp_matches(s, '{boilerplate}', 'i'))
+         OR (n <= 25 AND held > 0 AND (2 * held >= n OR (n <= 6 AND NOT regexp_matches(
+               s, '[.!?…。！？।؟]["''”’»)\]]*$'))))
          OR (n >= 4 AND items >= 4 AND n <= 3.0 * items) AS fails
   FROM (SELECT *, len(list_filter(regexp_split_to_array(s,
-                 '\s[|•·»›>/]\s|\s*[|•·»›]\s*'), lambda x: x <> '')) AS items FROM worded)
+                 '\s[|•·»›>/]\s|\s*[|•·»›]\s*'), lambda x: x <> '')) AS items,
+               -- words of the phrases found between borders; a border may serve two phrases
+               list_sum(list_transform(regexp_extract_all(
+                 regexp_replace(s, '([^\p{L}\p{N}_])', '\1\1', 'g'), '{notice}', 0, 'i'),
+                 lambda x: len(list_filter(regexp_split_to_array(x, '[^\p{L}\p{N}_]+'),
+                                           lambda y: y <> '')))) AS held
+        FROM worded)
 ), lost AS (
   SELECT doc_id, count(*) FILTER (again) AS n_dup_lines,
          CAST(coalesce(sum(n) FILTER (fails), 0) AS BIGINT) AS lost_words
@@ -69,7 +76,17 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
          AND lost_words <= 0.5 * n_words AS kept
 FROM counted
-""".replace("{boilerplate}", quality._BOILERPLATE.pattern)
+""".replace("{notice}", (
+    "(?:^|[^\\p{L}\\p{N}_])(?:"
+    "(?:(?:we|this site|our site|this website|our website) uses? )?cookies?"
+    "(?: (?:policy|settings|preferences|on this site|on our site|on this website|on our website))?"
+    "|(?:please )?(?:enable|activate|require|requires) javascript|javascript"
+    "|our privacy policy|privacy policy|our terms of use|our terms of service|terms of use"
+    "|terms of service|all rights reserved|click here|read more|(?:please )?sign in"
+    "|(?:please )?sign up|(?:please )?log in|(?:please )?login"
+    "|(?:please )?subscribe to our newsletter|(?:please )?subscribe|our newsletter|newsletter"
+    "|share this|share on|copyright|powered by|skip to main content|skip to content|lorem ipsum"
+    ")(?:$|[^\\p{L}\\p{N}_])").replace(" ", "  "))     # borders stand doubled in the text
 
 
 def tokenizer_path(name: str) -> str:

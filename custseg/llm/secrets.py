@@ -6,8 +6,10 @@ alphanumeric, base64-like) and slides a window over it. The window's Shannon ent
 character counts that change by one character in and one out per step, so a run costs time in
 proportion to its length. A run with a window over the threshold of its class is one ``entropy``
 span, whole. Windows of mixed-case and base64 runs need no digits; others mix letters and digits.
-Runs that match the allow-list (UUIDs, checksums named as such, dates, paths and camel case of
-plain words) and spans inside a base span are suppressed.
+Runs that match the allow-list (UUIDs, checksums named as such, dates, paths, slugs and camel case
+of plain words and numbers), the body of a data URI and spans inside a base span are suppressed.
+In a URL, and in a path or slug of which plain words are half, the parts between separators are
+judged on their own, so that only the part that is a key becomes a span.
 
 Each text is scanned on its own in the task that reads it: nothing is shuffled. Defined
 results: a null text counts as empty and has no spans; repeated rows give repeated result rows;
@@ -20,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -52,15 +55,25 @@ _CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+")), ("alnum", re.compile(r"[a-z0-9
 _WORDS = (r"(?>(?:[a-z](?=[A-Z])|[A-Za-z](?![A-Za-z]))?+"
           r"(?:(?:An|As|At|Be|By|Db|Do|Go|He|Id|If|In|Io|Is|It|Mc|Me|My|No|Of|On|Or|So|To|Ui|Up|Us|"
           r"We)(?![a-z])|[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[A-Z](?![A-Za-z]))*+)")
+# A part of a path or slug that is no key: words with a few digits after them, names with a digit for
+# a word (Expr2Proto3Util), ordinals and numbers.
+_PART = (rf"(?>(?:{_WORDS}[0-9]{{0,4}}+|(?:[A-Z]?[a-z]{{3,}}+[2-4]?+){{2,3}}+"
+         r"|[0-9]++(?:st|nd|rd|th|px|x[0-9]++)?)(?=[-_/=+]|\Z))")
 
 # Runs that look random but are no secrets.
 ALLOW = (
-    # UUIDs; checksums named as such; numbers and dates; paths and slugs of plain words
+    # UUIDs; checksums named as such; numbers and dates; paths and slugs of plain parts
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"(?:sha1|sha256|sha384|sha512|md5)[-=/_][0-9A-Za-z+/=_-]+",
     r"[0-9_/+=-]+",
     rf"(?:{_WORDS}[0-9]{{0,4}}+[-_/=+])*+{_WORDS}[0-9]{{0,4}}+",
+    rf"(?:{_PART}[-_/=+])*+{_PART}",
 )
+_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s\"'<>]+")
+_DATA = re.compile(r"data:[A-Za-z0-9.+-]+/[A-Za-z0-9.+-]+(?:;[A-Za-z0-9=-]+)*;base64,[A-Za-z0-9+/=]+")
+_SEPARATED = re.compile(r"[^/_=-]+")
+_PLAIN_WORD = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")
+WORD_SHARE = 0.5        # of a run's characters in plain words: it is a path or slug
 
 _NLOGN = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]   # one more comes in first
 
@@ -96,6 +109,27 @@ def _windows(run: str, threshold: float, min_digits: int = 2) -> list[tuple[int,
 _ALLOWED = re.compile("|".join(f"(?:{p})" for p in ALLOW))
 
 
+def _is_key(run: str) -> bool:
+    """Whether a window of the run passes the threshold of its character class."""
+    if _ALLOWED.fullmatch(run):
+        return False
+    kind = next(k for k, p in _CLASSES if p.fullmatch(run))
+    digits = SLUG_DIGITS if kind == "base64" and _SLUG.fullmatch(run) else MIN_DIGITS[kind]
+    return bool(_windows(run, THRESHOLDS[kind], digits))
+
+
+def _is_path(run: str) -> bool:
+    """Whether plain words between separators make up ``WORD_SHARE`` of the run."""
+    words = [x for x in _SEPARATED.findall(run) if _PLAIN_WORD.fullmatch(x)]
+    return len(words) > 1 and sum(map(len, words)) >= WORD_SHARE * len(run)
+
+
+def _inside(places: list[tuple[int, int]], at: int) -> bool:
+    """Whether ``at`` lies in one of the places, which are sorted and apart."""
+    i = bisect_right(places, (at, 1 << 62)) - 1
+    return i >= 0 and at < places[i][1]
+
+
 def spans(text: str) -> list[tuple[int, int, str]]:
     """All spans as (start, end, kind), sorted by start, then by kind as listed in ``KINDS``."""
     base: list[tuple[int, int, str]] = []
@@ -106,15 +140,18 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         base += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text)
                  if m.end() - m.start() >= 16]
     found = []
+    urls = [m.span() for m in _URL.finditer(text)] if "://" in text else []
+    data = [m.span() for m in _DATA.finditer(text)] if ";base64," in text else []
     for m in _RUN.finditer(text):        # a long hex run lies inside one run of the wider class
         at, run = m.start(), m.group()
         base += [(at + x.start(), at + x.end(), "hex") for x in _HEX.finditer(run)
                  if x.end() - x.start() >= 32]
-        if _ALLOWED.fullmatch(run):
+        if _ALLOWED.fullmatch(run) or _inside(data, at):
             continue
-        kind = next(k for k, p in _CLASSES if p.fullmatch(run))
-        digits = SLUG_DIGITS if kind == "base64" and _SLUG.fullmatch(run) else MIN_DIGITS[kind]
-        if _windows(run, THRESHOLDS[kind], digits):
+        if _inside(urls, at) or _is_path(run):
+            found += [(at + x.start(), at + x.end()) for x in _SEPARATED.finditer(run)
+                      if x.end() - x.start() >= WINDOW and _is_key(x.group())]
+        elif _is_key(run):
             found.append((at, m.end()))
     base.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     extra = [(a, b, "entropy") for a, b in found

@@ -5,8 +5,8 @@ import gzip
 import hashlib
 import html
 import random
-import time
 import re
+import time
 
 import numpy as np
 import pytest

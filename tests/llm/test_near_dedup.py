@@ -14,8 +14,8 @@ def linked(a, b):
     return bool(a) and bool(b) and 100 * both >= 80 * (len(a) + len(b) - both)
 
 
-def brute(rows):
-    sets = [nd.shingle_set(t or "") for _, t in rows]
+def brute(rows, words=nd.WORDS):
+    sets = [nd.shingle_set(t or "", words) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(i):
