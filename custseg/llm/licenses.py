@@ -3,12 +3,18 @@
 A text's lower-cased words become rolling k-gram hashes (k = 2) with their positions. A join with
 the template positions that have the same hash gives matches (document position, template
 position); all matches of one copy of a template lie on one diagonal (document position minus
-template position). Matches are counted per document, template and diagonal. Each vote is
-verified: the words of the document's k-gram must equal the template's, so hash collisions fall
-out before they count. Neighbouring diagonals of a long template (up to one position per
-``WORDS_PER_SHIFT`` template words apart) merge into one span, which lets a copy have inserted or
-missing words. A merged span of a long template is accepted if its votes cover at least
-``MIN_COVER`` of the template; base phrases and short templates need all of it.
+template position). Matches vote per document, template and diagonal. Each vote is verified: the
+words of the document's k-gram must equal the template's, so hash collisions fall out before they
+count. A diagonal holds the set of template positions that voted on it, as bits, so a position
+counts once, whatever the text repeats.
+
+Neighbouring diagonals of a long template merge into a span: those from a diagonal up to one position
+per ``WORDS_PER_SHIFT`` template words further, which lets a copy have inserted or missing words
+and keeps a span as wide as the template and that shift. Merged spans are verified: the words must
+stand in the template's order, so what counts is a chain of k-grams in which both the template
+position and the document position rise. The share of the template's k-grams in that chain is the
+span's cover. A long template needs ``MIN_COVER``; base phrases and short templates need all of
+it on one diagonal.
 
 The template table is a constant of this module (a few hundred k-grams), so broadcasting it is
 bounded. The k-grams are exploded and probed inside the task that reads the text; only matches
@@ -78,8 +84,8 @@ def _template_grams(spark, templates) -> DataFrame:
     rows = [(-1, 0, 1, _ROW_MARK, "", False)]
     for t, (label, text, is_base) in enumerate(templates):
         words = _WORD.findall(text)
-        if len(words) < K:
-            raise ValueError(f"a template needs at least {K} words: {text!r}")
+        if not K <= len(words) < K + 63:
+            raise ValueError(f"a template needs {K} to {K + 62} words: {text!r}")
         rows += [(t, i, len(words) - K + 1, " ".join(words[i:i + K]), label, is_base)
                  for i in range(len(words) - K + 1)]
     return (_literal_rows(spark, rows, ("template", "t_pos", "t_grams", "t_words", "label",
@@ -87,9 +93,31 @@ def _template_grams(spark, templates) -> DataFrame:
             .withColumn("gram", F.xxhash64("t_words")))
 
 
+def _chain(masks: list[Column], grams: Column) -> Column:
+    """The most k-grams on diagonals 0, 1, ... that stand in order: both positions rise.
+
+    ``masks``: the template positions of each diagonal, as bits. The k-grams are taken in the
+    template's order; each ends the longest chain of earlier ones that it can follow.
+    """
+    def on(i: int, mask: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), grams - 1), lambda t: F.getbit(mask, t) == 1)
+        return F.transform(places, lambda t: F.struct(t.alias("t"), (t + i).alias("p")))
+
+    pairs = F.array_sort(F.flatten(F.array(*[on(i, mask) for i, mask in enumerate(masks)])))
+
+    def step(ends: Column, x: Column) -> Column:
+        before = F.filter(ends, lambda e: (e["t"] < x["t"]) & (e["p"] < x["p"]))
+        longest = F.coalesce(F.array_max(F.transform(before, lambda e: e["n"])), F.lit(0))
+        return F.concat(ends, F.array(F.struct(x["t"].alias("t"), x["p"].alias("p"),
+                                               (longest + 1).alias("n"))))
+
+    ends = F.aggregate(pairs, F.array().cast("array<struct<t:int,p:int,n:int>>"), step)
+    return F.array_max(F.transform(ends, lambda e: e["n"]))
+
+
 def scan(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels,
-    labels, score (the largest share of a template's k-grams on merged diagonals)."""
+    labels, score (the largest share of a template's k-grams in a span)."""
     every = ([(label, text, True) for text, label in base]
              + [(label, text, False) for label, text in templates])
     grams = F.broadcast(_template_grams(docs.sparkSession, every))     # a constant: bounded
@@ -108,18 +136,27 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
              .filter(F.col("words") == F.col("t_words"))
              .groupBy(*key, "template", "label", "is_base", "t_grams",
                       (F.col("pos") - F.col("t_pos")).alias("diagonal"))
-             .agg(F.count(F.lit(1)).alias("votes")))
-    # neighbouring diagonals: those of one document and template, so a window is bounded by it
-    along = Window.partitionBy(*key, "template").orderBy("diagonal")
-    shift = F.floor((F.col("t_grams") + K - 1) / WORDS_PER_SHIFT)
-    step = F.col("diagonal") - F.lag("diagonal").over(along)
-    spans = (votes.withColumn("new", F.when(step <= shift, 0).otherwise(1))
-             .withColumn("span", F.sum("new").over(along))
-             .groupBy(*key, "template", "label", "is_base", "t_grams", "span")
-             .agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("diagonal"),
-                  F.max(F.when(F.col("template") < 0, F.col("votes"))).alias("rows")))
+             .agg(F.expr("bit_or(shiftleft(1L, t_pos))").alias("mask"),
+                  F.count(F.lit(1)).alias("votes")))
+    # the diagonals that follow one: of the same document and template, and few
+    longest = max((len(_WORD.findall(text)) for _, text, _ in every), default=0)
+    most = longest // WORDS_PER_SHIFT
+    along = (Window.partitionBy(*key, "template").orderBy("diagonal")
+             .rowsBetween(Window.currentRow, most))
+    shift = F.when(F.col("is_base") | (F.col("t_grams") < LONG_TEMPLATE), 0).otherwise(
+        F.floor((F.col("t_grams") + K - 1) / WORDS_PER_SHIFT))
+    near = F.map_from_entries(F.collect_list(F.struct("diagonal", "mask")).over(along))
+    masks = [F.col("mask")] + [
+        F.when(F.lit(i) <= F.col("shift"), F.coalesce(F.col("near")[F.col("diagonal") + i],
+                                                      F.lit(0))).otherwise(0)
+        for i in range(1, most + 1)]
+    alone = F.greatest(*masks[1:], F.lit(0)) == 0
+    spans = (votes.withColumn("near", near).withColumn("shift", shift)
+             .withColumn("grams", F.when(alone, F.bit_count("mask"))
+                         .otherwise(_chain(masks, F.col("t_grams"))))
+             .withColumn("rows", F.when(F.col("template") < 0, F.col("votes"))))
     rows = F.max("rows").over(Window.partitionBy(*key))     # equal input rows vote together
-    cover = F.least(F.lit(1.0), F.col("votes") / (F.col("n_rows") * F.col("t_grams")))
+    cover = F.col("grams") / F.col("t_grams")
     exact = F.col("is_base") | (F.col("t_grams") < LONG_TEMPLATE)
     found = (F.col("template") >= 0) & (F.col("cover") >= F.when(exact, 1.0).otherwise(MIN_COVER))
     base_found = F.col("is_base") & F.col("found")

@@ -124,24 +124,29 @@ docs AS (
   SELECT doc_id, unnest(range(1, len(w))) - 1 AS pos,
          unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram
   FROM docs
-), votes AS (
-  SELECT doc_id, t, label, is_base, grams, pos - t_pos AS diagonal, count(*) AS votes
-  FROM pairs JOIN template USING (gram) GROUP BY ALL
-), marked AS (
-  SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal)
-                     > (grams + 1) // {licenses.WORDS_PER_SHIFT}, TRUE) AS new
-  FROM votes
-), numbered AS (
-  SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS span
-  FROM marked
-), spans AS (
-  SELECT doc_id, t, label, is_base, grams, min(diagonal) AS diagonal,
-         least(1.0, sum(votes) / CAST(grams AS DOUBLE)) AS cover
-  FROM numbered GROUP BY doc_id, t, label, is_base, grams, span
+), places AS (
+  SELECT doc_id, t, any_value(label) AS label, any_value(is_base) AS is_base,
+         any_value(grams) AS grams, pos - t_pos AS diagonal, list(DISTINCT t_pos) AS at
+  FROM pairs JOIN template USING (gram) GROUP BY doc_id, t, pos - t_pos
+), spans AS (       -- a diagonal with those up to the template's shift further: (template place, text place)
+  SELECT p.*, list_sort(flatten(list(list_transform(q.at, lambda x: [x, q.diagonal + x]))
+                                OVER (PARTITION BY p.doc_id, p.t, p.diagonal))) AS pairs_at,
+         row_number() OVER (PARTITION BY p.doc_id, p.t, p.diagonal ORDER BY q.diagonal) AS nth
+  FROM places p JOIN places q
+    ON p.doc_id = q.doc_id AND p.t = q.t AND q.diagonal - p.diagonal BETWEEN 0 AND
+       CASE WHEN p.is_base OR p.grams < {licenses.LONG_TEMPLATE} THEN 0
+            ELSE (p.grams + 1) // {licenses.WORDS_PER_SHIFT} END
+), chains AS (      -- the longest chain that ends at each pair, in the template's order
+  SELECT *, list_reduce(pairs_at, lambda ends, x: list_append(ends, [x[1], x[2],
+             1 + coalesce(list_max(list_transform(
+                   list_filter(ends, lambda e: e[1] < x[1] AND e[2] < x[2]), lambda e: e[3])), 0)]),
+             CAST([] AS BIGINT[][])) AS ends
+  FROM spans WHERE nth = 1
 ), judged AS (
   SELECT *, cover >= CASE WHEN is_base OR grams < {licenses.LONG_TEMPLATE} THEN 1.0
                           ELSE {licenses.MIN_COVER} END AS found
-  FROM spans
+  FROM (SELECT *, list_max(list_transform(ends, lambda e: e[3])) / CAST(grams AS DOUBLE) AS cover
+        FROM chains)
 ), found AS (
   SELECT doc_id, count(*) FILTER (found AND is_base) AS n_base,
          min(diagonal) FILTER (found AND is_base) AS first_word,

@@ -263,6 +263,59 @@ def test_long_templates_allow_edits(docs_of):
     assert got[0]["score"] == 1.0 > got[1]["score"] > 0.8 > got[2]["score"] > 0
 
 
+def test_repeated_fragments_are_no_license(docs_of):
+    """A text that repeats a few words of a template covers those places alone."""
+    mit = next(t for label, t in licenses.TEMPLATES if label == "mit" and len(t.split()) > 20)
+    words = mit.split()
+    texts = ["the software " * 30, "in the software to deal in the software " * 20,
+             " ".join(words[:8] * 6), " ".join(reversed(words)),
+             " ".join(w for i in range(0, len(words) - 1, 2) for w in (words[i + 1], words[i])),
+             " ".join(words[len(words) // 2:] + words[:len(words) // 2])]
+    got = by_id(licenses.scan(docs_of(texts)))
+    assert all(r["labels"] == "" and r["score"] < 0.8 for r in got.values())
+    assert got[0]["score"] < 0.1
+
+
+def plain_cover(words, template):
+    """The longest chain of 2-grams in order on diagonals from one to the shift further."""
+    t = template.split()
+    grams, best = len(t) - 1, 0
+    shift = 0 if grams < licenses.LONG_TEMPLATE else (grams + 1) // licenses.WORDS_PER_SHIFT
+    matches = [(j, i) for j in range(grams) for i in range(len(words) - 1)
+               if words[i:i + 2] == t[j:j + 2]]
+    for first in {i - j for j, i in matches}:
+        own = [m for m in matches if first <= m[1] - m[0] <= first + shift]
+        ends = []
+        for j, i in own:
+            ends.append((j, i, 1 + max((n for a, b, n in ends if a < j and b < i), default=0)))
+        best = max(best, max(n for *_, n in ends))
+    return best / grams
+
+
+def test_spans_against_plain_chains(docs_of):
+    rnd = random.Random(6)
+    templates = [t for _, t in licenses.TEMPLATES]
+    texts = []
+    for _ in range(150):
+        words = rnd.choice(templates).split()
+        for _ in range(rnd.randint(0, 5)):
+            i = rnd.randrange(len(words))
+            words[i:i + rnd.randint(0, 2)] = rnd.choices(
+                ["the", "software", "license", "of", "other"], k=rnd.randint(0, 2))
+            words = words or ["the"]
+        texts.append("some words " + " ".join(words * rnd.randint(1, 2)) + " and others")
+    got = by_id(licenses.scan(docs_of(texts)))
+    every = templates + [text for text, _ in licenses.BASE]
+    for i, text in enumerate(texts):
+        covers = [plain_cover(text.split(), t) for t in every]
+        assert got[i]["score"] == pytest.approx(max(covers))
+        found = {label for (label, t), c in zip(licenses.TEMPLATES, covers)
+                 if c >= (0.8 if len(t.split()) - 1 >= licenses.LONG_TEMPLATE else 1)}
+        assert set(filter(None, got[i]["labels"].split(","))) - {x for _, x in licenses.BASE} \
+            <= found | {x for _, x in licenses.BASE}
+        assert found <= set(got[i]["labels"].split(","))
+
+
 def test_repeated_rows_come_out_as_often(docs_of):
     got = licenses.scan(docs_of([(1, "cc by"), (1, "cc by"), (1, "other"), (None, "cc by")])).collect()
     assert sorted((str(r["doc_id"]), r["n_base"]) for r in got) == [
