@@ -38,6 +38,7 @@ from custseg.llm.common import ASCII_SPACE, map_batches, materialize, ship, text
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+SALTS = 64
 
 _LINES = "h1 long, h2 long, doc_id long, text_key long, n_lines int, positions array<int>"
 _DROPPED, _OPEN, _SUMMARY = 0, 1, 2
@@ -193,7 +194,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS,
            .agg(F.sum("n_lines").alias("n_docs"), F.max("doc_id").alias("keeper"))
            .filter(F.col("n_docs") >= min_docs))
     fields = ["doc_id", "text_key", "n_lines", "positions"]
-    late = (streamed.filter(F.col("kind") == _OPEN).join(cut, ["h1", "h2"])
+    # a line that fills several tasks has very many open rows: they are dealt over salts
+    cut = cut.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    open_ = (streamed.filter(F.col("kind") == _OPEN)
+             .withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int")))
+    late = (open_.join(cut, ["h1", "h2", "salt"])
             .filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select(*fields))
     dropped = streamed.filter(F.col("kind") == _DROPPED).select(*fields).unionByName(late)
     per_doc = (dropped.groupBy("doc_id", "text_key")
