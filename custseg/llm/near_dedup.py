@@ -13,11 +13,15 @@
 5. ``STAR_ROUNDS`` further rounds do the same with another hub per bucket, for members that are
    not yet in the hub's component. A dense group of near copies is connected after few rounds with
    one comparison per member instead of one per pair.
-6. What is left: classes that share a bucket and are in different components. In blocks of
-   ``BLOCK`` members of a bucket, sizes and estimates tell which class is likely near some member
-   of which component; in blocks of these classes and members their full sets are compared, and
-   one verified link joins the class to the component. Rows are (class, component) and members;
-   where similar classes are each their own component, these are as many as their pairs. No link between components is lost; members of one component need no comparison.
+6. What is left: classes that share a bucket and are in different components. In a bucket the
+   members of its largest component lie in blocks, and the others go to each of these blocks; the
+   others are compared with each other in pairs of blocks of their own, and blocks of the largest
+   component never meet. In a block, sizes and estimates tell which classes are likely near one of
+   another component; those alone get their texts and meet in the block again, where full sets are
+   compared until the block's components are united. So rows are members and blocks, never pairs,
+   and a block writes fewer links than it has members. A pair is compared in one bucket, that of
+   the first band it shares. No link between components is lost; members of one component need no
+   comparison. Blocks are bounded by members and by shingles, so by bytes of text.
 
 At the limit of 0.8 a pair misses all ``BANDS`` bands with probability (1 - 0.8^6)^42 = 3e-6. The
 estimate drops pairs more than ``MARGIN`` (six standard errors) under the limit.
@@ -49,7 +53,8 @@ BANDS, BAND_ROWS = 42, 6
 BASE, RATE, TOP = 1.001, 20.0, 65534
 MARGIN = 0.15
 STAR_ROUNDS = 2
-BLOCK = 1024
+BLOCK = 1024                # members of a bucket's block
+BLOCK_SHINGLES = 2_000_000  # shingles of a block's members, more only for one larger text
 
 _M = BANDS * BAND_ROWS
 _RNG = np.random.Generator(np.random.PCG64(20240601))
@@ -181,85 +186,117 @@ def _registers_of(rows: list, at: int) -> np.ndarray:
     return np.frombuffer(b"".join(r[at] for r in rows), "<u2").reshape(-1, _M)
 
 
-def _adjacent(limit_pct: int):
-    """Which members of a bucket are likely near a member of another component.
+def _band_hash(regs: bytes, band: int) -> int:
+    width = 2 * BAND_ROWS
+    digest = xxhash.xxh3_64_intdigest(regs[band * width:(band + 1) * width], seed=band)
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
+class _BlockOfBucket:
+    """The members of a group (h, i, j), with their likely pairs between components.
 
-    Rows come sorted by (h, i, j): the members of the blocks i and j of a bucket, about
-    2 * ``BLOCK`` at most. Each likely pair (x, y) gives (x, component of y, 1) - x asks that
-    component - and (y, its component, 0) - y answers for it; equal rows of a group are one.
+    Rows are (block, c, p, n, regs, ...). With i < 0 the group is a block of the bucket's largest
+    component (block -1) and all others; else it is the blocks i and j of the others.
     """
+
+    def __init__(self, key, rows: list, limit_pct: int):
+        self.h, self.i, self.j = key
+        self.limit_pct = limit_pct
+        self.block, self.c, self.p, self.n = (_ints(rows, k) for k in range(4))
+        self.regs = _registers_of(rows, 4)
+        self.band = next(k for k in range(BANDS) if _band_hash(rows[0][4], k) == self.h)
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(x, the others y that are likely near it): each pair once, in one bucket only."""
+        outside = np.flatnonzero(self.block >= 0) if self.i < 0 else np.arange(len(self.c))
+        for x in outside.tolist():
+            other = self.p != self.p[x]
+            if self.i < 0:
+                other &= self.block < 0
+            else:
+                other[:x + 1] = False
+                if self.i != self.j:
+                    other &= self.block != self.block[x]
+            y = np.flatnonzero(other)
+            if len(y):
+                y = y[_likely(np.full(len(y), self.n[x]), self.n[y],
+                              np.broadcast_to(self.regs[x], (len(y), _M)), self.regs[y],
+                              self.limit_pct)]
+            if len(y):      # this bucket's band is the first that both share
+                earlier = (self.regs[y, :self.band * BAND_ROWS]
+                           == self.regs[x, :self.band * BAND_ROWS])
+                y = y[~earlier.reshape(len(y), self.band, BAND_ROWS).all(axis=2).any(axis=1)]
+            if len(y):
+                yield x, y
+
+
+_MEMBER = "h long, i int, j int, block int, c long, p long"
+
+
+def _adjacent(limit_pct: int):
+    """The members of each group (h, i, j) that have a likely partner there."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set[tuple[int, int, int]] = set()
+        out: list[np.ndarray] = []
+
+        def batch():
+            flat = np.concatenate(out) if out else np.zeros((0, 6), np.int64)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(flat[:, k]).cast(kind) for k, kind in enumerate(kinds)],
+                names=[x.split()[0] for x in _MEMBER.split(", ")])
+
         for key, rows in _groups(batches, ("h", "i", "j"), ("block", "c", "p", "n", "regs")):
             if key is None:
-                cols = list(zip(*out)) if out else ([], [], [])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                     pa.array(cols[2], pa.int32())], names=["c", "p", "asks"])
-                out = set()
+                yield batch()
+                out = []
                 continue
-            block, c, p, n = (_ints(rows, k) for k in range(4))
-            regs = _registers_of(rows, 4)
-            _, component, size = np.unique(p, return_inverse=True, return_counts=True)
-            largest = size.argmax()
-            for x in np.flatnonzero(component != largest).tolist():
-                # each pair once: a row outside the largest component against that, and against
-                # the later rows of the others; inside one block only for the pair (i, i)
-                other = (component != component[x]) & ((component == largest)
-                                                       | (np.arange(len(c)) > x))
-                if key[1] != key[2]:
-                    other &= block != block[x]
-                y = np.flatnonzero(other)
-                if len(y):
-                    y = y[_likely(np.full(len(y), n[x]), n[y],
-                                  np.broadcast_to(regs[x], (len(y), _M)), regs[y], limit_pct)]
-                out |= {(int(c[x]), q, 1) for q in set(p[y].tolist())}
-                out |= {(int(c[k]), int(p[k]), 0) for k in y.tolist()}
+            group, likely = _BlockOfBucket(key, rows, limit_pct), np.zeros(len(rows), bool)
+            for x, y in group.pairs():
+                likely[x] = likely[y] = True
+            at = np.flatnonzero(likely)
+            if len(at):
+                own = np.tile(np.array(key, np.int64), (len(at), 1))
+                out.append(np.column_stack([own, group.block[at], group.c[at], group.p[at]]))
         if out:
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                 pa.array(cols[2], pa.int32())], names=["c", "p", "asks"])
+            yield batch()
 
     return run
 
 
 def _compare(limit_pct: int, size: int):
-    """One verified link, if there is any, of every asking class with a component's members.
-
-    Rows come sorted by (p, i, j): a block of asking classes and a block of answering members.
-    """
+    """Verified links of each group, as many as unite the components that are linked in it."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for key, rows in _groups(batches, ("p", "i", "j"), ("asks", "c", "n", "regs", "text")):
+        for key, rows in _groups(batches, ("h", "i", "j"),
+                                 ("block", "c", "p", "n", "regs", "text")):
             if key is None:
                 yield link_batch(out)
                 out = []
                 continue
-            members = [r for r in rows if not r[0]]
-            if not members or len(members) == len(rows):
-                continue
-            c, n, regs = _ints(members, 1), _ints(members, 2), _registers_of(members, 3)
-            hashes = [shingle_hashes(r[4], size) for r in members]
-            flat = np.concatenate(hashes)
-            starts = np.cumsum([0, *map(len, hashes)])[:-1]
-            for _, x, n_x, regs_x, text in (r for r in rows if r[0]):
-                near = _likely(np.full(len(c), n_x), n,
-                               np.broadcast_to(np.frombuffer(regs_x, "<u2"), (len(c), _M)), regs,
-                               limit_pct) & (c != x)
-                if not near.any():
-                    continue
-                own = shingle_hashes(text, size)
-                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-                both = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
-                near &= 100 * both >= limit_pct * (n_x + n - both)
-                words = shingle_set(text, size)
-                for k in np.flatnonzero(near).tolist():       # hashes agree: now the words
-                    other = shingle_set(members[k][4], size)
-                    same = len(words & other)
-                    if 100 * same >= limit_pct * (len(words) + len(other) - same):
-                        out.append((x, int(c[k])))
-                        break
+            group, parent = _BlockOfBucket(key, rows, limit_pct), {}
+
+            def root(p):
+                while p in parent:
+                    p = parent[p]
+                return p
+
+            hashes = [shingle_hashes(r[5], size) for r in rows]
+            for x, ys in group.pairs():
+                mine, words = hashes[x], None
+                for y in ys.tolist():
+                    a, b = root(int(group.p[x])), root(int(group.p[y]))
+                    if a == b:
+                        continue
+                    at = np.minimum(np.searchsorted(mine, hashes[y]), len(mine) - 1)
+                    both = int((mine[at] == hashes[y]).sum())
+                    if 100 * both < limit_pct * (len(mine) + len(hashes[y]) - both):
+                        continue
+                    words = words or shingle_set(rows[x][5], size)   # hashes agree: now the words
+                    other = shingle_set(rows[y][5], size)
+                    both = len(words & other)
+                    if 100 * both >= limit_pct * (len(words) + len(other) - both):
+                        parent[max(a, b)] = min(a, b)
+                        out.append((int(group.c[x]), int(group.c[y])))
         yield link_batch(out)
 
     return run
@@ -314,38 +351,45 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _links_across(open_: DataFrame, data: DataFrame, limit_pct: int, words: int) -> DataFrame:
-    """Verified links between components: one, if there is any, for every class and component
-    that meet in a bucket."""
-    def number(df, keys, name):
-        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-
-    def block(n):
+    """Verified links between the components that meet in a bucket: enough to unite those that are
+    linked by any pair."""
+    def blocks(members, shingles):
+        return F.ceil(F.greatest(members / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+
+    members = open_.join(data.select("c", "n", "regs"), "c")
+    sums = (members.groupBy("h", "p").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+            .groupBy("h").agg(F.max(F.struct("m", "p", "s")).alias("top"),
+                              F.sum("m").alias("m"), F.sum("s").alias("s")))
+    sizes = sums.select("h", F.col("top.p").alias("largest"),
+                        blocks(F.col("top.m"), F.col("top.s")).alias("in_largest"),
+                        blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s"))
+                        .alias("in_others"))
+
+    def own(n):
         return F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
 
-    def every(n):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    # 1. by registers, in pairs (i <= j) of blocks of a bucket
-    placed = (open_.join(number(open_, ["h"], "blocks"), "h").withColumn("block", block("blocks"))
-              .join(data.select("c", "n", "regs"), "c").withColumn("o", every("blocks"))
-              .select("h", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"),
-                      "block", "c", "p", "n", "regs"))
-    meets = materialize(
-        map_batches(placed.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j"),
-                    _adjacent(limit_pct), "c long, p long, asks int").distinct(), "meets")
-    # 2. by full sets, in pairs of blocks (asking classes, answering members) of a component
-    asking, answering = meets.filter("asks = 1"), meets.filter("asks = 0")
-    sizes = (number(asking, ["p"], "n_asking").join(number(answering, ["p"], "n_answering"), "p"))
-    asking = (asking.join(sizes, "p").withColumn("i", block("n_asking"))
-              .withColumn("j", every("n_answering")))
-    answering = (answering.join(sizes, "p").withColumn("j", block("n_answering"))
-                 .withColumn("i", every("n_asking")))
-    columns = ["p", "i", "j", "asks", "c"]
-    full = (asking.select(*columns).unionByName(answering.select(*columns))
-            .join(data.select("c", "n", "regs", "text"), "c"))
-    return materialize(
-        map_batches(full.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j"),
-                    _compare(limit_pct, words), "a long, b long"), "near-links")
+    def groups(n, i, j):
+        return F.transform(F.sequence(F.lit(0), F.col(n) - 1),
+                           lambda k: F.struct(i(k).alias("i"), j(k).alias("j")))
+
+    placed = members.join(sizes, "h").withColumn("block", F.when(
+        F.col("p") == F.col("largest"), -1).otherwise(own("in_others")))
+    meetings = F.when(
+        F.col("block") < 0, F.array(F.struct(F.lit(-1).alias("i"), own("in_largest").alias("j")))
+    ).otherwise(F.concat(
+        groups("in_largest", lambda k: F.lit(-1), lambda k: k),
+        groups("in_others", lambda k: F.least(k, F.col("block")),
+               lambda k: F.greatest(k, F.col("block")))))
+    placed = (placed.withColumn("at", F.explode(meetings))
+              .select("h", "at.i", "at.j", "block", "c", "p", "n", "regs"))
+
+    def grouped(df):
+        return df.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+
+    likely = materialize(map_batches(grouped(placed), _adjacent(limit_pct), _MEMBER), "near-blocks")
+    full = likely.join(data.select("c", "n", "regs", "text"), "c")
+    return materialize(map_batches(grouped(full), _compare(limit_pct, words), "a long, b long"),
+                       "near-links")
 
 
 def _text_key():

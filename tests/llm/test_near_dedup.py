@@ -82,6 +82,76 @@ def test_star_is_found_without_star_rounds(docs_of, monkeypatch):
     assert result(docs_of(rows)) == brute(rows)
 
 
+def _one_bucket(spark, n, component_of, text_of):
+    """Members of one bucket, all with the registers of one text, and their classes' table."""
+    regs = nd.registers(nd.shingle_hashes(text_of(0))).tobytes()
+    h = nd._band_hash(regs, 0)
+    open_ = spark.createDataFrame([(h, c, component_of(c)) for c in range(n)],
+                                  "h long, c long, p long")
+    data = spark.createDataFrame(
+        [(c, len(nd.shingle_hashes(text_of(c))), bytearray(regs), text_of(c)) for c in range(n)],
+        "c long, n long, regs binary, text string")
+    return open_, data
+
+
+def _rows_in_blocks(monkeypatch):
+    """How many rows went into the blocks of each of the two steps."""
+    counts, real = [], nd.map_batches
+
+    def counted(df, *args):
+        counts.append(df.count())
+        return real(df, *args)
+
+    monkeypatch.setattr(nd, "map_batches", counted)
+    return counts
+
+
+def test_hot_bucket_with_one_stray_class(spark, monkeypatch):
+    """Blocks of the bucket's one large component meet the stray alone, not each other."""
+    monkeypatch.setattr(nd, "BLOCK", 64)
+    counts = _rows_in_blocks(monkeypatch)
+    n = 5000
+    text = " ".join(f"w{i}" for i in range(50))
+    open_, data = _one_bucket(spark, n, lambda c: 0 if c < n - 1 else n - 1, lambda c: text)
+    links = nd._links_across(open_, data, 80, 2).collect()
+    blocks = -(-n // 64)
+    # the stray also has a block of its own, where it is alone
+    assert counts == [n - 1 + blocks + 1, n - 1 + blocks] and 1 <= len(links) <= blocks
+    assert all(n - 1 in (r["a"], r["b"]) for r in links)
+
+
+def test_similar_classes_of_their_own_components_are_not_written_as_pairs(spark, monkeypatch):
+    """Rows are members times blocks; links unite, they don't list pairs."""
+    monkeypatch.setattr(nd, "BLOCK", 32)
+    counts = _rows_in_blocks(monkeypatch)
+    n = 400
+    base = [f"w{i}" for i in range(60)]
+
+    def linked_text(c):
+        return " ".join(base + [f"own{c}"])
+
+    open_, data = _one_bucket(spark, n, lambda c: c, linked_text)
+    links = [tuple(r) for r in nd._links_across(open_, data, 80, 2).collect()]
+    blocks = -(-n // 32)
+    assert max(counts) <= n * (blocks + 1)
+    assert len(links) < n * (blocks + 1) < n * (n - 1) / 8
+    df = spark.createDataFrame(links, "a long, b long")
+    assert {r["p"] for r in components(df).collect()} == {0}
+    # alike by registers, but not by their words: nothing is linked
+    counts.clear()
+    open_, data = _one_bucket(spark, n, lambda c: c,
+                              lambda c: " ".join(f"w{c}x{i}" for i in range(61)))
+    assert nd._links_across(open_, data, 80, 2).collect() == []
+    assert max(counts) <= n * (blocks + 1)
+
+
+def test_blocks_are_bounded_by_shingles(docs_of, monkeypatch):
+    monkeypatch.setattr(nd, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 200)
+    rows = corpus(5)
+    assert result(docs_of(rows)) == brute(rows)
+
+
 def test_repeated_rows_null_ids_and_empty_table(docs_of):
     rows = [(5, "x y z"), (5, "x y z"), (None, "x y z"), (None, "q r s"), (9, "X Y Z")]
     assert result(docs_of(rows)) == [("5", 2, "5"), ("5", 2, "5"), ("9", 2, "5"),
