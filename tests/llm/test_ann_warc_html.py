@@ -74,6 +74,18 @@ def test_few_rows(spark):
     assert searched(spark, rows[:1], 5, 1) == {} and searched(spark, [], 5, 1) == {}
 
 
+def test_vectors_of_extreme_size(spark):
+    """Cosines of double vectors whose squares overflow or vanish."""
+    rows = [(0, [1.0, 0.0]), (1, [1e-320, 0.0]), (2, [1e308, 1e308]), (3, [0.0, 1e-300]),
+            (4, [-1e200, 1e200]), (5, [3.0, 4.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in ann.neighbours(df, F.col("vec_id") == 0).orderBy(
+        "rank").collect()]
+    assert [i for i, _ in got] == [1, 2, 3, 4]
+    half = 0.5 ** 0.5
+    assert [s for _, s in got] == pytest.approx([1, half, 0, -half], abs=1e-12)
+
+
 def test_error_bounds_hold():
     x = np.array([v for _, v in vectors(5, 600, 64)])
     codes, scalars = ann.encode(x)
