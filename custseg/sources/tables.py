@@ -145,7 +145,19 @@ def _read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return _READS[key]
 
 
+_BOUND: dict[tuple, Tables] = {}
+
+
 def bind_testdata(spark: SparkSession, sf_dir: str, dimension: str = "customer") -> Tables:
+    """``bound_testdata``, reused per session and file version (its plans are analyzed once)."""
+    version = source_version(sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, dimension, version)
+    if version is None or key not in _BOUND:
+        _BOUND[key] = bound_testdata(spark, sf_dir, dimension)
+    return _BOUND[key]
+
+
+def bound_testdata(spark: SparkSession, sf_dir: str, dimension: str = "customer") -> Tables:
     """Bind the TPC-H-like test tables onto the logical schema.
 
     Test order dates are all at midnight, so a deterministic time of day is derived from the
