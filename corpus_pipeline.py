@@ -4,6 +4,12 @@ Every stage works on all that its predecessor kept. A stage's result is written
 the shared checkpoint folder and read again, so a lost executor never repeats an earlier stage.
 All stages but the last return the columns of the documents table; the last returns one row per
 packed piece.
+
+Defined results: documents with a null or empty text have no words and are rejected by the first
+stage. Rows equal in doc_id and text pass the first two stages as often as they come in; near-dedup
+keeps one row of them. Of near-duplicates that tie, the smallest doc_id stays. Very long texts are
+whole in every stage; an empty table gives no rows; columns of any other names pass through to the
+last stage.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ the leftmost merge goes first).
 Words come from the vocabulary's own splitting pattern; special tokens are cut out before. Each
 text is encoded in the task that reads it, with bounded caches for frequent pieces; there is no
 shuffle. Defined results: a null or empty text has no tokens; repeated rows give repeated result
-rows; other columns are not read.
+rows; a very long text is encoded whole, an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

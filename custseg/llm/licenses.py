@@ -23,7 +23,8 @@ documents carry is no hot key.
 
 Defined results: a null or empty text has no words. Documents are told apart by (doc_id, text
 hash, length): rows equal in all of these are equal rows, are scanned once and come out as often
-as they come in. Only ``doc_id`` and ``text`` are read.
+as they come in. Very long texts are scanned whole; an empty table gives no rows. Only ``doc_id``
+and ``text`` are read.
 """
 
 from __future__ import annotations

@@ -31,7 +31,8 @@ and classes are split by adaptive execution (plain joins), or reduced by minima.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
 nothing; a single word is a set of one. Repeated rows are in one class. A null doc_id takes part;
-its component carries the smallest other doc_id, or null. Only doc_id and text are read.
+its component carries the smallest other doc_id, or null. Very long texts are sketched and compared
+whole; an empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations

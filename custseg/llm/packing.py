@@ -16,7 +16,8 @@ Each task may leave one sequence or so partly filled, so the count exceeds the v
 about one per task.
 
 Defined results: a null or empty text is the end id alone; repeated rows (and a repeated or null
-doc_id) are packed as documents of their own; an empty table gives an empty result. Only
+doc_id) are packed as documents of their own; a very long text is tokenized whole and cut into
+pieces; an empty table gives an empty result. Only
 ``doc_id`` and ``text`` are read, so other columns of any name do no harm.
 """
 

@@ -10,7 +10,8 @@ base rules (too few words, too many repeated 5-word windows).
 Every text is judged on its own in the task that reads it; nothing is shuffled, and the work is
 linear in the text but for two sorts of the word windows of texts with repeats. Defined results:
 a null or empty text has no words and is rejected; repeated rows give repeated result rows;
-``doc_id`` is passed through, null included. Only ``doc_id`` and ``text`` are read by
+``doc_id`` is passed through, null included; texts are whole, however long; an empty table gives no
+rows. Only ``doc_id`` and ``text`` are read by
 ``judge``; ``clean`` passes all other columns through.
 """
 

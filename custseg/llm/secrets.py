@@ -12,7 +12,8 @@ In a URL, and in a path or slug of which plain words are half, the parts between
 judged on their own, so that only the part that is a key becomes a span.
 
 Each text is scanned on its own in the task that reads it: nothing is shuffled. Defined
-results: a null text counts as empty and has no spans; repeated rows give repeated result rows;
+results: a null text counts as empty and has no spans; repeated rows give repeated result rows; very
+long texts are scanned whole, in time proportional to them; an empty table gives no rows;
 offsets are code points, end exclusive. Only ``doc_id`` and ``text`` are read by ``scan``, so
 other columns of any name do no harm; ``redact`` passes them through.
 """

@@ -19,7 +19,8 @@ Of equal payloads of at least ``min_bytes`` bytes the record of the largest page
 response and the others are revisits of it. Defined results: a null html is the empty payload; a
 null url leaves out the target header; a null page_id is smaller than any other; equal rows that
 all carry the largest page_id are all responses; if all page_ids of a payload are null, all are
-responses. Only page_id, url and html are read.
+responses. A very long page is one record like any other; an empty table gives an archive without
+records. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
