@@ -74,7 +74,8 @@ def test_stages(spark, tmp_path):
         expected = brute[name](expected)
         assert rows_of(docs) == sorted(expected, key=str), name
         assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())
-    assert 60 < len(expected) < 85 and any("[SECRET]" in t for _, t in expected)
+    # one changed word keeps five-word shingles at 0.8 in texts of 46 words or more only
+    assert 60 < len(expected) < 95 and any("[SECRET]" in t for _, t in expected)
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     check_packing(pieces, dict(expected), tokenizers.Tokenizer.from_file(
         tokenizer_path("word_bpe_49k.json")), 2048)
