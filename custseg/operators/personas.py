@@ -58,7 +58,8 @@ def persona_scores(groups: DataFrame, params: Params = DEFAULT) -> DataFrame:
     groups, however many there are.
     """
     bounds = groups.agg(F.struct(*[agg.alias(name) for name, agg in _bounds().items()])).scalar()
-    bound = {name: bounds[name] for name in _bounds()}
+    groups = groups.withColumn("bounds", bounds)        # one column: one subquery for all measures
+    bound = {name: F.col("bounds")[name] for name in _bounds()}
     guard = not params.strict_division
     weights = {"R": params.weight_r, "F": params.weight_f, "M": params.weight_m,
                "gmv": params.weight_gmv}

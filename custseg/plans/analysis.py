@@ -173,10 +173,17 @@ class CustomerAnalysis:
 
     # -- Q3 ----------------------------------------------------------------------------------
     @cached_property
-    def groups(self) -> DataFrame:
-        # a few rows, read for the bounds, the scores and the best personas; read from files, their
+    def scores(self) -> DataFrame:
+        # a few rows, which groups, bounds, scores and best personas read; read from files, their
         # size decides the join of the best personas to the customers
-        return self._write(personas.persona_groups(self.rows, self.p), "personas")
+        groups = personas.persona_groups(self.rows, self.p)
+        return self._write(personas.persona_scores(groups, self.p), "personas")
+
+    @property
+    def groups(self) -> DataFrame:
+        if self.p.strict_division:          # scoring may fail where grouping does not
+            return personas.persona_groups(self.rows, self.p)
+        return self.scores.select(*personas.PERSONA_KEYS, "customers", "gmv", *"RFM")
 
     def persona_groups(self) -> DataFrame:
         g = self.groups
@@ -189,10 +196,6 @@ class CustomerAnalysis:
         return b.select(*[F.col(c).cast("long").alias(c) if c.endswith("gmv") else c
                           for c in b.columns])
 
-    @cached_property
-    def scores(self) -> DataFrame:
-        return personas.persona_scores(self.groups, self.p)
-
     def persona_scores(self) -> DataFrame:
         s = self.scores
         out = s.select("city", "gender", "age_group", "customers",

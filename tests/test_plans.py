@@ -121,7 +121,7 @@ def test_items_are_reduced_before_the_left_join(spark, no_broadcast):
 
 def test_bounds_need_no_join_and_no_window(a):
     """Minima and maxima of the personas combine in the tasks, as a scalar subquery."""
-    p = plan(a.persona_scores())
+    p = plan(personas.persona_scores(personas.persona_groups(a.rows, a.p), a.p))
     assert "NestedLoopJoin" not in p and "CartesianProduct" not in p and "Window" not in p
     assert "Subquery" in p and "partial_min" in p
 
