@@ -1,18 +1,16 @@
 """Line-first cleaning: rules judge every line, then the document by what the rules remove.
 
 A line fails if it is symbol-heavy, a navigation bar, boilerplate, or a short fragment without
-closing punctuation; a line equal to an earlier line of its document fails as a repeat. ``judge``
-(op3) takes a boilerplate phrase anywhere in a line, as its SQL does; ``clean`` deletes text, so it
-wants whole words that make up half of a sentence, or a label of a few words that holds them. A
-document is rejected if its failing lines hold more than ``max_lost`` of its words, or by the
+closing punctuation; a line equal to an earlier line of its document fails as a repeat.
+Boilerplate is a phrase between word borders that makes up half of a sentence, or a label of a few
+words that holds one. A document is rejected if its failing lines hold more than ``max_lost`` of its words, or by the
 base rules (too few words, too many repeated 5-word windows).
 
 Every text is judged on its own in the task that reads it; nothing is shuffled, and the work is
 linear in the text but for two sorts of the word windows of texts with repeats. Defined results:
 a null or empty text has no words and is rejected; repeated rows give repeated result rows;
 ``doc_id`` is passed through, null included; texts are whole, however long; an empty table gives no
-rows. Only ``doc_id`` and ``text`` are read by
-``judge``; ``clean`` passes all other columns through.
+rows. Only ``doc_id`` and ``text`` are read by ``judge``; ``clean`` passes all other columns through.
 """
 
 from __future__ import annotations
