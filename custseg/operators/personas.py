@@ -94,7 +94,7 @@ def best_customers(rows: DataFrame, best: DataFrame) -> DataFrame:
     """Segment rows of the best personas, with their persona label ``city, gender, age``.
 
     Equality on the three keys: a NULL attribute never matches. ``best`` holds one row per best
-    persona; read from a written table, its file size lets the planner broadcast it (below its
+    persona; derived from a written table, its size lets the planner broadcast it (below its
     threshold) without shuffling the customers on these few keys.
     """
     view = joined_view(rows).filter(F.col("matched"))

@@ -173,17 +173,14 @@ class CustomerAnalysis:
 
     # -- Q3 ----------------------------------------------------------------------------------
     @cached_property
-    def scores(self) -> DataFrame:
-        # a few rows, which groups, bounds, scores and best personas read; read from files, their
-        # size decides the join of the best personas to the customers
-        groups = personas.persona_groups(self.rows, self.p)
-        return self._write(personas.persona_scores(groups, self.p), "personas")
-
-    @property
     def groups(self) -> DataFrame:
-        if self.p.strict_division:          # scoring may fail where grouping does not
-            return personas.persona_groups(self.rows, self.p)
-        return self.scores.select(*personas.PERSONA_KEYS, "customers", "gmv", *"RFM")
+        # a few rows, which bounds, scores and best personas read; read from files, their size
+        # decides the join of the best personas to the customers
+        return self._write(personas.persona_groups(self.rows, self.p), "personas")
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return personas.persona_scores(self.groups, self.p)
 
     def persona_groups(self) -> DataFrame:
         g = self.groups
