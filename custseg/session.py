@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
                   app: str = "custseg") -> SparkSession:
-    """A local session with the settings the analyses assume (AQE on, UTC, UI off)."""
+    """A local session with the settings the analyses assume (AQE on, UTC, UI off).
+
+    The lookup of a Python call site for every column expression is off, too: it takes longer than
+    building and planning the expressions themselves. Errors then don't name the Python line."""
     parts = shuffle_partitions or (int(cpus) * 2 if str(cpus).isdigit() else 16)
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -22,6 +25,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("CUSTSEG_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
