@@ -94,7 +94,8 @@ def main() -> None:
           "analysis writes, then of its last query. SinglePartition exchanges carry partial "
           "results of one-row aggregates, one row per persona, or one row per partition. Joins "
           "that are broadcasts here are sort-merge joins once the measured side exceeds the "
-          "broadcast threshold.\n")
+          "broadcast threshold. The exchange of a scalar subquery is counted at every place that "
+          "names the subquery, though it runs once.\n")
     for label, name in registry.HEADLINE.items():
         written.clear()
         df = registry.queries()[name](spark, sf)
