@@ -25,12 +25,13 @@ from __future__ import annotations
 
 import math
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +44,13 @@ PIECES_PER_TASK = 250_000
 CACHE_ENTRIES = 600_000
 CACHE_CHARS = 48
 
-# The splitting pattern of the word vocabulary.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+# The splitting pattern of the word vocabulary, for Latin chunks without white space:
+# the letters and numbers below U+0180 are written out, which plain ``re`` matches faster.
+_LATIN = [chr(i) for i in range(0x180)]
+_LETTERS = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "L")
+_NUMBERS = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "N")
+_WORDS = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 
 
 class WordTokenizer:
@@ -60,16 +66,18 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # one core per Spark task
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.map = dict(enumerate(byte_letters()))
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
+        """Ids of a word without white space; its printable ASCII bytes stand for themselves."""
         ids = self.words.get(word)
         if ids is None:
-            letters = word.encode().decode("latin-1").translate(self.map)
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(letters)],
-                           "<u4").tobytes()
+            letters = (word if word.isascii()
+                       else word.encode().decode("latin-1").translate(self.map))
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(letters)])
             if len(word) <= CACHE_CHARS:
                 if len(self.words) >= CACHE_ENTRIES:
                     self.words.clear()
@@ -78,9 +86,11 @@ class WordTokenizer:
 
     def _chunk(self, raw: bytes) -> bytes:
         text = raw.decode()
-        if (max(text) < "ƀ" and "İ" not in text and text.isprintable()
+        if ((raw.isascii() or max(text) < "ƀ" and "İ" not in text) and text.isprintable()
                 and "<|" not in text):
-            ids = b"".join(map(self._word, _WORDS.findall(text.lower())))
+            text = text.lower()
+            ids = (self._word(text) if text.isalpha()
+                   else b"".join(map(self._word, _WORDS.findall(text))))
         else:
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids,
                            "<u4").tobytes()

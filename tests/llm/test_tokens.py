@@ -95,6 +95,26 @@ def test_word_tokenizer_equals_the_library(word_tokenizer):
         assert np.frombuffer(t.encode(text), "<u4").tolist() == ids, text
 
 
+def test_latin_chunks_equal_the_library(word_tokenizer):
+    t, rnd = packing.WordTokenizer(WORD), random.Random(8)
+    letters = [*map(chr, range(0x250)), *" İıſ<|'" * 10]
+    for _ in range(5_000):
+        text = "".join(rnd.choice(letters) if rnd.random() < 0.6 else rnd.choice("abXY09'.-")
+                       for _ in range(rnd.randint(1, 8)))
+        ids = word_tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(t.encode(text), "<u4").tolist() == ids, text
+
+
+def test_plain_words_go_straight_to_the_model(monkeypatch, word_tokenizer):
+    """Words not seen before are most of the operator's time: letters need no pattern or NumPy."""
+    t = packing.WordTokenizer(WORD)
+    monkeypatch.setattr(packing, "_WORDS", None)
+    monkeypatch.setattr(packing, "np", None)
+    text = "Plain Words éTÉ Straße ſo"
+    assert t.encode(text) == b"".join(
+        i.to_bytes(4, "little") for i in word_tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 def check_packing(rows, texts, word_tokenizer, limit):
     by_doc, by_sequence = {}, {}
     for r in rows:
