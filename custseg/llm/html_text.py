@@ -8,10 +8,12 @@
 2. If a page marks its article (``article``, else ``main``), the text is the blocks in it. Runs
    repeated there are content - several pages may carry one article or quote one passage - so they
    are not cut: taken alone the method would drop them, which is wrong.
-3. On pages without such marks a run of ``RUN`` tokens that occurs in at least ``MIN_PAGES``
-   distinct pages of the whole host, however large, is boilerplate, and every token that such a run
-   covers is covered. These pages keep the blocks not covered for ``MAX_COVERED`` or more; if
-   nothing would be left, all blocks stay.
+3. On every page a run of ``RUN`` tokens that occurs in at least ``MIN_PAGES`` distinct pages of the
+   whole host, however large, is repeated, and every token that such a run covers is covered. Pages
+   that mark their article and pages that don't are counted apart. Pages without such marks keep the
+   blocks not covered for ``MAX_COVERED`` or more; if nothing would be left, all blocks stay. On pages
+   with marks the marks have the last word; ``n_repeated`` gives the covered tokens of the text, so
+   whoever wants repeated texts out can see them.
 
 Runs are counted in two steps. Distinct pages of a host come together in buckets; a bucket's token
 streams are concatenated and their suffixes sorted by their first ``RUN`` tokens (a suffix array by
@@ -310,13 +312,21 @@ def run_hashes(words: list[str]) -> np.ndarray:
 
 def unique_blocks(blocks: list[str], covered: np.ndarray) -> list[str]:
     """The blocks not covered for ``MAX_COVERED`` or more; all, if none is left."""
-    total, at, kept = np.concatenate(([0], np.cumsum(covered))), 0, []
+    return [b for b, _ in _unique(_block_cover(blocks, covered))]
+
+
+def _block_cover(blocks: list[str], covered: np.ndarray) -> list[tuple[str, int]]:
+    """The blocks, each with its number of covered tokens."""
+    total, at, out = np.concatenate(([0], np.cumsum(covered))).tolist(), 0, []
     for b in blocks:
         n = b.count(" ") + 1
-        if total[at + n] - total[at] < MAX_COVERED * n:
-            kept.append(b)
+        out.append((b, total[at + n] - total[at]))
         at += n
-    return kept or blocks
+    return out
+
+
+def _unique(cover: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    return [(b, n) for b, n in cover if n < MAX_COVERED * (b.count(" ") + 1)] or cover
 
 
 def main_texts(pages: list[str]) -> list[str]:
@@ -348,24 +358,30 @@ def _streams(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every page with its text, if it marks its article, or its blocks and their digest."""
+    """Every page with its blocks and their digest; ``own``: places of the marked article's blocks,
+    null if the page marks none. Marked pages get a host key of their own."""
     for batch in batches:
-        found, rest, digest, chars = [], [], [], []
-        for page in batch.column("html").to_pylist():
+        hosts, rest, owns, digest, chars = [], [], [], [], []
+        for host, page in zip(batch.column("host").to_pylist(),
+                              batch.column("html").to_pylist()):
             blocks = page_blocks(page or "")
             marked = marked_blocks(blocks)
-            own = [b.text for b in (blocks if marked is None else marked)]
-            text = "\n".join(own)
-            found.append(None if marked is None else text)
-            rest.append(own if marked is None else None)
-            digest.append(xxhash.xxh3_128_digest(text) if marked is None else None)
+            own = None
+            if marked is not None:
+                chosen = set(map(id, marked))
+                own = [i for i, b in enumerate(blocks) if id(b) in chosen]
+            text = "\n".join(b.text for b in blocks)
+            hosts.append(host if own is None else ~host)
+            rest.append([b.text for b in blocks])
+            owns.append(own)
+            digest.append(xxhash.xxh3_128_digest(f"{own}\n{text}"))
             chars.append(len(text))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id").cast(pa.int64()), batch.column("url"),
-             batch.column("host"), pa.array(digest, pa.binary()),
-             pa.array(found, pa.string()), pa.array(rest, pa.list_(pa.string())),
+             pa.array(hosts, pa.int64()), pa.array(digest, pa.binary()),
+             pa.array(owns, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string())),
              pa.array(chars, pa.int64())],
-            names=["page_id", "url", "host", "page", "text", "blocks", "n_chars"])
+            names=["page_id", "url", "host", "page", "own", "blocks", "n_chars"])
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,9 +411,9 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The texts of distinct pages; the repeated runs of a bucket come before its pages."""
     key, runs, known = None, array("q"), None
     for batch in batches:
-        hosts, pages, found = [], [], []
-        for *new, page, h, own in zip(*(batch.column(c).to_pylist()
-                                        for c in ("host", "bucket", "page", "h", "blocks"))):
+        hosts, pages, found, repeated = [], [], [], []
+        for *new, page, h, own, blocks in zip(*(batch.column(c).to_pylist() for c in (
+                "host", "bucket", "page", "h", "own", "blocks"))):
             if new != key:
                 key, runs, known = new, array("q"), None
             if page is None:
@@ -405,39 +421,39 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if known is None:
                 known = np.unique(np.array(runs, np.int64))
-            words = " ".join(own).split(" ")
+            words = " ".join(blocks).split(" ") if blocks else []
             starts = np.flatnonzero(np.isin(run_hashes(words), known))
+            cover = _block_cover(blocks, _covered(starts, len(words), RUN))
+            kept = _unique(cover) if own is None else [cover[i] for i in own]
             hosts.append(new[0])
             pages.append(page)
-            found.append("\n".join(unique_blocks(own, _covered(starts, len(words), RUN))))
+            found.append("\n".join(b for b, _ in kept))
+            repeated.append(sum(n for _, n in kept))
         yield pa.RecordBatch.from_arrays(
             [pa.array(hosts, pa.int64()), pa.array(pages, pa.binary()),
-             pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())],
-            names=["host", "page", "text", "n_chars"])
+             pa.array(found, pa.string()), pa.array(map(len, found), pa.int64()),
+             pa.array(repeated, pa.int64())],
+            names=["host", "page", "text", "n_chars", "n_repeated"])
 
 
 def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars (code points)."""
+    """One row per page: page_id, url, text, n_chars (code points), n_repeated (tokens of the text
+    in runs that the host repeats)."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")),
                                     r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     source = pages.select("page_id", "url", "html", F.xxhash64(host).alias("host"))
     parsed = materialize(map_batches(
-        source, _parse, "page_id long, url string, host long, page binary, text string, "
+        source, _parse, "page_id long, url string, host long, page binary, own array<int>, "
                         "blocks array<string>, n_chars long"), "page-blocks")
-    names = ["page_id", "url", "text", "n_chars"]
-    marked = parsed.filter("page IS NULL").select(*names)
-    open_ = parsed.filter("page IS NOT NULL")
-    if open_.isEmpty():
-        return marked
     cell = F.pmod("host", F.lit(CELLS))
-    sizes = (open_.groupBy(cell.alias("cell"))                          # at most CELLS rows
+    sizes = (parsed.groupBy(cell.alias("cell"))                         # at most CELLS rows
              .agg(F.greatest(F.ceil(F.count(F.lit(1)) / group_pages),
                              F.ceil(F.sum("n_chars") / GROUP_CHARS)).alias("buckets")))
     distinct = materialize(
-        open_.select("host", "page", "blocks").dropDuplicates(["host", "page"])
+        parsed.select("host", "page", "own", "blocks").dropDuplicates(["host", "page"])
         .withColumn("cell", cell).join(F.broadcast(sizes), "cell")
-        .select("host", F.pmod(F.xxhash64("page"), "buckets").alias("bucket"), "page", "blocks"),
-        "distinct-pages")
+        .select("host", F.pmod(F.xxhash64("page"), "buckets").alias("bucket"), "page", "own",
+                "blocks"), "distinct-pages")
     counts = map_batches(
         distinct.repartition("host", "bucket").sortWithinPartitions("host", "bucket")
         .select("host", "bucket", "blocks"), _count, "host long, bucket long, h long, n long")
@@ -447,6 +463,6 @@ def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     cut = map_batches(
         both.repartition("host", "bucket")
         .sortWithinPartitions("host", "bucket", F.col("page").isNotNull()),
-        _cut, "host long, page binary, text string, n_chars long")
-    return marked.unionByName(
-        open_.select("page_id", "url", "host", "page").join(cut, ["host", "page"]).select(*names))
+        _cut, "host long, page binary, text string, n_chars long, n_repeated long")
+    return (parsed.select("page_id", "url", "host", "page").join(cut, ["host", "page"])
+            .select("page_id", "url", "text", "n_chars", "n_repeated"))

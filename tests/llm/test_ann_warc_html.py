@@ -297,6 +297,27 @@ def test_time_grows_with_the_page_however_many_elements_are_open(piece, times):
     assert took(times) < 0.5 + 40 * took(times // 10)       # quadratic: a hundredfold
 
 
+def test_marked_pages_are_counted_over_the_host_and_stay_whole(spark):
+    def words(name, n=12):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    quote = f"<p>{words('quote')} end</p>"
+    rows = [(i, "https://a.org/x", page(f"<article><p>{words(f'own{i}')}</p>{quote}<p>short</p>"
+                                        f"</article><p>{words('beside')}</p>")) for i in range(5)]
+    rows += [(9, "https://a.org/y", rows[0][2])]                         # an equal page
+    rows += [(10 + i, "https://b.org/x", page(f"<main>{quote}</main><p>{i}</p>")) for i in range(2)]
+    rows += [(20 + i, "https://c.org/x", page(f"<p>z{i} z z</p>{quote}")) for i in range(3)]
+    rows += [(30, "https://c.org/y", page(f"<article>{quote}</article>")), (31, None, None)]
+    expected = {i: (f"{words(f'own{i % 9}')}\n{words('quote')} end\nshort", 14) for i in
+                (*range(5), 9)}                    # "short" follows: a run reaches into it
+    expected |= {i: (f"{words('quote')} end", 0) for i in (10, 11, 30)} | {31: ("", 0)}
+    expected |= {20 + i: (f"z{i} z z", 2) for i in range(3)}    # runs begin in "z z"
+    for group_pages in (128, 2):
+        got = html_text.extract(pages_of(spark, rows), group_pages).collect()
+        assert {r["page_id"]: (r["text"], r["n_repeated"]) for r in got} == expected
+        assert len(got) == len(rows)
+
+
 def brute_texts(rows):
     """(page_id -> text) of pages given as (page_id, host, blocks, marked), by plain counting."""
     texts = {}
