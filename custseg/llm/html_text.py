@@ -15,18 +15,26 @@
    with marks the marks have the last word; ``n_repeated`` gives the covered tokens of the text, so
    whoever wants repeated texts out can see them.
 
-Runs are counted in two steps. Distinct pages of a host come together in buckets; a bucket's token
-streams are concatenated and their suffixes sorted by their first ``RUN`` tokens (a suffix array by
-prefix doubling, stopped at that length, which is all that telling runs of ``RUN`` tokens apart
-needs), which gives the bucket's distinct runs with their numbers of pages. These numbers, under
-64-bit hashes of host and run, are summed over the host's buckets. Runs over the limit go back to
-the buckets that hold them, where the pages are cut one by one. So buckets and group borders decide
-only how much is combined before the sum, never what is boilerplate.
-
-Parsed pages are written once. Buckets are sized by page counts and characters in ``CELLS`` hash
-cells of hosts: that table has a bounded number of rows and is broadcast. A task holds one group
-at a time, a bucket or ``GROUP_CHARS`` characters of it. Equal pages of a host meet in no bucket:
-they are made one before (joins put the result back to every row).
+Pages are read once and dealt once, by host and bucket (a hash of the page, so equal pages meet);
+what a task has of a bucket travels as one compressed value, equal pages in it once. Bucket sizes
+come from a first pass over url and size of html alone. All later steps read that one exchange:
+
+* A bucket's distinct pages are concatenated and their suffixes sorted by their first ``RUN`` tokens
+  (a suffix array by prefix doubling, stopped at that length, which is all that telling runs of
+  ``RUN`` tokens apart needs): the bucket's distinct runs with their numbers of pages. A host with one
+  bucket is done with that.
+* Else the numbers are summed over the host's buckets under small hashes first, a number below
+  ``GROUP_CHARS`` times the buckets (about eight values a token), which sorted and compressed take
+  little more than a byte a run. A run that stays under the limit here does so in truth.
+* The others are summed once more under 64-bit hashes; those that reach the limit go back to the
+  buckets that hold them, where the pages are cut one by one.
+
+So buckets and tasks decide only how much is combined before the sums, never what is boilerplate.
+Sums are dealt by host and part of the hashes, as many parts as the host needs; a row there is what
+one bucket has in one part. Sizes are kept for ``CELLS`` hash cells of hosts: that table has a bounded
+number of rows and is broadcast. A task holds one bucket at a time (about ``GROUP_CHARS`` bytes of
+html, or one longer page), before dealing up to ``HELD_CHARS`` characters. Page ids and urls of equal
+pages stay lists until the last step, which makes them rows.
 
 Defined results: a null or empty html gives the empty text; a null url counts as the host "".
 Repeated rows give repeated result rows, and equal pages count as one page for repeats. The reader's
@@ -38,20 +46,22 @@ from __future__ import annotations
 
 import html
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from custseg.llm.common import map_batches, materialize
+from custseg.llm.common import map_batches
 
-GROUP_PAGES = 128
+GROUP_PAGES = 4096
 GROUP_CHARS = 4_000_000
+HELD_CHARS = 32_000_000
+PART = 4 * GROUP_CHARS              # small hashes in a part
 CELLS = 1 << 18
 RUN = 8
 MIN_PAGES = 3
@@ -299,15 +309,15 @@ def repeated_tokens(tokens: np.ndarray, page: np.ndarray, run: int = RUN,
     return _covered(order[pages[r] >= min_pages], len(tokens), run)
 
 
-def run_hashes(words: list[str]) -> np.ndarray:
-    """A 64-bit hash of the ``RUN`` words from each place on, as signed numbers."""
-    n = max(len(words) - RUN + 1, 0)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+def run_hashes(tokens: np.ndarray, words: list[str]) -> np.ndarray:
+    """A 64-bit hash of the ``RUN`` tokens from each place on; ``words`` has the word of each id."""
+    n = max(len(tokens) - RUN + 1, 0)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))[tokens]
     out = np.full(n, RUN, np.uint64)
     for i in range(RUN if n else 0):
         out = (out ^ h[i:i + n]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(32)
-    return out.view(np.int64)
+    return out
 
 
 def unique_blocks(blocks: list[str], covered: np.ndarray) -> list[str]:
@@ -357,83 +367,193 @@ def _streams(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.repeat(np.arange(len(pages)), [len(p) for p in pages])
 
 
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
+
+
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every page with its blocks and their digest; ``own``: places of the marked article's blocks,
-    null if the page marks none. Marked pages get a host key of their own."""
+    """The pages of each host and bucket, as one compressed Arrow stream of distinct pages: blocks,
+    ``own`` (places of the marked article's blocks, null if the page marks none), and the ids and
+    urls of the equal pages. Marked pages get a host key of their own."""
+    def packed():
+        pages = []
+        for own in held.values():
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array([text for _, text in own], pa.large_string()),
+                 pa.array([places for places, _ in own], pa.list_(pa.int32())),
+                 pa.array([ids for ids, _ in own.values()], pa.list_(pa.int64())),
+                 pa.array([urls for _, urls in own.values()], pa.list_(pa.string()))],
+                names=["text", "own", "page_id", "url"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema,
+                                   options=pa.ipc.IpcWriteOptions(compression=_codec())) as out:
+                out.write_batch(batch)
+            pages.append(sink.getvalue().to_pybytes())
+        keys = [pa.array(k, pa.int64()) for k in zip(*held)]
+        return pa.RecordBatch.from_arrays(keys + [pa.array(pages, pa.binary())],
+                                          names=["host", "bucket", "buckets", "pages"])
+
+    held, size = {}, 0
     for batch in batches:
-        hosts, rest, owns, digest, chars = [], [], [], [], []
-        for host, page in zip(batch.column("host").to_pylist(),
-                              batch.column("html").to_pylist()):
+        for host, buckets, page_id, url, page in zip(*(batch.column(c).to_pylist() for c in (
+                "host", "buckets", "page_id", "url", "html"))):
             blocks = page_blocks(page or "")
-            marked = marked_blocks(blocks)
-            own = None
+            marked, own = marked_blocks(blocks), None
             if marked is not None:
                 chosen = set(map(id, marked))
-                own = [i for i, b in enumerate(blocks) if id(b) in chosen]
-            text = "\n".join(b.text for b in blocks)
-            hosts.append(host if own is None else ~host)
-            rest.append([b.text for b in blocks])
-            owns.append(own)
-            digest.append(xxhash.xxh3_128_digest(f"{own}\n{text}"))
-            chars.append(len(text))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id").cast(pa.int64()), batch.column("url"),
-             pa.array(hosts, pa.int64()), pa.array(digest, pa.binary()),
-             pa.array(owns, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string())),
-             pa.array(chars, pa.int64())],
-            names=["page_id", "url", "host", "page", "own", "blocks", "n_chars"])
-
-
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct runs of a group of distinct pages of a bucket, with their numbers of pages."""
-    def result(host, bucket, pages):
-        order, r, n = counted_runs(*_streams(pages))
-        numbers, first = np.unique(r, return_index=True)
-        h = run_hashes([w for p in pages for w in p])[order[first]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(h), host)), pa.array(np.full(len(h), bucket)), pa.array(h),
-             pa.array(n[numbers])], names=["host", "bucket", "h", "n"])
-
-    held, key, size = [], None, 0
-    for batch in batches:
-        for *new, own in zip(*(batch.column(c).to_pylist() for c in ("host", "bucket", "blocks"))):
-            if held and (new != key or size > GROUP_CHARS):
-                yield result(*key, held)
-                held, size = [], 0
-            key = new
-            held.append(" ".join(own).split(" "))
-            size += sum(map(len, own))
+                own = tuple(i for i, b in enumerate(blocks) if id(b) in chosen)
+            text = "\n".join(b.text for b in blocks)              # no block has a line break
+            bucket = xxhash.xxh3_64_intdigest(f"{own}\n{text}") % buckets
+            group = held.setdefault((host if own is None else ~host, bucket, buckets), {})
+            ids, urls = group.setdefault((own, text), ([], []))
+            ids.append(page_id)
+            urls.append(url)
+            size += len(text) + 100
+            if size > HELD_CHARS:
+                yield packed()
+                held, size = {}, 0
     if held:
-        yield result(*key, held)
+        yield packed()
 
 
-def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts of distinct pages; the repeated runs of a bucket come before its pages."""
-    key, runs, known = None, array("q"), None
-    for batch in batches:
-        hosts, pages, found, repeated = [], [], [], []
-        for *new, page, h, own, blocks in zip(*(batch.column(c).to_pylist() for c in (
-                "host", "bucket", "page", "h", "own", "blocks"))):
-            if new != key:
-                key, runs, known = new, array("q"), None
-            if page is None:
-                runs.append(h)
-                continue
-            if known is None:
-                known = np.unique(np.array(runs, np.int64))
-            words = " ".join(blocks).split(" ") if blocks else []
-            starts = np.flatnonzero(np.isin(run_hashes(words), known))
-            cover = _block_cover(blocks, _covered(starts, len(words), RUN))
-            kept = _unique(cover) if own is None else [cover[i] for i in own]
-            hosts.append(new[0])
-            pages.append(page)
-            found.append("\n".join(b for b, _ in kept))
-            repeated.append(sum(n for _, n in kept))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.int64()), pa.array(pages, pa.binary()),
-             pa.array(found, pa.string()), pa.array(map(len, found), pa.int64()),
-             pa.array(repeated, pa.int64())],
-            names=["host", "page", "text", "n_chars", "n_repeated"])
+@dataclass
+class _Group:
+    """The distinct pages of a host and bucket, with their tokens in one stream."""
+
+    buckets: int
+    pages: dict[tuple, tuple[list, list]]       # (own, text) -> ids, urls
+    tokens: np.ndarray
+    page: np.ndarray
+    words: list[str]
+
+    @classmethod
+    def read(cls, table: pa.Table) -> _Group:
+        pages: dict[tuple, tuple[list, list]] = {}
+        for value in table.column("pages"):
+            got = pa.ipc.open_stream(value.as_buffer()).read_all()
+            for text, own, ids, urls in zip(*(got.column(c).to_pylist() for c in got.column_names)):
+                own = None if own is None else tuple(own)
+                held = pages.setdefault((own, text), ([], []))
+                held[0].extend(ids)
+                held[1].extend(urls)
+        texts = pa.array([text for _, text in pages], pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        return cls(table.column("buckets")[0].as_py(), pages,
+                   coded.indices.to_numpy().astype(np.int64),
+                   np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy())),
+                   coded.dictionary.to_pylist())
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The places where a run of one page begins, and the hashes of all places."""
+        h = run_hashes(self.tokens, self.words)
+        return np.flatnonzero(self.page[:len(h)] == self.page[RUN - 1:]), h
+
+    def small(self, h: np.ndarray) -> np.ndarray:
+        return h % np.uint64(self.buckets * GROUP_CHARS)
+
+
+_SHARE = "host long, part long, bucket long, size int, keys binary, n binary"
+_FOUND = "host long, bucket long, size int, keys binary"
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Rising 64-bit numbers as compressed differences, their lowest bytes first."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return _codec().compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), asbytes=True)
+
+
+def _unpack(rows: pa.Table) -> list[np.ndarray]:
+    out = []
+    for size, keys in zip(rows.column("size").to_pylist(), rows.column("keys").to_pylist()):
+        steps = np.frombuffer(_codec().decompress(keys, 8 * size, asbytes=True), np.uint8)
+        out.append(np.cumsum(np.ascontiguousarray(steps.reshape(8, size).T).view("<u8").ravel()))
+    return out
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return pa.table([pa.array([r[i] for r in rows], kinds[kind])
+                     for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+
+
+def _shares(key: tuple, keys: np.ndarray, small: np.ndarray, n: np.ndarray) -> pa.Table:
+    """A bucket's rising ``keys`` with their numbers of pages, dealt into parts by small hashes."""
+    part, rows = (small // np.uint64(PART)).astype(np.int64), []
+    order = np.argsort(part, kind="stable")
+    parts, first = np.unique(part[order], return_index=True)
+    for at, own in zip(parts.tolist(), np.split(order, first[1:])):
+        few = np.minimum(n[own], MIN_PAGES).astype(np.uint8).tobytes()
+        rows.append((key[0].as_py(), at, key[1].as_py(), len(own), _pack(keys[own]),
+                     _codec().compress(few, asbytes=True)))
+    return _table(rows, _SHARE)
+
+
+def _count(key: tuple, table: pa.Table) -> pa.Table:
+    """The small hashes of a bucket's runs, with their numbers of pages."""
+    if table.column("buckets")[0].as_py() == 1:          # nothing to sum
+        return _table([], _SHARE)
+    group = _Group.read(table)
+    order, r, n = counted_runs(group.tokens, group.page)
+    numbers, first = np.unique(r, return_index=True)
+    small, at = np.unique(group.small(group.hashes()[1][order[first]]), return_inverse=True)
+    return _shares(key, small, small, np.bincount(at, n[numbers], len(small)))
+
+
+def _total(key: tuple, table: pa.Table) -> pa.Table:
+    """The keys of a part that reach ``MIN_PAGES`` over the buckets, for each bucket its own."""
+    keys = _unpack(table)
+    n = [np.frombuffer(_codec().decompress(few, size, asbytes=True), np.uint8) for size, few in zip(
+        table.column("size").to_pylist(), table.column("n").to_pylist())]
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    repeated = (np.bincount(at, np.concatenate(n)) >= MIN_PAGES)[at]
+    rows, begin = [], 0
+    for bucket, own in zip(table.column("bucket").to_pylist(), keys):
+        found = own[repeated[begin:begin + len(own)]]
+        begin += len(own)
+        if len(found):
+            rows.append((key[0].as_py(), bucket, len(found), _pack(found)))
+    return _table(rows, _FOUND)
+
+
+def _confirm(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+    """The 64-bit hashes of a bucket's runs with one of the small hashes found."""
+    if not found.num_rows:
+        return _table([], _SHARE)
+    group = _Group.read(table)
+    at, h = group.hashes()
+    at = at[np.isin(group.small(h[at]), np.concatenate(_unpack(found)))]
+    at = at[np.lexsort((group.page[at], h[at]))]
+    h, page = h[at], group.page[at]
+    other = np.concatenate(([True], h[1:] != h[:-1]))
+    first = other | np.concatenate(([True], page[1:] != page[:-1]))
+    keys = h[other]
+    return _shares(key, keys, group.small(keys),
+                   np.bincount(np.cumsum(other) - 1, first, len(keys)))
+
+
+def _cut(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+    """The texts of a bucket's distinct pages."""
+    group = _Group.read(table)
+    if group.buckets == 1:
+        covered = repeated_tokens(group.tokens, group.page)
+    else:
+        at, h = group.hashes()
+        known = np.concatenate([np.zeros(0, np.uint64), *_unpack(found)])
+        covered = _covered(at[np.isin(h[at], known)], len(group.tokens), RUN)
+    begin = np.searchsorted(group.page, np.arange(1, len(group.pages)))
+    texts, repeated = [], []
+    for (own, text), part in zip(group.pages, np.split(covered, begin)):
+        cover = _block_cover(text.split("\n") if text else [], part)
+        kept = _unique(cover) if own is None else [cover[i] for i in own]
+        texts.append("\n".join(b for b, _ in kept))
+        repeated.append(sum(n for _, n in kept))
+    ids, urls = zip(*group.pages.values())
+    return pa.table([pa.array(ids, pa.list_(pa.int64())), pa.array(urls, pa.list_(pa.string())),
+                     pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()),
+                     pa.array(repeated, pa.int64())],
+                    names=["page_id", "url", "text", "n_chars", "n_repeated"])
 
 
 def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
@@ -441,28 +561,19 @@ def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     in runs that the host repeats)."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")),
                                     r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    source = pages.select("page_id", "url", "html", F.xxhash64(host).alias("host"))
-    parsed = materialize(map_batches(
-        source, _parse, "page_id long, url string, host long, page binary, own array<int>, "
-                        "blocks array<string>, n_chars long"), "page-blocks")
-    cell = F.pmod("host", F.lit(CELLS))
-    sizes = (parsed.groupBy(cell.alias("cell"))                         # at most CELLS rows
+    source = (pages.select(F.col("page_id").cast("long"), "url", "html",
+                           F.xxhash64(host).alias("host"))
+              .withColumn("cell", F.pmod("host", F.lit(CELLS))))
+    sizes = (source.groupBy("cell")                                     # at most CELLS rows
              .agg(F.greatest(F.ceil(F.count(F.lit(1)) / group_pages),
-                             F.ceil(F.sum("n_chars") / GROUP_CHARS)).alias("buckets")))
-    distinct = materialize(
-        parsed.select("host", "page", "own", "blocks").dropDuplicates(["host", "page"])
-        .withColumn("cell", cell).join(F.broadcast(sizes), "cell")
-        .select("host", F.pmod(F.xxhash64("page"), "buckets").alias("bucket"), "page", "own",
-                "blocks"), "distinct-pages")
-    counts = map_batches(
-        distinct.repartition("host", "bucket").sortWithinPartitions("host", "bucket")
-        .select("host", "bucket", "blocks"), _count, "host long, bucket long, h long, n long")
-    repeated = (counts.withColumn("total", F.sum("n").over(Window.partitionBy("host", "h")))
-                .filter(F.col("total") >= MIN_PAGES).select("host", "bucket", "h"))
-    both = distinct.unionByName(repeated, allowMissingColumns=True)
-    cut = map_batches(
-        both.repartition("host", "bucket")
-        .sortWithinPartitions("host", "bucket", F.col("page").isNotNull()),
-        _cut, "host long, page binary, text string, n_chars long, n_repeated long")
-    return (parsed.select("page_id", "url", "host", "page").join(cut, ["host", "page"])
-            .select("page_id", "url", "text", "n_chars", "n_repeated"))
+                             F.ceil(F.sum(F.octet_length("html")) / GROUP_CHARS)).alias("buckets")))
+    groups = map_batches(
+        source.join(F.broadcast(sizes), "cell").select("host", "buckets", "page_id", "url", "html"),
+        _parse, "host long, bucket long, buckets long, pages binary").groupBy("host", "bucket")
+    small = (groups.applyInArrow(_count, _SHARE)
+             .groupBy("host", "part").applyInArrow(_total, _FOUND))
+    repeated = (groups.cogroup(small.groupBy("host", "bucket")).applyInArrow(_confirm, _SHARE)
+                .groupBy("host", "part").applyInArrow(_total, _FOUND))
+    cut = groups.cogroup(repeated.groupBy("host", "bucket")).applyInArrow(
+        _cut, "page_id array<long>, url array<string>, text string, n_chars long, n_repeated long")
+    return cut.select(F.inline(F.arrays_zip("page_id", "url")), "text", "n_chars", "n_repeated")

@@ -7,12 +7,16 @@ import html
 import random
 import re
 import time
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from custseg.llm import ann, html_text, warc
+from custseg.llm.common import recorded
 
 
 # -- nearest neighbours ----------------------------------------------------------------------
@@ -318,6 +322,86 @@ def test_marked_pages_are_counted_over_the_host_and_stay_whole(spark):
         assert len(got) == len(rows)
 
 
+def test_pages_take_little_disk(spark, tmp_path):
+    """Shuffle files and written stages together stay below 1.5 times the input."""
+    rnd = random.Random(21)
+    vocabulary = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(2, 9)))
+                  for _ in range(20_000)]
+    menu = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in vocabulary[:60])
+    bar = " ".join(vocabulary[:12])
+
+    def text():
+        return "".join(f"<p>{' '.join(rnd.choices(vocabulary, k=70))}</p>" for _ in range(5))
+
+    rows = [(i, f"https://h{i % 10 % 4}.org/{i}",
+             page(f"<nav>{menu}</nav><article>{text()}<p>{bar}</p></article>")) for i in range(1500)]
+    pages_of(spark, rows).repartition(4).write.parquet(str(tmp_path / "pages"))
+    size = sum(f.stat().st_size for f in (tmp_path / "pages").glob("*.parquet"))
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager() \
+        .diskBlockManager().localDirs()
+
+    def shuffled():
+        return {f: f.stat().st_size for d in folders for f in Path(str(d)).rglob("shuffle_*.data")}
+
+    before = shuffled()
+    with recorded() as written:
+        df = html_text.extract(spark.read.parquet(str(tmp_path / "pages")), group_pages=400)
+        df.write.parquet(str(tmp_path / "out"))
+    after = shuffled()
+    took = sum(n for f, n in after.items() if f not in before)
+    took += sum(f.stat().st_size for d in written for f in Path(d.removeprefix("file:")).glob("*"))
+    assert 0 < took < 1.5 * size
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got) == 1500 and all(r["n_repeated"] >= 12 for r in got)
+
+
+@pytest.mark.parametrize("chars", [1, 7, 300, 4_000_000])
+def test_small_hashes_decide_nothing(monkeypatch, chars):
+    """However many runs share a small hash, the texts are those of plain counting."""
+    monkeypatch.setattr(html_text, "GROUP_CHARS", chars)
+    monkeypatch.setattr(html_text, "PART", 4 * chars)
+    rnd = random.Random(31)
+    common = [" ".join(f"{c}{i}" for i in range(12)) for c in "pqrs"]
+    rows = []
+    for i in range(60):
+        blocks = [" ".join(f"w{rnd.randrange(40)}" for _ in range(rnd.randint(1, 20)))
+                  for _ in range(3)] + rnd.sample(common, rnd.randint(0, 2))
+        rows.append((i, "h", list(rows[-1][2]) if i % 9 == 8 else blocks, i % 7 == 0))
+    markup = ["".join(f"<p>{b}</p>" for b in blocks) for _, _, blocks, _ in rows]
+    batch = pa.RecordBatch.from_pydict({
+        "host": [5] * 60, "buckets": [6] * 60, "page_id": [r[0] for r in rows], "url": [None] * 60,
+        "html": [page(f"<article>{m}</article>" if r[3] else m) for m, r in zip(markup, rows)]})
+    groups = pa.Table.from_batches(html_text._parse([batch]))
+
+    def grouped(table, *names):
+        keys = {tuple(r.values()) for r in table.select(names).to_pylist()}
+        for key in sorted(keys):
+            mask = pc.and_(*(pc.equal(table[n], k) for n, k in zip(names, key)))
+            yield tuple(map(pa.scalar, key)), table.filter(mask)
+
+    def totals(shares):
+        return pa.concat_tables(html_text._total(k, t) for k, t in grouped(shares, "host", "part"))
+
+    def joined(func, found):
+        for (host, bucket), table in grouped(groups, "host", "bucket"):
+            mask = pc.and_(pc.equal(found["host"], host), pc.equal(found["bucket"], bucket))
+            yield func((host, bucket), table, found.filter(mask))
+
+    small = totals(pa.concat_tables(
+        html_text._count(k, t) for k, t in grouped(groups, "host", "bucket")))
+    found = totals(pa.concat_tables(joined(html_text._confirm, small)))
+    got = pa.concat_tables(joined(html_text._cut, found)).to_pylist()
+    assert {i: r["text"] for r in got for i in r["page_id"]} == brute_texts(rows)
+    assert any(r["n_repeated"] for r in got) and sum(len(r["page_id"]) for r in got) == 60
+
+
+def test_packed_keys():
+    keys = np.array([0, 1, 255, 256, 2**40, 2**63, 2**64 - 1], np.uint64)
+    rows = pa.table({"size": [7, 1, 0], "keys": [html_text._pack(k) for k in (
+        keys, keys[-1:], keys[:0])]})
+    assert [k.tolist() for k in html_text._unpack(rows)] == [keys.tolist(), [2**64 - 1], []]
+
+
 def brute_texts(rows):
     """(page_id -> text) of pages given as (page_id, host, blocks, marked), by plain counting."""
     texts = {}
